@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from signalloom.operators.distribution import exact_percentiles
 from signalloom.operators.intervals import BIN_SEC, merge_intervals, overlapping_pairs, time_bin
 from signalloom.operators.ordered import global_index, island_of_rows, islands, numbered
+from signalloom.session import settle
 
 KEYS = ["subject_id", "edf_id"]
 
@@ -58,7 +59,8 @@ def with_event_ids(events: DataFrame, chunk_sec: float = BIN_SEC, out: str = "ev
 
 
 def predicted_events(predictions: DataFrame, max_gap_sec: float = 4.0, chunk_sec: float = BIN_SEC) -> DataFrame:
-    return with_event_ids(alarm_sessions(predictions, max_gap_sec, chunk_sec), chunk_sec)
+    sessions = settle(alarm_sessions(predictions, max_gap_sec, chunk_sec), "sessions")
+    return with_event_ids(sessions, chunk_sec)
 
 
 def recordings_of(df: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def true_events(annotations: DataFrame, predictions: DataFrame | None = None, ch
     """
     if predictions is not None:
         annotations = annotations.join(recordings_of(predictions), KEYS, "left_semi")
-    merged = merge_intervals(annotations, KEYS, bin_sec=chunk_sec)
+    merged = settle(merge_intervals(annotations, KEYS, bin_sec=chunk_sec), "truth")
     return numbered(merged, KEYS, ["start_sec"], time_bin(F.col("start_sec"), chunk_sec), "true_event_id")
 
 
@@ -106,7 +108,7 @@ def match_events(events: DataFrame, truth: DataFrame, bin_sec: float = BIN_SEC)
     The first event (lowest id) that chose a true interval detects it; later
     ones are duplicates. Latency may be negative.
     """
-    best = best_overlaps(events, truth, bin_sec)
+    best = settle(best_overlaps(events, truth, bin_sec), "overlaps")
     first = best.groupBy(*KEYS, "true_event_id").agg(F.min("event_id").alias("_first_id"))
     chosen = best.join(first, [*KEYS, "true_event_id"])
     hit = F.col("event_id") == F.col("_first_id")

@@ -70,15 +70,17 @@ def label_windows(
             )
         ).alias("_a_bin"),
     )
-    binned = windows.withColumn("_bin", time_bin(F.col("start_sec"), bin_sec))
+    # Names of the outer side must not occur inside the subquery.
+    outer = {f"_w_{k}": F.col(k) for k in [*keys, "start_sec", "end_sec"]}
+    binned = windows.withColumns({**outer, "_w_bin": time_bin(F.col("start_sec"), bin_sec)})
     hit = (
-        (F.col("_a_bin") == F.col("_bin").outer())
-        & (F.col("_a_start") < F.col("end_sec").outer())
-        & (F.col("_a_end") > F.col("start_sec").outer())
+        (F.col("_a_bin") == F.col("_w_bin").outer())
+        & (F.col("_a_start") < F.col("_w_end_sec").outer())
+        & (F.col("_a_end") > F.col("_w_start_sec").outer())
     )
     for k in keys:
-        hit = hit & (F.col(f"_a_{k}") == F.col(k).outer())
-    return binned.withColumn(out, spread.where(hit).exists().cast("int")).drop("_bin")
+        hit = hit & (F.col(f"_a_{k}") == F.col(f"_w_{k}").outer())
+    return binned.withColumn(out, spread.where(hit).exists().cast("int")).drop(*outer, "_w_bin")
 
 
 def overlapping_pairs(

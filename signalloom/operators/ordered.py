@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from signalloom.session import settle
+
 CHUNK = "_chunk"
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
@@ -159,7 +161,7 @@ def islands(
         .agg(F.max("_reach").alias("_reach"), *[fold(col).alias(n) for n, (fold, col) in folds.items()])
     )
     return (
-        _linked(local, keys)
+        _linked(settle(local, "islands"), keys)
         .groupBy(*keys, "_island")
         .agg(*[fold(n).alias(n) for n, (fold, _) in folds.items()])
         .drop("_island")
@@ -172,7 +174,7 @@ def island_of_rows(
     """Each row with the start of its island (see :func:`islands`)."""
     rows = _local_heads(df, keys, start, reach, chunk)
     local = rows.groupBy(*keys, CHUNK, "_head").agg(F.max("_reach").alias("_reach"))
-    linked = _linked(local, keys).select(*keys, CHUNK, "_head", F.col("_island").alias(out))
+    linked = _linked(settle(local, "islands"), keys).select(*keys, CHUNK, "_head", F.col("_island").alias(out))
     return rows.join(linked, [*keys, CHUNK, "_head"]).drop(CHUNK, "_head", "_start", "_reach")
 
 
@@ -211,6 +213,7 @@ def score_ladder(
     """
     positive = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
     counts = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"), positive.alias("positives"))
+    counts = settle(counts, "scores")
     cuts = counts.agg(
         F.percentile_approx(score, [i / cells for i in range(1, cells)], 10_000).alias("_cuts")
     )

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from signalloom.operators.events import event_metrics, match_events, predicted_events, true_events
+from signalloom.session import settle
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,7 @@ class EventReport:
 
 def event_report(predictions: DataFrame, annotations: DataFrame, max_gap_sec: float = 4.0) -> EventReport:
     """Events, merged truth, matches and metrics of one set of predictions."""
-    events = predicted_events(predictions, max_gap_sec)
-    truth = true_events(annotations, predictions)
-    matches = match_events(events, truth)
+    events = settle(predicted_events(predictions, max_gap_sec), "events")
+    truth = settle(true_events(annotations, predictions), "truth")
+    matches = settle(match_events(events, truth), "matches")
     return EventReport(events, truth, matches, event_metrics(predictions, events, truth, matches))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators are tuned for. A cluster keeps its own master,
 #: memory and shuffle-partition settings; these only steer the optimizer.
@@ -42,3 +42,16 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="signalloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a step to the shared scratch folder and go on from the written table.
+
+    Used where a reduced result feeds several branches: the branches then read
+    a small table instead of repeating the work, a lost executor costs a re-read
+    only, and the optimizer sees real sizes when it picks joins.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
