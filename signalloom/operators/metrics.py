@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from signalloom.operators.ordered import score_ladder
+from signalloom.operators.ordered import score_ladder  # noqa: F401
 
 # Numerators over 10,000 of the threshold grids.
 HUNDREDTHS = range(100, 10_000, 100)
@@ -89,17 +89,17 @@ def threshold_sweep(
     # One row per group: a vector of counts per step, at most len(grid) + 1 long.
     held = at.groupBy(*groups).agg(
         F.map_from_entries(F.collect_list(F.struct("_step", F.struct("_p", "_n")))).alias("_at"),
-        F.sum("_p").alias("_P"),
-        F.sum("_n").alias("_N"),
+        F.sum("_p").alias("_all_p"),
+        F.sum("_n").alias("_all_n"),
     )
-    rows = held.select(*groups, "_at", "_P", "_N", F.posexplode(F.array(*[F.lit(float(t)) for t in grid])))
+    rows = held.select(*groups, "_at", "_all_p", "_all_n", F.posexplode(F.array(*[F.lit(float(t)) for t in grid])))
     per_step = rows.select(
         *groups,
         F.col("col").alias("threshold"),
         F.coalesce(F.col("_at")[F.col("pos") + 1]["_p"], F.lit(0)).alias("_p"),
         F.coalesce(F.col("_at")[F.col("pos") + 1]["_n"], F.lit(0)).alias("_n"),
-        "_P",
-        "_N",
+        "_all_p",
+        "_all_n",
     )
     keyed = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(top))
     w = keyed.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -109,8 +109,8 @@ def threshold_sweep(
         "threshold",
         "tp",
         (F.col("_sel") - F.col("tp")).alias("fp"),
-        (F.col("_P") - F.col("tp")).alias("fn"),
-        (F.col("_N") - F.col("_P") - (F.col("_sel") - F.col("tp"))).alias("tn"),
+        (F.col("_all_p") - F.col("tp")).alias("fn"),
+        (F.col("_all_n") - F.col("_all_p") - (F.col("_sel") - F.col("tp"))).alias("tn"),
     )
     return with_rates(counted)
 

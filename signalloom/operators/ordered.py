@@ -72,18 +72,34 @@ def numbered(
 def previous_value(
     df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], chunk: Column, out: str
 ) -> DataFrame:
-    """``lag(value)`` inside a key, for a value that does not decrease along ``order``."""
+    """``lag(value)`` inside a key: the last row of the chunk before is carried over."""
     rows = df.withColumn(CHUNK, chunk)
-    carried = prefix_totals(rows, keys, CHUNK, {"_carried": F.max(value)}, how=F.max)
-    local = F.lag(value).over(_over([*keys, CHUNK], *order))
+    newest = F.max_by(F.struct(value), F.struct(*order))
+    carried = prefix_totals(rows, keys, CHUNK, {"_carried": newest}, how=lambda c: F.last(c, True))
+    local = F.lag(F.struct(value)).over(_over([*keys, CHUNK], *order))
     return (
         rows.withColumn("_local", local)
         .join(carried, [*keys, CHUNK])
-        .withColumn(out, F.coalesce("_local", "_carried"))
+        .withColumn(out, F.coalesce("_local", "_carried")[value])
         .drop(CHUNK, "_local", "_carried")
     )
 
 
+def first_per_group(
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], k: int, spread: Sequence[str], slices: int = 64
+) -> DataFrame:
+    """The first ``k`` rows of each group in ``order``.
+
+    Each group is cut into slices by a hash of ``spread`` (the row key); only
+    the winners of a slice meet the winners of the other slices.
+    """
+    slot = F.pmod(F.xxhash64(*spread), F.lit(slices))
+    in_slice = F.row_number().over(_over([*groups, "_slot"], *order))
+    in_group = F.row_number().over(_over(groups, *order))
+    kept = df.withColumn("_slot", slot).withColumn("_rank", in_slice).where(F.col("_rank") <= k)
+    return kept.drop("_slot").withColumn("_rank", in_group).where(F.col("_rank") <= k).drop("_rank")
+
+
 def global_index(
     df: DataFrame, levels: Sequence[str], order: Sequence[str], chunk: Column, out: str
 ) -> DataFrame:
