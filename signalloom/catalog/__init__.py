@@ -1,6 +1,6 @@
 """Queries on the given tables, one or more per operator."""
 
-from signalloom.catalog import event_queries, metric_queries  # noqa: F401
+from signalloom.catalog import event_queries, metric_queries, quality_queries, signal_queries, summary_queries  # noqa: F401
 from signalloom.catalog.core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

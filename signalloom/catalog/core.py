@@ -41,12 +41,12 @@ def _present_sql(spec: str, sql: str) -> str:
     out = []
     for name, kind in _columns(spec):
         if kind == "s":
-            expr = f"CAST({name} AS VARCHAR)"
+            expr = f'CAST("{name}" AS VARCHAR)'
         elif kind == "l":
-            expr = f"CAST({name} AS BIGINT)"
+            expr = f'CAST("{name}" AS BIGINT)'
         else:
-            expr = f"round(CAST({name} AS DOUBLE), {kind}) + 0.0"
-        out.append(f"{expr} AS {name}")
+            expr = f'round(CAST("{name}" AS DOUBLE), {kind}) + 0.0'
+        out.append(f'{expr} AS "{name}"')
     return f"SELECT {', '.join(out)} FROM ({sql}) AS answer"
 
 

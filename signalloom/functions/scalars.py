@@ -16,6 +16,28 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    An expression captured by a lambda would be evaluated for every element;
+    bound as the element of a one-element array it is evaluated once.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def array_mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
+
+
+def array_var(values: Column) -> Column:
+    """Population variance of an array, centred on its mean."""
+
+    def around(mean: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(values)
+
+    return bind(array_mean(values), around)
+
+
 def sigmoid(logit: Column | str) -> Column:
     return 1.0 / (1.0 + F.exp(-_col(logit)))
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from signalloom.functions.scalars import array_mean, array_var
 from signalloom.operators.ordered import numbered, previous_value
 
 # Limits of the channel and scale rules.
@@ -208,16 +209,8 @@ def scale_class(stats: DataFrame) -> DataFrame:
     )
 
 
-def _mean(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return total / F.size(values)
-
-
 def _std(values: Column) -> Column:
-    mean = _mean(values)
-    # With one value in hand per lambda, centring needs the mean as data.
-    centred = F.transform(values, lambda x: (x - mean) * (x - mean))
-    return F.sqrt(F.aggregate(centred, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+    return F.sqrt(array_var(values))
 
 
 def longest_plateau(values: Column) -> Column:
@@ -240,7 +233,7 @@ def window_quality(windows: DataFrame, keys: Sequence[str], signal: str = "signa
         *keys,
         F.exists("_all", lambda v: F.isnan(v)).cast("int").alias("has_nan"),
         F.exists("_all", lambda v: F.abs(v) == float("inf")).cast("int").alias("has_inf"),
-        _mean(F.col("_all")).alias("mean"),
+        array_mean(F.col("_all")).alias("mean"),
         _std(F.col("_all")).alias("std"),
         F.array_min("_all").alias("min"),
         F.array_max("_all").alias("max"),
