@@ -55,6 +55,11 @@ MATCH = (
 )
 
 
+def report(spark, d):
+    pred = v.stored_predictions(spark, d)
+    return event_report(pred, v.marks_of(pred))
+
+
 @query(
     "w1_sessionize_positives",
     "subject_id edf_id window_index:l session_start:6",
@@ -79,7 +84,7 @@ def w3(spark, d):
 
 @query("w4_first_hit_classification", MATCH, "SELECT * FROM v_match")
 def w4(spark, d):
-    return ev.match_events(ev.predicted_events(v.predictions(spark, d)), v.truth(spark, d))
+    return report(spark, d).matches
 
 
 @query(
@@ -88,7 +93,8 @@ def w4(spark, d):
     "SELECT * FROM v_best",
 )
 def j4(spark, d):
-    return ev.best_overlaps(ev.predicted_events(v.predictions(spark, d)), v.truth(spark, d))
+    pred = v.stored_predictions(spark, d)
+    return ev.best_overlaps(ev.predicted_events(pred), ev.true_events(v.marks_of(pred)))
 
 
 @query(
@@ -102,12 +108,14 @@ def w5(spark, d):
 
 @query("j11_clip_join", "subject_id edf_id start_sec:6 end_sec:6", "SELECT * FROM v_clip")
 def j11(spark, d):
-    return ev.clip_to_span(v.truth(spark, d), ev.evaluated_spans(v.predictions(spark, d)))
+    pred = v.stored_predictions(spark, d)
+    return ev.clip_to_span(ev.true_events(v.marks_of(pred)), ev.evaluated_spans(pred))
 
 
 @query("r14_negative_hours", "subject_id edf_id negative_hours:6", "SELECT * FROM v_hours")
 def r14(spark, d):
-    return ev.negative_hours(v.predictions(spark, d), v.truth(spark, d))
+    pred = v.stored_predictions(spark, d)
+    return ev.negative_hours(pred, ev.true_events(v.marks_of(pred)))
 
 
 @query(
@@ -116,8 +124,7 @@ def r14(spark, d):
     "SELECT * FROM v_match WHERE classification = 'detected'",
 )
 def r15(spark, d):
-    matches = ev.match_events(ev.predicted_events(v.predictions(spark, d)), v.truth(spark, d))
-    return matches.where("classification = 'detected'")
+    return report(spark, d).matches.where("classification = 'detected'")
 
 
 @query(
@@ -135,7 +142,7 @@ def r15(spark, d):
       (SELECT sum(negative_hours) AS evaluated_negative_hours FROM v_hours)""",
 )
 def r13(spark, d):
-    return event_report(v.predictions(spark, d), v.marks(spark, d)).metrics
+    return report(spark, d).metrics
 
 
 @query(
@@ -147,7 +154,7 @@ def r13(spark, d):
     FROM v_match GROUP BY subject_id""",
 )
 def subject_alarms(spark, d):
-    return event_report(v.predictions(spark, d), v.marks(spark, d)).by_subject
+    return report(spark, d).by_subject
 
 
 LABEL_SQL = """SELECT w.subject_id, w.edf_id, w.window_index, CAST(EXISTS (SELECT 1 FROM v_true t

@@ -256,7 +256,7 @@ DESCRIBE_SQL = """SELECT {g}, count({x}) AS n, min({x}) AS min, max({x}) AS max,
   quantile_cont({x}, 0.05) AS p5, quantile_cont({x}, 0.25) AS p25, quantile_cont({x}, 0.5) AS median,
   quantile_cont({x}, 0.75) AS p75, quantile_cont({x}, 0.95) AS p95, quantile_cont({x}, 0.99) AS p99
 FROM {src} GROUP BY {g}"""
-DESCRIBE = "n:l min:6 max:6 mean:6 std:6 p5:6 p25:6 median:6 p75:6 p95:6 p99:6"
+DESCRIBE = "n:l min:6 max:6 mean:6 std:6 p5:9 p25:9 median:9 p75:9 p95:9 p99:9"
 
 
 @query(

@@ -236,7 +236,7 @@ def pred_metadata(pred):
 
 @query("s7_s9_window_predictions", PRED, "SELECT * FROM v_pred")
 def s7(spark, d):
-    pred = v.predictions(spark, d)
+    pred = v.stored_predictions(spark, d)
     path = scratch_dir(spark, "predictions")
     tables.write_window_predictions(pred_metadata(pred), pred.select(*KEY, "y_true", "y_pred", "y_prob"), path)
     return tables.load_predictions(spark, path)
@@ -244,7 +244,7 @@ def s7(spark, d):
 
 @query("s8_sequence_predictions", PRED, "SELECT * FROM v_pred WHERE window_index >= 4")
 def s8(spark, d):
-    pred = v.predictions(spark, d)
+    pred = v.stored_predictions(spark, d)
     seqs = sequences(pred, 5, ["y_pred", "y_prob"], label="y_true")
     newest = F.element_at("steps", -1)
     scores = seqs.select(
@@ -300,7 +300,8 @@ def s11(spark, d):
 )
 def s13(spark, d):
     path = scratch_dir(spark, "report")
-    tables.write_event_report(event_report(v.predictions(spark, d), v.marks(spark, d)), path)
+    pred = v.stored_predictions(spark, d)
+    tables.write_event_report(event_report(pred, v.marks_of(pred)), path)
     return spark.read.option("header", True).csv(f"{path}/matches").groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
 
 

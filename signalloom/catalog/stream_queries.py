@@ -22,7 +22,7 @@ def as_stream(spark, rows):
     """Write the rows as files, a closing row last, and read them as a stream."""
     path = scratch_dir(spark, "stream")
     rows.repartition("event_id").write.parquet(path)
-    run.write_flush(rows, path)
+    run.write_flush(rows, path, y_pred=1)
     return run.files_as_stream(spark, path, rows, maxFilesPerTrigger=1000)
 
 

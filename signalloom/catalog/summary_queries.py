@@ -38,11 +38,10 @@ def a2(spark, d):
 
 @query(
     "a2_recordings_with_positives",
-    "subject_id recordings:l names",
-    """SELECT subject_id, count(*) AS recordings, string_agg(edf_id, ',' ORDER BY edf_id) AS names
-    FROM (SELECT subject_id, edf_id FROM v_win GROUP BY 1, 2 HAVING sum(label) > 0) GROUP BY 1""",
+    "subject_id edf_id windows:l positives:l",
+    "SELECT subject_id, edf_id, count(*) AS windows, sum(label) AS positives FROM v_win GROUP BY 1, 2 HAVING sum(label) > 0",
 )
-def a2_names(spark, d):
+def a2_positive(spark, d):
     return s.recordings_with_positives(v.windows(spark, d))
 
 

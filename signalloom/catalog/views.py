@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from signalloom.catalog.core import VIEWS
 from signalloom.operators.events import true_events
 from signalloom.operators.ordered import numbered
+from signalloom.session import settle
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01, the start of every recording
 SUBJECTS = 15
@@ -95,10 +96,20 @@ VIEWS["v_marks"] = """
 SELECT subject_id, edf_id, start_sec, start_sec + 6.0 AS end_sec FROM v_pred WHERE y_true = 1"""
 
 
-def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def marks_of(pred: DataFrame) -> DataFrame:
     """Raw annotations: six seconds from each window that is truly positive."""
-    pred = predictions(spark, sf_dir).where("y_true = 1")
-    return pred.select("subject_id", "edf_id", "start_sec", (F.col("start_sec") + 6.0).alias("end_sec"))
+    return pred.where("y_true = 1").select(
+        "subject_id", "edf_id", "start_sec", (F.col("start_sec") + 6.0).alias("end_sec")
+    )
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marks_of(predictions(spark, sf_dir))
+
+
+def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions as a written table, for queries that read them several times."""
+    return settle(predictions(spark, sf_dir), "predictions")
 
 
 VIEWS["v_true"] = """

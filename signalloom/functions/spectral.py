@@ -70,13 +70,26 @@ def rows_by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]
 
 def arrow_rows(column: pa.Array, kernel: Callable[[np.ndarray], np.ndarray], kind=pa.float64()) -> pa.Array:
     """Apply a matrix kernel to all lists of a length at once; NULL lists stay NULL."""
+    groups = rows_by_length(column)
+    if len(groups) == 1 and column.null_count == 0:
+        ((_, matrix),) = groups.values()
+        return nested_lists(kernel(matrix))
     results: list = [None] * len(column)
-    for rows, matrix in rows_by_length(column).values():
+    for rows, matrix in groups.values():
         for row, values in zip(rows, kernel(matrix)):
-            results[row] = values
+            results[row] = values.tolist()
     return pa.array(results, type=pa.list_(kind))
 
 
+def nested_lists(values: np.ndarray) -> pa.Array:
+    """A matrix (or a stack of matrices) as Arrow lists, one per row."""
+    out = pa.array(np.ascontiguousarray(values).reshape(-1))
+    for axis in range(values.ndim - 1, 0, -1):
+        size, count = values.shape[axis], int(np.prod(values.shape[:axis]))
+        out = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * size), out)
+    return out
+
+
 @F.arrow_udf(DOUBLES)
 def rfft_power(values: pa.Array) -> pa.Array:
     """One-sided squared magnitude of the real Fourier transform."""
@@ -119,7 +132,6 @@ def band_features(samples: int = SAMPLES, rate: float = RATE, channels: int | No
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
     def features(signal: pa.Array) -> pa.Array:
-        out = []
         counts = signal.value_lengths().to_numpy(zero_copy_only=False)
         if channels is not None and (counts != channels).any():
             raise ValueError(f"expected {channels} channels")
@@ -135,8 +147,7 @@ def band_features(samples: int = SAMPLES, rate: float = RATE, channels: int | No
         sums = np.stack([power[:, a : a + n].sum(axis=1) for a, n in spans], axis=1)
         logs = np.log(sums + EPSILON).astype(np.float32).reshape(-1)
         offsets = np.concatenate(([0], np.cumsum(counts * len(spans)))).astype(np.int32)
-        out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(logs))
-        return out
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(logs))
 
     return features
 
@@ -151,12 +162,12 @@ def stft_db(segment: int = STFT_SEGMENT, hop: int = STFT_HOP, rate: float = RATE
     taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(segment) / segment)
     taper = taper / taper.sum()
 
-    def kernel(x: np.ndarray) -> list:
+    def kernel(x: np.ndarray) -> np.ndarray:
         if x.shape[1] < segment:
-            return [[] for _ in range(len(x))]
+            return np.empty((len(x), 0, len(bins)))
         frames = np.lib.stride_tricks.sliding_window_view(x.astype(np.float64), segment, axis=1)[:, ::hop]
         power = np.abs(np.fft.rfft(frames * taper, axis=2)[:, :, bins]) ** 2
-        return list(map(list, 10.0 * np.log10(power + STFT_EPSILON)))
+        return 10.0 * np.log10(power + STFT_EPSILON)
 
     @F.arrow_udf(T.ArrayType(DOUBLES))
     def spectrogram(values: pa.Array) -> pa.Array:

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Perturbations per window, time segments, kernel width, ridge penalty.
@@ -79,11 +79,12 @@ def apply_mask(signal: Column, mask: Column, channels: int, samples: int, segmen
 def digest_masks(key, features: int, perturbations: int, seed: int) -> np.ndarray:
     """The masks of :func:`perturbation_masks` for one window, inside a task."""
     blocks = -(-features // BITS)
-    masks = np.ones((perturbations, features), dtype=np.float64)
-    for p in range(1, perturbations):
-        raw = b"".join(hashlib.md5(f"{seed}|{key}|{p}|{b}".encode()).digest() for b in range(blocks))
-        bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8)).reshape(-1, 4)[:, ::-1].reshape(-1)
-        masks[p] = bits[:features]
+    raw = b"".join(
+        hashlib.md5(f"{seed}|{key}|{p}|{b}".encode()).digest() for p in range(perturbations) for b in range(blocks)
+    )
+    bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8)).reshape(-1, 4)[:, ::-1]
+    masks = bits.reshape(perturbations, blocks * BITS)[:, :features].astype(np.float64)
+    masks[0] = 1.0
     return masks
 
 
@@ -104,42 +105,55 @@ def ridge_explanations(
     segments: int = SEGMENTS,
     seed: int = 42,
     batch: int = 64,
+    tasks: int | None = None,
 ) -> DataFrame:
     """``(key, logit, coefficients)``: a local linear model per window.
 
     ``logits`` maps ``(n, channels, samples)`` to ``n`` logits. A window is
-    perturbed, scored and fitted where it lies: nothing is shuffled, and only
-    ``batch`` perturbed copies exist at a time.
+    perturbed, scored and fitted inside one task, and only ``batch`` perturbed
+    copies exist at a time. A window costs hundreds of model calls, so the rows
+    are first spread over ``tasks`` (all cores by default).
     """
-    field = windows.schema[key]
     schema = T.StructType(
         [
-            field,
+            windows.schema[key],
             T.StructField("logit", T.DoubleType()),
             T.StructField("coefficients", T.ArrayType(T.ArrayType(T.DoubleType()))),
         ]
     )
 
-    def explain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, traces in zip(frame[key], frame[signal]):
-                x = np.stack([np.asarray(t, dtype=np.float64) for t in traces])
-                channels, samples = x.shape
-                masks = digest_masks(k, channels * segments, perturbations, seed)
-                segment = np.minimum(np.arange(samples) // (samples // segments), segments - 1)
-                scores = np.concatenate(
-                    [
-                        logits(x * masks[i : i + batch].reshape(-1, channels, segments)[:, :, segment])
-                        for i in range(0, perturbations, batch)
-                    ]
-                )
-                far = 1.0 - masks.mean(axis=1)
-                fit = weighted_ridge(masks, scores, np.exp(-(far**2) / KERNEL_WIDTH**2))
-                out.append((k, float(scores[0]), fit.reshape(channels, segments).tolist()))
-            yield pd.DataFrame(out, columns=schema.names)
-
-    return windows.select(key, signal).mapInPandas(explain, schema)
+    def explained(k, x: np.ndarray) -> tuple:
+        channels, samples = x.shape
+        masks = digest_masks(k, channels * segments, perturbations, seed)
+        segment = np.minimum(np.arange(samples) // (samples // segments), segments - 1)
+        scores = [
+            logits(x * masks[i : i + batch].reshape(-1, channels, segments)[:, :, segment])
+            for i in range(0, perturbations, batch)
+        ]
+        y = np.concatenate(scores)
+        far = 1.0 - masks.mean(axis=1)
+        fit = weighted_ridge(masks, y, np.exp(-(far**2) / KERNEL_WIDTH**2))
+        return float(y[0]), fit.reshape(channels, segments).tolist()
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            keys = rows.column(0).to_pylist()
+            traces = rows.column(1)
+            fits = [
+                explained(k, np.stack([c.values.to_numpy(zero_copy_only=False) for c in t]).astype(np.float64))
+                for k, t in zip(keys, traces)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0),
+                    pa.array([f[0] for f in fits], type=pa.float64()),
+                    pa.array([f[1] for f in fits], type=pa.list_(pa.list_(pa.float64()))),
+                ],
+                names=schema.names,
+            )
+
+    tasks = tasks or windows.sparkSession.sparkContext.defaultParallelism
+    return windows.select(key, signal).repartition(tasks, key).mapInArrow(explain, schema)
 
 
 def channel_importance(values: Column) -> Column:

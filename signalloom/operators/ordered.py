@@ -34,17 +34,25 @@ def prefix_totals(
     *,
     how=F.sum,
     descending: bool = False,
+    whole: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row per ``(keys, chunk)``: each total taken over all *earlier* chunks.
 
     ``totals`` maps an output name to an aggregate over the rows of one chunk;
-    ``how`` folds those over the earlier chunks. The window here runs over one
-    row per chunk, not over the data.
+    ``how`` folds those over the earlier chunks. ``whole`` maps further output
+    names to totals that are wanted over all chunks of the key. The windows here
+    run over one row per chunk, not over the data.
     """
     summary = df.groupBy(*keys, chunk).agg(*[c.alias(n) for n, c in totals.items()])
     order = F.col(chunk).desc() if descending else F.col(chunk).asc()
-    w = _over(keys, order).rowsBetween(*BEFORE)
-    return summary.select(*keys, chunk, *[how(n).over(w).alias(n) for n in totals])
+    earlier = _over(keys, order).rowsBetween(*BEFORE)
+    every = _over(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return summary.select(
+        *keys,
+        chunk,
+        *[how(n).over(earlier).alias(n) for n in totals],
+        *[how(n).over(every).alias(out) for out, n in (whole or {}).items()],
+    )
 
 
 def numbered(
@@ -216,8 +224,18 @@ def with_halo(df: DataFrame, position: str, size: int, behind: int, ahead: int =
     )
 
 
+def _cell_of(cuts: str, score: str, cells: int) -> Column:
+    """How many of the ascending cuts are ``<= score``, by halving steps."""
+    steps = [1 << k for k in reversed(range(cells.bit_length() - 1))]
+
+    def step(low: Column, width: Column) -> Column:
+        return F.when(F.get(F.col(cuts), low + width - 1) <= F.col(score), low + width).otherwise(low)
+
+    return F.aggregate(F.array(*[F.lit(w) for w in steps]), F.lit(0), step)
+
+
 def score_ladder(
-    df: DataFrame, groups: Sequence[str], score: str, label: str | None = None, cells: int = 256
+    df: DataFrame, groups: Sequence[str], score: str, label: str | None = None, cells: int = 1024
 ) -> DataFrame:
     """One row per distinct ``(groups, score)`` with running counts.
 
@@ -227,32 +245,28 @@ def score_ladder(
     *distinct* scores, so that neither ties nor crowded score ranges end up in
     one task. The cut points move work between tasks, never the result.
     """
+    if cells & (cells - 1):
+        raise ValueError("cells must be a power of two")
     positive = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
     counts = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"), positive.alias("positives"))
     counts = settle(counts, "scores")
     cuts = counts.agg(
-        F.percentile_approx(score, [i / cells for i in range(1, cells)], 10_000).alias("_cuts")
+        F.percentile_approx(score, [i / cells for i in range(1, cells)], 10 * cells).alias("_cuts")
     )
     celled = (
-        counts.withColumn("_cuts", cuts.scalar())
-        .withColumn("_cell", F.size(F.filter("_cuts", lambda cut: cut <= F.col(score))))
-        .drop("_cuts")
+        counts.withColumn("_cuts", cuts.scalar()).withColumn("_cell", _cell_of("_cuts", score, cells)).drop("_cuts")
     )
-    sums = {"_n": F.sum("n"), "_p": F.sum("positives")}
-    above = prefix_totals(celled, groups, "_cell", sums, descending=True)
-    whole = counts.groupBy(*groups).agg(
-        F.sum("n").alias("n_all"), F.sum("positives").alias("positives_all")
+    above = prefix_totals(
+        celled,
+        groups,
+        "_cell",
+        {"_n": F.sum("n"), "_p": F.sum("positives")},
+        descending=True,
+        whole={"n_all": "_n", "positives_all": "_p"},
     )
     w = _over([*groups, "_cell"], F.col(score).desc()).rowsBetween(*UP_TO)
     rows = celled.withColumn("_ln", F.sum("n").over(w)).withColumn("_lp", F.sum("positives").over(w))
-    rows = rows.join(above, [*groups, "_cell"])
-    if groups:
-        rows = rows.join(whole, list(groups))
-    else:
-        rows = rows.withColumn("_whole", whole.select(F.struct("n_all", "positives_all")).scalar()).select(
-            "*", "_whole.n_all", "_whole.positives_all"
-        )
-    return rows.select(
+    return rows.join(above, [*groups, "_cell"]).select(
         *groups,
         score,
         "n",

@@ -86,7 +86,7 @@ def _centred_filter(taps: Sequence[float]):
             if len(mid) == 0:
                 out.append(np.empty(0))
                 continue
-            size = len(x) + len(kernel) - 1
+            size = 1 << (len(x) + len(kernel) - 2).bit_length()
             full = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(kernel, size), size)
             out.append(full[2 * half : 2 * half + len(mid)])
         return pa.array(out, type=pa.list_(pa.float64()))

@@ -104,14 +104,21 @@ def fixed_sample(df: DataFrame, strata: Sequence[str], key: Sequence[str], n: in
     return first_per_group(ranked, strata, ["_h", *key], n, key).drop("_h")
 
 
+def _class_counts(df: DataFrame, label: str) -> Column:
+    """``{class: rows}`` as a scalar: classes are few, so rows need no join."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.agg(F.map_from_entries(F.collect_list(F.struct(label, "_n")))).scalar()
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Each row with ``1 / count(its class)``. Both classes must occur."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    classes = counts.agg(F.count(F.lit(1))).scalar()
-    checked = counts.withColumn("_classes", classes).withColumn(
-        "_n", F.when(F.col("_classes") > 1, F.col("_n")).otherwise(F.raise_error(F.lit("only one class present")))
+    own = F.element_at("_counts", F.col(label))
+    several = F.size("_counts") > 1
+    return (
+        df.withColumn("_counts", _class_counts(df, label))
+        .withColumn("weight", F.when(several, 1.0 / own).otherwise(F.raise_error(F.lit("only one class present"))))
+        .drop("_counts")
     )
-    return df.join(checked.drop("_classes"), label).withColumn("weight", 1.0 / F.col("_n")).drop("_n")
 
 
 def balanced_resample(df: DataFrame, key: Sequence[str], label: str = "label", seed: int = 42) -> DataFrame:
@@ -125,11 +132,9 @@ def balanced_resample(df: DataFrame, key: Sequence[str], label: str = "label", s
     placed = numbered(
         df.withColumn("_h", digest), [label], ["_h", *key], _hash_slice(F.col("_h")), "_place"
     ).drop("_h")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    tables = counts.agg(F.map_from_entries(F.collect_list(F.struct(label, "_n")))).scalar()
     draws = (
         df.select(*[F.col(k).alias(f"draw_{k}") for k in key], digest.alias("_h"))
-        .withColumn("_counts", tables)
+        .withColumn("_counts", _class_counts(df, label))
         .withColumn(label, (F.conv(F.substring("_h", 1, 1), 16, 10).cast("int") >= 8).cast("int"))
         .withColumn("_pick", F.conv(F.substring("_h", 2, 12), 16, 10).cast("long"))
         .withColumn("_place", F.pmod(F.col("_pick"), F.element_at("_counts", F.col(label))))

@@ -37,11 +37,8 @@ def window_summary(windows: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def recordings_with_positives(windows: DataFrame) -> DataFrame:
-    """Per subject: how many recordings hold a positive window, and which (sorted)."""
-    holders = by_recording(windows).where("positives > 0")
-    return holders.groupBy("subject_id").agg(
-        F.count(F.lit(1)).alias("recordings"), F.array_join(F.array_sort(F.collect_list("edf_id")), ",").alias("names")
-    )
+    """The recordings that hold a positive window, one row each."""
+    return by_recording(windows).where("positives > 0")
 
 
 def recording_kind(windows: DataFrame) -> DataFrame:

@@ -12,10 +12,15 @@ from signalloom.session import settle
 
 @dataclass(frozen=True)
 class EventReport:
+    predictions: DataFrame
     events: DataFrame
     truth: DataFrame
     matches: DataFrame
-    metrics: DataFrame
+
+    @property
+    def metrics(self) -> DataFrame:
+        """One row of event-level figures."""
+        return event_metrics(self.predictions, self.events, self.truth, self.matches)
 
     @property
     def by_subject(self) -> DataFrame:
@@ -32,8 +37,12 @@ class EventReport:
 
 
 def event_report(predictions: DataFrame, annotations: DataFrame, max_gap_sec: float = 4.0) -> EventReport:
-    """Events, merged truth, matches and metrics of one set of predictions."""
+    """Events, merged truth and matches of one prediction table.
+
+    The three are written once, as the metrics read each of them several times;
+    all are far smaller than the predictions.
+    """
     events = settle(predicted_events(predictions, max_gap_sec), "events")
     truth = settle(true_events(annotations, predictions), "truth")
     matches = settle(match_events(events, truth), "matches")
-    return EventReport(events, truth, matches, event_metrics(predictions, events, truth, matches))
+    return EventReport(predictions, events, truth, matches)

@@ -69,19 +69,29 @@ def read_annotations(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
 def annotations_of(sections: DataFrame, recordings: DataFrame, suffix: str = ".edf") -> DataFrame:
     """Intervals of each recording: its file name must occur in the heading.
 
-    Containment becomes an equi-join: a heading is a short line, so every piece
-    of it that ends in the suffix is listed and looked up.
+    Containment becomes an equi-join: the pieces of a heading that end in the
+    suffix are looked up. No piece is longer than the longest file name.
     """
+    wanted = recordings.select("subject_id", "edf_id", F.concat("edf_id", F.lit(suffix)).alias("_file")).distinct()
+    longest = wanted.agg(F.coalesce(F.max(F.length("_file")), F.lit(0))).scalar()
     heading, n = F.col("heading"), len(suffix)
     spots = F.sequence(F.lit(1), F.greatest(F.length(heading), F.lit(1)))
     ends = F.filter(spots, lambda i: F.substring(heading, i, F.lit(n)) == suffix)
-    pieces = F.flatten(
-        F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), e), lambda s: F.substring(heading, s, e - s + n)))
-    )
-    listed = sections.where(heading.contains(suffix)).select(
-        "subject_id", F.explode(F.array_distinct(pieces)).alias("_file"), "start_sec", "end_sec"
+
+    def pieces_until(e: Column) -> Column:
+        first = F.least(e, F.greatest(F.lit(1), e + n - F.col("_longest")))
+        return F.transform(F.sequence(first, e), lambda s: F.substring(heading, s, e - s + n))
+
+    listed = (
+        sections.where(heading.contains(suffix))
+        .withColumn("_longest", longest)
+        .select(
+            "subject_id",
+            F.explode(F.array_distinct(F.flatten(F.transform(ends, pieces_until)))).alias("_file"),
+            "start_sec",
+            "end_sec",
+        )
     )
-    wanted = recordings.select("subject_id", "edf_id", F.concat("edf_id", F.lit(suffix)).alias("_file")).distinct()
     return listed.join(wanted, ["subject_id", "_file"]).select("subject_id", "edf_id", "start_sec", "end_sec")
 
 

@@ -13,13 +13,18 @@ def files_as_stream(spark: SparkSession, path: str, like: DataFrame, **options)
     return spark.readStream.schema(like.schema).options(**options).parquet(path)
 
 
-def write_flush(rows: DataFrame, path: str, ts: str = "ts", after: str = "INTERVAL 400 DAYS") -> None:
-    """Append one late row of no real subject, which moves the watermark past all others."""
+def write_flush(rows: DataFrame, path: str, ts: str = "ts", after: str = "INTERVAL 400 DAYS", **values) -> None:
+    """Append one late row of no real subject, which moves the watermark past all others.
+
+    ``values`` fills columns that a filter of the stream tests: a row that is
+    filtered out does not move the watermark.
+    """
+    known = {"subject_id": FLUSH, **values}
     last = rows.agg(F.max(ts).alias(ts)).select(
         *[
             (F.col(ts) + F.expr(after)).alias(c.name)
             if c.name == ts
-            else F.lit(FLUSH if c.name == "subject_id" else None).cast(c.dataType).alias(c.name)
+            else F.lit(known.get(c.name)).cast(c.dataType).alias(c.name)
             for c in rows.schema
         ]
     )
