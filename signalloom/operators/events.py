@@ -150,14 +150,18 @@ def clip_to_span(truth: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def negative_hours(predictions: DataFrame, truth: DataFrame, chunk_sec: float = BIN_SEC) -> DataFrame:
+def negative_hours(
+    predictions: DataFrame, truth: DataFrame, chunk_sec: float = BIN_SEC, merged: bool = False
+) -> DataFrame:
     """Evaluated hours outside true intervals, per recording.
 
-    A recording without any true interval counts in full.
+    A recording without any true interval counts in full. ``merged`` says that
+    the intervals of a recording do not overlap, as those of :func:`true_events`.
     """
     spans = evaluated_spans(predictions)
+    clipped = clip_to_span(truth, spans)
     positive = (
-        merge_intervals(clip_to_span(truth, spans), KEYS, bin_sec=chunk_sec)
+        (clipped if merged else merge_intervals(clipped, KEYS, bin_sec=chunk_sec))
         .groupBy(*KEYS)
         .agg(F.sum(F.col("end_sec") - F.col("start_sec")).alias("_positive"))
     )
@@ -166,14 +170,16 @@ def negative_hours(predictions: DataFrame, truth: DataFrame, chunk_sec: float =
     return spans.join(positive, KEYS, "left").select(*KEYS, outside.alias("negative_hours"))
 
 
-def event_metrics(predictions: DataFrame, events: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
+def event_metrics(
+    predictions: DataFrame, truth: DataFrame, matches: DataFrame, merged: bool = False
+) -> DataFrame:
     """One row of event-level figures; NULL where a figure is undefined."""
 
     def count_of(kind: str):
         return F.count_if(F.col("classification") == kind)
 
     latency = matches.where("classification = 'detected'").select("latency_sec")
-    hours = negative_hours(predictions, truth).agg(F.sum("negative_hours")).scalar()
+    hours = negative_hours(predictions, truth, merged=merged).agg(F.sum("negative_hours")).scalar()
     median = exact_percentiles(latency, [], "latency_sec", {"m": 0.5}).select("m").scalar()
     counted = matches.agg(
         F.count(F.lit(1)).alias("predicted_events"),

@@ -20,7 +20,7 @@ class EventReport:
     @property
     def metrics(self) -> DataFrame:
         """One row of event-level figures."""
-        return event_metrics(self.predictions, self.events, self.truth, self.matches)
+        return event_metrics(self.predictions, self.truth, self.matches, merged=True)
 
     @property
     def by_subject(self) -> DataFrame:
