@@ -97,7 +97,7 @@ def bijection_check(df: DataFrame, left: Sequence[str], right: Sequence[str]) ->
     pairs = df.select(*left, *right).distinct()
 
     def count_side(side):
-        return pairs.groupBy(*side).agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1)).scalar()
+        return pairs.groupBy(*side).agg(F.count(F.lit(1)).alias("_n")).agg(F.count_if(F.col("_n") > 1)).scalar()
 
     return pairs.agg(F.count(F.lit(1)).alias("pairs")).select(
         "pairs", count_side(left).alias("left_violations"), count_side(right).alias("right_violations")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from signalloom import schemas
 from signalloom.operators.quality import prediction_rules, require, require_columns, surplus, violations
 from signalloom.operators.splits import SPLITS
+from signalloom.session import settle
 
 KEY = ["subject_id", "edf_id", "window_index"]
 ORDER = ["subject_id", "edf_id", "start_sec", "window_index"]
@@ -34,17 +35,19 @@ def read_csv_or_reject(
 ) -> tuple[DataFrame, DataFrame]:
     """Good rows, and ``(file, line)`` of the rows that do not parse."""
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = (
+    parsed = (
         spark.read.schema(wide)
         .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .csv(paths)
     )
-    bad = rows.where(F.col("_corrupt_record").isNotNull())
+    # Written once: both results come from one parse.
+    rows = settle(parsed.select("*", F.col("_metadata.file_name").alias("_file")), "parsed")
+    bad = F.col("_corrupt_record").isNotNull()
     return (
-        rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record"),
-        bad.select(F.col("_metadata.file_name").alias("file"), F.col("_corrupt_record").alias("line")),
+        rows.where(~bad).drop("_corrupt_record", "_file"),
+        rows.where(bad).select(F.col("_file").alias("file"), F.col("_corrupt_record").alias("line")),
     )
 
 
