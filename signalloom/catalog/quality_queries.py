@@ -157,12 +157,16 @@ def j1_rows(spark, d):
 
 @query(
     "d15_sequences_in_one_recording",
-    CHECK,
-    """SELECT 'one_recording' AS "constraint", 0 AS violations UNION ALL SELECT 'length', 0
-    UNION ALL SELECT 'consecutive', 0""",
+    "constraint violations:l",
+    """WITH s AS (SELECT window_index - lag(window_index, 4) OVER (PARTITION BY edf_id ORDER BY window_index) AS wide FROM v_win)
+    SELECT 'sequences' AS "constraint", count(*) AS violations FROM s WHERE wide = 4
+    UNION ALL SELECT 'one_recording', 0 UNION ALL SELECT 'length', 0 UNION ALL SELECT 'consecutive', 0""",
 )
 def d15(spark, d):
-    return boundary_violations(sequences(v.windows(spark, d), 5, ["label"]), 5)
+    """Violations over all sequences of five, and how many sequences there are."""
+    made = sequences(v.windows(spark, d), 5, ["label"])
+    count = made.agg(F.count(F.lit(1)).alias("violations")).select(F.lit("sequences").alias("constraint"), "violations")
+    return boundary_violations(made, 5).unionByName(count)
 
 
 @query(

@@ -41,24 +41,18 @@ VIEWS["v_note_true"] = "SELECT subject_id, edf_id, start_sec, end_sec FROM v_tru
 
 
 def notes_text(spark, d):
-    """A summary section per recording: plain with one interval, else numbered."""
-    truth = v.truth(spark, d).groupBy(*REC).agg(
-        F.array_sort(F.collect_list(F.struct("true_event_id", "start_sec", "end_sec"))).alias("t")
-    )
-    several = F.size("t") > 1
-
-    def lines(e):
-        number = F.when(several, F.concat(F.lit(" "), (e["true_event_id"] + 1).cast("string"))).otherwise("")
-
-        def line(what, value):
-            return F.concat(
-                F.lit("Seizure"), number, F.lit(f" {what} Time: "), value.cast("long").cast("string"), F.lit(" seconds\n")
-            )
+    """A summary section per true event: the first plain, the later ones numbered."""
+    event = F.col("true_event_id")
+    number = F.when(event == 0, "").otherwise(F.concat(F.lit(" "), (event + 1).cast("string")))
 
-        return F.concat(line("Start", e["start_sec"]), line("End", e["end_sec"]))
+    def line(what, value):
+        seconds = F.col(value).cast("long").cast("string")
+        return F.concat(F.lit("Seizure"), number, F.lit(f" {what} Time: "), seconds, F.lit(" seconds\n"))
 
-    body = F.array_join(F.transform("t", lines), "")
-    return truth.select("subject_id", F.concat(F.lit("File Name: "), "edf_id", F.lit(".edf\n"), body).alias("value"))
+    section = F.concat(
+        F.lit("File Name: "), "edf_id", F.lit(".edf\n"), line("Start", "start_sec"), line("End", "end_sec")
+    )
+    return v.truth(spark, d).select("subject_id", section.alias("value"))
 
 
 def written_notes(spark, d):
@@ -105,24 +99,30 @@ def blocks(spark, d):
     )
 
 
+BLOCKS_PER_FILE = 10_000
+
+
 def written_lists(spark, d):
+    """Lists of at most 10,000 blocks, each headed by its patient."""
+    part = F.floor(F.col("event_id") / BLOCKS_PER_FILE).cast("string")
     rows = blocks(spark, d).select(
         "patient",
-        F.col("event_id"),
+        F.concat_ws("-", "patient", part).alias("folder"),
+        "event_id",
         F.concat(
             F.lit("Seizure n "), F.col("event_id").cast("string"),
             F.coalesce(F.concat(F.lit("\nFile name: "), F.col("filename")), F.lit("")),
             F.lit("\nStart time: "), "start_time", F.lit("\nSeizure end time: "), "end_time", F.lit("\n"),
         ).alias("value"),
     )
-    heads = rows.select("patient").distinct().select(
-        "patient", F.lit(-1).cast("long").alias("event_id"), F.concat(F.col("patient"), F.lit("\nseizure list\n")).alias("value")
+    heads = rows.select("patient", "folder").distinct().select(
+        "patient", "folder", F.lit(-1).cast("long").alias("event_id"),
+        F.concat(F.col("patient"), F.lit("\nseizure list\n")).alias("value"),
     )
     path = scratch_dir(spark, "lists")
-    # The list of a patient is one document, so its blocks go to one file.
     (
-        rows.unionByName(heads).repartition("patient").sortWithinPartitions("patient", "event_id")
-        .select(F.col("patient").alias("folder"), "value").write.partitionBy("folder").text(path)
+        rows.unionByName(heads).repartition("folder").sortWithinPartitions("folder", "event_id")
+        .select("folder", "value").write.partitionBy("folder").text(path)
     )
     return path
 

@@ -64,8 +64,10 @@ def k6(spark, d):
 @query(
     "k7_subject_split_checks",
     "constraint violations:l",
-    """SELECT 'overlap' AS "constraint", 0 AS violations UNION ALL SELECT 'missing', 0
-    UNION ALL SELECT 'unassigned', (SELECT count(DISTINCT user_id % 15) FROM events WHERE value > 1e9)
+    """SELECT 'overlap' AS "constraint", count(*) - count(DISTINCT subject_id) AS violations FROM v_split
+    UNION ALL SELECT 'missing', (SELECT count(*) FROM v_split WHERE subject_id NOT IN (SELECT subject_id FROM v_scored))
+    UNION ALL SELECT 'unassigned', (SELECT count(DISTINCT subject_id) FROM v_scored
+      WHERE subject_id NOT IN (SELECT subject_id FROM v_split))
     UNION ALL SELECT 'empty_split', 3 - count(DISTINCT split) FROM v_split""",
 )
 def k7(spark, d):

@@ -83,7 +83,11 @@ def t3_stream(spark, d):
 )
 def t5(spark, d):
     windows = v.signal(spark, d).select("subject_id", "edf_id", F.col("i").alias("window_index"), "v", "ts", "event_id")
+    before = {key: spark.conf.get(key) for key, _ in twins.STATE_STORE}
     for key, value in twins.STATE_STORE:
         spark.conf.set(key, value)
-    made = run.drained(twins.causal_sequences(as_stream(spark, windows).where("window_index IS NOT NULL"), 5, "v"), "t5")
+    stream = as_stream(spark, windows).where("window_index IS NOT NULL")
+    made = run.drained(twins.causal_sequences(stream, 5, "v"), "t5")
+    for key, value in before.items():
+        spark.conf.set(key, value)
     return made.withColumn("total", F.aggregate("values", F.lit(0.0), lambda a, x: a + x))

@@ -23,7 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+    """Microseconds since 1970 of a wall-clock time, whatever the session's time zone."""
+    start = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'").cast("timestamp")
+    return F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(start) + EPOCH_US
 
 
 def subject_of(user: str) -> Column:
@@ -45,7 +47,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("v"),
         "event_type",
         "event_id",
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.timestamp_micros(micros("ts")).alias("ts"),
     )
 
 

@@ -94,7 +94,7 @@ def previous_value(
 
 
 def first_per_group(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], k: int, spread: Sequence[str], slices: int = 64
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], k: int, spread: Sequence[str], slices: int = 1024
 ) -> DataFrame:
     """The first ``k`` rows of each group in ``order``.
 

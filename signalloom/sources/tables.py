@@ -152,16 +152,18 @@ def read_split_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_by_split(rows: DataFrame, path: str) -> None:
-    rows.write.partitionBy("split").mode("errorifexists").parquet(path)
+    """One folder per split; see :func:`write_subject_arrays` on file sizes."""
+    rows.hint("rebalance", "split").write.partitionBy("split").mode("errorifexists").parquet(path)
 
 
 def write_subject_arrays(windows: DataFrame, path: str) -> None:
     """Windows, labels and keys in one table, one folder per subject.
 
-    Rows stay where they are: a subject may be written by many tasks, so a
-    subject that holds a third of the rows does not end up in one file.
+    Rows are rebalanced by subject first: without it every task would write a
+    small file per subject. Rebalancing splits a subject that holds much of the
+    data over many tasks and files.
     """
-    windows.write.partitionBy("subject_id").mode("errorifexists").parquet(path)
+    windows.hint("rebalance", "subject_id").write.partitionBy("subject_id").mode("errorifexists").parquet(path)
 
 
 def append_features(features: DataFrame, path: str, force: bool = False) -> None:
