@@ -6,6 +6,7 @@ from signalloom.catalog import views as v
 from signalloom.catalog.core import VIEWS, query
 from signalloom.functions.scalars import sigmoid
 from signalloom.operators import distribution as dist, metrics as m
+from signalloom.operators.ordered import score_ladder
 
 RATES = "tp:l fp:l fn:l tn:l precision:6 recall:6 f1:6"
 RATE_SQL = """coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
@@ -194,7 +195,7 @@ def r8(spark, d):
     f"SELECT subject_id, y_prob, sel AS n_ge, tp AS positives_ge FROM ({ladder_sql('v_scored', 'subject_id')})",
 )
 def w9(spark, d):
-    return m.score_ladder(v.scored(spark, d), ["subject_id"], "y_prob", "y_true")
+    return score_ladder(v.scored(spark, d), ["subject_id"], "y_prob", "y_true")
 
 
 CALIBRATION_SQL = """SELECT CAST(greatest(0, ceil(y_prob * 10) - 1) AS BIGINT) AS bin, count(*) AS n, avg(y_prob) AS mean_score,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from signalloom.operators.ordered import score_ladder  # noqa: F401
+from signalloom.operators.ordered import score_ladder, with_steps_reached
 
 # Numerators over 10,000 of the threshold grids.
 HUNDREDTHS = range(100, 10_000, 100)
@@ -30,21 +30,6 @@ def linear_grid(low: float = 0.01, high: float = 0.5, points: int = 50) -> list[
     return [low + step * i for i in range(points - 1)] + [high]
 
 
-def steps_reached(value: Column, grid: Sequence[float]) -> Column:
-    """How many thresholds of an ascending grid are ``<= value``.
-
-    A balanced CASE tree: about log2(len(grid)) comparisons, all in codegen.
-    """
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(float(grid[mid])), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    return search(0, len(grid))
-
-
 def with_rates(df: DataFrame) -> DataFrame:
     """Add precision, recall and F1 to tp/fp/fn columns; 0 where undefined."""
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
@@ -83,7 +68,9 @@ def threshold_sweep(
     few counts are summed from the top. No score-threshold pair is ever formed.
     """
     top = len(grid)
-    at = df.groupBy(*groups, steps_reached(F.col(score).cast("double"), grid).alias("_step")).agg(
+    steps = F.array(*[F.lit(float(t)) for t in grid])
+    placed = with_steps_reached(df.select(*groups, truth, score), F.col(score).cast("double"), steps, top, "_step")
+    at = placed.groupBy(*groups, "_step").agg(
         F.sum(F.col(truth).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n")
     )
     # One row per group: a vector of counts per step, at most len(grid) + 1 long.
@@ -92,7 +79,7 @@ def threshold_sweep(
         F.sum("_p").alias("_all_p"),
         F.sum("_n").alias("_all_n"),
     )
-    rows = held.select(*groups, "_at", "_all_p", "_all_n", F.posexplode(F.array(*[F.lit(float(t)) for t in grid])))
+    rows = held.select(*groups, "_at", "_all_p", "_all_n", F.posexplode(steps))
     per_step = rows.select(
         *groups,
         F.col("col").alias("threshold"),

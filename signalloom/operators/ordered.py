@@ -224,14 +224,18 @@ def with_halo(df: DataFrame, position: str, size: int, behind: int, ahead: int =
     )
 
 
-def _cell_of(cuts: str, score: str, cells: int) -> Column:
-    """How many of the ascending cuts are ``<= score``, by halving steps."""
-    steps = [1 << k for k in reversed(range(cells.bit_length() - 1))]
+def with_steps_reached(df: DataFrame, value: Column, grid: Column, size: int, out: str) -> DataFrame:
+    """Add how many of the ``size`` ascending entries of ``grid`` are ``<= value``.
 
-    def step(low: Column, width: Column) -> Column:
-        return F.when(F.get(F.col(cuts), low + width - 1) <= F.col(score), low + width).otherwise(low)
-
-    return F.aggregate(F.array(*[F.lit(w) for w in steps]), F.lit(0), step)
+    Halving steps, one projection each: about log2(size) comparisons in small
+    generated code, where one nested expression would grow too large to compile.
+    """
+    rows = df.withColumn("_grid", grid).withColumn("_value", value).withColumn(out, F.lit(0))
+    for width in (1 << k for k in reversed(range(size.bit_length()))):
+        low = F.col(out)
+        passed = F.get(F.col("_grid"), low + F.lit(width - 1)) <= F.col("_value")
+        rows = rows.withColumn(out, F.when(passed, low + width).otherwise(low))
+    return rows.drop("_grid", "_value")
 
 
 def score_ladder(
@@ -245,17 +249,13 @@ def score_ladder(
     *distinct* scores, so that neither ties nor crowded score ranges end up in
     one task. The cut points move work between tasks, never the result.
     """
-    if cells & (cells - 1):
-        raise ValueError("cells must be a power of two")
     positive = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
     counts = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"), positive.alias("positives"))
     counts = settle(counts, "scores")
     cuts = counts.agg(
         F.percentile_approx(score, [i / cells for i in range(1, cells)], 10 * cells).alias("_cuts")
     )
-    celled = (
-        counts.withColumn("_cuts", cuts.scalar()).withColumn("_cell", _cell_of("_cuts", score, cells)).drop("_cuts")
-    )
+    celled = with_steps_reached(counts, F.col(score), cuts.scalar(), cells - 1, "_cell")
     above = prefix_totals(
         celled,
         groups,
