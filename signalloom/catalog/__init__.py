@@ -4,6 +4,7 @@ from signalloom.catalog import (  # noqa: F401
     event_queries,
     explain_queries,
     metric_queries,
+    plan_queries,
     quality_queries,
     signal_queries,
     source_queries,

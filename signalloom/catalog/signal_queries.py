@@ -16,11 +16,14 @@ def chunks(spark, d, size=CHUNK_SIZE):
     return sg.to_chunks(v.signal(spark, d), REC, "i", "v", size)
 
 
-def fir_sql(taps, keep: str = "TRUE", position: str = "a.i") -> str:
+def fir_sql(taps, keep: str = "TRUE", position: str = "a.i", source: str = "v_signal", extra: str = "") -> str:
+    """A centred filter by definition; ``extra`` names a further key column such as ``ch``."""
     half = (len(taps) - 1) // 2
-    return f"""SELECT a.subject_id, a.edf_id, {position} AS i, sum(b.v * t.taps[{half} + 1 + a.i - b.i]) AS v
-    FROM v_signal a JOIN v_signal b ON a.edf_id = b.edf_id AND abs(a.i - b.i) <= {half},
-      (SELECT {[float(t) for t in taps]!r} AS taps) t WHERE {keep} GROUP BY a.subject_id, a.edf_id, a.i"""
+    more = f"a.{extra}, " if extra else ""
+    same = f" AND a.{extra} = b.{extra}" if extra else ""
+    return f"""SELECT a.subject_id, a.edf_id, {more}{position} AS i, sum(b.v * t.taps[{half} + 1 + a.i - b.i]) AS v
+    FROM {source} a JOIN {source} b ON a.edf_id = b.edf_id{same} AND abs(a.i - b.i) <= {half},
+      (SELECT {[float(t) for t in taps]!r} AS taps) t WHERE {keep} GROUP BY a.subject_id, a.edf_id, {more}a.i"""
 
 
 SAMPLE = "subject_id edf_id i:l v:6"
@@ -178,6 +181,17 @@ def g13(spark, d):
     return frames.select("window_id", "frame", F.posexplode("s").alias("bin", "db"))
 
 
+@query(
+    "g13_sliding_frames",
+    "window_id:l frame:l k:l v:6",
+    """SELECT window_id, f AS frame, ch * 16 + k - 4 * f AS k, v FROM v_sample, range(13) r(f)
+    WHERE ch * 16 + k - 4 * f BETWEEN 0 AND 15""",
+)
+def g13_frames(spark, d):
+    frames = v.arrays(spark, d).select("window_id", F.posexplode(sp.sliding_frames(F.col("x"), 16, 4)).alias("frame", "s"))
+    return frames.select("window_id", "frame", F.posexplode("s").alias("k", "v"))
+
+
 @query(
     "g14_fuse_features",
     "window_id:l pos:l value:4",

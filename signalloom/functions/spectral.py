@@ -176,6 +176,13 @@ def stft_db(segment: int = STFT_SEGMENT, hop: int = STFT_HOP, rate: float = RATE
     return spectrogram
 
 
+def sliding_frames(values: Column, size: int, hop: int) -> Column:
+    """All full frames of ``size`` samples, ``hop`` apart, as an array of arrays."""
+    starts = F.sequence(F.lit(1), F.size(values) - size + 1, F.lit(hop))
+    frames = F.transform(starts, lambda i: F.slice(values, i, size))
+    return F.when(F.size(values) >= size, frames).otherwise(F.array().cast("array<array<double>>"))
+
+
 def layer_norm(values: Column, eps: float = 1e-5) -> Column:
     """Centre and scale a vector by its own mean and population variance."""
     moments = F.struct(array_mean(values).alias("m"), F.sqrt(array_var(values) + F.lit(eps)).alias("s"))

@@ -41,68 +41,105 @@ def to_samples(chunks: DataFrame, keys: Sequence[str], position: str = "i", valu
 def with_borders(chunks: DataFrame, keys: Sequence[str], behind: int, ahead: int) -> DataFrame:
     """Add ``before``/``after``: the neighbouring samples of each chunk.
 
-    Only the copied borders are shuffled besides the chunks themselves. Chunks
+    Each chunk sends its tail to the next and its head to the previous chunk;
+    one shuffle brings the pieces together, and the input is read once. Chunks
     may not be shorter than a border, the last one of a recording excepted.
     """
-    at = [*keys, "chunk_id"]
-    out = chunks
-    if behind:
-        tail = F.when(F.size("samples") > behind, F.slice("samples", F.size("samples") - behind + 1, behind))
-        tails = chunks.select(
-            *keys, (F.col("chunk_id") + 1).alias("chunk_id"), F.coalesce(tail, "samples").alias("before")
+    none = F.lit(None).cast("array<double>")
+    own = F.struct(
+        F.col("chunk_id").alias("to"),
+        "first_position",
+        F.col("samples").alias("mid"),
+        none.alias("left"),
+        none.alias("right"),
+    )
+
+    def border(to: Column, left: Column, right: Column) -> Column:
+        return F.struct(
+            to.alias("to"),
+            F.lit(None).cast("long").alias("first_position"),
+            none.alias("mid"),
+            left.alias("left"),
+            right.alias("right"),
         )
-        out = out.join(tails, at, "left")
-    else:
-        out = out.withColumn("before", F.lit(None).cast("array<double>"))
+
+    pieces = [own]
+    if behind:
+        size = F.size("samples")
+        tail = F.when(size > behind, F.slice("samples", size - behind + 1, behind)).otherwise(F.col("samples"))
+        pieces.append(border(F.col("chunk_id") + 1, tail, none))
     if ahead:
-        heads = chunks.select(
-            *keys, (F.col("chunk_id") - 1).alias("chunk_id"), F.slice("samples", 1, ahead).alias("after")
-        )
-        out = out.join(heads, at, "left")
-    else:
-        out = out.withColumn("after", F.lit(None).cast("array<double>"))
+        pieces.append(border(F.col("chunk_id") - 1, none, F.slice("samples", 1, ahead)))
     nothing = F.array().cast("array<double>")
-    return out.withColumn("before", F.coalesce("before", nothing)).withColumn("after", F.coalesce("after", nothing))
+    slim = chunks.select(*keys, "chunk_id", F.col("first_position").cast("long"), F.col("samples").cast("array<double>"))
+    return (
+        slim.select(*keys, F.inline(F.array(*pieces)))
+        .groupBy(*keys, F.col("to").alias("chunk_id"))
+        .agg(
+            F.max("first_position").alias("first_position"),
+            F.first("mid", ignorenulls=True).alias("samples"),
+            F.first("left", ignorenulls=True).alias("before"),
+            F.first("right", ignorenulls=True).alias("after"),
+        )
+        .where(F.col("samples").isNotNull())
+        .withColumn("before", F.coalesce("before", nothing))
+        .withColumn("after", F.coalesce("after", nothing))
+    )
+
 
+def _chain(stages: Sequence[tuple[Sequence[float], int]]):
+    kernels = [(np.asarray(taps, dtype=np.float64), factor) for taps, factor in stages]
 
-def _centred_filter(taps: Sequence[float]):
-    kernel = np.asarray(taps, dtype=np.float64)
-    half = (len(kernel) - 1) // 2
+    def centred(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+        half = (len(kernel) - 1) // 2
+        size = 1 << (len(x) + len(kernel) - 2).bit_length()
+        return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(kernel, size), size)[half : half + len(x)]
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def apply(before: pa.Array, samples: pa.Array, after: pa.Array) -> pa.Array:
         out = []
-        for left, mid, right in zip(before, samples, after):
-            if not mid.is_valid:
-                out.append(None)
-                continue
-            left, mid, right = (
-                a.values.to_numpy(zero_copy_only=False) if a.is_valid else np.empty(0) for a in (left, mid, right)
-            )
-            x = np.zeros(len(mid) + 2 * half)
-            x[half - len(left) : half] = left
-            x[half : half + len(mid)] = mid
-            x[half + len(mid) : half + len(mid) + len(right)] = right
-            if len(mid) == 0:
-                out.append(np.empty(0))
-                continue
-            size = 1 << (len(x) + len(kernel) - 2).bit_length()
-            full = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(kernel, size), size)
-            out.append(full[2 * half : 2 * half + len(mid)])
+        for parts in zip(before, samples, after):
+            left, mid, right = (p.values.to_numpy(zero_copy_only=False) for p in parts)
+            x, start, stop = np.concatenate((left, mid, right)), len(left), len(left) + len(mid)
+            for kernel, factor in kernels:
+                # Errors of a cut edge reach half a kernel inwards; the border holds them.
+                x = centred(x, kernel)[::factor]
+                start, stop = start // factor, -(-stop // factor)
+            out.append(x[start:stop])
         return pa.array(out, type=pa.list_(pa.float64()))
 
     return apply
 
 
+def filter_chain(
+    chunks: DataFrame, keys: Sequence[str], stages: Sequence[tuple[Sequence[float], int]], chunk_size: int
+) -> DataFrame:
+    """Apply centred odd-length filters one after the other, each keeping every
+    ``factor``-th sample: ``stages`` lists ``(taps, factor)``.
+
+    Zeros stand beyond the ends of a recording at every stage. The border of a
+    chunk covers all stages together, so the whole chain costs one shuffle.
+    """
+    border, step = 0, 1
+    for taps, factor in stages:
+        if len(taps) % 2 == 0:
+            raise ValueError("a centred filter needs an odd number of taps")
+        border += (len(taps) - 1) // 2 * step
+        step *= factor
+    border = -(-border // step) * step
+    if chunk_size % step:
+        raise ValueError("the chunk size must be a multiple of the factors")
+    if border > chunk_size:
+        raise ValueError(f"chunks must hold at least the border of {border} samples")
+    filtered = _chain(stages)("before", "samples", "after")
+    return with_borders(chunks, keys, border, border).select(
+        *keys, "chunk_id", (F.col("first_position") / step).cast("long").alias("first_position"), filtered.alias("samples")
+    )
+
+
 def filter_chunks(chunks: DataFrame, keys: Sequence[str], taps: Sequence[float], chunk_size: int) -> DataFrame:
-    """Apply a symmetric odd-length FIR without phase shift; zeros beyond the ends."""
-    if len(taps) % 2 == 0:
-        raise ValueError("a centred filter needs an odd number of taps")
-    half = (len(taps) - 1) // 2
-    if half > chunk_size:
-        raise ValueError("chunks must be at least half a filter long")
-    bordered = with_borders(chunks, keys, half, half)
-    return bordered.withColumn("samples", _centred_filter(taps)("before", "samples", "after")).drop("before", "after")
+    """Apply one symmetric odd-length FIR without phase shift."""
+    return filter_chain(chunks, keys, [(taps, 1)], chunk_size)
 
 
 def filter_samples(
@@ -130,15 +167,7 @@ def decimate_chunks(
     chunks: DataFrame, keys: Sequence[str], taps: Sequence[float], factor: int, chunk_size: int
 ) -> DataFrame:
     """Low-pass, then keep every ``factor``-th sample."""
-    if chunk_size % factor:
-        raise ValueError("the chunk size must be a multiple of the factor")
-    kept = F.filter("samples", lambda v, n: n % factor == 0)
-    return (
-        filter_chunks(chunks, keys, taps, chunk_size)
-        .withColumn("samples", kept)
-        .withColumn("first_position", F.col("first_position") / factor)
-        .withColumn("first_position", F.col("first_position").cast("long"))
-    )
+    return filter_chain(chunks, keys, [(taps, factor)], chunk_size)
 
 
 def zscore_chunks(chunks: DataFrame, keys: Sequence[str], offset: float = 1e-8) -> DataFrame:

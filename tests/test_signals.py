@@ -74,6 +74,17 @@ def test_decimation_keeps_every_second_sample(spark):
     np.testing.assert_allclose([r["v"] for r in got], centred(data["r0"], taps)[::2], atol=1e-12)
 
 
+@pytest.mark.parametrize("size", [64, 4096])
+def test_a_chain_equals_one_filter_after_the_other(spark, size):
+    data, df = samples(spark, [1, 63, 64, 65, 700])
+    first, second = filters.antialias(256.0, 2)[:41], filters.lowpass(20.0, 40.0, 128.0)
+    first = first[:21] if len(first) % 2 == 0 else first
+    chunks = sg.to_chunks(df, REC, "i", "v", size)
+    got = read(sg.to_samples(sg.filter_chain(chunks, REC, [(first, 2), (second, 1)], size), REC))
+    for rec, x in data.items():
+        np.testing.assert_allclose(got[rec], centred(centred(x, first)[::2], second), atol=1e-12)
+
+
 def test_zscore_uses_population_std(spark):
     data, df = samples(spark, [50, 7])
     flat = df.unionByName(spark.createDataFrame([("flat", i, 3.0) for i in range(5)], df.schema))
