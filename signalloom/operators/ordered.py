@@ -238,6 +238,16 @@ def with_steps_reached(df: DataFrame, value: Column, grid: Column, size: int, ou
     return rows.drop("_grid", "_value")
 
 
+def _cell_of(cuts: Column, score: Column, cells: int) -> Column:
+    """The same count as one array expression, where the rows are few."""
+    widths = F.array(*[F.lit(1 << k) for k in reversed(range((cells - 1).bit_length()))])
+    return F.aggregate(
+        widths,
+        F.lit(0),
+        lambda low, width: F.when(F.get(cuts, low + width - 1) <= score, low + width).otherwise(low),
+    )
+
+
 def score_ladder(
     df: DataFrame, groups: Sequence[str], score: str, label: str | None = None, cells: int = 1024
 ) -> DataFrame:
@@ -252,10 +262,13 @@ def score_ladder(
     positive = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
     counts = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"), positive.alias("positives"))
     counts = settle(counts, "scores")
-    cuts = counts.agg(
-        F.percentile_approx(score, [i / cells for i in range(1, cells)], 10 * cells).alias("_cuts")
+    points = F.expr(f"array({', '.join(f'{i / cells}D' for i in range(1, cells))})")
+    cuts = counts.agg(F.percentile_approx(score, points, F.lit(10 * cells)).alias("_cuts"))
+    celled = (
+        counts.withColumn("_cuts", cuts.scalar())
+        .withColumn("_cell", _cell_of(F.col("_cuts"), F.col(score), cells))
+        .drop("_cuts")
     )
-    celled = with_steps_reached(counts, F.col(score), cuts.scalar(), cells - 1, "_cell")
     above = prefix_totals(
         celled,
         groups,
