@@ -94,6 +94,21 @@ def r2_cls(spark, d):
     return m.threshold_sweep(v.classified(spark, d), m.threshold_grid("fine"))
 
 
+LINEAR = m.linear_grid()
+
+
+@query(
+    "r2_linear_sweep",
+    "threshold:6 " + RATES,
+    f"""SELECT *, {RATE_SQL} FROM (SELECT threshold,
+      count(*) FILTER (y_true = 1 AND y_prob >= threshold) AS tp, count(*) FILTER (y_true = 0 AND y_prob >= threshold) AS fp,
+      count(*) FILTER (y_true = 1 AND y_prob < threshold) AS fn, count(*) FILTER (y_true = 0 AND y_prob < threshold) AS tn
+    FROM v_scored, (SELECT CAST(unnest({[repr(x) for x in LINEAR]!r}) AS DOUBLE) AS threshold) GROUP BY threshold)""",
+)
+def r2_linear(spark, d):
+    return m.threshold_sweep(v.scored(spark, d), LINEAR)
+
+
 @query("j9_sweep_by_subject", "subject_id threshold:6 " + RATES, sweep_sql("v_scored", "hundredths", "subject_id"))
 def j9(spark, d):
     return m.threshold_sweep(v.scored(spark, d), m.threshold_grid("hundredths"), ["subject_id"])
@@ -198,8 +213,8 @@ def w9(spark, d):
     return score_ladder(v.scored(spark, d), ["subject_id"], "y_prob", "y_true")
 
 
-CALIBRATION_SQL = """SELECT CAST(greatest(0, ceil(y_prob * 10) - 1) AS BIGINT) AS bin, count(*) AS n, avg(y_prob) AS mean_score,
-  avg(y_true) AS positive_share FROM {} GROUP BY 1"""
+CALIBRATION_SQL = f"""SELECT len(list_filter({[repr(e) for e in m.inner_edges(10)]!r}::DOUBLE[], lambda e: y_prob > e)) AS bin,
+  count(*) AS n, avg(y_prob) AS mean_score, avg(y_true) AS positive_share FROM {{}} GROUP BY 1"""
 
 
 @query("r9_calibration", "bin:l n:l mean_score:6 positive_share:6", CALIBRATION_SQL.format("v_scored"))

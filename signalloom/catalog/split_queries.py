@@ -48,7 +48,7 @@ def k5_draw(spark, d):
 @query(
     "k6_file_level_split",
     "subject_id edf_id has_positive:l split",
-    """SELECT subject_id, edf_id, has_positive, CASE WHEN place < floor(n * 0.70) THEN 'train' WHEN place < floor(n * 0.85)
+    """SELECT subject_id, edf_id, has_positive, CASE WHEN place < n * 70 // 100 THEN 'train' WHEN place < n * 85 // 100
       THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY has_positive ORDER BY
       md5('42|' || subject_id || '|' || edf_id)) - 1 AS place, count(*) OVER (PARTITION BY has_positive) AS n FROM
       (SELECT subject_id, edf_id, max(CAST(quiet AS INTEGER)) AS has_positive FROM (SELECT *, count(*) OVER (PARTITION BY edf_id)

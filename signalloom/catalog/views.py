@@ -53,8 +53,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sample per event; a sample's position counts within its recording."""
-    day = F.floor(F.col("t_sec") / 86_400)
-    return numbered(events(spark, sf_dir), ["subject_id", "edf_id"], ["t_sec", "event_id"], day, "i")
+    part = F.floor(F.col("t_sec") / 600)
+    return numbered(events(spark, sf_dir), ["subject_id", "edf_id"], ["t_sec", "event_id"], part, "i")
 
 
 VIEWS["v_pred"] = """

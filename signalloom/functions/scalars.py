@@ -42,26 +42,31 @@ def sigmoid(logit: Column | str) -> Column:
     return 1.0 / (1.0 + F.exp(-_col(logit)))
 
 
+def stripped(text: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
+
+
 def canonical_channel(name: Column | str) -> Column:
-    plain = F.trim(_col(name))
+    plain = stripped(name)
     return F.when(plain.isin(*DOUBLED_CHANNELS), PLAIN_DOUBLED).otherwise(plain)
 
 
 def canonical_electrode(name: Column | str) -> Column:
-    upper = F.upper(F.trim(_col(name)))
+    upper = F.upper(stripped(name))
     known = F.create_map(*[F.lit(x) for pair in ELECTRODE_ALIASES.items() for x in pair])
     return F.coalesce(known[upper], upper)
 
 
 def normalized_filename(name: Column | str) -> Column:
     """Repair two known typing errors of record names (fixed values)."""
-    text = F.replace(F.trim(_col(name)), F.lit("PNO6"), F.lit("PN06"))
+    text = F.replace(stripped(name), F.lit("PNO6"), F.lit("PN06"))
     return F.when(text == "PN11-.edf", "PN11-1.edf").otherwise(text)
 
 
 def clock_seconds(text: Column | str) -> Column:
     """Seconds of ``HH.MM.SS`` or ``HH:MM:SS``; NULL when not a time of day."""
-    parts = F.split(F.replace(F.trim(_col(text)), F.lit(":"), F.lit(".")), r"\.")
-    h, m, s = (F.trim(F.get(parts, F.lit(i))).try_cast("int") for i in range(3))
+    parts = F.split(F.replace(stripped(text), F.lit(":"), F.lit(".")), r"\.")
+    h, m, s = (stripped(F.get(parts, F.lit(i))).try_cast("int") for i in range(3))
     valid = (F.size(parts) == 3) & (h <= 23) & (m <= 59) & (s <= 59)
     return F.when(valid, h * 3600 + m * 60 + s)

@@ -164,9 +164,20 @@ def ranking_metrics(
     )
 
 
+def inner_edges(bins: int) -> list[float]:
+    """Edges between uniform bins of the unit interval."""
+    return [i * (1.0 / bins) for i in range(1, bins)]
+
+
 def calibration(df: DataFrame, bins: int = 10, truth: str = "y_true", score: str = "y_prob") -> DataFrame:
-    """Mean score and positive share per uniform bin (upper edge inside); empty bins are absent."""
-    slot = F.greatest(F.lit(0), F.ceil(F.col(score) * bins) - 1).cast("long")
+    """Mean score and positive share per uniform bin; empty bins are absent.
+
+    A score equal to an edge belongs to the bin below it, which is decided by
+    comparison with the edges themselves.
+    """
+    slot = F.lit(0).cast("long")
+    for edge in inner_edges(bins):
+        slot = slot + (F.col(score) > F.lit(edge)).cast("long")
     return df.groupBy(slot.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(truth).alias("positive_share")
     )

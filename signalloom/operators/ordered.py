@@ -249,7 +249,7 @@ def _cell_of(cuts: Column, score: Column, cells: int) -> Column:
 
 
 def score_ladder(
-    df: DataFrame, groups: Sequence[str], score: str, label: str | None = None, cells: int = 1024
+    df: DataFrame, groups: Sequence[str], score: str, label: str | None = None, cells: int = 4096
 ) -> DataFrame:
     """One row per distinct ``(groups, score)`` with running counts.
 

@@ -144,11 +144,11 @@ def balanced_resample(df: DataFrame, key: Sequence[str], label: str = "label", s
 
 
 def file_split(
-    recordings: DataFrame, key: Sequence[str], stratum: str, seed: int = 42, shares: tuple[float, float] = (0.70, 0.15)
+    recordings: DataFrame, key: Sequence[str], stratum: str, seed: int = 42, percent: tuple[int, int] = (70, 15)
 ) -> DataFrame:
     """Assign recordings to train/validation/test, stratified, in digest order.
 
-    A stratum needs at least two recordings overall and two outside train.
+    ``percent`` gives whole per cents of train and validation. A stratum needs at least two recordings overall and two outside train.
     """
     slots = numbered(
         recordings.withColumn("_h", hash_key(*key, seed=seed)),
@@ -158,8 +158,8 @@ def file_split(
         "_place",
     )
     sizes = recordings.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    train = F.floor(F.col("_n") * F.lit(shares[0]))
-    held = F.floor(F.col("_n") * F.lit(shares[0] + shares[1]))
+    train = F.floor(F.col("_n") * percent[0] / 100)
+    held = F.floor(F.col("_n") * sum(percent) / 100)
     enough = (F.col("_n") >= 2) & (F.col("_n") - train >= 2)
     return slots.join(sizes, stratum).select(
         *recordings.columns,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -76,7 +76,13 @@ def recording_windows(
 
 
 def usable_recordings(
-    channels: DataFrame, rules: Mapping = montage.SUBJECT_AUX, target=montage.CANONICAL
+    channels: DataFrame, rules: Mapping = montage.SUBJECT_AUX, target: Sequence[str] = montage.CANONICAL
 ) -> tuple[DataFrame, DataFrame]:
-    """Recordings whose remaining channels match the target, and the rejected ones with a reason."""
-    return montage.quarantine(montage.layouts(montage.drop_auxiliary(channels, rules)), target)
+    """Recordings whose remaining channels match the target, and the rejected ones with a reason.
+
+    Bad recordings are set aside; only if none is left the job stops.
+    """
+    good, rejected = montage.quarantine(montage.layouts(montage.drop_auxiliary(channels, rules)), target)
+    if good.isEmpty():
+        raise ValueError("no recording matches the target montage")
+    return good, rejected

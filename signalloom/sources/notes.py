@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from signalloom.functions.scalars import clock_seconds, normalized_filename
+from signalloom.functions.scalars import clock_seconds, normalized_filename, stripped
 from signalloom.operators.align import lookup_ignoring_case, with_single_default
 
 # Markers and patterns of the two text formats.
@@ -105,8 +105,8 @@ def seizure_blocks(texts: DataFrame, text: str = "value") -> DataFrame:
     return blocks.select(
         "patient",
         normalized_filename(_first(b, BLOCK_FILE)).alias("filename"),
-        F.trim(_first(b, BLOCK_START)).alias("start_time"),
-        F.trim(_first(b, BLOCK_END)).alias("end_time"),
+        stripped(_first(b, BLOCK_START)).alias("start_time"),
+        stripped(_first(b, BLOCK_END)).alias("end_time"),
     ).where(F.col("start_time").isNotNull() & F.col("end_time").isNotNull()).select(
         "*", clock_seconds("start_time").alias("start_seconds"), clock_seconds("end_time").alias("end_seconds")
     )
@@ -122,7 +122,7 @@ def read_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     parts = F.split("path", "/")
     return (
         spark.read.text(paths)
-        .select(F.trim("value").alias("path"))
+        .select(stripped("value").alias("path"))
         .where((F.col("path") != "") & (F.size(parts) == 2))
         .select(F.get(parts, F.lit(0)).alias("subject"), F.get(parts, F.lit(1)).alias("filename"), "path")
     )

@@ -87,6 +87,8 @@ def test_frozen_threshold_is_inclusive(spark):
 def test_calibration_edges(spark):
     got = {r["bin"]: r["n"] for r in m.calibration(scores(spark, [("g", 0, p) for p in (0.0, 0.1, 0.11, 1.0)])).collect()}
     assert got == {0: 2, 1: 1, 9: 1}
+    # 0.7 is below the computed edge 7 * 0.1, although 0.7 * 10 exceeds 7.
+    assert m.calibration(scores(spark, [("g", 0, 0.7)])).first()["bin"] == 6
 
 
 def test_best_run_keeps_the_first_of_equals(spark):

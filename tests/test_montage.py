@@ -32,7 +32,7 @@ def test_auxiliary_channels(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([(" T8-P8-0 ", "t3", " PNO6-1.edf"), ("T8-P8-1", " T6 ", "PN11-.edf"), ("P7-O1", "fz", None)], "c string, e string, f string")
+    df = spark.createDataFrame([(" T8-P8-0\t", "t3", " PNO6-1.edf\n"), ("T8-P8-1", " T6 ", "PN11-.edf"), ("P7-O1", "fz", None)], "c string, e string, f string")
     got = df.select(canonical_channel("c"), canonical_electrode("e"), normalized_filename("f")).collect()
     assert [tuple(r) for r in got] == [("T8-P8", "T7", "PN06-1.edf"), ("T8-P8", "P8", "PN11-1.edf"), ("P7-O1", "FZ", None)]
 
@@ -107,3 +107,12 @@ def test_inventory(spark):
     marks = spark.createDataFrame([("s", "r")], "subject_id string, edf_id string")
     r = mo.inventory(df, marks).first()
     assert (r["channels"], r["eeg_channels"], r["eog_channels"], r["duration_min"], r["annotations"]) == (4, 2, 0, 1.0, 1)
+
+
+def test_a_job_without_usable_recordings_stops(spark):
+    from signalloom.plans.recording_windows import usable_recordings
+
+    good, rejected = usable_recordings(channels(spark, s0001=["VNS", *mo.CANONICAL], s0002=["a"]))
+    assert [r["edf_id"] for r in good.collect()] == ["s0001"] and rejected.count() == 1
+    with pytest.raises(ValueError, match="no recording"):
+        usable_recordings(channels(spark, s0002=["a"]))
