@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from signalloom.operators.ordered import spread_join
+
 WINDOW_KEY = ["subject_id", "edf_id", "window_index"]
 
 
@@ -53,7 +55,7 @@ def array_positions(windows: DataFrame, recordings: DataFrame) -> DataFrame:
     A window index outside its recording gives a NULL position.
     """
     inside = (F.col("window_index") >= 0) & (F.col("window_index") < F.col("n_windows"))
-    return windows.join(recordings, ["subject_id", "edf_id"]).select(
+    return spread_join(windows, recordings, ["subject_id", "edf_id"]).select(
         *WINDOW_KEY, "file_id", F.when(inside, F.col("first_position") + F.col("window_index")).alias("position")
     )
 
@@ -96,7 +98,7 @@ def with_single_default(
         .where("_n = 1")
         .drop("_n")
     )
-    return rows.join(only, group, "left").withColumn(value, F.coalesce(value, "_only")).drop("_only")
+    return spread_join(rows, only, [group], "left").withColumn(value, F.coalesce(value, "_only")).drop("_only")
 
 
 def lookup_ignoring_case(rows: DataFrame, table: DataFrame, group: str, name: str, how: str = "inner") -> DataFrame:
@@ -104,4 +106,4 @@ def lookup_ignoring_case(rows: DataFrame, table: DataFrame, group: str, name: st
     keyed = table.select(F.col(group), F.col(name).alias("record_name"), F.lower(name).alias("_lower"))
     if how == "left_anti":
         keyed = keyed.drop("record_name")
-    return rows.withColumn("_lower", F.lower(name)).join(keyed, [group, "_lower"], how).drop("_lower")
+    return spread_join(rows.withColumn("_lower", F.lower(name)), keyed, [group, "_lower"], how).drop("_lower")

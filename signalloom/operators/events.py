@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from signalloom.operators.distribution import exact_percentiles
 from signalloom.operators.intervals import BIN_SEC, merge_intervals, overlapping_pairs, time_bin
-from signalloom.operators.ordered import global_index, island_of_rows, islands, numbered
+from signalloom.operators.ordered import global_index, island_of_rows, islands, numbered, spread_join
 from signalloom.session import settle
 
 KEYS = ["subject_id", "edf_id"]
@@ -74,7 +74,7 @@ def true_events(annotations: DataFrame, predictions: DataFrame | None = None, ch
     With ``predictions``, only recordings that were scored are kept.
     """
     if predictions is not None:
-        annotations = annotations.join(recordings_of(predictions), KEYS, "left_semi")
+        annotations = spread_join(annotations, recordings_of(predictions), KEYS, "left_semi")
     merged = settle(merge_intervals(annotations, KEYS, bin_sec=chunk_sec), "truth")
     return numbered(merged, KEYS, ["start_sec"], time_bin(F.col("start_sec"), chunk_sec), "true_event_id")
 
@@ -110,7 +110,7 @@ def match_events(events: DataFrame, truth: DataFrame, bin_sec: float = BIN_SEC)
     """
     best = settle(best_overlaps(events, truth, bin_sec), "overlaps")
     first = best.groupBy(*KEYS, "true_event_id").agg(F.min("event_id").alias("_first_id"))
-    chosen = best.join(first, [*KEYS, "true_event_id"])
+    chosen = spread_join(best, first, [*KEYS, "true_event_id"])
     hit = F.col("event_id") == F.col("_first_id")
     return (
         events.select(*KEYS, "event_id", "detection_sec")
@@ -139,8 +139,7 @@ def evaluated_spans(predictions: DataFrame) -> DataFrame:
 def clip_to_span(truth: DataFrame, spans: DataFrame) -> DataFrame:
     """True intervals cut to the evaluated span of their recording; empty ones dropped."""
     return (
-        truth.select(*KEYS, "start_sec", "end_sec")
-        .join(spans, KEYS)
+        spread_join(truth.select(*KEYS, "start_sec", "end_sec"), spans, KEYS)
         .select(
             *KEYS,
             F.greatest("start_sec", "eval_start").alias("start_sec"),

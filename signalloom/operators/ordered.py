@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from signalloom.session import settle
@@ -26,6 +26,30 @@ def _over(keys: Sequence[str], *order: Column | str) -> WindowSpec:
     return spec.orderBy(*order)
 
 
+def cut(rows: DataFrame, keys: Sequence[str], chunk: str = CHUNK) -> DataFrame:
+    """Shuffle rows by ``(keys, chunk)``.
+
+    Said outright, because Spark would otherwise run a window over ``(keys,
+    chunk)`` on rows that an earlier join has gathered by ``keys`` alone.
+    """
+    return rows.repartition(*keys, chunk)
+
+
+def spread_join(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", copies: int = 32
+) -> DataFrame:
+    """Join many rows per key to a table with about one row per key.
+
+    Each table row is copied under every salt and each row carries one salt
+    (a hash of its plain columns), so a hot key meets in ``copies`` tasks and the
+    result is not gathered by ``keys``.
+    """
+    plain = [f.name for f in rows.schema if isinstance(f.dataType, T.AtomicType)]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(copies)).cast("int"))
+    copied = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
 def prefix_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -70,7 +94,7 @@ def numbered(
     offsets = prefix_totals(rows, keys, CHUNK, {"_offset": F.count(F.lit(1))})
     local = F.row_number().over(_over([*keys, CHUNK], *order)) - 1
     return (
-        rows.withColumn("_local", local)
+        cut(rows, keys).withColumn("_local", local)
         .join(offsets, [*keys, CHUNK])
         .withColumn(out, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long"))
         .drop(CHUNK, "_local", "_offset")
@@ -86,7 +110,7 @@ def previous_value(
     carried = prefix_totals(rows, keys, CHUNK, {"_carried": newest}, how=lambda c: F.last(c, True))
     local = F.lag(F.struct(value)).over(_over([*keys, CHUNK], *order))
     return (
-        rows.withColumn("_local", local)
+        cut(rows, keys).withColumn("_local", local)
         .join(carried, [*keys, CHUNK])
         .withColumn(out, F.coalesce("_local", "_carried")[value])
         .drop(CHUNK, "_local", "_carried")
@@ -130,7 +154,7 @@ def global_index(
     offset = sum((F.col(f"_o{d}") for d in range(len(path))), F.lit(0))
     local = F.row_number().over(_over(path, *order)) - 1
     return (
-        rows.withColumn("_local", local)
+        cut(rows, levels).withColumn("_local", local)
         .join(offsets.select(*path, offset.alias("_offset")), path)
         .withColumn(out, (F.col("_offset") + F.col("_local")).cast("long"))
         .drop(CHUNK, "_local", "_offset")
@@ -142,7 +166,7 @@ def _local_heads(df: DataFrame, keys: Sequence[str], start: Column, reach: Colum
     w = _over([*keys, CHUNK], "_start")
     seen = F.col("_seen")
     return (
-        df.withColumn(CHUNK, chunk)
+        cut(df.withColumn(CHUNK, chunk), keys)
         .withColumn("_start", start)
         .withColumn("_reach", reach)
         .withColumn("_seen", F.max("_reach").over(w.rowsBetween(*BEFORE)))

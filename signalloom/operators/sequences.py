@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from signalloom.operators.ordered import CHUNK, with_halo
+from signalloom.operators.ordered import CHUNK, cut, with_halo
 from signalloom.operators.quality import violations
 
 KEYS = ["subject_id", "edf_id"]
@@ -32,7 +32,7 @@ def sequences(
     if length < 1:
         raise ValueError("length must be at least 1")
     size = max(chunk_size, length)
-    spread = with_halo(windows, index, size, behind=length - 1)
+    spread = cut(with_halo(windows, index, size, behind=length - 1), KEYS)
     w = Window.partitionBy(*KEYS, CHUNK).orderBy(index).rowsBetween(-(length - 1), 0)
     newest = F.col(index)
     fields = [c for c in dict.fromkeys([index, *columns])]

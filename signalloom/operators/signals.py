@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from signalloom.functions.scalars import array_mean, array_var
-from signalloom.operators.ordered import CHUNK, with_halo
+from signalloom.operators.ordered import CHUNK, cut, spread_join, with_halo
 
 
 def to_chunks(samples: DataFrame, keys: Sequence[str], position: str, value: str, size: int) -> DataFrame:
@@ -153,7 +153,7 @@ def filter_samples(
 ) -> DataFrame:
     """The same filter as a plain expression over samples, for short kernels."""
     half = (len(taps) - 1) // 2
-    spread = with_halo(samples, position, chunk_size, behind=half, ahead=half)
+    spread = cut(with_halo(samples, position, chunk_size, behind=half, ahead=half), keys)
     w = Window.partitionBy(*keys, CHUNK).orderBy(position)
     total = F.lit(0.0)
     for k, tap in enumerate(taps):
@@ -188,13 +188,13 @@ def zscore_chunks(chunks: DataFrame, keys: Sequence[str], offset: float = 1e-8)
     between = F.greatest(F.col("_square") - F.col("_mean") * F.col("_mean"), F.lit(0.0))
     scale = whole.select(*keys, "_mean", (F.sqrt(F.col("_inside") + between) + F.lit(offset)).alias("_scale"))
     scaled = F.transform("samples", lambda x: (x - F.col("_mean")) / F.col("_scale"))
-    return chunks.join(scale, list(keys)).withColumn("samples", scaled).drop("_mean", "_scale")
+    return spread_join(chunks, scale, keys).withColumn("samples", scaled).drop("_mean", "_scale")
 
 
 def zscore_samples(samples: DataFrame, keys: Sequence[str], value: str, out: str, offset: float = 1e-8) -> DataFrame:
     stats = samples.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
     scaled = (F.col(value) - F.col("_mean")) / (F.col("_std") + F.lit(offset))
-    return samples.join(stats, list(keys)).withColumn(out, scaled).drop("_mean", "_std")
+    return spread_join(samples, stats, keys).withColumn(out, scaled).drop("_mean", "_std")
 
 
 def window_shape(rate: float, window_sec: float, overlap: float) -> tuple[int, int]:

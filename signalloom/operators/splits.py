@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from signalloom.operators.ordered import first_per_group, numbered
+from signalloom.operators.ordered import first_per_group, numbered, spread_join
 
 SPLITS = ("train", "validation", "test")
 
@@ -72,7 +72,8 @@ def subjects_only_in(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def rows_of_split(rows: DataFrame, assigned: DataFrame, split: str) -> DataFrame:
-    return rows.join(assigned.where(F.col("split") == split).select("subject_id"), "subject_id", "left_semi")
+    chosen = assigned.where(F.col("split") == split).select("subject_id")
+    return spread_join(rows, chosen, ["subject_id"], "left_semi")
 
 
 def partition_totals(rows: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -157,11 +158,13 @@ def file_split(
         _hash_slice(F.col("_h")),
         "_place",
     )
-    sizes = recordings.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     train = F.floor(F.col("_n") * percent[0] / 100)
     held = F.floor(F.col("_n") * sum(percent) / 100)
     enough = (F.col("_n") >= 2) & (F.col("_n") - train >= 2)
-    return slots.join(sizes, stratum).select(
+    counted = slots.withColumn("_n", _class_counts(recordings, stratum)).withColumn(
+        "_n", F.element_at("_n", F.col(stratum))
+    )
+    return counted.select(
         *recordings.columns,
         F.when(~enough, F.raise_error(F.lit("not enough recordings of a class to split")))
         .when(F.col("_place") < train, "train")

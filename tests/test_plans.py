@@ -8,7 +8,7 @@ from signalloom.catalog import QUERIES, views as v
 from signalloom.functions import filters
 from signalloom.operators import metrics as m, signals as sg
 from signalloom.operators.intervals import label_windows
-from signalloom.operators.ordered import numbered
+from signalloom.operators.ordered import numbered, spread_join
 
 
 def plan_of(df):
@@ -56,3 +56,24 @@ def test_labels_come_from_an_equi_join_that_keeps_rows_single(spark):
     w = spark.range(4).selectExpr("'s' AS subject_id", "'r' AS edf_id", "2D * id AS start_sec", "2D * id + 4 AS end_sec")
     plan = plan_of(label_windows(w, w, ["subject_id", "edf_id"], 4.0))
     assert "ExistenceJoin" in plan and "NestedLoop" not in plan
+
+
+def test_chunks_are_cut_even_after_a_join_by_key(spark):
+    """Without the explicit shuffle the window would run on rows gathered by ``k``."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(100).selectExpr("id % 2 AS k", "id AS t")
+        joined = left.join(spark.range(2).selectExpr("id AS k", "id AS x"), "k")
+        plan = plan_of(numbered(joined, ["k"], ["t"], F.floor(F.col("t") / 4), "n"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"Exchange hashpartitioning\(k#\d+, _chunk#\d+L?, \d+\), REPARTITION_BY_COL", plan)
+
+
+def test_a_hot_key_is_joined_in_many_tasks(spark):
+    left = spark.range(1000).selectExpr("'hot' AS k", "id AS t")
+    table = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, x int")
+    for how, n in (("inner", 1000), ("left", 1000), ("left_semi", 1000), ("left_anti", 0)):
+        assert spread_join(left, table, ["k"], how).count() == n
+    assert spread_join(left, table.where("k = 'cold'"), ["k"], "left").where("x IS NULL").count() == 1000
+    assert "_salt" in plan_of(spread_join(left, table, ["k"]))
