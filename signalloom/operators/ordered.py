@@ -95,7 +95,7 @@ def numbered(
     local = F.row_number().over(_over([*keys, CHUNK], *order)) - 1
     return (
         cut(rows, keys).withColumn("_local", local)
-        .join(offsets, [*keys, CHUNK])
+        .join(offsets, [*keys, CHUNK], "left")  # rows without a key stay, numbered by chunk
         .withColumn(out, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long"))
         .drop(CHUNK, "_local", "_offset")
     )
@@ -111,7 +111,7 @@ def previous_value(
     local = F.lag(F.struct(value)).over(_over([*keys, CHUNK], *order))
     return (
         cut(rows, keys).withColumn("_local", local)
-        .join(carried, [*keys, CHUNK])
+        .join(carried, [*keys, CHUNK], "left")
         .withColumn(out, F.coalesce("_local", "_carried")[value])
         .drop(CHUNK, "_local", "_carried")
     )
