@@ -66,7 +66,7 @@ def main() -> int:
     prefixes = tuple(sys.argv[2:])
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session(
-        "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        "local[8]", **{"spark.sql.shuffle.partitions": os.environ.get("ORACLE_PARTITIONS", "8"), "spark.ui.enabled": "false", "spark.driver.memory": "8g",
                        "spark.ui.showConsoleProgress": "false"}
     )
     spark.sparkContext.setLogLevel("ERROR")
