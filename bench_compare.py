@@ -29,10 +29,10 @@ from signalloom.session import build_session, settle  # noqa: E402
 
 def pair_sweep(scores, grid):
     """Every score beside every threshold."""
-    table = scores.sparkSession.createDataFrame([(t,) for t in grid], "threshold double")
+    rows = scores.select("y_true", "y_prob", F.explode(F.array(*[F.lit(t) for t in grid])).alias("threshold"))
     hit = F.col("y_prob") >= F.col("threshold")
     return m.with_rates(
-        scores.crossJoin(F.broadcast(table)).groupBy("threshold").agg(
+        rows.groupBy("threshold").agg(
             F.count_if(hit & (F.col("y_true") == 1)).alias("tp"),
             F.count_if(hit & (F.col("y_true") == 0)).alias("fp"),
             F.count_if(~hit & (F.col("y_true") == 1)).alias("fn"),
