@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from signalloom.catalog import QUERIES  # noqa: E402
-from signalloom.session import build_session  # noqa: E402
+from signalloom.session import build_session, set_scratch  # noqa: E402
 
 HEADLINE = [
     "entry_subject_alarms",
@@ -63,6 +63,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    set_scratch(spark)
     QUERIES["r1_confusion"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:

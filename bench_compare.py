@@ -24,7 +24,7 @@ from signalloom.catalog import views as v  # noqa: E402
 from signalloom.functions.spectral import BANDS  # noqa: E402
 from signalloom.operators import events as ev, features as ft, metrics as m  # noqa: E402
 from signalloom.operators.intervals import label_windows  # noqa: E402
-from signalloom.session import build_session, settle  # noqa: E402
+from signalloom.session import build_session, set_scratch, settle  # noqa: E402
 
 
 def pair_sweep(scores, grid):
@@ -85,6 +85,7 @@ def main() -> None:
            "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
+    set_scratch(spark)
     # The given windows, repeated along time; the copies continue each recording.
     base = v.predictions(spark, sf_dir)
     longest = base.agg(F.max("start_sec") + 100).scalar()

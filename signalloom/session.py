@@ -31,24 +31,40 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
+#: Folders named by :func:`set_scratch`, and each application's own below the root.
+_NAMED: dict[str, str] = {}
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
+def set_scratch(spark: SparkSession) -> None:
+    """Name a scratch folder for a one-machine trial session that has none."""
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context.applicationId not in _NAMED:
+        if not context._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        _NAMED[context.applicationId] = tempfile.mkdtemp(prefix="signalloom-")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path in this application's folder below ``spark.checkpoint.dir``.
 
-    Without that setting a single-machine session gets a temporary folder of
-    its own; a cluster session must name a folder that every executor reaches.
+    The setting must name a folder that every executor reaches; without it the
+    call is refused unless :func:`set_scratch` named one. The application's folder is deleted
+    when its driver ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or _NAMED.get(context.applicationId)
     if not root:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        if context.applicationId not in _LOCAL_ROOTS:
-            _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="signalloom-")
-        root = _LOCAL_ROOTS[context.applicationId]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    key = (context.applicationId, root)
+    if key not in _ROOTS:
+        own = f"{root.rstrip('/')}/signalloom-{context.applicationId}"
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS[key] = own
+    return f"{_ROOTS[key]}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -60,7 +60,7 @@ def difference(df, con, sql: str) -> str | None:
 
 def main() -> int:
     from signalloom.catalog import ORACLES, QUERIES
-    from signalloom.session import build_session
+    from signalloom.session import build_session, set_scratch
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     prefixes = tuple(sys.argv[2:])
@@ -70,6 +70,7 @@ def main() -> int:
                        "spark.ui.showConsoleProgress": "false"}
     )
     spark.sparkContext.setLogLevel("ERROR")
+    set_scratch(spark)
     con = connect(sf_dir)
     bad = 0
     for name, fn in QUERIES.items():
