@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import compression_rules, mixing, prefix_bpe, secret_scan, token_counts
+from signalloom.llm import compression_rules, language_crf, mixing, prefix_bpe, secret_scan, token_counts
+from signalloom.llm.arrow import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +47,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("repeats", "part")
+
+
+@query
+def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_crf.train_language_model(documents, learn=fold("doc_id", 4) != 2)
+    found = language_crf.identify_language(documents, model)
+    return found.withColumn("held_out", fold("doc_id", 4) == 2)
