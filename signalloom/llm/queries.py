@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import compression_rules, language_crf, mixing, prefix_bpe, secret_scan, token_counts
+from signalloom.llm import compression_rules, language_crf, mixing, prefix_bpe, secret_scan, simhash_groups, token_counts
 from signalloom.llm.arrow import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_crf.train_language_model(documents, learn=fold("doc_id", 4) != 2)
     found = language_crf.identify_language(documents, model)
     return found.withColumn("held_out", fold("doc_id", 4) == 2)
+
+
+@query
+def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups.near_duplicates(table(spark, sf_dir, "documents"))
