@@ -26,9 +26,6 @@ WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
-#: Documents of one source whose selection order is worked out together.
-BUCKET_ROWS = 20_000
-
 EARLIER = (Window.unboundedPreceding, -1)
 
 
@@ -78,7 +75,8 @@ def selections(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets with whole repetitions and where the selection for the rest ends.
 
     Documents are ordered by a seeded hash. Sums by hash range find the range in
-    which the selection ends; only the documents of that range are ordered.
+    which the selection ends; only the documents of that range are ordered. A source
+    has as many ranges as a range has documents, so neither ordering is long.
     """
     goal = F.floor("target").cast("long")
     some = F.col("source_size") > 0
@@ -86,7 +84,7 @@ def selections(sized: DataFrame, targets: DataFrame) -> DataFrame:
         "*",
         F.when(some, F.floor(goal / F.col("source_size"))).otherwise(0).cast("long").alias("_whole"),
         F.when(some, goal % F.col("source_size")).otherwise(0).cast("long").alias("_rest"),
-        F.ceil(F.col("_rows") / BUCKET_ROWS).cast("long").alias("_buckets"),
+        F.ceil(F.sqrt("_rows")).cast("long").alias("_buckets"),
     )
     unit = F.pmod(F.col("_place"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     placed = _with_source(sized, plan).withColumn("_order", F.pmod(F.col("_place"), F.lit(1 << 52)))
