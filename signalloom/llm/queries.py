@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import compression_rules, language_crf, mixing, prefix_bpe, secret_scan, simhash_groups, token_counts
+from signalloom.llm import class_lm, compression_rules, language_crf, mixing, prefix_bpe, secret_scan, simhash_groups, token_counts, topk_search
 from signalloom.llm.arrow import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,31 @@ def op10_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op3_topk_search"] = """
+WITH whole AS (
+    SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0
+      AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 5) == 1
+    return class_lm.score_texts(documents, learn=~held_out).withColumn("held_out", held_out)
