@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.llm import class_lm, compression_rules, language_crf, mixing, prefix_bpe, secret_scan, simhash_groups, token_counts, topk_search
+from signalloom.llm import class_lm, compression_rules, language_crf, mixing, prefix_bpe, secret_scan, simhash_groups, token_counts, topk_search, toxicity_pu
 from signalloom.llm.arrow import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,10 @@ def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 5) == 1
     return class_lm.score_texts(documents, learn=~held_out).withColumn("held_out", held_out)
+
+
+@query
+def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
+    model = toxicity_pu.train_toxicity_model(documents, table(spark, sf_dir, "labels"), learn=~held_out)
+    return toxicity_pu.score_toxicity(documents, model).withColumn("held_out", held_out)
