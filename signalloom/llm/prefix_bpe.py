@@ -232,14 +232,14 @@ def encode_documents(
 ) -> DataFrame:
     """``keep`` with each text's token ids and the proof of the way back.
 
-    ``n_tokens``; ``ids`` (array of long) unless ``with_ids`` is off;
+    ``n_tokens``; ``ids`` (array of int) unless ``with_ids`` is off;
     ``ids_sha256`` over the ids as little-endian unsigned 32-bit integers;
     ``decoded_sha256`` over the bytes that the ids decode to. Null and empty texts
     have no ids. Nulls and repeats in other columns do not matter.
     """
     fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
     if with_ids:
-        fields["ids"] = "array<long>"
+        fields["ids"] = "array<int>"
 
     def encode(texts: list[str]) -> dict[str, list]:
         codec = encoder(path)
@@ -250,7 +250,7 @@ def encode_documents(
             "decoded_sha256": [hashlib.sha256(codec.decode(p)).hexdigest() for p in packed],
         }
         if with_ids:
-            out["ids"] = [np.frombuffer(p, dtype="<u4").astype("int64") for p in packed]
+            out["ids"] = [np.frombuffer(p, dtype="<u4").astype("int32") for p in packed]
         return out
 
     return add_columns(df, text, fields, encode, keep)

@@ -247,20 +247,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     )
 
 
+def _by_print(rows: DataFrame, doc_id: str) -> DataFrame:
+    """``(_print, _root, component_id, group_rows)`` of each distinct fingerprint in ``rows``."""
+    prints = settle(rows.groupBy("_print").agg(F.min(doc_id).alias("_first"), F.count(F.lit(1)).alias("_rows")), "distinct")
+    found = settle(components(links(prints.select("_print"))), "components")
+    rooted = prints.join(found, prints["_print"] == found["node"], "left")
+    rooted = settle(rooted.select("_print", "_first", "_rows", F.coalesce("root", "_print").alias("_root")), "rooted")
+    whole = settle(rooted.groupBy("_root").agg(F.min("_first").alias("component_id"), F.sum("_rows").alias("group_rows")), "groups")
+    return settle(rooted.join(whole, "_root").select("_print", "_root", "component_id", "group_rows"), "by_print")
+
+
 def near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE
 ) -> DataFrame:
     """``keep`` with ``fingerprint`` (16 hex digits), ``component_id`` (least id of the
     linked group) and ``group_rows`` (rows of the group)."""
     made = ("fingerprint", "component_id", "group_rows")
-    held = tuple(c for c in keep if c not in made and c != doc_id)
-    rows = settle(fingerprints(df, text, (doc_id, *held), shingle), "prints")
-    prints = settle(rows.groupBy("_print").agg(F.min(doc_id).alias("_first"), F.count(F.lit(1)).alias("_rows")), "distinct")
-    grouped = settle(components(links(prints.select("_print"))), "components")
-    rooted = settle(prints.join(grouped, prints["_print"] == grouped["node"], "left").select(
-        "_print", "_first", "_rows", F.coalesce("root", "_print").alias("_root")), "rooted")
-    whole = settle(rooted.groupBy("_root").agg(F.min("_first").alias("component_id"), F.sum("_rows").alias("group_rows")), "groups")
-    by_print = settle(rooted.join(whole, "_root").select("_print", "component_id", "group_rows"), "by_print")
-    out = rows.join(by_print, "_print")
+    held = [c for c in keep if c not in made]
+    rows = settle(fingerprints(df, text, tuple(dict.fromkeys([doc_id, *held])), shingle), "prints")
+    out = rows.join(_by_print(rows, doc_id).drop("_root"), "_print")
     digits = F.lpad(F.lower(F.hex("_print")), 16, "0").alias("fingerprint")
-    return out.select(*([doc_id] if doc_id in keep else []), *held, digits, "component_id", "group_rows")
+    return out.select(*held, digits, "component_id", "group_rows")
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of each linked group, that with the least id (a null id only if there is no other)."""
+    printed = fingerprints(df, text, tuple(df.columns), shingle)
+    rows = settle(printed.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so the numbers stay
+    slim = rows.select(doc_id, "_row", "_print")
+    slim = slim.join(_by_print(slim, doc_id).select("_print", "_root"), "_print")
+    first = slim.groupBy("_root").agg(F.min(F.struct(F.col(doc_id).isNull(), doc_id, "_row")).alias("_first"))
+    return rows.join(settle(first.select("_first._row"), "kept"), "_row", "left_semi").select(*df.columns)

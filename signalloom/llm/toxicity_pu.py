@@ -40,7 +40,7 @@ POSITIVES = 10_000
 UNLABELLED = 30_000
 #: Class prior where the labels hold positives only.
 PRIOR = 0.1
-STEPS = 400
+STEPS = 600
 THRESHOLD = 0.7
 KEPT_WORDS = 300_000
 
@@ -93,7 +93,7 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def fit_nnpu(positives: list[list[int]], unlabelled: list[list[int]], size: int, prior: float,
-             steps: int = STEPS, rate: float = 0.1, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+             steps: int = STEPS, rate: float = 0.1, penalty: float = 3e-5) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the non-negative risk with logistic loss.
 
     risk = prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
