@@ -37,7 +37,9 @@ CLUSTERED_WORDS = 1 << 15
 #: Least count of a clustered word: words seen once stand for the unseen ones.
 LEAST_COUNT = 2
 CLASSES = 64
-ROUNDS = 8
+ROUNDS = 12
+#: One in so many words may move in a round.
+SHARE = 2
 #: Weight of the overall class shares in a class's transitions.
 PRIOR = 5.0
 #: Entries that a worker gathers before it passes them on.
@@ -197,7 +199,8 @@ def best_classes(own: np.ndarray, before: np.ndarray, after: np.ndarray, itself:
     joined = entropy_terms(loop + before + after + itself[:, None]) - entropy_terms(loop)
     gain = into.sum(1) + out.sum(2) - into[:, diagonal, diagonal] - out[:, diagonal, diagonal] + joined
     n_before, n_after = before.sum(1) + itself, after.sum(1) + itself
-    as_next, as_first = total.sum(1), total.sum(2)
+    # class totals without the word's own occurrences, but with those of its neighbours beside it
+    as_next, as_first = total.sum(1) + after, total.sum(2) + before
     gain -= entropy_terms(as_next + n_before[:, None]) - entropy_terms(as_next)
     gain -= entropy_terms(as_first + n_after[:, None]) - entropy_terms(as_first)
     best = gain[:, :movable].argmax(1)
@@ -205,15 +208,23 @@ def best_classes(own: np.ndarray, before: np.ndarray, after: np.ndarray, itself:
     return np.where(stays, own, best)
 
 
-def move_words(near: DataFrame, classes, bigrams: np.ndarray, movable: int, turn: int) -> list[tuple[int, int]]:
-    """New classes of the words whose turn it is; half of them move in a round."""
+def whose_turn(words: np.ndarray, turn: int, share: int) -> np.ndarray:
+    """One in ``share`` words, others in each round, so that neighbours seldom swap."""
+    mixed = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((turn + 1) * 0xD1B54A32D192ED03 % (1 << 64))
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(40)) % np.uint64(share) == 0
+
+
+def move_words(near: DataFrame, classes, bigrams: np.ndarray, movable: int, turn: int, share: int = SHARE) -> list[tuple[int, int]]:
+    """New classes of the words whose turn it is."""
     k = len(bigrams)
 
     def run(batches):
         for batch in batches:
             word = batch.column(0).to_numpy()
             now = classes.value
-            mine = np.nonzero((now[word] < movable) & ((word.astype(np.int64) * 2654435761 >> 7) % 2 == turn % 2))[0]
+            mine = np.nonzero((now[word] < movable) & whose_turn(word, turn, share))[0]
             for at in range(0, len(mine), MOVED):
                 part = batch.take(pa.array(mine[at : at + MOVED]))
                 ids = part.column(0).to_numpy()
@@ -231,20 +242,33 @@ def move_words(near: DataFrame, classes, bigrams: np.ndarray, movable: int, turn
     return [(row.word, row.cls) for row in rows]  # at most one for each numbered word
 
 
-def exchange(spark: SparkSession, near: DataFrame, words: int, k: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the numbered words, of the rare word and of the end, and the class bigrams."""
+def exchange(spark: SparkSession, near: DataFrame, words: int, k: int = CLASSES, rounds: int = ROUNDS, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the numbered words, of the rare word and of the end, and the class bigrams.
+
+    Words that move at the same time do not see each other's moves, so a round may
+    lose likelihood; the best state of all rounds is the result.
+    """
     movable = max(1, min(k, words))
     size = movable + 2
     classes = np.append(np.arange(words) % movable, [movable, movable + 1]).astype(np.int32)
-    for turn in range(rounds):
+    best = None
+    for turn in range(rounds + 1):
         shared = spark.sparkContext.broadcast(classes)
-        moves = move_words(near, shared, class_bigrams(near, shared, size), movable, turn)
+        bigrams = class_bigrams(near, shared, size)
+        fit = likelihood(bigrams)
+        if best is None or fit > best[0]:
+            best = (fit, classes, bigrams)
+        if turn == rounds:
+            break
         classes = classes.copy()
-        for word, cls in moves:
+        for word, cls in move_words(near, shared, bigrams, movable, turn, share):
             classes[word] = cls
-        if not moves and turn:
-            break
-    return classes, class_bigrams(near, spark.sparkContext.broadcast(classes), size)
+    return best[1], best[2]
+
+
+def likelihood(bigrams: np.ndarray) -> float:
+    """Log-likelihood of the class bigrams, up to what does not depend on the classes."""
+    return float(entropy_terms(bigrams).sum() - entropy_terms(bigrams.sum(0)).sum() - entropy_terms(bigrams.sum(1)).sum())
 
 
 @dataclass

@@ -1,0 +1,93 @@
+"""Compression rules and secret scans against plain Python."""
+
+import hashlib
+import random
+import re
+
+from signalloom.llm import compression_rules as rules, secret_scan as scan
+
+
+def plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    lines, dup = [], 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in lines
+            lines.append(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def test_counts(documents):
+    rows = rules.quality_rules(documents.where("length(text) < 4000"), keep=("doc_id", "text")).collect()
+    assert rows
+    for r in rows:
+        n, chars, symbols, dup, again = plain_counts(r.text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, again)
+        assert r.base_failed == (n < 50 or 100 * again > 50 * n)
+        assert not (r.kept and r.base_failed)
+
+
+def test_good_documents_stay(spark, sf_dir, documents):
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    judged = rules.quality_rules(documents).join(good, "doc_id").where("not base_failed")
+    assert judged.where("not kept").count() == 0 < judged.count()
+
+
+def test_bands_reject_copies_and_noise(spark):
+    rng = random.Random(1)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or"]
+    prose = [" ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n)) for n in (60, 400, 3000, 15000)]
+    once = [" ".join(rng.sample([f"{a}{b}{c}" for a in syllables for b in syllables for c in syllables], 3000))]
+    noise = [" ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(6)) for _ in range(n)) for n in (300, 4000)]
+    copies = [" ".join(f"{i % 7}" * 30 + f"{i}" for i in range(n)) for n in (200, 3000)]
+    rows = rules.quality_rules(spark.createDataFrame(list(enumerate(prose + once + noise + copies)), "doc_id int, text string")).collect()
+    kept = {r.doc_id: r.kept for r in rows}
+    assert [kept[i] for i in range(9)] == [True] * 5 + [False] * 4
+    assert not any(r.base_failed for r in rows)
+
+
+def test_odd_rows(odd, empty):
+    rows = rules.quality_rules(odd).collect()
+    assert len(rows) == odd.count()
+    assert all(r.base_failed and r.n_words == 0 and r.ratio == 0 for r in rows if r.doc_id in (1, 2))
+    assert rules.quality_rules(empty).count() == 0
+    model = scan.train_secret_model(odd)
+    found = scan.scan_secrets(odd, model, keep=("doc_id", "text")).collect()
+    assert len(found) == odd.count()
+    assert all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in found if not r.text)
+    assert scan.scan_secrets(empty, scan.train_secret_model(empty)).count() == 0
+
+
+def plain_spans(text):
+    assign = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""
+    found = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in re.finditer(assign, text) if len(m[1]) >= 6]
+    found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f[2] for f in sorted(found))
+
+
+def test_base_rules(spark, documents):
+    extra = ["é Token : 'abcdef' secret=\"abcde\" API_key= 0123456789abcdef0123456789", "AKIA" + "A" * 15 + " AKIA" + "B" * 16, "a" * 23 + "g" + "b" * 24]
+    df = documents.select("text").union(spark.createDataFrame([(t,) for t in extra], "text string"))
+    model = scan.train_secret_model(df)
+    for r in scan.scan_secrets(df, model, keep=("text",)).collect():
+        want = plain_spans(r.text)
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(want.count(k) for k in ("assign", "access", "hex"))
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
+def test_models_tell_random_strings_from_identifiers(documents):
+    model = scan.train_secret_model(documents)
+    rng = random.Random(9)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rng.choices(alphabet, k=32)) for _ in range(200)]
+    names = ["thisIsAVeryLongIdentifier2", "erhthneringstation_2024", "2024-01-01-report-final", "1234567890123456", "withoutanydigitsatall"]
+    assert sum(map(model.is_secret, keys)) >= 195
+    assert not any(map(model.is_secret, names))
+    text = f"before {keys[0]} after"
+    assert scan.masked(text, model.spans(text)) == f"before {scan.MASK} after"
+    clean = scan.scan_secrets(documents, model).where("n_markov > 0 and n_assign + n_access + n_hex = 0")
+    assert clean.count() == 0
