@@ -94,7 +94,8 @@ def test_moves_are_those_of_the_plain_likelihood():
 
 
 def test_exchange_finds_alternating_classes(spark):
-    texts = spark.createDataFrame([(" ".join(f"{'xy'[i % 2]}{(i * 7 + d) % 5}" for i in range(60)),) for d in range(40)], "_text_ string")
+    rng = np.random.default_rng(6)
+    texts = spark.createDataFrame([(" ".join(f"{'xy'[i % 2]}{rng.integers(5)}" for i in range(60)),) for _ in range(40)], "_text_ string")
     numbers = {f"{kind}{i}".encode(): n for n, (kind, i) in enumerate((kind, i) for kind in "xy" for i in range(5))}
     near = class_lm.neighbours(texts, spark.sparkContext.broadcast(numbers), 10)
     classes, bigrams = class_lm.exchange(spark, near, 10, k=2, rounds=20, share=4)
