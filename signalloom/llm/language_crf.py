@@ -32,6 +32,8 @@ UNDETERMINED = "und"
 #: The training sample: documents of each language, and words of a document.
 DOCS_PER_LANGUAGE = 1500
 WORDS_PER_DOC = 64
+#: Languages that are learned, the most frequent ones.
+LANGUAGES = 200
 #: Most frequent words of each language in the sample that make its lexicon.
 LEXICON_WORDS = 1500
 STEPS = 50
@@ -222,7 +224,7 @@ def fit(samples: list[tuple[str, list[str]]], steps: int = STEPS, rate: float =
 
 def train_language_model(
     df: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
-    docs_per_language: int = DOCS_PER_LANGUAGE, words_per_doc: int = WORDS_PER_DOC,
+    docs_per_language: int = DOCS_PER_LANGUAGE, words_per_doc: int = WORDS_PER_DOC, languages: int = LANGUAGES,
 ) -> LanguageModel:
     """Fit on a sample of the rows where ``learn`` holds.
 
@@ -232,10 +234,13 @@ def train_language_model(
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = df.where(learn & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("_lang"), body.alias("_text"))
-    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.col("n"))
+    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "_lang").limit(languages).collect()
+    if not sizes:
+        return fit([])
+    # shares as a constant: texts of one language are never gathered
+    share = F.create_map(*[F.lit(x) for row in sizes for x in (row["_lang"], min(1.0, docs_per_language / row["n"]))])[F.col("_lang")]
     hashed = F.xxhash64(F.lit(3), "_text")
-    chosen = rows.join(sizes, "_lang").where(F.pmod(hashed, F.lit(1_000_000)) < share * 1_000_000)
+    chosen = rows.where(F.pmod(hashed, F.lit(1_000_000)) < share * 1_000_000)
 
     def window(batches):
         for batch in batches:

@@ -157,29 +157,36 @@ def train_toxicity_model(
 ) -> ToxicityModel | None:
     """Fit on the rows where ``learn`` holds; ``labels`` says which of them are toxic.
 
-    An id that is labelled twice is toxic if one label says so. The class prior is the
-    toxic share of the labelled rows unless given.
+    ``learn`` may use the id alone and holds for both tables. An id that is labelled
+    twice is toxic if one label says so. Of the toxic ids, at most about ``positives``
+    are used, chosen by a hash, so that they can be sent to the texts and no text is
+    shuffled. The class prior is the toxic share of the labelled ids unless given.
     """
-    marks = labels.where(F.col(f"`{toxic}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull())
+    marks = labels.where(learn & F.col(f"`{toxic}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull())
     marks = marks.groupBy(F.col(f"`{doc_id}`").alias("_key")).agg(F.max(F.col(f"`{toxic}`").cast("int")).alias("_label"))
+    n_labelled, n_toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("_label").cast("long")), F.lit(0))).first()
+    if not n_toxic:
+        return None
+    place = F.pmod(F.xxhash64("_key", F.lit(31)), F.lit(1_000_000)) / 1e6
+    chosen = marks.where((F.col("_label") == 1) & (place < min(1.0, positives / n_toxic)))
+    confirmed = F.broadcast(chosen.select("_key", F.lit(True).alias("_toxic")))  # bounded by ``positives``
+
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text")
-    rows = df.where(learn).select(F.col(f"`{doc_id}`").alias("_key"), body).join(marks, "_key", "left")
-    rows = rows.select("_text", F.col("_label"), (F.coalesce("_label", F.lit(0)) == 1).alias("_toxic"))
-    n, n_labelled, n_toxic = rows.agg(F.count(F.lit(1)), F.count("_label"), F.coalesce(F.sum(F.col("_toxic").cast("long")), F.lit(0))).first()
-    if not n_toxic or n == n_toxic:
+    rows = df.where(learn).select(F.col(f"`{doc_id}`").alias("_key"), body).join(confirmed, "_key", "left")
+    rows = rows.withColumn("_toxic", F.coalesce("_toxic", F.lit(False)))
+    n, n_confirmed = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("_toxic").cast("long")), F.lit(0))).first()
+    if not n_confirmed or n == n_confirmed:
         return None
     if prior is None:
         prior = n_toxic / n_labelled if n_labelled > n_toxic else PRIOR
     prior = min(max(prior, 1e-4), 0.9)
-    kept = {bucket: i for i, bucket in enumerate(telling_features(document_frequencies(rows), n_toxic, n))}
+    kept = {bucket: i for i, bucket in enumerate(telling_features(document_frequencies(rows), n_confirmed, n))}
     if not kept:
         return None
 
     # unlabelled text is all training text, with the toxic documents that it holds
-    place = F.pmod(F.xxhash64("_text", F.lit(31)), F.lit(1_000_000)) / 1e6
-    role = F.when(F.col("_toxic") & (place < min(1.0, positives / n_toxic)), 1).otherwise(0)
     also = (F.pmod(F.xxhash64("_text", F.lit(37)), F.lit(1_000_000)) / 1e6 < min(1.0, unlabelled / n)).cast("int")
-    sample = rows.select("_text", role.alias("_role"), also.alias("_also")).where("_role + _also > 0")
+    sample = rows.select("_text", F.col("_toxic").cast("int").alias("_role"), also.alias("_also")).where("_role + _also > 0")
 
     def run(batches):
         features = Features(kept)
