@@ -6,7 +6,7 @@ from signalloom.catalog import views as v
 from signalloom.catalog.core import VIEWS, query
 from signalloom.functions.scalars import sigmoid
 from signalloom.operators import distribution as dist, metrics as m
-from signalloom.operators.ordered import score_ladder
+from signalloom.operators.ordered import matched, score_ladder
 
 RATES = "tp:l fp:l fn:l tn:l precision:6 recall:6 f1:6"
 RATE_SQL = """coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
@@ -235,7 +235,7 @@ def r9_cls(spark, d):
 )
 def r10(spark, d):
     scores = v.scored(spark, d)
-    return m.ranking_metrics(scores, ["subject_id"]).join(m.confusion(scores, ["subject_id"]), "subject_id")
+    return matched(m.ranking_metrics(scores, ["subject_id"]), m.confusion(scores, ["subject_id"]), ["subject_id"])
 
 
 @query(
@@ -246,7 +246,7 @@ def r10(spark, d):
 )
 def r10_cls(spark, d):
     scores = v.classified(spark, d)
-    return m.ranking_metrics(scores, ["subject_id"]).join(m.confusion(scores, ["subject_id"]), "subject_id")
+    return matched(m.ranking_metrics(scores, ["subject_id"]), m.confusion(scores, ["subject_id"]), ["subject_id"])
 
 
 @query("r11_frozen_threshold", RATES, confusion_sql("v_frozen"))

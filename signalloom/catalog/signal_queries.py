@@ -17,12 +17,22 @@ def chunks(spark, d, size=CHUNK_SIZE):
 
 
 def fir_sql(taps, keep: str = "TRUE", position: str = "a.i", source: str = "v_signal", extra: str = "") -> str:
-    """A centred filter by definition; ``extra`` names a further key column such as ``ch``."""
+    """A centred filter by definition; ``extra`` names a further key column such as ``ch``.
+
+    Beyond its ends a recording is turned about its first and last sample.
+    """
     half = (len(taps) - 1) // 2
     more = f"a.{extra}, " if extra else ""
+    key = f"edf_id, {extra}" if extra else "edf_id"
     same = f" AND a.{extra} = b.{extra}" if extra else ""
+    wide = f"""(SELECT {key}, unnest([{{'i': i, 'v': v}},
+        CASE WHEN i BETWEEN 1 AND {half} THEN {{'i': -i, 'v': 2 * v0 - v}} END,
+        CASE WHEN i < n AND i >= n - {half} THEN {{'i': 2 * n - i, 'v': 2 * vn - v}} END]) AS s
+      FROM (SELECT *, max(i) OVER (PARTITION BY {key}) AS n, first_value(v) OVER w AS v0, last_value(v) OVER w AS vn FROM {source}
+        WINDOW w AS (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))"""
     return f"""SELECT a.subject_id, a.edf_id, {more}{position} AS i, sum(b.v * t.taps[{half} + 1 + a.i - b.i]) AS v
-    FROM {source} a JOIN {source} b ON a.edf_id = b.edf_id{same} AND abs(a.i - b.i) <= {half},
+    FROM {source} a JOIN (SELECT {key}, s.i AS i, s.v AS v FROM {wide} WHERE s IS NOT NULL) b
+      ON a.edf_id = b.edf_id{same} AND abs(a.i - b.i) <= {half},
       (SELECT {[float(t) for t in taps]!r} AS taps) t WHERE {keep} GROUP BY a.subject_id, a.edf_id, {more}a.i"""
 
 

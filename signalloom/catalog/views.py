@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from signalloom.catalog.core import VIEWS
 from signalloom.operators.events import true_events
 from signalloom.operators.ordered import numbered
-from signalloom.session import settle
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01, the start of every recording
 SUBJECTS = 15
@@ -109,11 +108,6 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks_of(predictions(spark, sf_dir))
 
 
-def stored_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The predictions as a written table, for queries that read them several times."""
-    return settle(predictions(spark, sf_dir), "predictions")
-
-
 VIEWS["v_true"] = """
 SELECT subject_id, edf_id, row_number() OVER (PARTITION BY subject_id, edf_id ORDER BY min(start_sec)) - 1 AS true_event_id,
   min(start_sec) AS start_sec, max(end_sec) AS end_sec

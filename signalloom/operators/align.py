@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from signalloom.operators.ordered import spread_join
+from signalloom.operators.ordered import matched
 
 WINDOW_KEY = ["subject_id", "edf_id", "window_index"]
 
@@ -55,7 +55,7 @@ def array_positions(windows: DataFrame, recordings: DataFrame) -> DataFrame:
     A window index outside its recording gives a NULL position.
     """
     inside = (F.col("window_index") >= 0) & (F.col("window_index") < F.col("n_windows"))
-    return spread_join(windows, recordings, ["subject_id", "edf_id"]).select(
+    return matched(windows, recordings, ["subject_id", "edf_id"]).select(
         *WINDOW_KEY, "file_id", F.when(inside, F.col("first_position") + F.col("window_index")).alias("position")
     )
 
@@ -93,17 +93,19 @@ def with_single_default(
 ) -> DataFrame:
     """Fill a missing ``value`` from the group's only candidate; stay NULL otherwise."""
     only = (
-        candidates.groupBy(F.col(candidate_group).alias(group))
+        candidates.where(F.col(candidate_group).isNotNull())
+        .groupBy(F.col(candidate_group).alias(group))
         .agg(F.count(F.lit(1)).alias("_n"), F.min(candidate_value).alias("_only"))
         .where("_n = 1")
         .drop("_n")
     )
-    return spread_join(rows, only, [group], "left").withColumn(value, F.coalesce(value, "_only")).drop("_only")
+    return matched(rows, only, [group], "left").withColumn(value, F.coalesce(value, "_only")).drop("_only")
 
 
 def lookup_ignoring_case(rows: DataFrame, table: DataFrame, group: str, name: str, how: str = "inner") -> DataFrame:
     """Join on ``(group, lower(name))``; ``table`` brings its own ``name`` as ``record_name``."""
-    keyed = table.select(F.col(group), F.col(name).alias("record_name"), F.lower(name).alias("_lower"))
+    named = table.where(F.col(name).isNotNull())
+    keyed = named.select(F.col(group), F.col(name).alias("record_name"), F.lower(name).alias("_lower"))
     if how == "left_anti":
         keyed = keyed.drop("record_name")
-    return spread_join(rows.withColumn("_lower", F.lower(name)), keyed, [group, "_lower"], how).drop("_lower")
+    return matched(rows.withColumn("_lower", F.lower(name)), keyed, [group, "_lower"], how).drop("_lower")

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from signalloom.operators.ordered import score_ladder
+from signalloom.operators.ordered import matched, score_ladder
 
 # The percentiles and cutoffs reported for scores.
 PERCENTILES = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -53,7 +53,10 @@ def describe(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"),
     )
-    return basic.join(exact_percentiles(df, groups, value, PERCENTILES), list(groups))
+    points = exact_percentiles(df, groups, value, PERCENTILES)
+    if not groups:
+        return basic.withColumn("_p", points.select(F.struct(*PERCENTILES)).scalar()).select("*", "_p.*").drop("_p")
+    return matched(basic, points, list(groups), "left")
 
 
 def exceedances(

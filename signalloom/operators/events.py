@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from signalloom.operators.distribution import exact_percentiles
 from signalloom.operators.intervals import BIN_SEC, merge_intervals, overlapping_pairs, time_bin
-from signalloom.operators.ordered import global_index, island_of_rows, islands, numbered, spread_join
-from signalloom.session import settle
+from signalloom.operators.ordered import global_index, island_of_rows, islands, matched, numbered
 
 KEYS = ["subject_id", "edf_id"]
 
@@ -16,6 +16,11 @@ MIN_GAP_SEC = 2.0
 GAP_SLACK_SEC = 1e-6
 
 
+def _check_gap(max_gap_sec: float) -> None:
+    if max_gap_sec < MIN_GAP_SEC:
+        raise ValueError("max_gap_sec must be at least the 2-second window step")
+
+
 def alarm_sessions(predictions: DataFrame, max_gap_sec: float = 4.0, chunk_sec: float = BIN_SEC) -> DataFrame:
     """Join the positive windows of a recording into events (no ids yet).
 
@@ -23,8 +28,7 @@ def alarm_sessions(predictions: DataFrame, max_gap_sec: float = 4.0, chunk_sec:
     start of the previous positive window. The detection time is the end of the
     event's first window.
     """
-    if max_gap_sec < MIN_GAP_SEC:
-        raise ValueError("max_gap_sec must be at least the 2-second window step")
+    _check_gap(max_gap_sec)
     positives = predictions.where(F.col("y_pred") == 1).select(*KEYS, "window_index", "start_sec", "end_sec")
     start = F.col("start_sec")
     return islands(
@@ -46,6 +50,7 @@ def session_of_windows(
     predictions: DataFrame, max_gap_sec: float = 4.0, chunk_sec: float = BIN_SEC
 ) -> DataFrame:
     """Each positive window with the start of the event it belongs to."""
+    _check_gap(max_gap_sec)
     start = F.col("start_sec")
     positives = predictions.where(F.col("y_pred") == 1).select(*KEYS, "window_index", "start_sec", "end_sec")
     return island_of_rows(
@@ -59,8 +64,7 @@ def with_event_ids(events: DataFrame, chunk_sec: float = BIN_SEC, out: str = "ev
 
 
 def predicted_events(predictions: DataFrame, max_gap_sec: float = 4.0, chunk_sec: float = BIN_SEC) -> DataFrame:
-    sessions = settle(alarm_sessions(predictions, max_gap_sec, chunk_sec), "sessions")
-    return with_event_ids(sessions, chunk_sec)
+    return with_event_ids(alarm_sessions(predictions, max_gap_sec, chunk_sec), chunk_sec)
 
 
 def recordings_of(df: DataFrame) -> DataFrame:
@@ -74,8 +78,8 @@ def true_events(annotations: DataFrame, predictions: DataFrame | None = None, ch
     With ``predictions``, only recordings that were scored are kept.
     """
     if predictions is not None:
-        annotations = spread_join(annotations, recordings_of(predictions), KEYS, "left_semi")
-    merged = settle(merge_intervals(annotations, KEYS, bin_sec=chunk_sec), "truth")
+        annotations = matched(annotations, recordings_of(predictions), KEYS, "left_semi")
+    merged = merge_intervals(annotations, KEYS, bin_sec=chunk_sec)
     return numbered(merged, KEYS, ["start_sec"], time_bin(F.col("start_sec"), chunk_sec), "true_event_id")
 
 
@@ -108,13 +112,13 @@ def match_events(events: DataFrame, truth: DataFrame, bin_sec: float = BIN_SEC)
     The first event (lowest id) that chose a true interval detects it; later
     ones are duplicates. Latency may be negative.
     """
-    best = settle(best_overlaps(events, truth, bin_sec), "overlaps")
-    first = best.groupBy(*KEYS, "true_event_id").agg(F.min("event_id").alias("_first_id"))
-    chosen = spread_join(best, first, [*KEYS, "true_event_id"])
+    # a window over the few events that one true interval meets
+    per_truth = Window.partitionBy(*KEYS, "true_event_id")
+    chosen = best_overlaps(events, truth, bin_sec).withColumn("_first_id", F.min("event_id").over(per_truth)).drop(*KEYS)
     hit = F.col("event_id") == F.col("_first_id")
     return (
         events.select(*KEYS, "event_id", "detection_sec")
-        .join(chosen, [*KEYS, "event_id"], "left")
+        .join(chosen, "event_id", "left")
         .select(
             *KEYS,
             F.col("event_id").alias("pred_event_id"),
@@ -139,7 +143,7 @@ def evaluated_spans(predictions: DataFrame) -> DataFrame:
 def clip_to_span(truth: DataFrame, spans: DataFrame) -> DataFrame:
     """True intervals cut to the evaluated span of their recording; empty ones dropped."""
     return (
-        spread_join(truth.select(*KEYS, "start_sec", "end_sec"), spans, KEYS)
+        matched(truth.select(*KEYS, "start_sec", "end_sec"), spans, KEYS)
         .select(
             *KEYS,
             F.greatest("start_sec", "eval_start").alias("start_sec"),
@@ -166,7 +170,7 @@ def negative_hours(
     )
     whole = F.greatest(F.col("eval_end") - F.col("eval_start"), F.lit(0.0))
     outside = F.greatest(whole - F.coalesce("_positive", F.lit(0.0)), F.lit(0.0)) / 3600.0
-    return spans.join(positive, KEYS, "left").select(*KEYS, outside.alias("negative_hours"))
+    return matched(spans, positive, KEYS, "left").select(*KEYS, outside.alias("negative_hours"))
 
 
 def event_metrics(

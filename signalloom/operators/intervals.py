@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalloom.operators.ordered import islands
+from signalloom.operators.ordered import islands, matched
 
 BIN_SEC = 3600.0
 
@@ -58,7 +58,7 @@ def label_windows(
     A window is looked up by the bin of its start alone: annotations are entered
     into every bin in which an overlapping window of at most ``max_window_sec``
     can start. So the wide window rows are neither copied nor re-aggregated; the
-    join only adds a flag (an existence join).
+    join only adds a flag (an existence join). A longer window is an error.
     """
     spread = annotations.select(
         *[F.col(k).alias(f"_a_{k}") for k in keys],
@@ -72,14 +72,17 @@ def label_windows(
     )
     # Names of the outer side must not occur inside the subquery.
     outer = {f"_w_{k}": F.col(k) for k in [*keys, "start_sec", "end_sec"]}
-    binned = windows.withColumns({**outer, "_w_bin": time_bin(F.col("start_sec"), bin_sec)})
+    too_long = F.col("end_sec") - F.col("start_sec") > F.lit(max_window_sec + 1e-9)
+    refused = F.raise_error(F.lit(f"a window is longer than max_window_sec = {max_window_sec}"))
+    home = F.when(too_long, refused).otherwise(time_bin(F.col("start_sec"), bin_sec))
+    binned = windows.withColumns({**outer, "_w_bin": home})
     hit = (
         (F.col("_a_bin") == F.col("_w_bin").outer())
         & (F.col("_a_start") < F.col("_w_end_sec").outer())
         & (F.col("_a_end") > F.col("_w_start_sec").outer())
     )
     for k in keys:
-        hit = hit & (F.col(f"_a_{k}") == F.col(f"_w_{k}").outer())
+        hit = hit & F.col(f"_a_{k}").eqNullSafe(F.col(f"_w_{k}").outer())
     return binned.withColumn(out, spread.where(hit).exists().cast("int")).drop(*outer, "_w_bin")
 
 
@@ -102,8 +105,7 @@ def overlapping_pairs(
 
     begin = F.greatest("start_sec", "true_start")
     return (
-        entered(left, "start_sec", "end_sec")
-        .join(entered(right, "true_start", "true_end"), [*keys, "_bin"])
+        matched(entered(left, "start_sec", "end_sec"), entered(right, "true_start", "true_end"), [*keys, "_bin"])
         .where((F.col("start_sec") < F.col("true_end")) & (F.col("true_start") < F.col("end_sec")))
         .where(F.col("_bin") == time_bin(begin, bin_sec))
         .drop("_bin")

@@ -71,13 +71,13 @@ def threshold_sweep(
     steps = F.array(*[F.lit(float(t)) for t in grid])
     placed = with_steps_reached(df.select(*groups, truth, score), F.col(score).cast("double"), steps, top, "_step")
     at = placed.groupBy(*groups, "_step").agg(
-        F.sum(F.col(truth).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n")
+        F.coalesce(F.sum(F.col(truth).cast("long")), F.lit(0)).alias("_p"), F.count(F.lit(1)).alias("_n")
     )
     # One row per group: a vector of counts per step, at most len(grid) + 1 long.
     held = at.groupBy(*groups).agg(
         F.map_from_entries(F.collect_list(F.struct("_step", F.struct("_p", "_n")))).alias("_at"),
-        F.sum("_p").alias("_all_p"),
-        F.sum("_n").alias("_all_n"),
+        F.coalesce(F.sum("_p"), F.lit(0)).alias("_all_p"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("_all_n"),
     )
     rows = held.select(*groups, "_at", "_all_p", "_all_n", F.posexplode(steps))
     per_step = rows.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from signalloom.functions.scalars import canonical_channel, canonical_electrode
-from signalloom.operators.ordered import spread_join
+from signalloom.operators.ordered import matched
 
 KEYS = ["subject_id", "edf_id"]
 
@@ -82,7 +82,7 @@ def against_first_recording(recordings: DataFrame) -> DataFrame:
     Another channel count means ``skip``; other names only ``warn``.
     """
     first = recordings.groupBy("subject_id").agg(F.min_by("names", "edf_id").alias("_ref"))
-    return spread_join(recordings, first, ["subject_id"]).select(
+    return matched(recordings, first, ["subject_id"]).select(
         *KEYS,
         F.when(F.size("names") != F.size("_ref"), "skip")
         .when(F.col("names") != F.col("_ref"), "warn")

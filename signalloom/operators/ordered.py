@@ -14,14 +14,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window, WindowSpec
 
-from signalloom.session import settle
-
 CHUNK = "_chunk"
+#: Keys and chunk as one struct. Structs compare their fields NULL-safely, so rows
+#: whose key or chunk is NULL stay together and are joined like any others.
+PLACE = "_chunk_place"
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
 
-def _over(keys: Sequence[str], *order: Column | str) -> WindowSpec:
+def _over(keys: Sequence[str | Column], *order: Column | str) -> WindowSpec:
     spec = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     return spec.orderBy(*order)
 
@@ -35,45 +36,50 @@ def cut(rows: DataFrame, keys: Sequence[str], chunk: str = CHUNK) -> DataFrame:
     return rows.repartition(*keys, chunk)
 
 
-def spread_join(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", copies: int = 32
-) -> DataFrame:
-    """Join many rows per key to a table with about one row per key.
+def matched(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL; the keys of ``rows`` stay.
 
-    Each table row is copied under every salt and each row carries one salt
-    (a hash of its plain columns), so a hot key meets in ``copies`` tasks and the
-    result is not gathered by ``keys``.
+    The keys are joined as one struct. Both sides are therefore shuffled for the
+    join itself, so that adaptive execution can split the partitions of a hot key.
     """
-    plain = [f.name for f in rows.schema if isinstance(f.dataType, T.AtomicType)]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(copies)).cast("int"))
-    copied = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    left = rows.withColumn("_match", F.struct(*[F.col(k).alias(k) for k in keys]))
+    right = table.withColumn("_match", F.struct(*[F.col(k).cast(kinds[k]).alias(k) for k in keys])).drop(*keys)
+    return left.join(right, "_match", how).drop("_match")
+
+
+def _placed(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    return df.withColumn(CHUNK, chunk).withColumn(PLACE, F.struct(*keys, CHUNK))
+
+
+def _by_key(keys: Sequence[str], *order: Column) -> WindowSpec:
+    """Windows over one row per place, inside a key."""
+    return _over([F.col(PLACE)[k] for k in keys], *order)
 
 
 def prefix_totals(
-    df: DataFrame,
+    rows: DataFrame,
     keys: Sequence[str],
-    chunk: str,
     totals: Mapping[str, Column],
     *,
     how=F.sum,
     descending: bool = False,
     whole: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row per ``(keys, chunk)``: each total taken over all *earlier* chunks.
+    """One row per place: each total taken over all *earlier* chunks of the key.
 
     ``totals`` maps an output name to an aggregate over the rows of one chunk;
     ``how`` folds those over the earlier chunks. ``whole`` maps further output
     names to totals that are wanted over all chunks of the key. The windows here
     run over one row per chunk, not over the data.
     """
-    summary = df.groupBy(*keys, chunk).agg(*[c.alias(n) for n, c in totals.items()])
-    order = F.col(chunk).desc() if descending else F.col(chunk).asc()
-    earlier = _over(keys, order).rowsBetween(*BEFORE)
-    every = _over(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summary = rows.groupBy(PLACE).agg(*[c.alias(n) for n, c in totals.items()])
+    at = F.col(PLACE)[CHUNK]
+    order = at.desc() if descending else at.asc()
+    earlier = _by_key(keys, order).rowsBetween(*BEFORE)
+    every = _by_key(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return summary.select(
-        *keys,
-        chunk,
+        PLACE,
         *[how(n).over(earlier).alias(n) for n in totals],
         *[how(n).over(every).alias(out) for out, n in (whole or {}).items()],
     )
@@ -88,33 +94,36 @@ def numbered(
 ) -> DataFrame:
     """Exact 0-based position of each row in its key, in ``order``.
 
-    ``chunk`` must not decrease along ``order``.
+    ``chunk`` must not decrease along ``order``. Rows without a key form a key.
     """
-    rows = df.withColumn(CHUNK, chunk)
-    offsets = prefix_totals(rows, keys, CHUNK, {"_offset": F.count(F.lit(1))})
-    local = F.row_number().over(_over([*keys, CHUNK], *order)) - 1
+    rows = _placed(df, keys, chunk)
+    offsets = prefix_totals(rows, keys, {"_offset": F.count(F.lit(1))})
+    local = F.row_number().over(_over([PLACE], *order)) - 1
     return (
-        cut(rows, keys).withColumn("_local", local)
-        .join(offsets, [*keys, CHUNK], "left")  # rows without a key stay, numbered by chunk
+        rows.repartition(PLACE).withColumn("_local", local)
+        .join(offsets, PLACE)
         .withColumn(out, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long"))
-        .drop(CHUNK, "_local", "_offset")
+        .drop(CHUNK, PLACE, "_local", "_offset")
     )
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], chunk: Column, out: str
+    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], chunk: Column, out: str, first: str | None = None
 ) -> DataFrame:
-    """``lag(value)`` inside a key: the last row of the chunk before is carried over."""
-    rows = df.withColumn(CHUNK, chunk)
+    """``lag(value)`` inside a key: the last row of the chunk before is carried over.
+
+    ``first`` names a flag for rows without any row before them, which a NULL value
+    of the row before does not tell.
+    """
+    rows = _placed(df, keys, chunk)
     newest = F.max_by(F.struct(value), F.struct(*order))
-    carried = prefix_totals(rows, keys, CHUNK, {"_carried": newest}, how=lambda c: F.last(c, True))
-    local = F.lag(F.struct(value)).over(_over([*keys, CHUNK], *order))
-    return (
-        cut(rows, keys).withColumn("_local", local)
-        .join(carried, [*keys, CHUNK], "left")
-        .withColumn(out, F.coalesce("_local", "_carried")[value])
-        .drop(CHUNK, "_local", "_carried")
-    )
+    carried = prefix_totals(rows, keys, {"_carried": newest}, how=lambda c: F.last(c, True))
+    local = F.lag(F.struct(value)).over(_over([PLACE], *order))
+    found = rows.repartition(PLACE).withColumn("_local", local).join(carried, PLACE)
+    before = F.coalesce("_local", "_carried")
+    if first:
+        found = found.withColumn(first, before.isNull())
+    return found.withColumn(out, before[value]).drop(CHUNK, PLACE, "_local", "_carried")
 
 
 def first_per_group(
@@ -135,38 +144,41 @@ def first_per_group(
 def global_index(
     df: DataFrame, levels: Sequence[str], order: Sequence[str], chunk: Column, out: str
 ) -> DataFrame:
-    """0-based position of each row in the order ``(*levels, *order)``.
+    """0-based position of each row in the order ``(*levels, *order)``, NULLs first.
 
-    Offsets are summed level by level (rows before this subject, before this
-    recording in the subject, before this chunk in the recording), so the only
-    window without a key runs over one row per first-level value.
+    Offsets inside the first level come from a window over one row per chunk of
+    that level's value (all recordings of a subject in one task, as counts only);
+    the only window without a key runs over one row per first-level value.
     """
-    rows = df.withColumn(CHUNK, chunk)
-    path = [*levels, CHUNK]
-    counts = rows.groupBy(*path).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts
-    for depth in range(len(path)):
-        upto, above = path[: depth + 1], path[:depth]
-        level = counts.groupBy(*upto).agg(F.sum("_n").alias("_m"))
-        w = _over(above, path[depth]).rowsBetween(*BEFORE)
-        level = level.select(*upto, F.coalesce(F.sum("_m").over(w), F.lit(0)).alias(f"_o{depth}"))
-        offsets = offsets.join(level, upto)
-    offset = sum((F.col(f"_o{d}") for d in range(len(path))), F.lit(0))
-    local = F.row_number().over(_over(path, *order)) - 1
+    rows = _placed(df, levels, chunk)
+    counts = rows.groupBy(PLACE).agg(F.count(F.lit(1)).alias("_n"))
+    at = [F.col(PLACE)[c] for c in [*levels, CHUNK]]
+    inside = _over(at[:1], *at[1:]).rowsBetween(*BEFORE)
+    firsts = counts.groupBy(F.struct(at[0]).alias("_first")).agg(F.sum("_n").alias("_m"))
+    above = Window.partitionBy(F.lit(0)).orderBy("_first").rowsBetween(*BEFORE)
+    firsts = firsts.select("_first", F.coalesce(F.sum("_m").over(above), F.lit(0)).alias("_above"))
+    offsets = (
+        counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+        .withColumn("_first", F.struct(at[0]))
+        .join(firsts, "_first")
+        .select(PLACE, (F.col("_inside") + F.col("_above")).alias("_offset"))
+    )
+    local = F.row_number().over(_over([PLACE], *order)) - 1
     return (
-        cut(rows, levels).withColumn("_local", local)
-        .join(offsets.select(*path, offset.alias("_offset")), path)
+        rows.repartition(PLACE).withColumn("_local", local)
+        .join(offsets, PLACE)
         .withColumn(out, (F.col("_offset") + F.col("_local")).cast("long"))
-        .drop(CHUNK, "_local", "_offset")
+        .drop(CHUNK, PLACE, "_local", "_offset")
     )
 
 
 def _local_heads(df: DataFrame, keys: Sequence[str], start: Column, reach: Column, chunk: Column) -> DataFrame:
     """Rows with ``_head``: the start of their island as seen inside their chunk."""
-    w = _over([*keys, CHUNK], "_start")
+    w = _over([PLACE], "_start")
     seen = F.col("_seen")
     return (
-        cut(df.withColumn(CHUNK, chunk), keys)
+        _placed(df, keys, chunk)
+        .repartition(PLACE)
         .withColumn("_start", start)
         .withColumn("_reach", reach)
         .withColumn("_seen", F.max("_reach").over(w.rowsBetween(*BEFORE)))
@@ -177,15 +189,21 @@ def _local_heads(df: DataFrame, keys: Sequence[str], start: Column, reach: Colum
 
 
 def _linked(local: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Replace the head of an island that continues one of an earlier chunk."""
-    at = [*keys, CHUNK]
-    reached = prefix_totals(local, keys, CHUNK, {"_carry": F.max("_reach")}, how=F.max)
-    opened = local.join(reached, at).withColumn(
-        "_opens", F.when(F.col("_carry").isNull() | (F.col("_head") > F.col("_carry")), F.col("_head"))
+    """``_island``: the head of the whole island, which may have opened in an earlier chunk.
+
+    A head stands for itself unless an earlier chunk reaches it. Heads grow, so the
+    island it then continues is the last one that any earlier chunk opened.
+    """
+    summary = local.groupBy(PLACE).agg(F.max("_reach").alias("_r"), F.max("_head").alias("_h"))
+    earlier = _by_key(keys, F.col(PLACE)[CHUNK].asc()).rowsBetween(*BEFORE)
+    opened = F.when(F.col("_carry").isNull() | (F.col("_h") > F.col("_carry")), F.col("_h"))
+    carries = (
+        summary.withColumn("_carry", F.max("_r").over(earlier))
+        .withColumn("_from", F.max(opened).over(earlier))
+        .select(PLACE, "_carry", "_from")
     )
-    # Heads grow from chunk to chunk, so the one opened last is the largest.
-    source = prefix_totals(opened, keys, CHUNK, {"_from": F.max("_opens")}, how=F.max)
-    return opened.join(source, at).withColumn("_island", F.coalesce("_opens", "_from"))
+    own = F.col("_carry").isNull() | (F.col("_head") > F.col("_carry"))
+    return local.join(carries, PLACE).withColumn("_island", F.when(own, F.col("_head")).otherwise(F.col("_from")))
 
 
 def islands(
@@ -201,16 +219,17 @@ def islands(
 
     ``folds`` maps an output column to ``(fold, column)``, where the fold is an
     aggregate that can be applied to its own results (min, max, sum). Islands
-    are first formed inside a chunk; only those are linked across chunks.
+    are first formed inside a chunk; only those are linked across chunks. Rows
+    without a start or a reach are no intervals and are left out.
     """
     local = (
-        _local_heads(df, keys, start, reach, chunk)
-        .groupBy(*keys, CHUNK, "_head")
+        _local_heads(df.where(start.isNotNull() & reach.isNotNull()), keys, start, reach, chunk)
+        .groupBy(PLACE, "_head")
         .agg(F.max("_reach").alias("_reach"), *[fold(col).alias(n) for n, (fold, col) in folds.items()])
     )
     return (
-        _linked(settle(local, "islands"), keys)
-        .groupBy(*keys, "_island")
+        _linked(local, keys)
+        .groupBy(*[F.col(PLACE)[k].alias(k) for k in keys], "_island")
         .agg(*[fold(n).alias(n) for n, (fold, _) in folds.items()])
         .drop("_island")
     )
@@ -220,10 +239,10 @@ def island_of_rows(
     df: DataFrame, keys: Sequence[str], start: Column, reach: Column, chunk: Column, out: str
 ) -> DataFrame:
     """Each row with the start of its island (see :func:`islands`)."""
-    rows = _local_heads(df, keys, start, reach, chunk)
-    local = rows.groupBy(*keys, CHUNK, "_head").agg(F.max("_reach").alias("_reach"))
-    linked = _linked(settle(local, "islands"), keys).select(*keys, CHUNK, "_head", F.col("_island").alias(out))
-    return rows.join(linked, [*keys, CHUNK, "_head"]).drop(CHUNK, "_head", "_start", "_reach")
+    rows = _linked(_local_heads(df.where(start.isNotNull() & reach.isNotNull()), keys, start, reach, chunk), keys)
+    return rows.withColumn(out, F.col("_island")).drop(
+        CHUNK, PLACE, "_head", "_start", "_reach", "_carry", "_from", "_island"
+    )
 
 
 def with_halo(df: DataFrame, position: str, size: int, behind: int, ahead: int = 0) -> DataFrame:
@@ -281,29 +300,26 @@ def score_ladder(
     or above it; ``n_all``, ``positives_all`` of the group. Scores are counted
     first (map-side combined), then cut at approximate quantiles of the
     *distinct* scores, so that neither ties nor crowded score ranges end up in
-    one task. The cut points move work between tasks, never the result.
+    one task. The cut points move work between tasks, never the result; they are one
+    scalar subquery, which both branches of the plan share. A NULL score is the lowest.
     """
     positive = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
     counts = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"), positive.alias("positives"))
-    counts = settle(counts, "scores")
     points = F.expr(f"array({', '.join(f'{i / cells}D' for i in range(1, cells))})")
     cuts = counts.agg(F.percentile_approx(score, points, F.lit(10 * cells)).alias("_cuts"))
-    celled = (
-        counts.withColumn("_cuts", cuts.scalar())
-        .withColumn("_cell", _cell_of(F.col("_cuts"), F.col(score), cells))
-        .drop("_cuts")
-    )
+    celled = _placed(
+        counts.withColumn("_cuts", cuts.scalar()), groups, _cell_of(F.col("_cuts"), F.col(score), cells)
+    ).drop("_cuts")
     above = prefix_totals(
         celled,
         groups,
-        "_cell",
         {"_n": F.sum("n"), "_p": F.sum("positives")},
         descending=True,
         whole={"n_all": "_n", "positives_all": "_p"},
     )
-    w = _over([*groups, "_cell"], F.col(score).desc()).rowsBetween(*UP_TO)
-    rows = celled.withColumn("_ln", F.sum("n").over(w)).withColumn("_lp", F.sum("positives").over(w))
-    return rows.join(above, [*groups, "_cell"]).select(
+    w = _over([PLACE], F.col(score).desc()).rowsBetween(*UP_TO)
+    rows = celled.repartition(PLACE).withColumn("_ln", F.sum("n").over(w)).withColumn("_lp", F.sum("positives").over(w))
+    return rows.join(above, PLACE).select(
         *groups,
         score,
         "n",

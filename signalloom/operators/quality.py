@@ -135,8 +135,8 @@ def block_breaks(
 
     ``contiguous`` is 1 iff every value forms one block.
     """
-    lagged = previous_value(df, keys, value, order, chunk, "_before")
-    fresh = F.col("_before").isNull() | (F.col("_before") != F.col(value))
+    lagged = previous_value(df, keys, value, order, chunk, "_before", first="_first")
+    fresh = F.col("_first") | ~F.col("_before").eqNullSafe(F.col(value))
     return (
         lagged.groupBy(*keys, value)
         .agg(F.count_if(fresh).alias("_blocks"))
@@ -150,7 +150,7 @@ def index_gaps(df: DataFrame, keys: Sequence[str], index: str, chunk_size: int =
     """Per key: rows whose ``index`` differs from their position (0, 1, 2, ...)."""
     placed = numbered(df, keys, [index], F.floor(F.col(index) / chunk_size), "_position")
     return placed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_position") != F.col(index)).alias("misplaced")
+        F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("_position").eqNullSafe(F.col(index))).alias("misplaced")
     )
 
 

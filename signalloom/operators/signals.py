@@ -15,11 +15,19 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from signalloom.functions.scalars import array_mean, array_var
-from signalloom.operators.ordered import CHUNK, cut, spread_join, with_halo
+from signalloom.operators.ordered import CHUNK, cut, matched, with_halo
 
 
 def to_chunks(samples: DataFrame, keys: Sequence[str], position: str, value: str, size: int) -> DataFrame:
-    """Pack samples into arrays of at most ``size`` consecutive positions."""
+    """Pack samples into arrays of at most ``size`` consecutive positions.
+
+    A chunk must begin at a multiple of ``size`` and hold every position up to its
+    last one; positions may only be missing at its end, where a gap or the end of the
+    recording begins. Anything else is an error, since arrays would close it up.
+    """
+    first, n = F.element_at("_s", 1)[position], F.size("_s")
+    whole = (first == F.col("chunk_id") * size) & (F.element_at("_s", -1)[position] - first + 1 == n)
+    refused = F.raise_error(F.lit("samples are missing inside a chunk; make_windows takes such signals"))
     return (
         samples.select(*keys, F.floor(F.col(position) / size).alias("chunk_id"), position, value)
         .groupBy(*keys, "chunk_id")
@@ -28,7 +36,7 @@ def to_chunks(samples: DataFrame, keys: Sequence[str], position: str, value: str
             *keys,
             "chunk_id",
             F.element_at("_s", 1)[position].alias("first_position"),
-            F.transform("_s", lambda s: s["v"]).alias("samples"),
+            F.when(whole, F.transform("_s", lambda s: s["v"])).otherwise(refused).alias("samples"),
         )
     )
 
@@ -38,13 +46,15 @@ def to_samples(chunks: DataFrame, keys: Sequence[str], position: str = "i", valu
     return rows.select(*keys, (F.col("first_position") + F.col("_k")).alias(position), value)
 
 
-def with_borders(chunks: DataFrame, keys: Sequence[str], behind: int, ahead: int) -> DataFrame:
+def with_borders(chunks: DataFrame, keys: Sequence[str], chunk_size: int, behind: int, ahead: int) -> DataFrame:
     """Add ``before``/``after``: the neighbouring samples of each chunk.
 
     Each chunk sends its tail to the next and its head to the previous chunk;
-    one shuffle brings the pieces together, and the input is read once. Chunks
-    may not be shorter than a border, the last one of a recording excepted.
+    one shuffle brings the pieces together, and the input is read once. A chunk
+    shorter than ``chunk_size`` is followed by a gap or by nothing: it has no
+    ``after`` and sends no tail.
     """
+    full = F.size("samples") == chunk_size
     none = F.lit(None).cast("array<double>")
     own = F.struct(
         F.col("chunk_id").alias("to"),
@@ -65,8 +75,9 @@ def with_borders(chunks: DataFrame, keys: Sequence[str], behind: int, ahead: int
 
     pieces = [own]
     if behind:
-        size = F.size("samples")
-        tail = F.when(size > behind, F.slice("samples", size - behind + 1, behind)).otherwise(F.col("samples"))
+        if behind > chunk_size:
+            raise ValueError("chunks must hold at least the border")
+        tail = F.when(full, F.slice("samples", chunk_size - behind + 1, behind))
         pieces.append(border(F.col("chunk_id") + 1, tail, none))
     if ahead:
         pieces.append(border(F.col("chunk_id") - 1, none, F.slice("samples", 1, ahead)))
@@ -83,42 +94,77 @@ def with_borders(chunks: DataFrame, keys: Sequence[str], behind: int, ahead: int
         )
         .where(F.col("samples").isNotNull())
         .withColumn("before", F.coalesce("before", nothing))
-        .withColumn("after", F.coalesce("after", nothing))
+        .withColumn("after", F.coalesce(F.when(full, F.col("after")), nothing))
     )
 
 
-def _chain(stages: Sequence[tuple[Sequence[float], int]]):
+def reflected(x: np.ndarray, half: int, at_start: bool, at_end: bool) -> np.ndarray:
+    """``half`` more samples on either side: turned about the end sample at the ends of
+    a recording as far as it reaches, zeros beyond that and at a cut edge."""
+    out = np.zeros(len(x) + 2 * half)
+    out[half : half + len(x)] = x
+    n = min(half, len(x) - 1)
+    if n > 0 and at_start:
+        out[half - n : half] = 2 * x[0] - x[n:0:-1]
+    if n > 0 and at_end:
+        out[half + len(x) : half + len(x) + n] = 2 * x[-1] - x[-2 : -2 - n : -1]
+    return out
+
+
+FILTERED = "samples array<double>, n long, mean double, squares double"
+
+
+def _chain(stages: Sequence[tuple[Sequence[float], int]], border: int):
     kernels = [(np.asarray(taps, dtype=np.float64), factor) for taps, factor in stages]
+    spectra: dict[tuple[int, int], np.ndarray] = {}
 
-    def centred(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    def centred(x: np.ndarray, stage: int, at_start: bool, at_end: bool) -> np.ndarray:
+        kernel = kernels[stage][0]
         half = (len(kernel) - 1) // 2
-        size = 1 << (len(x) + len(kernel) - 2).bit_length()
-        return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(kernel, size), size)[half : half + len(x)]
+        wide = reflected(x, half, at_start, at_end)
+        size = 1 << (len(wide) + len(kernel) - 2).bit_length()
+        if (stage, size) not in spectra:
+            spectra[stage, size] = np.fft.rfft(kernel, size)
+        return np.fft.irfft(np.fft.rfft(wide, size) * spectra[stage, size], size)[2 * half : 2 * half + len(x)]
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    @F.arrow_udf(FILTERED)
     def apply(before: pa.Array, samples: pa.Array, after: pa.Array) -> pa.Array:
-        out = []
+        out, moments = [], []
         for parts in zip(before, samples, after):
             left, mid, right = (p.values.to_numpy(zero_copy_only=False) for p in parts)
             x, start, stop = np.concatenate((left, mid, right)), len(left), len(left) + len(mid)
-            for kernel, factor in kernels:
-                # Errors of a cut edge reach half a kernel inwards; the border holds them.
-                x = centred(x, kernel)[::factor]
+            # Errors of a cut edge reach half a kernel inwards; the border holds them.
+            at_start, at_end = len(left) < border, len(right) < border
+            for stage, (_, factor) in enumerate(kernels):
+                x = centred(x, stage, at_start, at_end)[::factor]
                 start, stop = start // factor, -(-stop // factor)
-            out.append(x[start:stop])
-        return pa.array(out, type=pa.list_(pa.float64()))
+            own = x[start:stop]
+            out.append(own)
+            mean = float(own.mean()) if len(own) else 0.0
+            moments.append((len(own), mean, float(((own - mean) ** 2).sum())))
+        n, mean, squares = zip(*moments) if moments else ((), (), ())
+        arrays = [pa.array(out, pa.list_(pa.float64())), pa.array(n, pa.int64()), pa.array(mean, pa.float64()), pa.array(squares, pa.float64())]
+        return pa.StructArray.from_arrays(arrays, ["samples", "n", "mean", "squares"])
 
-    return apply
+    # evaluated once, whatever reads its fields
+    return apply.asNondeterministic()
 
 
 def filter_chain(
-    chunks: DataFrame, keys: Sequence[str], stages: Sequence[tuple[Sequence[float], int]], chunk_size: int
+    chunks: DataFrame,
+    keys: Sequence[str],
+    stages: Sequence[tuple[Sequence[float], int]],
+    chunk_size: int,
+    with_moments: bool = False,
 ) -> DataFrame:
     """Apply centred odd-length filters one after the other, each keeping every
     ``factor``-th sample: ``stages`` lists ``(taps, factor)``.
 
-    Zeros stand beyond the ends of a recording at every stage. The border of a
-    chunk covers all stages together, so the whole chain costs one shuffle.
+    At every stage a recording goes on beyond its ends as its reflection about the
+    end sample (``2 * end - x``), as far as it reaches, and as zeros from there. A gap
+    ends a recording. The border of a chunk covers all stages together, so the whole
+    chain costs one shuffle. ``with_moments`` keeps each chunk's count, mean and squared
+    deviation, which :func:`zscore_chunks` then need not work out again.
     """
     border, step = 0, 1
     for taps, factor in stages:
@@ -131,9 +177,10 @@ def filter_chain(
         raise ValueError("the chunk size must be a multiple of the factors")
     if border > chunk_size:
         raise ValueError(f"chunks must hold at least the border of {border} samples")
-    filtered = _chain(stages)("before", "samples", "after")
-    return with_borders(chunks, keys, border, border).select(
-        *keys, "chunk_id", (F.col("first_position") / step).cast("long").alias("first_position"), filtered.alias("samples")
+    filtered = _chain(stages, border)("before", "samples", "after")
+    moments = ["_f.n", "_f.mean", "_f.squares"] if with_moments else []
+    return with_borders(chunks, keys, chunk_size, border, border).withColumn("_f", filtered).select(
+        *keys, "chunk_id", (F.col("first_position") / step).cast("long").alias("first_position"), "_f.samples", *moments
     )
 
 
@@ -151,16 +198,37 @@ def filter_samples(
     out: str,
     chunk_size: int = 65_536,
 ) -> DataFrame:
-    """The same filter as a plain expression over samples, for short kernels."""
+    """The same filter as a plain expression over samples, for short kernels.
+
+    Positions begin at 0 and have no gaps. The reflections beyond an end are further
+    rows of the first and last chunk, made from the samples next to that end.
+    """
     half = (len(taps) - 1) // 2
-    spread = cut(with_halo(samples, position, chunk_size, behind=half, ahead=half), keys)
-    w = Window.partitionBy(*keys, CHUNK).orderBy(position)
+    ends = samples.groupBy(*keys).agg(F.max(position).alias("_last"))
+    at = F.col(position)
+    # the mirrored positions of a sample: about the first and about the last one
+    mirror = F.array_compact(
+        F.array(
+            F.struct(at.alias("_to"), F.lit(True).alias("_real")),
+            F.when((at > 0) & (at <= half), F.struct((-at).alias("_to"), F.lit(False).alias("_real"))),
+            F.when((at < F.col("_last")) & (at >= F.col("_last") - half),
+                   F.struct((2 * F.col("_last") - at).alias("_to"), F.lit(False).alias("_real"))),
+        )
+    )
+    edges = samples.select(*keys, at.alias("_at"), F.col(value).cast("double").alias("_edge"))
+    known = matched(samples, ends, keys)
+    known = matched(known, edges.where("_at = 0").drop("_at").withColumnRenamed("_edge", "_v0"), keys)
+    last = matched(edges, ends, keys).where("_at = _last").select(*keys, F.col("_edge").alias("_vn"))
+    rows = matched(known, last, keys).withColumn("_m", F.explode(mirror)).select("*", "_m._to", "_m._real").drop("_m")
+    turned = F.when(F.col("_real"), F.col(value)).when(F.col("_to") < 0, 2 * F.col("_v0") - F.col(value)).otherwise(2 * F.col("_vn") - F.col(value))
+    spread = cut(with_halo(rows.withColumn("_x", turned), "_to", chunk_size, behind=half, ahead=half), keys)
+    w = Window.partitionBy(*keys, CHUNK).orderBy("_to").rangeBetween
     total = F.lit(0.0)
     for k, tap in enumerate(taps):
         shift = half - k
-        moved = F.lag(value, shift).over(w) if shift > 0 else F.lead(value, -shift).over(w) if shift < 0 else F.col(value)
-        total = total + F.lit(float(tap)) * F.coalesce(moved, F.lit(0.0))
-    return spread.withColumn(out, total).where("_own").drop("_own", CHUNK)
+        total = total + F.lit(float(tap)) * F.coalesce(F.sum("_x").over(w(-shift, -shift)), F.lit(0.0))
+    kept = spread.withColumn(out, total).where(F.col("_own") & F.col("_real"))
+    return kept.drop("_own", CHUNK, "_to", "_real", "_x", "_v0", "_vn", "_last")
 
 
 def decimate_chunks(
@@ -173,28 +241,43 @@ def decimate_chunks(
 def zscore_chunks(chunks: DataFrame, keys: Sequence[str], offset: float = 1e-8) -> DataFrame:
     """``(x - mean) / (std + offset)`` per key, population std, over all its samples.
 
-    Count, mean and squared deviation are taken per chunk and combined; the
-    chunks are then joined with two numbers per key instead of being gathered.
+    Count, mean and squared deviation are taken per chunk (those of
+    :func:`filter_chain` are used if it left them) and combined; the chunks are then
+    joined with two numbers per key instead of being gathered. The chunks are read for
+    the moments and once more for the scaling: give a written table.
     """
+    given = {"n", "mean", "squares"} <= set(chunks.columns)
     n = F.size("samples")
-    parts = chunks.where(n > 0).select(
-        *keys, n.alias("_n"), array_mean(F.col("samples")).alias("_m"), array_var(F.col("samples")).alias("_v")
-    )
-    whole = parts.groupBy(*keys).agg(
-        (F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_mean"),
-        (F.sum(F.col("_n") * F.col("_v")) / F.sum("_n")).alias("_inside"),
-        (F.sum(F.col("_n") * F.col("_m") * F.col("_m")) / F.sum("_n")).alias("_square"),
-    )
-    between = F.greatest(F.col("_square") - F.col("_mean") * F.col("_mean"), F.lit(0.0))
-    scale = whole.select(*keys, "_mean", (F.sqrt(F.col("_inside") + between) + F.lit(offset)).alias("_scale"))
+    counted = [F.col("n"), F.col("mean"), F.col("squares")]
+    if not given:
+        counted = [n, array_mean(F.col("samples")), array_var(F.col("samples")) * n]
+    parts = chunks.select(*keys, *[c.alias(a) for c, a in zip(counted, ("_n", "_m", "_s"))]).where("_n > 0")
+    scale = _pooled(parts, keys).select(*keys, "_mean", (F.sqrt("_var") + F.lit(offset)).alias("_scale"))
     scaled = F.transform("samples", lambda x: (x - F.col("_mean")) / F.col("_scale"))
-    return spread_join(chunks, scale, keys).withColumn("samples", scaled).drop("_mean", "_scale")
+    return matched(chunks, scale, keys, "left").withColumn("samples", scaled).drop("_mean", "_scale", *(["n", "mean", "squares"] if given else []))
+
+
+def _pooled(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean and population variance from ``(_n, _m, _s)`` per part: count, mean, squared deviation.
+
+    Means are summed as distances from one of them, so that a large offset costs no digits.
+    """
+    near = matched(parts, parts.groupBy(*keys).agg(F.min("_m").alias("_base")), keys)
+    far, n = F.col("_m") - F.col("_base"), F.sum("_n")
+    sums = near.groupBy(*keys).agg(
+        F.max("_base").alias("_base"),
+        (F.sum(F.col("_n") * far) / n).alias("_shift"),
+        (F.sum(F.col("_n") * far * far) / n).alias("_square"),
+        (F.sum("_s") / n).alias("_inside"),
+    )
+    between = F.greatest(F.col("_square") - F.col("_shift") * F.col("_shift"), F.lit(0.0))
+    return sums.select(*keys, (F.col("_base") + F.col("_shift")).alias("_mean"), (F.col("_inside") + between).alias("_var"))
 
 
 def zscore_samples(samples: DataFrame, keys: Sequence[str], value: str, out: str, offset: float = 1e-8) -> DataFrame:
     stats = samples.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
     scaled = (F.col(value) - F.col("_mean")) / (F.col("_std") + F.lit(offset))
-    return spread_join(samples, stats, keys).withColumn(out, scaled).drop("_mean", "_std")
+    return matched(samples, stats, keys).withColumn(out, scaled).drop("_mean", "_std")
 
 
 def window_shape(rate: float, window_sec: float, overlap: float) -> tuple[int, int]:
@@ -249,7 +332,7 @@ def windows_from_chunks(
     length, step = window_shape(rate, window_sec, overlap)
     if chunk_size % step or chunk_size < length:
         raise ValueError("chunks must be a multiple of the step and hold a window")
-    joined = with_borders(chunks, keys, 0, length - step).withColumn("_x", F.concat("samples", "after"))
+    joined = with_borders(chunks, keys, chunk_size, 0, length - step).withColumn("_x", F.concat("samples", "after"))
     per_chunk = chunk_size // step
     cut = joined.withColumn("_w", F.explode(F.sequence(F.lit(0), F.lit(per_chunk - 1)))).where(
         F.col("_w") * step + length <= F.size("_x")

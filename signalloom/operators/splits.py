@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from signalloom.operators.ordered import first_per_group, numbered, spread_join
+from signalloom.operators.ordered import first_per_group, numbered, matched
 
 SPLITS = ("train", "validation", "test")
 
@@ -73,7 +73,7 @@ def subjects_only_in(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def rows_of_split(rows: DataFrame, assigned: DataFrame, split: str) -> DataFrame:
     chosen = assigned.where(F.col("split") == split).select("subject_id")
-    return spread_join(rows, chosen, ["subject_id"], "left_semi")
+    return matched(rows, chosen, ["subject_id"], "left_semi")
 
 
 def partition_totals(rows: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -111,13 +111,17 @@ def _class_counts(df: DataFrame, label: str) -> Column:
     return counts.agg(F.map_from_entries(F.collect_list(F.struct(label, "_n")))).scalar()
 
 
+def _both(value: Column) -> Column:
+    """``value``, or an error where one of the two classes is missing."""
+    return F.when(F.size("_counts") > 1, value).otherwise(F.raise_error(F.lit("only one class present")))
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Each row with ``1 / count(its class)``. Both classes must occur."""
     own = F.element_at("_counts", F.col(label))
-    several = F.size("_counts") > 1
     return (
         df.withColumn("_counts", _class_counts(df, label))
-        .withColumn("weight", F.when(several, 1.0 / own).otherwise(F.raise_error(F.lit("only one class present"))))
+        .withColumn("weight", _both(1.0 / own))
         .drop("_counts")
     )
 
@@ -127,7 +131,7 @@ def balanced_resample(df: DataFrame, key: Sequence[str], label: str = "label", s
 
     Each row stands for one draw: its digest picks a class and a position in
     that class. Positions are numbered in digest order, so the draw is an
-    equi-join and no task holds a class.
+    equi-join and no task holds a class. Both classes must occur.
     """
     digest = hash_key(*key, seed=seed)
     placed = numbered(
@@ -138,7 +142,7 @@ def balanced_resample(df: DataFrame, key: Sequence[str], label: str = "label", s
         .withColumn("_counts", _class_counts(df, label))
         .withColumn(label, (F.conv(F.substring("_h", 1, 1), 16, 10).cast("int") >= 8).cast("int"))
         .withColumn("_pick", F.conv(F.substring("_h", 2, 12), 16, 10).cast("long"))
-        .withColumn("_place", F.pmod(F.col("_pick"), F.element_at("_counts", F.col(label))))
+        .withColumn("_place", F.pmod(F.col("_pick"), _both(F.element_at("_counts", F.col(label)))))
         .select(*[f"draw_{k}" for k in key], label, "_place")
     )
     return draws.join(placed, [label, "_place"]).drop("_place")

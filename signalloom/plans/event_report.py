@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from signalloom.operators.events import event_metrics, match_events, predicted_events, true_events
-from signalloom.session import settle
 
 
 @dataclass(frozen=True)
@@ -39,10 +38,12 @@ class EventReport:
 def event_report(predictions: DataFrame, annotations: DataFrame, max_gap_sec: float = 4.0) -> EventReport:
     """Events, merged truth and matches of one prediction table.
 
-    The three are written once, as the metrics read each of them several times;
-    all are far smaller than the predictions.
+    Nothing runs before a result is asked for; the shuffles that the parts share are
+    run once. To read several results of a large table, write ``events`` and ``truth``
+    first and build the report of the written tables with :func:`report_of`.
     """
-    events = settle(predicted_events(predictions, max_gap_sec), "events")
-    truth = settle(true_events(annotations, predictions), "truth")
-    matches = settle(match_events(events, truth), "matches")
-    return EventReport(predictions, events, truth, matches)
+    return report_of(predictions, predicted_events(predictions, max_gap_sec), true_events(annotations, predictions))
+
+
+def report_of(predictions: DataFrame, events: DataFrame, truth: DataFrame) -> EventReport:
+    return EventReport(predictions, events, truth, match_events(events, truth))

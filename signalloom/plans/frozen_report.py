@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from signalloom.operators import metrics as m
-from signalloom.session import settle
+from signalloom.operators.ordered import matched
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,7 @@ def _judged(scores: DataFrame, groups: Sequence[str]) -> DataFrame:
     ranked = m.ranking_metrics(scores, groups)
     counted = m.confusion(scores, groups)
     if groups:
-        return ranked.join(counted, list(groups))
+        return matched(ranked, counted, list(groups))
     fields = ("tn", "fp", "fn", "tp", "precision", "recall", "f1")
     one = counted.select(F.struct(*fields).alias("c")).scalar()
     return ranked.withColumn("_c", one).select("*", *[F.col(f"_c.{f}").alias(f) for f in fields]).drop("_c")
@@ -31,7 +31,7 @@ def _judged(scores: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def frozen_report(validation: DataFrame, test: DataFrame, grid: str = "finest") -> FrozenReport:
     """The threshold with the best validation F1 is applied to the test scores unchanged."""
-    sweep = settle(m.threshold_sweep(validation, m.threshold_grid(grid)), "sweep")
+    sweep = m.threshold_sweep(validation, m.threshold_grid(grid))
     chosen = m.best_threshold(sweep)
     judged = m.apply_frozen_threshold(test, chosen)
     return FrozenReport(sweep, chosen, _judged(judged, []), _judged(judged, ["subject_id"]))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from signalloom.functions import filters
 from signalloom.operators import montage, signals
 from signalloom.operators.intervals import label_windows
+from signalloom.session import settle
 
 REC = ["subject_id", "edf_id"]
 TRACE = [*REC, "channel_pos"]
@@ -33,13 +34,18 @@ class Recipe:
 
 
 def conditioned(chunks: DataFrame, recipe: Recipe = Recipe()) -> DataFrame:
-    """Decimate, remove line noise, band-pass (one shuffle in all) and normalise."""
+    """Decimate, remove line noise, band-pass (one shuffle in all) and normalise.
+
+    The filtered chunks are written once, with their moments: the normalisation reads
+    the moments alone, then the samples, and no filter is evaluated twice.
+    """
     stages = [
         (filters.antialias(recipe.source_rate, recipe.factor), recipe.factor),
         (filters.notch(recipe.notch_hz, recipe.rate), 1),
         (filters.bandpass(*recipe.pass_hz, recipe.rate), 1),
     ]
-    return signals.zscore_chunks(signals.filter_chain(chunks, TRACE, stages, recipe.chunk_size), TRACE)
+    filtered = signals.filter_chain(chunks, TRACE, stages, recipe.chunk_size, with_moments=True)
+    return signals.zscore_chunks(settle(filtered, "filtered"), TRACE)
 
 
 def recording_windows(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from signalloom.functions.scalars import clock_seconds, normalized_filename, stripped
 from signalloom.operators.align import lookup_ignoring_case, with_single_default
-from signalloom.operators.ordered import spread_join
+from signalloom.operators.ordered import matched
 
 # Markers and patterns of the two text formats.
 FILE_MARK = "File Name:"
@@ -93,7 +93,7 @@ def annotations_of(sections: DataFrame, recordings: DataFrame, suffix: str = ".e
             "end_sec",
         )
     )
-    return spread_join(listed, wanted, ["subject_id", "_file"]).select("subject_id", "edf_id", "start_sec", "end_sec")
+    return matched(listed, wanted, ["subject_id", "_file"]).select("subject_id", "edf_id", "start_sec", "end_sec")
 
 
 def seizure_blocks(texts: DataFrame, text: str = "value") -> DataFrame:

@@ -8,7 +8,7 @@ from signalloom.catalog import QUERIES, views as v
 from signalloom.functions import filters
 from signalloom.operators import metrics as m, signals as sg
 from signalloom.operators.intervals import label_windows
-from signalloom.operators.ordered import numbered, spread_join
+from signalloom.operators.ordered import matched, numbered
 
 
 def plan_of(df):
@@ -49,7 +49,7 @@ def test_row_windows_are_cut_into_chunks(spark):
     df = spark.range(10).selectExpr("'hot' AS k", "id AS t")
     plan = plan_of(numbered(df, ["k"], ["t"], F.floor(F.col("t") / 4), "n"))
     ranked = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)\)", plan)
-    assert ranked and all("_chunk" in spec for spec in ranked)
+    assert ranked and all("_chunk_place" in spec for spec in ranked)
 
 
 def test_labels_come_from_an_equi_join_that_keeps_rows_single(spark):
@@ -67,13 +67,31 @@ def test_chunks_are_cut_even_after_a_join_by_key(spark):
         plan = plan_of(numbered(joined, ["k"], ["t"], F.floor(F.col("t") / 4), "n"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert re.search(r"Exchange hashpartitioning\(k#\d+L?, _chunk#\d+L?, \d+\), REPARTITION_BY_COL", plan)
+    assert re.search(r"Exchange hashpartitioning\(_chunk_place#\d+L?, \d+\), REPARTITION_BY_COL", plan)
 
 
-def test_a_hot_key_is_joined_in_many_tasks(spark):
-    left = spark.range(1000).selectExpr("'hot' AS k", "id AS t")
-    table = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, x int")
+def test_a_match_copies_nothing_and_can_be_split(spark):
+    """Both sides are shuffled for the join itself, even one that is grouped by the key already."""
+    left = spark.range(1000).selectExpr("if(id % 10 = 0, NULL, 'hot') AS k", "id AS t")
+    table = spark.createDataFrame([("hot", 1), ("cold", 2), (None, 3)], "k string, x int")
     for how, n in (("inner", 1000), ("left", 1000), ("left_semi", 1000), ("left_anti", 0)):
-        assert spread_join(left, table, ["k"], how).count() == n
-    assert spread_join(left, table.where("k = 'cold'"), ["k"], "left").where("x IS NULL").count() == 1000
-    assert "_salt" in plan_of(spread_join(left, table, ["k"]))
+        assert matched(left, table, ["k"], how).count() == n
+    assert matched(left, table.where("k = 'cold'"), ["k"], "left").where("x IS NULL").count() == 1000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(matched(left, left.groupBy("k").count(), ["k"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Generate" not in plan and len(re.findall(r"hashpartitioning\(_match#\d+, \d+\), ENSURE_REQUIREMENTS", plan)) == 2
+
+
+def test_the_event_report_is_one_lazy_plan(spark, sf_dir):
+    from signalloom.catalog import QUERIES
+
+    tracker = spark.sparkContext.statusTracker()
+    jobs = len(tracker.getJobIdsForGroup())
+    names = ("entry_subject_alarms", "r13_event_metrics", "j4_event_match_join", "flow_frozen_report_by_subject")
+    for name in names:
+        QUERIES[name](spark, sf_dir)
+    # one for each query: the schema of the table that it reads
+    assert len(tracker.getJobIdsForGroup()) <= jobs + len(names)

@@ -25,8 +25,17 @@ def read(df, position="i", value="v"):
 
 
 def centred(x, taps):
+    """Convolution with both ends turned about the end sample, zeros beyond the reflection."""
     half = (len(taps) - 1) // 2
-    return np.convolve(x, taps)[half : half + len(x)]
+    wide = np.zeros(len(x) + 2 * half)
+    for k in range(-half, len(x) + half):
+        if 0 <= k < len(x):
+            wide[k + half] = x[k]
+        elif -len(x) < k < 0:
+            wide[k + half] = 2 * x[0] - x[-k]
+        elif len(x) <= k < 2 * len(x) - 1:
+            wide[k + half] = 2 * x[-1] - x[2 * (len(x) - 1) - k]
+    return np.convolve(wide, taps)[2 * half : 2 * half + len(x)]
 
 
 @pytest.mark.parametrize("size", [20, 64, 4096])
@@ -185,3 +194,48 @@ def test_cache_misses_by_key_and_by_shape(spark):
     assert ids(ft.missing_features(windows, cached, ["w"])) == [2, 3, 4]
     assert ids(ft.missing_features(windows, cached, ["w"], size=2)) == [1, 2, 3, 4]
     assert ids(ft.missing_features(windows, cached, ["w"], force=True)) == [0, 1, 2, 3, 4]
+
+
+def test_a_constant_offset_leaves_no_step_at_the_ends(spark):
+    df = spark.range(300).selectExpr("'r' AS rec", "id AS i", "5D AS v")
+    taps = filters.lowpass(32.0, 16.0, 128.0)
+    got = read(sg.to_samples(sg.filter_chunks(sg.to_chunks(df, REC, "i", "v", 64), REC, taps, 64), REC))["r"]
+    np.testing.assert_allclose(got, [5.0 * sum(taps)] * 300, atol=1e-9)
+
+
+def test_gaps_are_refused_inside_a_chunk_and_end_a_recording_between_chunks(spark):
+    def chunks(positions):
+        df = spark.createDataFrame([("r", i, float(i % 7)) for i in positions], "rec string, i long, v double")
+        return df, sg.to_chunks(df, REC, "i", "v", 16)
+
+    shape = {"rate": 2.0, "window_sec": 4.0, "overlap": 0.5}
+    for positions in ([*range(16), *range(20, 32)], [0, 1, 3, 4]):
+        with pytest.raises(Exception, match="samples are missing"):
+            chunks(positions)[1].collect()
+    whole = [*range(12), *range(16, 48)]  # the first chunk ends early
+    df, cut = chunks(whole)
+    got = {r["window_index"]: r["signal"] for r in sg.windows_from_chunks(cut, REC, 16, **shape).collect()}
+    assert got == {r["window_index"]: r["signal"] for r in sg.make_windows(df, REC, "i", "v", **shape).collect()}
+    taps = filters.lowpass(32.0, 16.0, 128.0)[2:-2]
+    half = (len(taps) - 1) // 2
+    assert half <= 16
+    found = read(sg.to_samples(sg.filter_chunks(cut, REC, taps, 16), REC))["r"]
+    apart = [np.array([float(i % 7) for i in part]) for part in (range(12), range(16, 48))]
+    np.testing.assert_allclose(found, np.concatenate([centred(x, taps) for x in apart]), atol=1e-12)
+
+
+def test_a_large_offset_costs_no_digits(spark):
+    x = 1e8 + np.random.default_rng(3).normal(size=64) * 1e-2
+    df = spark.createDataFrame([("r", i, float(v)) for i, v in enumerate(x)], "rec string, i long, v double")
+    got = read(sg.to_samples(sg.zscore_chunks(sg.to_chunks(df, REC, "i", "v", 8), REC), REC))["r"]
+    np.testing.assert_allclose(got, (x - x.mean()) / (x.std() + 1e-8), atol=1e-5)
+
+
+def test_moments_of_a_chain_are_those_of_its_samples(spark):
+    data, df = samples(spark, [700, 90])
+    taps = filters.lowpass(32.0, 16.0, 128.0)
+    made = sg.filter_chain(sg.to_chunks(df, REC, "i", "v", 64), REC, [(taps, 1)], 64, with_moments=True)
+    plain = read(sg.to_samples(sg.zscore_chunks(made.drop("n", "mean", "squares"), REC), REC))
+    given = read(sg.to_samples(sg.zscore_chunks(made, REC), REC))
+    for rec in data:
+        np.testing.assert_allclose(given[rec], plain[rec], atol=1e-9)
