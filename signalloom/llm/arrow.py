@@ -6,10 +6,11 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Text of one slice that is held as Python objects at a time.
-SLICE_BYTES = 4 << 20
+#: Text of one slice that is held as Python objects at a time, and of a batch sent to a worker.
+SLICE_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 
 #: A single blank between two ASCII letters or digits. No token of the byte-level
 #: splitting pattern reaches from a non-blank into a blank, so a text may be cut
@@ -27,6 +28,15 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts, F.lit(-1)).cast("int")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small: very long texts make a batch of many rows very large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]?)b?", spark.conf.get(key).lower()).groups()
+    now = int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit]
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``limit`` bytes of text each (one row at least)."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
@@ -53,6 +63,7 @@ def add_columns(
     a list of texts. Of the input, the columns in ``keep`` stay; one that bears
     the name of a new column gives way to it.
     """
+    small_batches(df.sparkSession)
     held = [c for c in keep if c not in fields]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for c in held for f in [df.schema[c]]),
                         *(f"`{n}` {t}" for n, t in fields.items())])

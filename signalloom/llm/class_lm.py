@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from signalloom.llm.arrow import column, slices
+from signalloom.llm.arrow import column, slices, small_batches
 from signalloom.session import settle
 
 #: Most words whose shares are sent to every worker, and most words that are clustered.
@@ -322,6 +322,7 @@ def score_texts(
     probability of the text with its end, ``perplexity`` that of a token.
     """
     spark = df.sparkSession
+    small_batches(spark)
     model, counts, totals = fit(spark, df.where(learn).select(_body(text)), head, clustered, k, rounds)
     shared = spark.sparkContext.broadcast(model)
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

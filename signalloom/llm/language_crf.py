@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalloom.llm.arrow import add_columns
+from signalloom.llm.arrow import add_columns, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
@@ -38,7 +38,7 @@ LANGUAGES = 200
 LEXICON_WORDS = 1500
 STEPS = 50
 #: Words whose emissions a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 
 def words_of(text: str) -> list[str]:
@@ -237,6 +237,7 @@ def train_language_model(
     sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "_lang").limit(languages).collect()
     if not sizes:
         return fit([])
+    small_batches(df.sparkSession)
     # shares as a constant: texts of one language are never gathered
     share = F.create_map(*[F.lit(x) for row in sizes for x in (row["_lang"], min(1.0, docs_per_language / row["n"]))])[F.col("_lang")]
     hashed = F.xxhash64(F.lit(3), "_text")

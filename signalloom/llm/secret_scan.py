@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalloom.llm.arrow import add_columns
+from signalloom.llm.arrow import add_columns, small_batches
 
 # The base rules and the least length of what they match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -141,6 +141,7 @@ def sample_of(df: DataFrame, key: Column, rows: int, bound: int) -> DataFrame:
 
 def train_secret_model(df: DataFrame, text: str = "text", sample_docs: int = 40_000, seeded: int = 2_000) -> SecretModel:
     """Both chains from about ``sample_docs`` documents, counted on the executors."""
+    small_batches(df.sparkSession)
     texts = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text_"))
     chosen = sample_of(texts, F.col("_text_"), texts.count(), sample_docs)
 

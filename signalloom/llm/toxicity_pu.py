@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalloom.llm.arrow import add_columns, column
+from signalloom.llm.arrow import add_columns, column, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 20
@@ -162,6 +162,7 @@ def train_toxicity_model(
     are used, chosen by a hash, so that they can be sent to the texts and no text is
     shuffled. The class prior is the toxic share of the labelled ids unless given.
     """
+    small_batches(df.sparkSession)
     marks = labels.where(learn & F.col(f"`{toxic}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull())
     marks = marks.groupBy(F.col(f"`{doc_id}`").alias("_key")).agg(F.max(F.col(f"`{toxic}`").cast("int")).alias("_label"))
     n_labelled, n_toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("_label").cast("long")), F.lit(0))).first()
