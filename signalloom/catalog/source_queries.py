@@ -67,14 +67,14 @@ def s2(spark, d):
     return notes.annotations_of(sections, recordings_of(v.scored(spark, d)))
 
 
-# One block per error event: patient and record from the user, times from the clock.
+# One block per event: patient and record from the user, times from the clock.
 VIEWS["v_block"] = """
 SELECT 'PN' || lpad(CAST(user_id % 15 AS VARCHAR), 2, '0') AS patient,
   CASE WHEN value < 5 THEN NULL WHEN value < 20 THEN 'pn' || lpad(CAST(user_id % 15 AS VARCHAR), 2, '0') || '-' || user_id || '.EDF'
     ELSE 'PN' || lpad(CAST(user_id % 15 AS VARCHAR), 2, '0') || '-' || user_id || '.edf' END AS filename,
   strftime(ts, '%H.%M.%S') AS start_time,
   CASE WHEN value > 100 THEN '24.00.00' ELSE strftime(ts + INTERVAL 1 MINUTE, '%H:%M:%S') END AS end_time
-FROM events WHERE event_type = 'error'"""
+FROM events"""
 
 
 def blocks(spark, d):
@@ -83,7 +83,6 @@ def blocks(spark, d):
     ts = F.col("ts").cast("timestamp")
     return (
         v.table(spark, d, "events")
-        .where("event_type = 'error'")
         .select(
             F.concat(F.lit("PN"), number).alias("patient"),
             F.when(F.col("value") < 5, None)
@@ -99,15 +98,11 @@ def blocks(spark, d):
     )
 
 
-BLOCKS_PER_FILE = 10_000
-
-
 def written_lists(spark, d):
-    """Lists of at most 10,000 blocks, each headed by its patient."""
-    part = F.floor(F.col("event_id") / BLOCKS_PER_FILE).cast("string")
+    """One list for each patient, headed by its name."""
     rows = blocks(spark, d).select(
         "patient",
-        F.concat_ws("-", "patient", part).alias("folder"),
+        F.col("patient").alias("folder"),
         "event_id",
         F.concat(
             F.lit("Seizure n "), F.col("event_id").cast("string"),
@@ -135,18 +130,18 @@ SECONDS_SQL = """SELECT *, CAST(start_time[1:2] AS BIGINT) * 3600 + CAST(start_t
 
 @query("s3_read_seizure_list", BLOCK, SECONDS_SQL)
 def s3(spark, d):
-    return notes.read_seizure_list(spark, written_lists(spark, d)).drop("folder")
+    return notes.read_seizure_list(spark, written_lists(spark, d))
 
 
 VIEWS["v_record"] = """
 SELECT DISTINCT 'PN' || lpad(CAST(user_id % 15 AS VARCHAR), 2, '0') AS subject,
-  'PN' || lpad(CAST(user_id % 15 AS VARCHAR), 2, '0') || '-' || user_id || '.edf' AS filename FROM events WHERE event_type = 'view'"""
+  'PN' || lpad(CAST(user_id % 15 AS VARCHAR), 2, '0') || '-' || user_id || '.edf' AS filename FROM events"""
 
 
 def written_records(spark, d):
     number = F.lpad((F.col("user_id") % 15).cast("string"), 2, "0")
     name = F.concat(F.lit("PN"), number)
-    users = v.table(spark, d, "events").where("event_type = 'view'").select("user_id").distinct()
+    users = v.table(spark, d, "events").select("user_id").distinct()
     lines = users.select(F.concat(name, F.lit("/"), name, F.lit("-"), F.col("user_id"), F.lit(".edf ")).alias("value"))
     noise = users.select(F.concat(F.lit("a/b/"), F.col("user_id")).alias("value"))
     blank = users.select(F.lit("  ").alias("value"))
@@ -438,12 +433,21 @@ def p8(spark, d):
     "p9_verify_permutation",
     "compared:l changed_signals:l changed_labels:l missing:l positives_before:l positives_after:l",
     """SELECT count(*) AS compared, 0 AS changed_signals, 0 AS changed_labels, 0 AS missing, sum(label) AS positives_before,
-      sum(label) AS positives_after FROM v_arr WHERE label < 5""",
+      sum(label) AS positives_after FROM v_arr""",
 )
 def p9(spark, d):
-    before = ordered_windows(spark, d).where("label < 5")
+    """Windows in the former order must be permuted, those in the target order untouched."""
+    before = ordered_windows(spark, d)
     after = mo.permute_channels(before, "order", ORDERS["former"], ORDERS["target"])
-    return mo.verify_permutation(before, after, ["window_id"], mo.permutation(ORDERS["former"], ORDERS["target"]))
+    counts = []
+    for name, order in ORDERS.items():
+        same = F.col("order") == texts(order)
+        counts.append(
+            mo.verify_permutation(before.where(same), after.join(before.where(same).select("window_id"), "window_id", "left_semi"),
+                                  ["window_id"], mo.permutation(order, ORDERS["target"]))
+        )
+    both = counts[0].unionByName(counts[1])
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 ELECTRODE_SQL = "CASE {0} WHEN 'T3' THEN 'T7' WHEN 'T4' THEN 'T8' WHEN 'T5' THEN 'P7' WHEN 'T6' THEN 'P8' ELSE {0} END"

@@ -105,11 +105,13 @@ def a15(spark, d):
     return s.side_by_side(v.runs(spark, d), "model", "seed", ["O", "F"], "metric")
 
 
+SUBJECTS = [f"s{i:02d}" for i in range(v.SUBJECTS)]
+
+
 @query(
     "a15_metrics_by_subject",
-    "metric s00:6 s01:6 s02:6",
-    """SELECT metric, max(value) FILTER (subject_id = 's00') AS s00, max(value) FILTER (subject_id = 's01') AS s01,
-      max(value) FILTER (subject_id = 's02') AS s02 FROM (
+    "metric " + " ".join(f"{name}:6" for name in SUBJECTS),
+    f"""SELECT metric, {', '.join(f"max(value) FILTER (subject_id = '{name}') AS {name}" for name in SUBJECTS)} FROM (
       SELECT subject_id, 'windows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM v_scored GROUP BY 1
       UNION ALL SELECT subject_id, 'positives', CAST(sum(y_true) AS DOUBLE) FROM v_scored GROUP BY 1
       UNION ALL SELECT subject_id, 'precision',
@@ -125,7 +127,7 @@ def a15_subject(spark, d):
         "precision",
     )
     rows = s.metrics_as_rows(counted, ["subject_id"], ["windows", "positives", "precision"])
-    return s.side_by_side(rows, "metric", "subject_id", ["s00", "s01", "s02"], "value")
+    return s.side_by_side(rows, "metric", "subject_id", SUBJECTS, "value")
 
 
 KIND_SQL = """SELECT subject_id, edf_id, max(label) AS has_positive,

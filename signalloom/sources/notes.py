@@ -17,6 +17,7 @@ PLAIN_END = r"Seizure End Time:\s*(\d+)\s*seconds"
 NUMBERED_START = r"Seizure \d+ Start Time:\s*(\d+)\s*seconds"
 NUMBERED_END = r"Seizure \d+ End Time:\s*(\d+)\s*seconds"
 PATIENT = r"(?m)^\s*(PN\d+)"
+BLOCK_MARK = "Seizure n"
 BLOCK = r"(?i)(?=Seizure\s+n\s*\d+)"
 IN_BLOCK = r"(?i)Seizure\s+n\s*\d+"
 BLOCK_FILE = r"(?i)File name:\s*(.+?)(?:\n|$)"
@@ -98,10 +99,13 @@ def annotations_of(sections: DataFrame, recordings: DataFrame, suffix: str = ".e
 
 def seizure_blocks(texts: DataFrame, text: str = "value") -> DataFrame:
     """Blocks of the second dataset's lists; blocks without both times are dropped."""
-    t = F.col(text)
-    blocks = texts.select(_first(t, PATIENT).alias("patient"), F.explode(F.split(t, BLOCK)).alias("_b")).where(
-        F.col("patient").isNotNull() & F.regexp_like("_b", F.lit(IN_BLOCK))
-    )
+    named = texts.select(_first(F.col(text), PATIENT).alias("patient"), F.col(text).alias("_text"))
+    return _blocks(named.where(F.col("patient").isNotNull()))
+
+
+def _blocks(named: DataFrame) -> DataFrame:
+    """Blocks of ``(patient, _text)``."""
+    blocks = named.select("patient", F.explode(F.split("_text", BLOCK)).alias("_b")).where(F.regexp_like("_b", F.lit(IN_BLOCK)))
     b = F.col("_b")
     return blocks.select(
         "patient",
@@ -114,8 +118,19 @@ def seizure_blocks(texts: DataFrame, text: str = "value") -> DataFrame:
 
 
 def read_seizure_list(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """One short list file per patient; the patient's name heads the file."""
-    return seizure_blocks(spark.read.text(paths, wholetext=True))
+    """List files of any length, each headed by its patient.
+
+    The usual beginning of a block is the record separator, so a file is read block by
+    block and may be split between tasks; blocks that are written differently are found
+    inside the pieces. The patient of a file is the first one named in it.
+    """
+    pieces = spark.read.option("lineSep", BLOCK_MARK).text(paths)
+    pieces = pieces.select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_order"))
+    # a piece that begins with a number has lost the separator before it
+    headed = F.when(F.regexp_like("value", F.lit(r"^\s*\d")), F.concat(F.lit(BLOCK_MARK), "value")).otherwise(F.col("value"))
+    pieces = pieces.withColumn("_text", headed).withColumn("patient", _first(headed, PATIENT))
+    first = pieces.where(F.col("patient").isNotNull()).groupBy("_file").agg(F.min_by("patient", "_order").alias("patient"))
+    return _blocks(matched(pieces.drop("patient"), first, ["_file"]))
 
 
 def read_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

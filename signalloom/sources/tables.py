@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from signalloom import schemas
-from signalloom.operators.quality import prediction_rules, require, require_columns, surplus, violations
+from signalloom.operators.quality import prediction_rules, require, require_columns, violations
 from signalloom.operators.splits import SPLITS
+from signalloom.plans.event_report import report_of
 from signalloom.session import settle
 
 KEY = ["subject_id", "edf_id", "window_index"]
@@ -16,18 +17,25 @@ ORDER = ["subject_id", "edf_id", "start_sec", "window_index"]
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """CSV files with a header that must name exactly the schema's columns.
+    """CSV files whose header names the schema's columns, in any order and among others.
 
-    The header of every file is compared with the schema while reading, so a
-    file with missing columns stops the job. Empty files add no rows.
+    A missing column is refused. All files must have the same header: each is compared
+    with it while reading, so that no column is taken for another. Empty files add no rows.
     """
-    return (
-        spark.read.schema(schema)
+    known = {f.name: f.dataType for f in schema.fields}
+    header = spark.read.option("header", True).csv(paths).columns
+    missing = sorted(set(known) - set(header))
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    wide = T.StructType([T.StructField(name, known.get(name, T.StringType())) for name in header])
+    rows = (
+        spark.read.schema(wide)
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .csv(paths)
     )
+    return rows.select(*known)
 
 
 def read_csv_or_reject(
@@ -55,17 +63,27 @@ def read_window_metadata(spark: SparkSession, paths: str | Sequence[str]) -> Dat
     return read_csv(spark, paths, schemas.WINDOW_METADATA)
 
 
+def prediction_violations(rows: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
+    """Violations of the prediction rules, of a unique key and of having rows at all.
+
+    One pass and one shuffle by the key: the rules are counted per key, and the keys
+    are summed up. ``more`` adds rules on further columns.
+    """
+    rules = {**prediction_rules(), **(more or {})}
+    broken = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()]
+    per_key = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), *broken)
+    total = per_key.agg(
+        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in rules],
+        F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("long").alias("not_empty"),
+        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("unique_key"),
+    )
+    return total.unpivot([], [*rules, "not_empty", "unique_key"], "constraint", "violations")
+
+
 def validated_predictions(rows: DataFrame) -> DataFrame:
     """Check the prediction rules, a unique key and that there are rows; return the rows."""
     require_columns(rows, schemas.PREDICTIONS.fieldNames()[1:])
-    rules = violations(rows, prediction_rules())
-    empty = rows.agg(F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("long").alias("violations"))
-    doubled = surplus(rows, KEY).select("violations")
-    require(
-        rules.unionByName(empty.select(F.lit("not_empty").alias("constraint"), "violations")).unionByName(
-            doubled.select(F.lit("unique_key").alias("constraint"), "violations")
-        )
-    )
+    require(prediction_violations(rows))
     return rows
 
 
@@ -83,18 +101,14 @@ def _joined_predictions(metadata: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def _check_and_write(joined: DataFrame, path: str) -> None:
-    require(
-        violations(
-            joined,
-            {
-                "known_window": F.col("_label").isNotNull(),
-                "label_matches": F.col("_label").isNull() | (F.col("_label") == F.col("y_true")),
-            },
-        )
-    )
+    own = {
+        "known_window": F.col("_label").isNotNull(),
+        "label_matches": F.col("_label").isNull() | (F.col("_label") == F.col("y_true")),
+    }
+    require(prediction_violations(joined, own))
     fields = schemas.PREDICTIONS.fields
     rows = joined.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
-    validated_predictions(rows).orderBy(*ORDER).write.mode("errorifexists").option("header", True).csv(path)
+    rows.orderBy(*ORDER).write.mode("errorifexists").option("header", True).csv(path)
 
 
 def write_window_predictions(metadata: DataFrame, scores: DataFrame, path: str) -> None:
@@ -172,11 +186,16 @@ def append_features(features: DataFrame, path: str, force: bool = False) -> None
 
 def write_scores(rows: DataFrame, path: str) -> None:
     """Continuous scores (y_true, logit, y_prob, subject_id) by model and split."""
-    rows.write.partitionBy("model", "split").mode("append").parquet(path)
+    rows.hint("rebalance", "model", "split").write.partitionBy("model", "split").mode("append").parquet(path)
 
 
 def write_event_report(report, path: str) -> None:
-    """Events, truth and matches as CSV folders, metrics as JSON."""
+    """Events, truth and matches as CSV folders, metrics as JSON.
+
+    Events and merged truth are written to the scratch folder first, as all four
+    results read them.
+    """
+    report = report_of(report.predictions, settle(report.events, "events"), settle(report.truth, "truth"))
     for name in ("events", "truth", "matches"):
         getattr(report, name).write.mode("errorifexists").option("header", True).csv(f"{path}/{name}")
     report.metrics.coalesce(1).write.mode("errorifexists").json(f"{path}/metrics")
