@@ -79,7 +79,25 @@ def explanations(spark, d):
     return ex.ridge_explanations(v.channel_windows(spark, d), "window_id", linear_logits)
 
 
-@query("x3_weighted_ridge", "window_id:l channel:l segment:l coefficient:6")
+# The same weighted fit by definition: centred normal equations, solved by elimination.
+RIDGE_SQL = f"""WITH RECURSIVE seg AS (SELECT window_id, ch * 4 + k // 4 AS f, sum(v * (ch + 1) * (k + 1) / 100.0) AS part
+    FROM v_sample GROUP BY 1, 2),
+  fits AS (SELECT m.window_id, m.perturbation, list(CAST(m.kept AS DOUBLE) ORDER BY m.f) AS x, sum(m.kept * s.part) AS y,
+      exp(-pow(1 - avg(m.kept), 2) / {ex.KERNEL_WIDTH**2!r}) AS w
+    FROM v_mask m JOIN seg s ON m.window_id = s.window_id AND m.f = s.f GROUP BY 1, 2),
+  cells AS (SELECT window_id, perturbation, w, f, CASE WHEN f = 16 THEN y ELSE x[f + 1] END AS v FROM fits, range(17) c(f)),
+  means AS (SELECT window_id, f, sum(w * v) / sum(w) AS m FROM cells GROUP BY 1, 2),
+  far AS (SELECT c.window_id, perturbation, w, c.f, v - m AS v FROM cells c JOIN means n ON c.window_id = n.window_id AND c.f = n.f),
+  gram AS (SELECT a.window_id, a.f AS i, b.f AS j, sum(a.w * a.v * b.v) + CASE WHEN a.f = b.f THEN {ex.ALPHA!r} ELSE 0 END AS g
+    FROM far a JOIN far b ON a.window_id = b.window_id AND a.perturbation = b.perturbation AND a.f < 16 GROUP BY 1, 2, 3),
+  rows AS (SELECT window_id, i, list(g ORDER BY j) AS r FROM gram GROUP BY 1, 2),
+  steps AS (SELECT window_id, 1 AS k, list(r ORDER BY i) AS m FROM rows GROUP BY 1
+    UNION ALL SELECT window_id, k + 1, [[CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] / m[k][k] * m[k][j] END
+      for j in range(1, 18)] for i in range(1, 17)] FROM steps WHERE k <= 16)
+  SELECT window_id, f // 4 AS channel, f % 4 AS segment, m[f + 1][17] AS coefficient FROM steps, range(16) c(f) WHERE k = 17"""
+
+
+@query("x3_weighted_ridge", "window_id:l channel:l segment:l coefficient:6", RIDGE_SQL)
 def x3(spark, d):
     rows = explanations(spark, d).select("window_id", F.posexplode("coefficients").alias("channel", "c"))
     return rows.select("window_id", "channel", F.posexplode("c").alias("segment", "coefficient"))
@@ -137,3 +155,20 @@ def g18(spark, d):
     part = {s: rows.where(F.col("split") == s) for s in ("train", "validation", "test")}
     model, _ = sc.train_weighted_baseline(part["train"], part["validation"])
     return ranking_metrics(sc.score_with(model, part["test"]), truth="label")
+
+
+BINARY_SQL = """WITH rows AS (SELECT CAST(x[1] > 0 AS INTEGER) AS a, CAST(label = 0 AS INTEGER) AS y FROM v_arr WHERE label < 4),
+  cells AS (SELECT count(*) FILTER (a = 0 AND y = 1) AS p0, count(*) FILTER (a = 0 AND y = 0) AS q0,
+    count(*) FILTER (a = 1 AND y = 1) AS p1, count(*) FILTER (a = 1 AND y = 0) AS q1 FROM rows)
+SELECT a, ln(CASE a WHEN 0 THEN p0 / q0 ELSE p1 / q1 END * (q0 + q1) / (p0 + p1)) AS logit FROM cells, range(2) r(a)"""
+
+
+@query("g18_binary_feature", "a:l logit:3", BINARY_SQL)
+def g18_binary(spark, d):
+    """One binary feature, no penalty: the class-balanced optimum is the log odds of each value."""
+    rows = v.arrays(spark, d).where("label < 4").select(
+        F.array((F.col("x")[0] > 0).cast("double")).alias("features"), (F.col("label") == 0).cast("int").alias("label")
+    )
+    model, _ = sc.train_weighted_baseline(rows, rows, reg_params=(0.0,))
+    values = rows.select("features").distinct()
+    return sc.score_with(model, values).select(F.col("features")[0].cast("int").alias("a"), "logit")

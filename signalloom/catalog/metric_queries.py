@@ -293,6 +293,15 @@ def a12_subject(spark, d):
     return dist.describe(v.scored(spark, d), ["subject_id"], "y_prob")
 
 
+@query(
+    "a12_score_distribution_by_subject_and_class",
+    "subject_id y_true:l " + DESCRIBE,
+    DESCRIBE_SQL.format(g="subject_id, y_true", x="y_prob", src="v_scored"),
+)
+def a12_subject_class(spark, d):
+    return dist.describe(v.scored(spark, d), ["subject_id", "y_true"], "y_prob")
+
+
 @query(
     "a13_exceedance_counts",
     "cutoff:6 n_above:l positives_above:l positives_pct:6",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from signalloom.catalog import views as v
 from signalloom.catalog.core import VIEWS, query
+from signalloom.functions import spectral as sp
 from signalloom.operators import align as al, quality as q
 from signalloom.operators.sequences import boundary_violations, sequences
 from signalloom.operators.summarize import by_recording
@@ -323,3 +324,47 @@ def d13(spark, d):
     return by_recording(rows, "split").groupBy("split").agg(
         F.sum("windows").alias("windows"), F.sum("positives").alias("positives")
     )
+
+
+@query(
+    "d1_required_columns",
+    "column missing:l empty:l",
+    """SELECT 'event_id' AS "column", 0 AS missing, count(*) FILTER (event_id IS NULL) AS empty FROM events
+    UNION ALL SELECT 'value', 0, count(*) FILTER (value IS NULL) FROM events
+    UNION ALL SELECT 'props', 0, count(*) FILTER (props IS NULL) FROM events
+    UNION ALL SELECT 'edf_id', 1, count(*) FROM events""",
+)
+def d1(spark, d):
+    return q.column_presence(v.table(spark, d, "events"), ["event_id", "value", "props", "edf_id"])
+
+
+@query(
+    "d13_totals_verdict",
+    "split item expected:l found:l ok:l",
+    """WITH found AS (SELECT s.split, count(*) AS windows, sum(y_true) AS positives FROM v_scored p JOIN v_split s
+      ON p.subject_id = s.subject_id GROUP BY 1),
+    expected AS (SELECT CASE WHEN user_id % 15 < 10 THEN 'train' WHEN user_id % 15 < 12 THEN 'validation' ELSE 'test' END AS split,
+      count(DISTINCT event_id) AS windows, count(*) FILTER (event_type = 'error' AND user_id % 15 <> 3) AS positives FROM events GROUP BY 1)
+    SELECT *, CAST(expected = found AS INTEGER) AS ok FROM (
+      SELECT e.split, 'windows' AS item, e.windows AS expected, f.windows AS found FROM expected e JOIN found f ON e.split = f.split
+      UNION ALL SELECT e.split, 'positives', e.positives, f.positives FROM expected e JOIN found f ON e.split = f.split)""",
+)
+def d13_verdict(spark, d):
+    """The expectation leaves out one subject's positives, so one total must be reported."""
+    rows = v.scored(spark, d).withColumn("split", v.split_of()).withColumnRenamed("y_true", "label")
+    found = by_recording(rows, "split").groupBy("split").agg(F.sum("windows").alias("windows"), F.sum("positives").alias("positives"))
+    raw = v.table(spark, d, "events").withColumn("split", v.split_of(v.subject_of("user_id")))
+    positive = (F.col("event_type") == "error") & (F.col("user_id") % v.SUBJECTS != 3)
+    expected = raw.groupBy("split").agg(F.countDistinct("event_id").alias("windows"), F.count_if(positive).alias("positives"))
+    return q.totals_verdict(found, expected, ["split"], ["windows", "positives"])
+
+
+@query(
+    "d14_bins_and_bands",
+    "n:l band first_bin:l bins:l",
+    """SELECT n, b.band, min(bin) AS first_bin, count(*) AS bins FROM (SELECT n, unnest(range(n // 2 + 1)) AS bin FROM
+      (SELECT DISTINCT len(x) AS n FROM v_arr)) JOIN (VALUES ('delta', 0.5, 4.0), ('theta', 4.0, 8.0), ('alpha', 8.0, 13.0),
+      ('beta', 13.0, 30.0), ('gamma', 30.0, 40.0)) b(band, lo, hi) ON bin * 128.0 / n >= lo AND bin * 128.0 / n < hi GROUP BY 1, 2""",
+)
+def d14(spark, d):
+    return sp.band_table(v.arrays(spark, d).select(F.size("x").alias("n")).distinct())

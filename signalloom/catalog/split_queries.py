@@ -135,3 +135,16 @@ def u6(spark, d):
 )
 def w10(spark, d):
     return first_per_group(v.windows(spark, d), ["subject_id", "label"], ["edf_id", "window_index"], 3, KEY)
+
+
+@query(
+    "k6_split_by_recording_kind",
+    "subject_id edf_id has_positive:l split",
+    """SELECT subject_id, edf_id, has_positive, CASE WHEN place < n * 70 // 100 THEN 'train' WHEN place < n * 85 // 100
+      THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY has_positive ORDER BY
+      md5('42|' || subject_id || '|' || edf_id)) - 1 AS place, count(*) OVER (PARTITION BY has_positive) AS n FROM
+      (SELECT subject_id, edf_id, max(label) AS has_positive FROM v_win GROUP BY 1, 2))""",
+)
+def k6_kind(spark, d):
+    kinds = recording_kind(v.windows(spark, d)).drop("filetype")
+    return sl.file_split(kinds, ["subject_id", "edf_id"], "has_positive")

@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from signalloom.functions.scalars import array_mean, array_var, bind
 
@@ -48,6 +48,20 @@ def band_bins(samples: int = SAMPLES, rate: float = RATE, bands: Mapping = BANDS
     return found
 
 
+def band_table(sizes: DataFrame, rate: float = RATE, bands: Mapping = BANDS, size: str = "n") -> DataFrame:
+    """For each window length in ``sizes``: first bin and number of bins of each band; 0 bins is a fault."""
+    bins = sizes.select(size, F.explode(F.sequence(F.lit(0), F.floor(F.col(size) / 2))).alias("_bin"))
+    hz = F.col("_bin") * F.lit(float(rate)) / F.col(size)
+    low, high = USEFUL_HZ
+    useful = (hz >= low) & (hz <= high)
+    found = []
+    for name, (start, stop) in bands.items():
+        inside = useful & (hz >= start) & (hz < stop)
+        first, count = F.min(F.when(inside, F.col("_bin"))), F.count_if(inside)
+        found.append(F.struct(F.lit(name).alias("band"), first.alias("first_bin"), count.alias("bins")).alias(name))
+    return bins.groupBy(size).agg(*found).select(size, F.inline(F.array(*bands)))
+
+
 def hann(values: Column, size: int) -> Column:
     """Taper by the symmetric Hann window of ``size`` samples."""
     scale = 2.0 * math.pi / (size - 1)

@@ -111,8 +111,8 @@ def ridge_explanations(
 
     ``logits`` maps ``(n, channels, samples)`` to ``n`` logits. A window is
     perturbed, scored and fitted inside one task, and only ``batch`` perturbed
-    copies exist at a time. A window costs hundreds of model calls, so the rows
-    are first spread over ``tasks`` (all cores by default).
+    copies exist at a time. A window costs hundreds of model calls: ``tasks`` spreads
+    the rows over that many tasks first; without it the input's partitions are kept.
     """
     schema = T.StructType(
         [
@@ -152,8 +152,8 @@ def ridge_explanations(
                 names=schema.names,
             )
 
-    tasks = tasks or windows.sparkSession.sparkContext.defaultParallelism
-    return windows.select(key, signal).repartition(tasks, key).mapInArrow(explain, schema)
+    rows = windows.select(key, signal)
+    return (rows.repartition(tasks, key) if tasks else rows).mapInArrow(explain, schema)
 
 
 def channel_importance(values: Column) -> Column:

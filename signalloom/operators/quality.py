@@ -26,6 +26,30 @@ def require_columns(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df
 
 
+def column_presence(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Per required column: whether the table lacks it, and its rows without a value."""
+    rows = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(int(c not in df.columns)).alias("missing"),
+            (F.count_if(F.col(c).isNull()) if c in df.columns else F.count(F.lit(1))).alias("empty"),
+        ).alias(f"c{i}")
+        for i, c in enumerate(required)
+    ]
+    return df.agg(*rows).select(F.inline(F.array(*[f"c{i}" for i in range(len(required))])))
+
+
+def totals_verdict(counted: DataFrame, expected: DataFrame, keys: Sequence[str], items: Sequence[str]) -> DataFrame:
+    """Expected and found totals per key and item; ``ok`` is 0 where they differ or one is missing."""
+    left = expected.select(*keys, F.struct(*items).alias("_e"))
+    right = counted.select(*keys, F.struct(*items).alias("_f"))
+    both = left.join(right, list(keys), "full_outer")
+    pairs = [F.struct(F.lit(i).alias("item"), F.col(f"_e.{i}").alias("expected"), F.col(f"_f.{i}").alias("found")) for i in items]
+    rows = both.select(*keys, F.inline(F.array(*pairs)))
+    same = F.col("expected").eqNullSafe(F.col("found")) & F.col("expected").isNotNull()
+    return rows.withColumn("ok", same.cast("int"))
+
+
 def is_finite(value: Column) -> Column:
     v = value.cast("double")
     return v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))

@@ -16,6 +16,11 @@ class EventReport:
     truth: DataFrame
     matches: DataFrame
 
+    def release(self) -> None:
+        """Drop what the executors keep; the results stay right, but are worked out again."""
+        self.events.unpersist()
+        self.truth.unpersist()
+
     @property
     def metrics(self) -> DataFrame:
         """One row of event-level figures."""
@@ -38,11 +43,12 @@ class EventReport:
 def event_report(predictions: DataFrame, annotations: DataFrame, max_gap_sec: float = 4.0) -> EventReport:
     """Events, merged truth and matches of one prediction table.
 
-    Nothing runs before a result is asked for; the shuffles that the parts share are
-    run once. To read several results of a large table, write ``events`` and ``truth``
-    first and build the report of the written tables with :func:`report_of`.
+    Nothing runs before a result is asked for. Events and truth, which every result
+    reads and which are far smaller than the predictions, are then kept on the
+    executors (a lost part is worked out again) until :meth:`EventReport.release`.
     """
-    return report_of(predictions, predicted_events(predictions, max_gap_sec), true_events(annotations, predictions))
+    events, truth = predicted_events(predictions, max_gap_sec), true_events(annotations, predictions)
+    return report_of(predictions, events.persist(), truth.persist())
 
 
 def report_of(predictions: DataFrame, events: DataFrame, truth: DataFrame) -> EventReport:

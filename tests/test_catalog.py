@@ -5,7 +5,7 @@ from oracle import connect, difference
 
 from signalloom.catalog import ORACLES, QUERIES
 
-ROWS_ONLY = {"x3_weighted_ridge", "g18_train_weighted_baseline"}
+ROWS_ONLY = {"g18_train_weighted_baseline"}
 
 
 @pytest.fixture(scope="module")
