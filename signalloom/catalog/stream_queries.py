@@ -18,12 +18,17 @@ def alarms(spark, d):
     return v.events(spark, d).withColumn("y_pred", (F.col("v") >= 60).cast("int"))
 
 
-def as_stream(spark, rows):
-    """Write the rows as files, a closing row last, and read them as a stream."""
+DELAY = "2 days"  # far below the thirty days of the events
+
+
+def as_stream(spark, rows, late=None):
+    """Rows as files in time order, a batch each, then ``late`` rows, then a closing row."""
     path = scratch_dir(spark, "stream")
-    rows.repartition("event_id").write.parquet(path)
+    run.write_in_order(rows, path)
+    if late is not None:
+        late.coalesce(1).write.mode("append").parquet(path)
     run.write_flush(rows, path, y_pred=1)
-    return run.files_as_stream(spark, path, rows, maxFilesPerTrigger=1000)
+    return run.files_as_stream(spark, path, rows, maxFilesPerTrigger=1)
 
 
 def real(table):
@@ -38,7 +43,7 @@ def t1(spark, d):
 @query("t1_t4_sliding_windows_stream", FEATURE, FEATURE_SQL)
 def t1_stream(spark, d):
     stream = as_stream(spark, v.events(spark, d))
-    return real(run.drained(twins.sliding_features(stream, length="4 hours", step="2 hours", delay="40 days"), "t1"))
+    return real(run.drained(twins.sliding_features(stream, length="4 hours", step="2 hours", delay=DELAY), "t1"))
 
 
 RATE = "subject_id start_sec:6 end_sec:6 n:l alarms:l"
@@ -53,7 +58,7 @@ def t2(spark, d):
 
 @query("t2_alarm_rate_stream", RATE, RATE_SQL)
 def t2_stream(spark, d):
-    return real(run.drained(twins.alarm_rate(as_stream(spark, alarms(spark, d)), delay="40 days"), "t2"))
+    return real(run.drained(twins.alarm_rate(as_stream(spark, alarms(spark, d)), delay=DELAY), "t2"))
 
 
 SESSION = "subject_id edf_id start_sec:6 end_sec:6 detection_sec:6 n_positive_windows:l"
@@ -72,7 +77,7 @@ def t3(spark, d):
 @query("t3_alarm_sessions_stream", SESSION, SESSION_SQL)
 def t3_stream(spark, d):
     stream = as_stream(spark, alarms(spark, d))
-    return real(run.drained(twins.alarm_sessions(stream, gap="6 hours", delay="40 days"), "t3"))
+    return real(run.drained(twins.alarm_sessions(stream, gap="6 hours", delay=DELAY), "t3"))
 
 
 @query(
@@ -83,11 +88,20 @@ def t3_stream(spark, d):
 )
 def t5(spark, d):
     windows = v.signal(spark, d).select("subject_id", "edf_id", F.col("i").alias("window_index"), "v", "ts", "event_id")
-    before = {key: spark.conf.get(key) for key, _ in twins.STATE_STORE}
-    for key, value in twins.STATE_STORE:
-        spark.conf.set(key, value)
-    stream = as_stream(spark, windows).where("window_index IS NOT NULL")
-    made = run.drained(twins.causal_sequences(stream, 5, "v"), "t5")
-    for key, value in before.items():
-        spark.conf.set(key, value)
+    with run.settings(spark, twins.STATE_STORE):
+        stream = as_stream(spark, windows).where("window_index IS NOT NULL")
+        made = run.drained(twins.causal_sequences(stream, 5, "v", delay=DELAY, hold_sec=40 * 86_400), "t5")
+    made = made.where("NOT late")
     return made.withColumn("total", F.aggregate("values", F.lit(0.0), lambda a, x: a + x))
+
+
+LATE_SQL = """SELECT * FROM v_signal WHERE NOT (i % 10 = 0 AND t_sec < 864000)"""
+
+
+@query("t4_late_rows_stream", RATE, RATE_SQL.replace("FROM v_signal", f"FROM ({LATE_SQL})"))
+def t4_stream(spark, d):
+    """Some rows of the first ten days come after the thirtieth, and are lost."""
+    rows = v.signal(spark, d).withColumn("y_pred", (F.col("v") >= 60).cast("int"))
+    held_back = (F.col("i") % 10 == 0) & (F.col("t_sec") < 864_000)
+    stream = as_stream(spark, rows.where(~held_back), rows.where(held_back))
+    return real(run.drained(twins.alarm_rate(stream, delay=DELAY), "t4"))

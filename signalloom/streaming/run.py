@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from signalloom.session import scratch_dir
@@ -31,20 +34,46 @@ def write_flush(rows: DataFrame, path: str, ts: str = "ts", after: str = "INTERV
     last.write.mode("append").parquet(path)
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
+def write_in_order(rows: DataFrame, path: str, ts: str = "ts", files: int = 5) -> None:
+    """Append ``rows`` as ``files`` files, each a slice of time after the one before."""
+    first, last = (F.unix_micros(f(ts)) for f in (F.min, F.max))
+    bounds = rows.agg(F.struct(first.alias("a"), last.alias("b"))).first()[0]
+    width = max(1, ((bounds["b"] or 0) - (bounds["a"] or 0)) // files + 1)
+    part = F.floor((F.unix_micros(ts) - F.lit(bounds["a"] or 0)) / F.lit(width))
+    for k in range(files):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+
+
+@contextmanager
+def settings(spark: SparkSession, pairs: Iterable[tuple[str, str]]):
+    """Session settings for a block of code; the earlier ones come back whatever happens."""
+    before = {key: spark.conf.get(key, None) for key, _ in pairs}
+    try:
+        for key, value in pairs:
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def drained(stream: DataFrame, name: str, progress: list | None = None) -> DataFrame:
     """Process all available input in append mode into a Parquet sink; return its table.
 
     Append mode writes final rows only: a window still open when the input ends
-    stays in state unless a later row (see :func:`write_flush`) closes it.
+    stays in state unless a later row (see :func:`write_flush`) closes it. The
+    progress reports of the batches are added to ``progress``.
     """
     out, checkpoint = (scratch_dir(stream.sparkSession, f"{name}-{part}") for part in ("out", "state"))
-    (
+    query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
-        .awaitTermination()
     )
+    query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return stream.sparkSession.read.schema(stream.schema).parquet(out)

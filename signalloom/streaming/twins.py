@@ -95,6 +95,7 @@ SEQUENCE = T.StructType(
         T.StructField("start_index", T.LongType()),
         T.StructField("target_index", T.LongType()),
         T.StructField("values", T.ArrayType(T.DoubleType())),
+        T.StructField("late", T.BooleanType()),
     ]
 )
 
@@ -104,66 +105,102 @@ class LastWindows(StatefulProcessor):
 
     A window is held until ``length - 1`` newer ones and ``slack`` further places
     have passed, so windows may arrive out of order by ``slack`` places; older
-    arrivals are dropped as late. State per key is bounded by ``length + slack``.
+    arrivals come out marked as late. When the watermark is ``hold_ms`` past the
+    newest time of a chunk, its whole state is cleared.
     """
 
-    def __init__(self, length: int, size: int, slack: int):
-        self.length, self.size, self.slack = length, size, slack
+    def __init__(self, length: int, size: int, slack: int, hold_ms: int):
+        self.length, self.size, self.slack, self.hold_ms = length, size, slack, hold_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         held = T.StructType([T.StructField("value", T.DoubleType())])
         key = T.StructType([T.StructField("index", T.LongType())])
+        self.handle = handle
         self.held = handle.getMapState("held", key, held)
-        self.newest = handle.getValueState("newest", T.StructType([T.StructField("index", T.LongType())]))
+        newest = T.StructType([T.StructField("index", T.LongType()), T.StructField("until", T.LongType())])
+        self.newest = handle.getValueState("newest", newest)
+
+    def _completed(self, windows: dict[int, float], index: int, chunk: int) -> Iterator[tuple[int, int]]:
+        """First and last place of the sequences of this chunk that a new window completes."""
+        first = last = index
+        while first > index - self.length + 1 and first - 1 in windows:
+            first -= 1
+        while last < index + self.length - 1 and last + 1 in windows:
+            last += 1
+        for target in range(max(index, first + self.length - 1), last + 1):
+            if target // self.size == chunk:
+                yield target - self.length + 1, target
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         subject, recording, chunk = key
         windows = {int(k[0]): float(v[0]) for k, v in self.held.iterator()}
-        newest = int(self.newest.get()[0]) if self.newest.exists() else -1
-        before = set(windows)
+        newest, until = self.newest.get() if self.newest.exists() else (-1, 0)
+        before, timer = set(windows), until
         out = []
         for frame in rows:
-            for index, value in zip(frame["window_index"].tolist(), frame["value"].tolist()):
-                if index in windows or index <= newest - self.length - self.slack:
+            for index, value, ms in zip(frame["window_index"].tolist(), frame["value"].tolist(), frame["ms"].tolist()):
+                until = max(until, int(ms) + self.hold_ms)
+                if index in windows:
+                    continue
+                if index <= newest - self.length - self.slack:
+                    if index // self.size == chunk:  # not a copy from the border of another chunk
+                        out.append((subject, recording, None, index, None, True))
                     continue
                 windows[index] = value
                 newest = max(newest, index)
-                # A late window may complete any sequence that contains it.
-                for target in range(index, index + self.length):
-                    start = target - self.length + 1
-                    inside = target // self.size == chunk
-                    if inside and all(i in windows for i in range(start, target + 1)):
-                        values = [windows[i] for i in range(start, target + 1)]
-                        out.append((subject, recording, start, target, values))
+                for start, target in self._completed(windows, index, chunk):
+                    out.append((subject, recording, start, target, [windows[i] for i in range(start, target + 1)], False))
             for old in [i for i in windows if i <= newest - self.length - self.slack]:
                 del windows[old]
         for index in before - set(windows):
             self.held.removeKey((index,))
         for index in set(windows) - before:
             self.held.updateValue((index,), (windows[index],))
-        if newest >= 0:
-            self.newest.update((newest,))
+        self.newest.update((newest, until))
+        if until != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(until)
         yield pd.DataFrame(out, columns=SEQUENCE.names)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        self.newest.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def causal_sequences(windows: DataFrame, length: int, value: str, slack: int = 4096, size: int = 4096) -> DataFrame:
+def causal_sequences(
+    windows: DataFrame,
+    length: int,
+    value: str,
+    slack: int = 256,
+    size: int = 4096,
+    ts: str = "ts",
+    delay: str = "1 hour",
+    hold_sec: int = 86_400,
+) -> DataFrame:
     """Sequences of ``length`` consecutive windows as their last window arrives.
 
     State is kept per chunk of ``size`` windows of a recording; the last windows
     of a chunk are also sent to the next one. A backlog of one long recording is
-    therefore worked off by many tasks. Needs the RocksDB state store
+    therefore worked off by many tasks. A chunk holds at most ``length + slack``
+    windows and is cleared ``hold_sec`` of event time after its last window, so a
+    recording may pause for that long. Windows that come later than the slack allows
+    are returned with ``late`` set and no values. Needs the RocksDB state store
     (``STATE_STORE`` below) on the session.
     """
-    slim = windows.select(*KEYS, F.col("window_index").cast("long"), F.col(value).cast("double").alias("value"))
+    slim = windows.withWatermark(ts, delay).select(
+        *KEYS, F.col("window_index").cast("long"), F.col(value).cast("double").alias("value"), ts, F.unix_millis(ts).alias("ms")
+    )
     spread = with_halo(slim, "window_index", max(size, length), behind=length - 1)
     return spread.groupBy(*KEYS, CHUNK).transformWithStateInPandas(
-        LastWindows(length, max(size, length), slack),
+        LastWindows(length, max(size, length), slack, hold_sec * 1000),
         outputStructType=SEQUENCE,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )
 
 

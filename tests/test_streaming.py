@@ -107,3 +107,28 @@ def test_state_forgets_what_is_past_the_slack(spark, tmp_path):
     stream = stream_of(spark, str(tmp_path / "in"), [rest, early]).where("window_index IS NOT NULL")
     made = run.drained(twins.causal_sequences(stream, 5, "v", slack=10), "slack")
     assert made.agg(F.min("start_index")).first()[0] == 1
+    late = made.where("late").collect()
+    assert [(r["edf_id"], r["target_index"], r["values"]) for r in late] == [("a", 0, None)]
+
+
+def test_state_is_cleared_by_event_time(spark, tmp_path):
+    """The closing row moves the watermark past every chunk; nothing stays."""
+    data = sorted(rows(), key=lambda r: r[-1])
+    stream = stream_of(spark, str(tmp_path / "in"), [data[:120], data[120:]]).where("window_index IS NOT NULL OR subject_id = '~flush'")
+    stream = stream.withColumn("window_index", F.coalesce("window_index", F.lit(0)))
+    progress = []
+    made = real(run.drained(twins.causal_sequences(stream, 5, "v", delay="5 seconds", hold_sec=60), "cleared", progress))
+    batch = sequences(spark.createDataFrame(rows(), SCHEMA), 5, ["v"], label="y_pred")
+    assert made.where("NOT late").count() == batch.count()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert max(held) > 5 and held[-1] <= 4  # the closing row's own chunk
+
+
+def test_settings_come_back_after_an_error(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with pytest.raises(RuntimeError):
+        with run.settings(spark, [(key, "3")]):
+            assert spark.conf.get(key) == "3"
+            raise RuntimeError
+    assert spark.conf.get(key) == before
