@@ -259,7 +259,7 @@ def a8(spark, d):
 
 @query("a8_channel_moments", "subject_id channel:l " + MOMENTS, moments_sql("(SELECT *, ch AS channel FROM v_sample)", "subject_id, channel", "v"))
 def a8_channel(spark, d):
-    return q.moments(q.sample_rows(v.channel_windows(spark, d), ["subject_id"]), ["subject_id", "channel"])
+    return q.array_moments(v.channel_windows(spark, d), ["subject_id"])
 
 
 @query(
@@ -270,7 +270,7 @@ def a8_channel(spark, d):
 )
 def a9(spark, d):
     return q.with_channel_flags(
-        q.moments(q.sample_rows(v.channel_windows(spark, d), ["subject_id"]), ["subject_id", "channel"])
+        q.array_moments(v.channel_windows(spark, d), ["subject_id"])
     )
 
 
@@ -291,7 +291,7 @@ def a10(spark, d):
       WHEN stddev_pop(v) < 0.01 THEN 'RAW' ELSE 'UNKNOWN' END AS scale FROM v_sample GROUP BY 1""",
 )
 def a11(spark, d):
-    return q.scale_class(q.moments(q.sample_rows(v.channel_windows(spark, d), ["subject_id"]), ["subject_id"]))
+    return q.scale_class(q.array_moments(v.channel_windows(spark, d), ["subject_id"], by_channel=False))
 
 
 @query(

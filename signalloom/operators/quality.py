@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from signalloom.functions.scalars import array_mean, array_var
+from signalloom.functions import arrays
 from signalloom.operators.ordered import numbered, previous_value
 
 # Limits of the channel and scale rules.
@@ -178,12 +178,6 @@ def index_gaps(df: DataFrame, keys: Sequence[str], index: str, chunk_size: int =
     )
 
 
-def sample_rows(windows: DataFrame, keys: Sequence[str], signal: str = "signal") -> DataFrame:
-    """Channel-major windows as ``(keys, channel, v)`` rows."""
-    channels = windows.select(*keys, F.posexplode(signal).alias("channel", "_s"))
-    return channels.select(*keys, "channel", F.explode("_s").alias("v"))
-
-
 def moments(samples: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
     """Count, extrema, mean, std and defect counts over the samples of a group.
 
@@ -203,6 +197,26 @@ def moments(samples: DataFrame, keys: Sequence[str], value: str = "v") -> DataFr
         F.count_if((F.abs(v) > LARGE_ABS) & ~F.isnan(v)).alias("large"),
         F.max(F.when(ok, F.abs(v))).alias("max_abs"),
     )
+    return _with_spread(summed)
+
+
+def array_moments(
+    windows: DataFrame, keys: Sequence[str], signal: str = "signal", by_channel: bool = True
+) -> DataFrame:
+    """The figures of :func:`moments` from channel-major windows, per key and channel.
+
+    Each window is reduced to one row per channel inside its batch.
+    """
+    parts = windows.select(*keys, F.inline(arrays.channel_parts(signal, LARGE_ABS)))
+    groups = [*keys, "channel"] if by_channel else list(keys)
+    summed = parts.groupBy(*groups).agg(
+        F.sum("n").alias("n"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("s").alias("_s"), F.sum("q").alias("_q"),
+        *[F.sum(c).alias(c) for c in ("nans", "infs", "large")], F.max("max_abs").alias("max_abs"),
+    )
+    return _with_spread(summed)
+
+
+def _with_spread(summed: DataFrame) -> DataFrame:
     mean = F.col("_s") / F.col("n")
     var = F.greatest(F.lit(0.0), F.col("_q") / F.col("n") - mean * mean)
     return summed.withColumn("mean", mean).withColumn("std", F.sqrt(var)).drop("_s", "_q")
@@ -233,37 +247,11 @@ def scale_class(stats: DataFrame) -> DataFrame:
     )
 
 
-def _std(values: Column) -> Column:
-    return F.sqrt(array_var(values))
-
-
-def longest_plateau(values: Column) -> Column:
-    """Length of the longest run of equal neighbours."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(acc, x):
-        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
-
-    return F.aggregate(values, start, step, lambda acc: acc["best"])
-
-
 def window_quality(windows: DataFrame, keys: Sequence[str], signal: str = "signal", channel: int = 1) -> DataFrame:
-    """Per window: defects, overall and one channel's statistics, flat and clipped flags."""
-    rows = windows.select(*keys, F.col(signal).cast("array<array<double>>").alias("_s"))
-    rows = rows.withColumn("_all", F.flatten("_s")).withColumn("_one", F.element_at("_s", channel + 1))
-    rows = rows.withColumn("_stds", F.transform("_s", _std)).withColumn("_runs", F.transform("_s", longest_plateau))
-    return rows.select(
-        *keys,
-        F.exists("_all", lambda v: F.isnan(v)).cast("int").alias("has_nan"),
-        F.exists("_all", lambda v: F.abs(v) == float("inf")).cast("int").alias("has_inf"),
-        array_mean(F.col("_all")).alias("mean"),
-        _std(F.col("_all")).alias("std"),
-        F.array_min("_all").alias("min"),
-        F.array_max("_all").alias("max"),
-        F.element_at("_stds", channel + 1).alias("channel_std"),
-        F.array_min("_one").alias("channel_min"),
-        F.array_max("_one").alias("channel_max"),
-        F.exists("_stds", lambda s: s < FLAT_STD).cast("int").alias("is_flat"),
-        F.exists("_runs", lambda r: r >= PLATEAU).cast("int").alias("is_clipped"),
-    )
+    """Per window: defects, overall and one channel's statistics, flat and clipped flags.
+
+    A window without samples, or without the channel, has NULL statistics.
+    """
+    kernel = arrays.quality_kernel(channel, FLAT_STD, PLATEAU).asNondeterministic()  # evaluated once
+    rows = windows.select(*keys, kernel(F.col(signal).cast("array<array<double>>")).alias("_q"))
+    return rows.select(*keys, "_q.*")

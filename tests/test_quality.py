@@ -43,6 +43,26 @@ def test_moments_divide_by_all_values(spark):
     assert (got[1]["flat"], got[1]["extreme"], r["extreme"]) == (1, 0, 0)
 
 
+def test_array_moments_equal_those_of_samples(spark):
+    rows = [("a", window([1, 2, NAN], [INF, -200, 5, 5])), ("a", window([4], [])), ("b", window([NAN], [-INF])), ("b", []), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, signal array<array<double>>")
+    flat = df.select("k", F.posexplode("signal").alias("channel", "_s")).select("k", "channel", F.explode("_s").alias("v"))
+    for by_channel, keys in ((True, ["k", "channel"]), (False, ["k"])):
+        want = {tuple(r[c] for c in keys): r.asDict() for r in q.moments(flat, keys).collect()}
+        got = {tuple(r[c] for c in keys): r.asDict() for r in q.array_moments(df, ["k"], by_channel=by_channel).collect()}
+        assert set(got) == set(want)
+        for key, row in want.items():
+            assert {k: x if x is None or isinstance(x, str) else pytest.approx(x) for k, x in row.items()} == got[key]
+
+
+def test_quality_of_windows_without_samples(spark):
+    df = spark.createDataFrame([("none", None), ("empty", []), ("one", window([3.0] * 12))], "k string, signal array<array<double>>")
+    got = {r["k"]: r for r in q.window_quality(df, ["k"]).collect()}
+    assert all(got[k]["mean"] is None and got[k]["is_flat"] == 0 for k in ("none", "empty"))
+    assert (got["one"]["mean"], got["one"]["std"], got["one"]["channel_std"]) == (3.0, 0.0, None)
+    assert (got["one"]["is_flat"], got["one"]["is_clipped"]) == (1, 1)
+
+
 def test_scale_classes(spark):
     df = spark.createDataFrame([(0.5,), (2.0,), (0.009,), (0.1,), (3.0,)], "std double")
     assert [r["scale"] for r in q.scale_class(df).collect()] == ["NORMALIZED", "NORMALIZED", "RAW", "UNKNOWN", "UNKNOWN"]
