@@ -1,4 +1,4 @@
-"""Headline queries at one scale: prints a single JSON line.
+"""Headline queries at one scale, and steps beside their obvious forms: prints a single JSON line.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [name-prefix ...]
 """
@@ -13,6 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from bench_compare import compare  # noqa: E402
 from signalloom.catalog import QUERIES  # noqa: E402
 from signalloom.session import build_session, set_scratch  # noqa: E402
 
@@ -69,12 +70,15 @@ def main() -> None:
     for name in names:
         took = []
         for _ in range(runs):
+            spark.catalog.clearCache()  # each run does all its work
             began = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took.append(time.perf_counter() - began)
         seconds[name] = round(statistics.median(took), 3)
         if os.environ.get("BENCH_VERBOSE"):
             print(name, seconds[name], file=sys.stderr, flush=True)
+    spark.catalog.clearCache()
+    beside = {} if sys.argv[1:] else compare(spark, sf_dir, int(os.environ.get("BENCH_COPIES", "10")), runs)
     total = round(sum(seconds.values()), 3)
     print(
         json.dumps(
@@ -83,6 +87,7 @@ def main() -> None:
                 "value": total,
                 "unit": "sec",
                 "queries": seconds,
+                "chosen_beside_obvious": beside,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
             }

@@ -76,16 +76,8 @@ def recording_labels(pred, marks):
     return pred.join(a, hit, "left_semi")
 
 
-def main() -> None:
-    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    copies = int(os.environ.get("BENCH_COPIES", "20"))
-    spark = build_session(
-        "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false",
-           "spark.ui.showConsoleProgress": "false"},
-    )
-    spark.sparkContext.setLogLevel("ERROR")
-    set_scratch(spark)
+def compare(spark, sf_dir: str, copies: int = 20, runs: int = 3) -> dict[str, float]:
+    """Median seconds of each step in the chosen and in the obvious form."""
     # The given windows, repeated along time; the copies continue each recording.
     base = v.predictions(spark, sf_dir)
     longest = base.agg(F.max("start_sec") + 100).scalar()
@@ -118,12 +110,24 @@ def main() -> None:
     for name, forms in pairs.items():
         for kind, form in zip(("chosen", "obvious"), forms):
             took = []
-            for _ in range(3):
+            for _ in range(runs):
                 began = time.perf_counter()
                 form().write.format("noop").mode("overwrite").save()
                 took.append(time.perf_counter() - began)
             out[f"{name}_{kind}"] = round(statistics.median(took), 3)
-    print(json.dumps(out))
+    return out
+
+
+def main() -> None:
+    spark = build_session(
+        "local[8]",
+        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+           "spark.ui.showConsoleProgress": "false"},
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    set_scratch(spark)
+    sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    print(json.dumps(compare(spark, sf_dir, int(os.environ.get("BENCH_COPIES", "20")))))
 
 
 if __name__ == "__main__":
