@@ -277,4 +277,6 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shing
     slim = rows.select(doc_id, "_row", "_print")
     slim = slim.join(_by_print(slim, doc_id).select("_print", "_root"), "_print")
     first = slim.groupBy("_root").agg(F.min(F.struct(F.col(doc_id).isNull(), doc_id, "_row")).alias("_first"))
-    return rows.join(settle(first.select("_first._row"), "kept"), "_row", "left_semi").select(*df.columns)
+    kept = settle(first.select("_first._row"), "kept")
+    # a row for each group: no bound on its size is known, so it is never broadcast
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*df.columns)
