@@ -18,6 +18,8 @@ CHUNK = "_chunk"
 #: Keys and chunk as one struct. Structs compare their fields NULL-safely, so rows
 #: whose key or chunk is NULL stay together and are joined like any others.
 PLACE = "_chunk_place"
+#: The place of rows without key and chunk, before all others.
+NO_CHUNK = -(1 << 63)
 BEFORE = (Window.unboundedPreceding, -1)
 UP_TO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -49,7 +51,13 @@ def matched(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "
 
 
 def _placed(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
-    return df.withColumn(CHUNK, chunk).withColumn(PLACE, F.struct(*keys, CHUNK))
+    """Rows with their place. Without keys the chunk itself is the place, which sorts faster."""
+    place = F.struct(*keys, CHUNK) if keys else F.coalesce(F.col(CHUNK).cast("long"), F.lit(NO_CHUNK))
+    return df.withColumn(CHUNK, chunk).withColumn(PLACE, place)
+
+
+def _chunk_of(keys: Sequence[str]) -> Column:
+    return F.col(PLACE)[CHUNK] if keys else F.col(PLACE)
 
 
 def _by_key(keys: Sequence[str], *order: Column) -> WindowSpec:
@@ -74,7 +82,7 @@ def prefix_totals(
     run over one row per chunk, not over the data.
     """
     summary = rows.groupBy(PLACE).agg(*[c.alias(n) for n, c in totals.items()])
-    at = F.col(PLACE)[CHUNK]
+    at = _chunk_of(keys)
     order = at.desc() if descending else at.asc()
     earlier = _by_key(keys, order).rowsBetween(*BEFORE)
     every = _by_key(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -195,7 +203,7 @@ def _linked(local: DataFrame, keys: Sequence[str]) -> DataFrame:
     island it then continues is the last one that any earlier chunk opened.
     """
     summary = local.groupBy(PLACE).agg(F.max("_reach").alias("_r"), F.max("_head").alias("_h"))
-    earlier = _by_key(keys, F.col(PLACE)[CHUNK].asc()).rowsBetween(*BEFORE)
+    earlier = _by_key(keys, _chunk_of(keys).asc()).rowsBetween(*BEFORE)
     opened = F.when(F.col("_carry").isNull() | (F.col("_h") > F.col("_carry")), F.col("_h"))
     carries = (
         summary.withColumn("_carry", F.max("_r").over(earlier))
@@ -281,35 +289,38 @@ def with_steps_reached(df: DataFrame, value: Column, grid: Column, size: int, ou
     return rows.drop("_grid", "_value")
 
 
-def _cell_of(cuts: Column, score: Column, cells: int) -> Column:
-    """The same count as one array expression, where the rows are few."""
-    widths = F.array(*[F.lit(1 << k) for k in reversed(range((cells - 1).bit_length()))])
-    return F.aggregate(
-        widths,
-        F.lit(0),
-        lambda low, width: F.when(F.get(cuts, low + width - 1) <= score, low + width).otherwise(low),
-    )
+def value_cell(value: Column, bits: int) -> Column:
+    """A number that never falls as ``value`` grows: binary exponent and first ``bits`` bits behind it.
+
+    Rounding of the logarithm at a power of two moves a value to the cell next to it at
+    most, which keeps the order.
+    """
+    x, size = value.cast("double"), 1 << bits
+    far = F.abs(x)
+    exponent = F.floor(F.log2(far))
+    inside = F.floor((far / F.pow(F.lit(2.0), exponent) - 1) * size).cast("long")
+    height = (exponent.cast("long") + 1200) * size + inside
+    top = F.lit(2400 * size).cast("long")
+    signed = F.when(x == 0, F.lit(0).cast("long")).when(far == float("inf"), top).otherwise(height)
+    return F.when(F.isnan(x), top + 1).otherwise(F.when(x < 0, -signed).otherwise(signed))
 
 
 def score_ladder(
-    df: DataFrame, groups: Sequence[str], score: str, label: str | None = None, cells: int = 4096
+    df: DataFrame, groups: Sequence[str], score: str, label: str | None = None, bits: int = 14
 ) -> DataFrame:
     """One row per distinct ``(groups, score)`` with running counts.
 
     Columns: ``n``, ``positives`` at that score; ``n_ge``, ``positives_ge`` at
     or above it; ``n_all``, ``positives_all`` of the group. Scores are counted
-    first (map-side combined), then cut at approximate quantiles of the
-    *distinct* scores, so that neither ties nor crowded score ranges end up in
-    one task. The cut points move work between tasks, never the result; they are one
-    scalar subquery, which both branches of the plan share. A NULL score is the lowest.
+    first (map-side combined), then cut into cells of their leading bits, so that
+    neither ties nor a group end up in one task: a cell of single-precision scores
+    holds 2 ** (23 - bits) rows at most. Cells are a function of the score alone, and
+    there are at most 2 ** bits of them between a number and its double. A NULL
+    score is the lowest.
     """
     positive = F.sum(F.col(label).cast("long")) if label else F.lit(0).cast("long")
     counts = df.groupBy(*groups, score).agg(F.count(F.lit(1)).alias("n"), positive.alias("positives"))
-    points = F.expr(f"array({', '.join(f'{i / cells}D' for i in range(1, cells))})")
-    cuts = counts.agg(F.percentile_approx(score, points, F.lit(10 * cells)).alias("_cuts"))
-    celled = _placed(
-        counts.withColumn("_cuts", cuts.scalar()), groups, _cell_of(F.col("_cuts"), F.col(score), cells)
-    ).drop("_cuts")
+    celled = _placed(counts, groups, value_cell(F.col(score), bits))
     above = prefix_totals(
         celled,
         groups,

@@ -13,6 +13,7 @@ from signalloom.operators.ordered import (
     numbered,
     previous_value,
     score_ladder,
+    value_cell,
     with_halo,
 )
 
@@ -190,13 +191,25 @@ def test_halo_covers_every_bounded_frame(spark):
         assert set(range(max(0, i - 3), min(49, i + 2) + 1)) <= held[i // 8]
 
 
-@pytest.mark.parametrize("cells", [2, 8, 1024])
-def test_score_ladder_counts(spark, cells):
+def test_cells_never_fall(spark):
+    rng = random.Random(1)
+    edges = [s * 2.0**e * f for s in (-1, 1) for e in range(-40, 40, 3) for f in (1, 1 - 2**-53, 1 + 2**-52)]
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, float("inf"), -float("inf")] + edges
+    values = sorted(values + [rng.uniform(-1, 1) ** 9 for _ in range(2000)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    for bits in (0, 5, 14):
+        cells = [r[0] for r in df.orderBy("i").select(value_cell(F.col("v"), bits)).collect()]
+        assert cells == sorted(cells)
+    assert df.select(F.max(value_cell(F.col("v"), 5)) < F.max(value_cell(F.lit(float("nan")), 5))).first()[0]
+
+
+@pytest.mark.parametrize("bits", [0, 3, 14])
+def test_score_ladder_counts(spark, bits):
     rng = random.Random(4)
     rows = [("hot" if i % 3 else "cold", rng.choice([0.0, 1.0, round(rng.random() ** 6, 4)]), int(rng.random() < 0.3))
             for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, p double, y int")
-    for r in score_ladder(df, ["g"], "p", "y", cells).collect():
+    for r in score_ladder(df, ["g"], "p", "y", bits).collect():
         mine = [x for x in rows if x[0] == r["g"]]
         assert r["n"] == sum(x[1] == r["p"] for x in mine)
         assert r["n_ge"] == sum(x[1] >= r["p"] for x in mine)
