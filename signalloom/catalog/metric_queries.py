@@ -122,13 +122,14 @@ def j9(spark, d):
       UNION ALL SELECT 'finest', * FROM ({grid_sql('finest')}))""",
 )
 def u5(spark, d):
-    parts = [
-        m.threshold_sweep(v.scored(spark, d), m.threshold_grid(name)).select(
-            F.lit(name).alias("grid"), "threshold", (F.col("tp") + F.col("fp")).alias("reached")
-        )
-        for name in m.GRIDS
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """One sweep over the thresholds of all grids; each then stands under the grids that hold it."""
+    grids = {name: m.threshold_grid(name) for name in m.GRIDS}
+    every = sorted({t for grid in grids.values() for t in grid})
+    swept = m.threshold_sweep(v.scored(spark, d), every)
+    held = [F.when(F.col("threshold").isin([float(t) for t in grid]), F.lit(name)) for name, grid in grids.items()]
+    return swept.select(
+        F.explode(F.array_compact(F.array(*held))).alias("grid"), "threshold", (F.col("tp") + F.col("fp")).alias("reached")
+    )
 
 
 @query(

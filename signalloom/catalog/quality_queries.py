@@ -165,9 +165,7 @@ def j1_rows(spark, d):
 )
 def d15(spark, d):
     """Violations over all sequences of five, and how many sequences there are."""
-    made = sequences(v.windows(spark, d), 5, ["label"])
-    count = made.agg(F.count(F.lit(1)).alias("violations")).select(F.lit("sequences").alias("constraint"), "violations")
-    return boundary_violations(made, 5).unionByName(count)
+    return boundary_violations(sequences(v.windows(spark, d), 5, ["label"]), 5, counted="sequences")
 
 
 @query(

@@ -13,14 +13,14 @@ from signalloom.operators.ordered import matched
 KEYS = ["subject_id", "edf_id"]
 
 # The target montage in order, and the order it replaces.
-CANONICAL = (
-    "FP1-F7 F7-T7 T7-P7 P7-O1 FP1-F3 F3-C3 C3-P3 P3-O1 FP2-F4 F4-C4 C4-P4 P4-O2 FP2-F8 F8-T8 T8-P8-0 P8-O2 "
-    "FZ-CZ CZ-PZ P7-T7 T7-FT9 FT9-FT10 FT10-T8 T8-P8-1"
-).split()
-FORMER = (
-    "FP1-F7 F7-T7 T7-P7 P7-O1 FP1-F3 F3-C3 C3-P3 P3-O1 FZ-CZ CZ-PZ FP2-F4 F4-C4 C4-P4 P4-O2 FP2-F8 F8-T8 T8-P8-0 P8-O2 "
-    "P7-T7 T7-FT9 FT9-FT10 FT10-T8 T8-P8-1"
-).split()
+CANONICAL = [
+    "FP1-F7", "F7-T7", "T7-P7", "P7-O1", "FP1-F3", "F3-C3", "C3-P3", "P3-O1", "FP2-F4", "F4-C4", "C4-P4", "P4-O2",
+    "FP2-F8", "F8-T8", "T8-P8-0", "P8-O2", "FZ-CZ", "CZ-PZ", "P7-T7", "T7-FT9", "FT9-FT10", "FT10-T8", "T8-P8-1",
+]
+FORMER = [
+    "FP1-F7", "F7-T7", "T7-P7", "P7-O1", "FP1-F3", "F3-C3", "C3-P3", "P3-O1", "FZ-CZ", "CZ-PZ", "FP2-F4", "F4-C4",
+    "C4-P4", "P4-O2", "FP2-F8", "F8-T8", "T8-P8-0", "P8-O2", "P7-T7", "T7-FT9", "FT9-FT10", "FT10-T8", "T8-P8-1",
+]
 
 # Channels every recording loses, and those of two subjects.
 AUX_NAMES = ("VNS", "-")
@@ -31,10 +31,14 @@ SUBJECT_AUX = {
 }
 
 # Electrodes of the second dataset, with 29 and with 19 channels.
-ELECTRODES_29 = (
-    "FP1 F3 C3 P3 O1 F7 T3 T5 FC1 FC5 CP1 CP5 F9 FZ CZ PZ FP2 F4 C4 P4 O2 F8 T4 T6 FC2 FC6 CP2 CP6 F10"
-).split()
-ELECTRODES_19 = "FP1 F3 C3 P3 O1 F7 T3 T5 FZ CZ PZ F4 C4 P4 O2 F8 T4 T6 FP2".split()
+ELECTRODES_29 = [
+    "FP1", "F3", "C3", "P3", "O1", "F7", "T3", "T5", "FC1", "FC5", "CP1", "CP5", "F9", "FZ", "CZ", "PZ", "FP2",
+    "F4", "C4", "P4", "O2", "F8", "T4", "T6", "FC2", "FC6", "CP2", "CP6", "F10",
+]
+ELECTRODES_19 = [
+    "FP1", "F3", "C3", "P3", "O1", "F7", "T3", "T5", "FZ", "CZ", "PZ", "F4", "C4", "P4", "O2", "F8", "T4", "T6",
+    "FP2",
+]
 
 MISSING = "<MISSING>"
 

@@ -51,16 +51,19 @@ def sequences(
     )
 
 
-def boundary_violations(seqs: DataFrame, length: int, index: str = "window_index") -> DataFrame:
-    """Sequences that leave their recording, have a wrong length or skip a window."""
+def boundary_violations(
+    seqs: DataFrame, length: int, index: str = "window_index", counted: str | None = None
+) -> DataFrame:
+    """Sequences that leave their recording, have a wrong length or skip a window.
+
+    ``counted`` names a further row with the number of sequences, from the same pass.
+    """
     steps = F.col("steps")
     recordings = F.array_distinct(F.transform(steps, lambda s: F.struct(s["subject_id"], s["edf_id"])))
     expected = F.sequence(F.col("start_index"), F.col("target_index"))
-    return violations(
-        seqs,
-        {
-            "one_recording": F.size(recordings) == 1,
-            "length": F.size(steps) == length,
-            "consecutive": F.transform(steps, lambda s: s[index]) == expected,
-        },
-    )
+    rules = {
+        "one_recording": F.size(recordings) == 1,
+        "length": F.size(steps) == length,
+        "consecutive": F.transform(steps, lambda s: s[index]) == expected,
+    }
+    return violations(seqs, rules | ({counted: F.lit(False)} if counted else {}))

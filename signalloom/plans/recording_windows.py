@@ -55,7 +55,8 @@ def recording_windows(
 
     ``chunks``: ``(subject_id, edf_id, channel_pos, chunk_id, first_position,
     samples)`` of ``recipe.chunk_size`` samples. Windows that lack a channel are
-    dropped when ``channels`` is given. Labels are found on the keys and times
+    dropped when ``channels`` is given; :func:`incomplete_recordings` names the
+    recordings that have such windows. Labels are found on the keys and times
     alone; the wide signal column takes part in no join but that flag.
     """
     size = recipe.chunk_size // recipe.factor
@@ -81,6 +82,18 @@ def recording_windows(
     )
 
 
+def incomplete_recordings(chunks: DataFrame, channels: int) -> DataFrame:
+    """Recordings set aside, with the reason: a channel count other than ``channels``, or channels of different lengths.
+
+    Only sizes are read, no samples are shuffled.
+    """
+    per_channel = chunks.groupBy(*TRACE).agg(F.sum(F.size("samples")).alias("_n"))
+    whole = per_channel.groupBy(*REC).agg(F.count(F.lit(1)).alias("channels"), F.min("_n").alias("shortest"), F.max("_n").alias("longest"))
+    count = F.format_string(f"%d channels instead of {channels}", "channels")
+    reason = F.when(F.col("channels") != channels, count).when(F.col("shortest") != F.col("longest"), F.lit("channels of different lengths"))
+    return whole.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def usable_recordings(
     channels: DataFrame, rules: Mapping = montage.SUBJECT_AUX, target: Sequence[str] = montage.CANONICAL
 ) -> tuple[DataFrame, DataFrame]:

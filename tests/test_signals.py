@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions import filters, spectral as sp
 from signalloom.operators import features as ft, signals as sg
+from signalloom.plans.recording_windows import incomplete_recordings
 
 REC = ["rec"]
 
@@ -239,3 +240,10 @@ def test_moments_of_a_chain_are_those_of_its_samples(spark):
     given = read(sg.to_samples(sg.zscore_chunks(made, REC), REC))
     for rec in data:
         np.testing.assert_allclose(given[rec], plain[rec], atol=1e-9)
+
+
+def test_incomplete_recordings_are_named(spark):
+    rows = [("s", r, c, [0.0] * n) for r, c, n in (("a", 0, 4), ("a", 1, 4), ("b", 0, 4), ("c", 0, 4), ("c", 1, 3))]
+    df = spark.createDataFrame(rows, "subject_id string, edf_id string, channel_pos int, samples array<double>")
+    got = {r.edf_id: r.reason for r in incomplete_recordings(df, 2).collect()}
+    assert got == {"b": "1 channels instead of 2", "c": "channels of different lengths"}
