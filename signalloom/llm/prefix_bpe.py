@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from signalloom.llm.arrow import add_columns, pieces
 
-#: Matches kept per worker with their ids, the longest match that is kept, and the characters split at a time.
-CACHE_MATCHES = 600_000
+#: Matches kept per worker with their ids (as many again of the time before), the longest match that is kept, and the characters split at a time.
+CACHE_MATCHES = 300_000
 CACHE_CHARS = 64
 PIECE_CHARS = 1 << 18
 
@@ -105,29 +106,33 @@ class PrefixTable:
         old, self.data = len(self.data), self.data + more
         data, last, n = self.data, self.last, len(self.data)
         known, steps, size = self.vocabulary._follows, self.vocabulary.steps, self.vocabulary.size
-        # (start, token) of the tokens that end at each new place; they may begin before the seam
+        # the last token of each new prefix; it may begin before the seam
         begin = max(0, old - self.vocabulary.longest)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(begin, n + 1)]
+        found: list[int | None] = [None] * (n - begin + 1)
         for start in range(begin, n):
             if start > old:
-                last.append(self._last(ends[start - begin]))
+                last.append(self._held(found[start - begin]))
+            before = last[start - 1] if start else -1
             stop = start + 1
             token = steps.get(data[start:stop])
             while token is not None:
-                if token >= 0 and stop > old and (not start or known.get(last[start - 1] * size + token) is not False):
-                    ends[stop - begin].append((start, token))
+                if token >= 0 and stop > old:
+                    fits = not start or known.get(before * size + token)
+                    if fits is None:
+                        fits = self.vocabulary.follows(before, token)
+                    if fits:
+                        found[stop - begin] = token
                 stop += 1
                 if stop > n:
                     break
                 token = steps.get(data[start:stop])
-        last.append(self._last(ends[n - begin]))
+        last.append(self._held(found[n - begin]))
 
-    def _last(self, ending: list[tuple[int, int]]) -> int:
-        last, follows = self.last, self.vocabulary.follows
-        for start, token in ending:
-            if not start or follows(last[start - 1], token):
-                return token
-        raise ValueError("the vocabulary lacks a byte")
+    @staticmethod
+    def _held(token: int | None) -> int:
+        if token is None:
+            raise ValueError("the vocabulary lacks a byte")
+        return token
 
     def replace(self, start: int, stop: int, new: bytes) -> None:
         """Exchange a range of bytes; prefixes that end before it keep their entries."""
@@ -147,19 +152,23 @@ class PrefixTable:
 
 
 class Encoder(dict):
-    """Ids of each match as little-endian 32-bit integers; frequent matches are kept."""
+    """Ids of each match as little-endian 32-bit integers; matches met lately are kept."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.vocabulary, self.split = Vocabulary(ranks), regex.compile(pattern)
+        self.earlier: dict[str, bytes] = {}
 
     def __missing__(self, match: str) -> bytes:
-        data = match.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
-        packed = np.array(ids, dtype="<u4").tobytes()
+        packed = self.earlier.get(match)
+        if packed is None:
+            data = match.encode()
+            whole = self.vocabulary.ranks.get(data)
+            ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(match) <= CACHE_CHARS:
             if len(self) >= CACHE_MATCHES:
+                self.earlier = dict(self)
                 self.clear()
             self[match] = packed
         return packed
