@@ -3,16 +3,20 @@
 The frequent words of the training texts are dealt to classes by exchange
 clustering: each word moves to the class that raises the likelihood of the class
 bigrams most. A word then has the probability of its class after the class before,
-times its share of the class. Rarer words, and all unseen ones, form a class of
-their own, in which a word's share comes from its exact count. Words seen once are
-never clustered, so that this class has seen words like the unseen ones.
+times its share of the class. Every further word seen twice or more is then dealt once,
+by the same gain, to the class that its neighbours speak for, and the class bigrams are
+counted anew. Words that no class gains by, those seen once and all unseen ones form a
+class of their own, in which a word's share comes from its exact count. Words seen once
+are never clustered, so that this class has seen words like the unseen ones.
 
 How it is spread out: words are counted in every training text and summed up by
 word. The most frequent words, a bounded number, get numbers; their bigrams are
 counted and kept as one row per word with its neighbours. A round of clustering is a
 scan of those rows, with the bounded class map sent along; only class totals and new
-classes come back. Texts are scored where they lie, with the counts of a bounded number
-of words; just the rarest words of a text go to the table of counts.
+classes come back. The further words are a table, grouped by word with the classes beside
+each, and stay one: the driver gets class totals. Texts are scored where they lie, with
+the counts and classes of a bounded number of words; just the rarest words of a text, and
+the transitions from and to them, go through a join with that table.
 
 Null and empty texts consist of the end alone. Rows with a null id are trained on and
 scored; rows that repeat count as often as they occur. Without any training text every
@@ -22,7 +26,7 @@ word is unseen, and both scores follow from the formulas with zero counts.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from signalloom.llm.arrow import column, slices, small_batches
 from signalloom.session import settle
 
-#: Most words whose shares are sent to every worker, and most words that are clustered.
+#: Most words whose shares are sent to every worker, and most words that take part in the rounds.
 HEAD_WORDS = 1 << 18
 CLUSTERED_WORDS = 1 << 15
 #: Least count of a clustered word: words seen once stand for the unseen ones.
@@ -281,6 +285,9 @@ class ClassModel:
     share: np.ndarray  # log10 of a word's part of its class; 0 for the rare word
     base: np.ndarray  # log10 of a word's smoothed unigram probability; 0 for the rare word
     known_end: bool
+    counts: np.ndarray  # of the numbered words, the rare word (0) and the end
+    bigrams: np.ndarray  # how often a class follows a class
+    dealt: int  # words that took part in the rounds
 
 
 def fit(spark: SparkSession, texts: DataFrame, head: int = HEAD_WORDS, clustered: int = CLUSTERED_WORDS, k: int = CLASSES, rounds: int = ROUNDS):
@@ -297,9 +304,6 @@ def fit(spark: SparkSession, texts: DataFrame, head: int = HEAD_WORDS, clustered
     classes = np.full(end + 1, found[dealt], dtype=np.int32)
     classes[:dealt], classes[end] = found[:dealt], found[dealt + 1]
 
-    seen = bigrams.sum(0)
-    overall = (seen + 0.5) / (seen.sum() + 0.5 * len(seen))
-    transition = np.log10((bigrams + PRIOR * overall) / (bigrams.sum(1, keepdims=True) + PRIOR))
     n = np.array([c for _, c in top] + [0, n_texts], dtype=float)
     in_class = np.bincount(classes[:dealt], n[:dealt], len(bigrams))
     rare_total, rare_kinds = n_words - int(n[:dealt].sum()), kinds - dealt
@@ -308,10 +312,160 @@ def fit(spark: SparkSession, texts: DataFrame, head: int = HEAD_WORDS, clustered
     share[:dealt] = np.log10(n[:dealt] / in_class[classes[:dealt]])
     base = np.log10((n + 0.5) / base_all)
     share[end] = share[rare] = base[rare] = 0.0
-    model = ClassModel(numbers, classes, transition, share, base, n_texts > 0)
+    model = ClassModel(numbers, classes, transitions(bigrams), share, base, n_texts > 0, n, bigrams, dealt)
     return model, counts, {"total": total, "base_all": base_all, "rare_all": rare_all}
 
 
+def transitions(bigrams: np.ndarray) -> np.ndarray:
+    """log10 of the smoothed probability that a class follows a class."""
+    seen = bigrams.sum(0)
+    overall = (seen + 0.5) / (seen.sum() + 0.5 * len(seen))
+    return np.log10((bigrams + PRIOR * overall) / (bigrams.sum(1, keepdims=True) + PRIOR))
+
+
+def rare_words(texts: DataFrame, model) -> DataFrame:
+    """``(word, next, code, n)``: what stands beside the words outside the rounds.
+
+    Without ``next``, ``code`` holds the classes before and after an occurrence of the
+    word, the number of classes standing for the word itself. With ``next``, another such
+    word (or the same) follows it.
+    """
+
+    def batch_of(beside: Counter, pairs: Counter) -> pa.RecordBatch:
+        first = pa.array([*(w for w, _ in beside), *(w for w, _ in pairs)], pa.binary()).cast(pa.string())
+        second = pa.array([*(None for _ in beside), *(w for _, w in pairs)], pa.binary()).cast(pa.string())
+        code = pa.array([*(c for _, c in beside), *(None for _ in pairs)], pa.int32())
+        n = pa.array([*beside.values(), *pairs.values()], pa.int64())
+        return pa.RecordBatch.from_arrays([first, second, code, n], ["word", "next", "code", "n"])
+
+    def run(batches):
+        held = model.value
+        lookup, unknown, end = held.numbers.get, len(held.numbers), len(held.numbers) + 1
+        size = len(held.bigrams)
+        beside, pairs = Counter(), Counter()
+        for batch in batches:
+            for body in batch.column(0):
+                words = tokens(body.as_py())
+                ids = np.full(len(words) + 2, end, dtype=np.int64)
+                ids[1:-1] = [lookup(w, unknown) for w in words]
+                classes = held.classes[ids].astype(np.int64)
+                at = np.nonzero(classes == size - 2)[0]
+                before, after = classes[at - 1], classes[at + 1]
+                found = [words[i - 1] for i in at.tolist()]
+                for j in np.nonzero(np.diff(at) == 1)[0].tolist():
+                    pairs[found[j], found[j + 1]] += 1
+                    if found[j] == found[j + 1]:
+                        after[j] = before[j + 1] = size
+                beside.update(zip(found, (before * (size + 1) + after).tolist()))
+                if len(beside) + len(pairs) > HELD_WORDS:
+                    yield batch_of(beside, pairs)
+                    beside, pairs = Counter(), Counter()
+        yield batch_of(beside, pairs)
+
+    return texts.mapInArrow(run, "word string, next string, code int, n long")
+
+
+def classes_of_rare(before: np.ndarray, after: np.ndarray, itself: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
+    """:func:`best_classes` of words in the rare class, by the few classes beside each."""
+    rows, size = before.shape
+    rare = size - 2
+    plain, chosen = entropy_terms(bigrams), np.arange(rare)
+    n_before, n_after = before.sum(1) + itself, after.sum(1) + itself
+    gain, stay = np.zeros((rows, rare)), np.zeros(rows)
+    for own, other, table, terms in ((before, after, bigrams, plain), (after, before, bigrams.T, plain.T)):
+        row, cls = np.nonzero(own)
+        n = own[row, cls][:, None]
+        there, was = table[cls][:, :rare], terms[cls][:, :rare]
+        mixed = cls == rare  # beside a rare word, the word's own occurrences are among the totals
+        if mixed.any():
+            there = there.copy()
+            there[mixed] = np.maximum(there[mixed] - other[row[mixed]][:, :rare], 0.0)
+            was = was.copy()
+            was[mixed] = entropy_terms(there[mixed])
+        more = entropy_terms(there + n) - was
+        more[cls[:, None] == chosen] = 0.0  # counted with the class itself
+        np.add.at(gain, row, more)
+        out = cls != rare
+        left = np.maximum(table[cls[out], rare] - n[out, 0], 0.0)
+        np.add.at(stay, row[out], entropy_terms(left + n[out, 0]) - entropy_terms(left))
+    loop = bigrams[chosen, chosen]
+    gain += entropy_terms(loop + before[:, :rare] + after[:, :rare] + itself[:, None]) - entropy_terms(loop)
+    both = before[:, rare] + after[:, rare] + itself
+    left = np.maximum(bigrams[rare, rare] - both, 0.0)
+    stay += entropy_terms(left + both) - entropy_terms(left)
+    for total, n in ((bigrams.sum(0), n_before), (bigrams.sum(1), n_after)):
+        gain -= entropy_terms(total[:rare] + n[:, None]) - entropy_terms(total[:rare])
+        left = np.maximum(total[rare] - n, 0.0)
+        stay -= entropy_terms(left + n) - entropy_terms(left)
+    best = gain.argmax(1)
+    return np.where(gain[np.arange(rows), best] <= stay + 1e-9, rare, best)
+
+
+def deal_rest(spark: SparkSession, texts: DataFrame, model: ClassModel, totals: dict) -> tuple[ClassModel, DataFrame, dict]:
+    """The model with every further repeated word in its class, ``(word, n, cls)`` of all
+    words outside the rounds, and the totals with ``rare_all`` and ``in_class`` as they are then."""
+    size = len(model.bigrams)
+    rare, bigrams = size - 2, model.bigrams
+    raw = settle(rare_words(texts, spark.sparkContext.broadcast(model)), "rare")
+    grouped = raw.where("next IS NULL").groupBy("word").agg(
+        F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"), F.sum("n").alias("n")
+    )
+
+    def run(batches):
+        moves = np.zeros((2, size, size), dtype=np.int64)  # (after or before the word, its class, the other class)
+        for batch in batches:
+            for part in _parts(batch):
+                rows, n = part.num_rows, part.column(3).to_numpy()
+                owner = np.repeat(np.arange(rows), part.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                code = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                times = part.column(2).flatten().to_numpy(zero_copy_only=False)
+                beside = lambda cls: np.bincount(owner * (size + 1) + cls, times, rows * (size + 1)).reshape(rows, size + 1)
+                before, after = beside(code // (size + 1)), beside(code % (size + 1))
+                cls = np.full(rows, rare, dtype=np.int64)
+                again = np.nonzero(n >= LEAST_COUNT)[0]
+                cls[again] = classes_of_rare(before[again, :size], after[again, :size], before[again, size], bigrams)
+                moved = np.nonzero(cls != rare)[0]
+                np.add.at(moves[0], cls[moved], after[moved, :size].astype(np.int64))
+                np.add.at(moves[1], cls[moved], before[moved, :size].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(cls.astype(np.int32))], ["word", "n", "cls"])
+        moves[:, :, rare] = 0  # pairs of two rare words are counted below
+        side, own, other = np.nonzero(moves)
+        codes = pa.array(((side * size + own) * size + other).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.string()), pa.array(moves[side, own, other]), codes], ["word", "n", "cls"])
+
+    dealt = settle(grouped.mapInArrow(run, "word string, n long, cls int"), "dealt")
+    known = dealt.where("word IS NOT NULL")
+    bigrams = bigrams.copy()
+    for code, n in dealt.where("word IS NULL").groupBy("cls").agg(F.sum("n")).collect():  # at most 2 x k x k
+        (side, own), other = divmod(code // size, size), code % size
+        into, out = ((own, other), (rare, other)) if side == 0 else ((other, own), (other, rare))
+        bigrams[into] += n
+        bigrams[out] -= n
+    moved = known.where(F.col("cls") != rare).select("word", "cls")
+    pairs = raw.where("next IS NOT NULL").groupBy("word", "next").agg(F.sum("n").alias("n"))
+    pairs = pairs.join(moved.withColumnRenamed("cls", "a"), "word", "left")
+    pairs = pairs.join(moved.select(F.col("word").alias("next"), F.col("cls").alias("b")), "next", "left")
+    for a, b, n in pairs.where("a IS NOT NULL OR b IS NOT NULL").groupBy("a", "b").agg(F.sum("n")).collect():  # at most k x k
+        bigrams[rare if a is None else a, rare if b is None else b] += n
+        bigrams[rare, rare] -= n
+
+    top, least = len(model.numbers), model.counts[: len(model.numbers)].min(initial=np.inf)
+    classes = model.classes.copy()
+    if top > model.dealt:
+        for word, cls in known.where((F.col("n") >= int(least)) & (F.col("cls") != rare)).select("word", "cls").collect():
+            classes[model.numbers[word.encode()]] = cls  # the numbered words are all with so high a count
+    in_class = np.bincount(model.classes[: model.dealt], model.counts[: model.dealt], size)
+    rare_all = totals["rare_all"]
+    for cls, n, kinds in known.where(F.col("cls") != rare).groupBy("cls").agg(F.sum("n"), F.count(F.lit(1))).collect():
+        in_class[cls] += n
+        rare_all -= n + 0.5 * kinds
+    in_class[rare] = rare_all
+    share, inside = model.share.copy(), classes[:top] != rare
+    share[:top] = np.log10((model.counts[:top] + np.where(inside, 0.0, 0.5)) / in_class[classes[:top]])
+    whole = replace(model, classes=classes, transition=transitions(bigrams), share=share, bigrams=bigrams)
+    return whole, known, {**totals, "rare_all": rare_all, "in_class": in_class}
+
+
 def score_texts(
     df: DataFrame, learn: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     head: int = HEAD_WORDS, clustered: int = CLUSTERED_WORDS, k: int = CLASSES, rounds: int = ROUNDS,
@@ -323,17 +477,20 @@ def score_texts(
     """
     spark = df.sparkSession
     small_batches(spark)
-    model, counts, totals = fit(spark, df.where(learn).select(_body(text)), head, clustered, k, rounds)
+    texts = df.where(learn).select(_body(text))
+    model, _, totals = fit(spark, texts, head, clustered, k, rounds)
+    model, counts, totals = deal_rest(spark, texts, model, totals)
     shared = spark.sparkContext.broadcast(model)
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
     held = [c for c in keep if c not in made]
     inner = df.select(*[F.col(f"`{c}`") for c in held], _body(text))
     schema = ", ".join([*(f"`{c}` {inner.schema[c].dataType.simpleString()}" for c in held),
-                        "_tokens long, _known long, _base double, _score double, _rare array<string>"])
+                        "_tokens long, _known long, _base double, _score double, _rare array<string>, _near array<int>"])
 
     def run(batches):
         model = shared.value
         lookup, rare, end = model.numbers.get, len(model.numbers), len(model.numbers) + 1
+        size = len(model.transition)
         for batch in batches:
             for part in slices(batch, "_text_"):
                 split = [tokens(t) for t in part.column("_text_").to_pylist()]
@@ -347,29 +504,61 @@ def score_texts(
                     at += len(words) + 1
                 classes = model.classes[ids]
                 firsts = np.cumsum(sizes) - sizes
-                score = np.add.reduceat(model.transition[classes[:-1], classes[1:]] + model.share[ids[1:]], firsts)
+                hidden = ids == rare  # words whose class only the join gives
+                steps = np.where(hidden[:-1] | hidden[1:], 0.0, model.transition[classes[:-1], classes[1:]])
+                score = np.add.reduceat(steps + model.share[ids[1:]], firsts)
                 base = np.add.reduceat(model.base[ids[1:]], firsts)
-                unknown = ids[1:] == rare
+                unknown = hidden[1:]
+                place = np.nonzero(hidden)[0]
+                beside = np.where(hidden, size, classes)
+                near = beside[place - 1] * (size + 1) + beside[place + 1]
                 known = sizes - np.add.reduceat(unknown.astype(np.int64), firsts) - (0 if model.known_end else 1)
                 left = [[words[i] for i in np.nonzero(unknown[f : f + len(words)])[0]] for words, f in zip(split, firsts)]
                 lengths = np.cumsum([0, *map(len, left)])
                 flat = pa.array([w for words in left for w in words], pa.binary()).cast(pa.string())
-                lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)
+                offsets = pa.array(lengths, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, v) for v in (flat, pa.array(near.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in held), column(sizes, "long"), column(known, "long"), column(base, "double"),
-                     column(score, "double"), lists],
-                    [*held, "_tokens", "_known", "_base", "_score", "_rare"],
+                     column(score, "double"), *lists],
+                    [*held, "_tokens", "_known", "_base", "_score", "_rare", "_near"],
                 )
 
     # written once, so that the row numbers below stay what they are
     partly = settle(inner.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "partly")
-    words = partly.select("_row", F.explode("_rare").alias("word"))
-    c = F.coalesce(F.col("n"), F.lit(0))
-    rest = words.join(counts, "word", "left").groupBy("_row").agg(F.sum(F.log10(c + 0.5)).alias("_logs"), F.sum((c > 0).cast("long")).alias("_more"))
-    out = partly.select("*", F.size("_rare").alias("_left")).drop("_rare").join(rest, "_row", "left")
-    logs = F.coalesce("_logs", F.lit(0.0))
-    score = F.col("_score") + logs - F.col("_left") * F.lit(float(np.log10(totals["rare_all"])))
-    base = F.col("_base") + logs - F.col("_left") * F.lit(float(np.log10(totals["base_all"])))
+    size = len(model.transition)
+    listed = partly.select("_row", F.posexplode(F.arrays_zip("_rare", "_near")).alias("_at", "_each"))
+    words = listed.select("_row", "_at", F.col("_each._rare").alias("word"), F.col("_each._near").alias("_near"))
+    c, cls = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("cls"), F.lit(size - 2))
+    found = words.join(counts, "word", "left").select("_row", "_at", "_near", c.alias("n"), cls.alias("cls"))
+    whole = F.array(*[F.lit(float(v)) for v in np.log10(np.maximum(totals["in_class"], 0.5))])
+    part = F.log10(F.col("n") + F.when(F.col("cls") == size - 2, 0.5).otherwise(0.0)) - F.get(whole, F.col("cls"))
+    packed = (F.col("_at").cast("long") * (size + 1) ** 2 + F.col("_near")) * size + F.col("cls")
+    rest = found.groupBy("_row").agg(
+        F.sum(F.log10(F.col("n") + 0.5)).alias("_logs"), F.sum(part).alias("_parts"), F.sum((F.col("n") > 0).cast("long")).alias("_more"),
+        F.collect_list(packed).alias("_packed"),
+    )
+
+    def steps(batches):
+        transition = shared.value.transition
+        for batch in batches:
+            sums = []
+            for item in batch.column("_packed"):
+                code = np.sort(item.values.to_numpy(zero_copy_only=False))  # by place in the text
+                cls, near = code % size, code // size % (size + 1) ** 2
+                before, after = near // (size + 1), near % (size + 1)
+                first, last = before < size, after < size
+                total = transition[before[first], cls[first]].sum() + transition[cls[last], after[last]].sum()
+                then = np.nonzero(~last)[0]  # the next rare word follows at once
+                sums.append(total + transition[cls[then], cls[then + 1]].sum())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "_logs", "_parts", "_more")), column(sums, "double")],
+                                             ["_row", "_logs", "_parts", "_more", "_steps"])
+
+    rest = rest.select("_row", "_logs", "_parts", "_more", "_packed")
+    rest = rest.mapInArrow(steps, "_row long, _logs double, _parts double, _more long, _steps double")
+    out = partly.select("*", F.size("_rare").alias("_left")).drop("_rare", "_near").join(rest, "_row", "left")
+    score = F.col("_score") + F.coalesce("_parts", F.lit(0.0)) + F.coalesce("_steps", F.lit(0.0))
+    base = F.col("_base") + F.coalesce("_logs", F.lit(0.0)) - F.col("_left") * F.lit(float(np.log10(totals["base_all"])))
     return out.select(
         *[F.col(f"`{c}`") for c in held],
         F.col("_tokens").alias("n_tokens"),

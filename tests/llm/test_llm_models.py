@@ -103,6 +103,59 @@ def test_exchange_finds_alternating_classes(spark):
     assert bigrams[0, 1] + bigrams[1, 0] == 40 * 59 and bigrams[3].sum() == 40
 
 
+def test_rare_words_are_dealt_by_the_same_gain():
+    rng = np.random.default_rng(9)
+    k, rows = 5, 40
+    bigrams = rng.integers(60, 400, (k + 2, k + 2)).astype(float)
+    before, after = (rng.integers(0, 4, (rows, k + 2)) * (rng.random((rows, k + 2)) < 0.4) * 1.0 for _ in range(2))
+    itself = rng.integers(0, 3, rows).astype(float)
+    bigrams[k, k] += 1000
+    want = class_lm.best_classes(np.full(rows, k), before, after, itself, bigrams, k)
+    assert class_lm.classes_of_rare(before, after, itself, bigrams).tolist() == want.tolist() and len(set(want.tolist())) > 2
+
+
+def test_words_beyond_the_rounds_have_classes(spark):
+    """Each of 200 words stands beside 4 clustered ones; an order that never occurs must score lower."""
+    rng = np.random.default_rng(2)
+    line = lambda: [f"{'xy'[i % 2]}{rng.integers(2) if rng.random() < 0.5 else rng.integers(100)}" for i in range(60)]
+    rows = [(i, " ".join(line())) for i in range(60)] + [(100, "x7 y9 x8 y6"), (101, "x7 x8 y9 y6")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for head in (4, 30, 1000):
+        got = {r.doc_id: r.score for r in class_lm.score_texts(df, F.col("doc_id") < 100, head=head, clustered=4, k=2, rounds=10).collect()}
+        assert got[100] > got[101] + 1
+
+
+@pytest.mark.parametrize("head", [12, 40, 300])
+def test_scores_follow_from_all_words_and_classes(documents, head):
+    """However many words are sent along, the score is that of the formula over all classes."""
+    spark, docs = documents.sparkSession, documents.where("doc_id < 60").select("doc_id", "text").cache()
+    texts = docs.where("doc_id % 3 > 0").select(class_lm._body("text"))
+    model, counts, totals = class_lm.fit(spark, texts, head=head, clustered=12, k=4, rounds=3)
+    model, rest, totals = class_lm.deal_rest(spark, texts, model, totals)
+    size, n = len(model.bigrams), {r.word.encode(): r.n for r in counts.collect()}
+    cls = {w: int(model.classes[i]) for w, i in model.numbers.items()}
+    cls |= {r.word.encode(): r.cls for r in rest.collect()}
+    assert set(cls) == set(n) and all(n[w] > 1 for w in n if cls[w] != size - 2)
+    assert sum(cls[w] != size - 2 for w in cls) > 12
+    table, in_class = np.zeros((size, size)), np.zeros(size)
+    for r in texts.collect():
+        way = [size - 1, *(cls[w] for w in class_lm.tokens(r._text_)), size - 1]
+        np.add.at(table, (way[:-1], way[1:]), 1)
+    assert np.array_equal(table, model.bigrams)
+    for w in n:
+        in_class[cls[w]] += n[w] + (0.5 if cls[w] == size - 2 else 0)
+    in_class[size - 2] += 0.5
+    assert np.allclose(in_class[:-1], totals["in_class"][:-1])
+    step = class_lm.transitions(table)
+    got = {r.doc_id: r.score for r in class_lm.score_texts(docs, F.col("doc_id") % 3 > 0, head=head, clustered=12, k=4, rounds=3).collect()}
+    for r in docs.collect():
+        words = class_lm.tokens(r.text or "")
+        way = [size - 1, *(cls.get(w, size - 2) for w in words), size - 1]
+        want = step[way[:-1], way[1:]].sum()
+        want += sum(math.log10((n.get(w, 0) + (0.5 if c == size - 2 else 0)) / in_class[c]) for w, c in zip(words, way[1:]))
+        assert got[r.doc_id] == pytest.approx(want, rel=1e-9)
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.1")
     marks = spark.read.parquet(f"{big}/labels.parquet")
