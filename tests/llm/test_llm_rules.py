@@ -48,6 +48,35 @@ def test_bands_reject_copies_and_noise(spark):
     assert not any(r.base_failed for r in rows)
 
 
+def test_junk_in_a_part_is_not_kept(spark):
+    """Random or repeated text as a short end, as a short text, and as one part of a long text."""
+    rng = random.Random(4)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or"]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def prose(size):
+        return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(size // 5))[: size - 1] + " "
+
+    def noise(size):
+        return "".join(rng.choices(alphabet, k=size))
+
+    sentence = "this sentence stands here again and again. "
+    bad = [prose(4096) + noise(2000), prose(8192) + noise(600), " ".join(noise(4) for _ in range(51)), prose(12288) + noise(4096),
+           prose(24576) + (sentence * 200)[:8192], "".join(prose(28672) + noise(4096) for _ in range(12))]
+    few = " ".join(rng.choices(["the", "of", "and", "to", "in", "is", "it", "on", "was", "for", "her", "time", "home"], k=60))
+    good = [prose(4096 + rest) for rest in (1, 20, 100, 200, 255, 256, 400, 700, 1500, 2047, 2048, 4095)] + [few, prose(400_000), prose(200_000) + noise(3000)]
+    rows = rules.quality_rules(spark.createDataFrame(list(enumerate(bad + good)), "doc_id int, text string")).collect()
+    assert not any(r.base_failed for r in rows if r.doc_id not in (4,))
+    assert [r.kept for r in sorted(rows)] == [False] * len(bad) + [True] * len(good)
+
+
+def test_clean_documents_have_no_chunk_outside(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    good = spark.read.parquet(f"{big}/labels.parquet").where("quality = 1")
+    judged = rules.quality_rules(spark.read.parquet(f"{big}/documents.parquet")).join(good, "doc_id").where("not base_failed").collect()
+    assert judged and all(r.kept and r.chunks_low + r.chunks_high == 0 for r in judged)
+
+
 def test_odd_rows(odd, empty):
     rows = rules.quality_rules(odd).collect()
     assert len(rows) == odd.count()
