@@ -4,7 +4,8 @@ Both models are first-order chains over characters. The random model is trained
 values that the fixed rules found in the corpus, and on seeded random strings over
 the usual key alphabets; the ordinary model on all other identifier-like strings of
 a sample of documents, and on the compound names that their words would make. A string that no rule matched is a secret if it holds letters
-and digits and its log-likelihood ratio, in all and for each character, is high.
+and digits and its log-likelihood ratio, in all and for each character, is high. Of a
+string that a rule matched in part, each rest of the least length is judged by itself.
 
 Null and empty texts have no spans. Offsets count code points, ends are exclusive.
 """
@@ -67,6 +68,21 @@ def outside(text: str, pattern: re.Pattern, spans: list[Span]) -> list[re.Match]
     return out
 
 
+def remains(text: str, pattern: re.Pattern, spans: list[Span]) -> list[tuple[int, int]]:
+    """What the spans leave of the matches, where a piece of it still matches by itself."""
+    out, merged = [], merge(spans)
+    at = 0
+    for m in pattern.finditer(text):
+        while at < len(merged) and merged[at][1] <= m.start():
+            at += 1
+        start, next_ = m.start(), at
+        while next_ < len(merged) and merged[next_][0] < m.end():
+            out.append((start, merged[next_][0]))
+            start, next_ = merged[next_][1], next_ + 1
+        out.append((start, m.end()))
+    return [(a, b) for a, b in out if a < b and pattern.fullmatch(text, a, b)]
+
+
 def merge(spans: list[Span]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end, _ in sorted(spans):
@@ -115,7 +131,7 @@ class SecretModel:
 
     def spans(self, text: str) -> list[Span]:
         base = base_spans(text)
-        more = [(m.start(), m.end(), "markov") for m in outside(text, CANDIDATE, base) if self.is_secret(m.group())]
+        more = [(start, end, "markov") for start, end in remains(text, CANDIDATE, base) if self.is_secret(text[start:end])]
         return ordered(base + more) if more else base
 
 
