@@ -5,6 +5,7 @@ from signalloom.catalog.core import VIEWS, query
 from signalloom.operators import events as ev
 from signalloom.operators.intervals import label_windows, merge_intervals
 from signalloom.plans.event_report import event_report
+from signalloom.session import settle
 
 VIEWS["v_session"] = """
 SELECT subject_id, edf_id, min(start_sec) AS start_sec, max(end_sec) AS end_sec,
@@ -56,7 +57,9 @@ MATCH = (
 
 
 def report(spark, d):
-    pred = v.predictions(spark, d)
+    """The report of a prediction table as it would lie on disk: the windows are numbered and written once."""
+    slim = v.predictions(spark, d).select(*ev.KEYS, "window_index", "start_sec", "end_sec", "y_true", "y_pred")
+    pred = settle(slim, "predictions")
     return event_report(pred, v.marks_of(pred))
 
 
@@ -93,8 +96,8 @@ def w4(spark, d):
     "SELECT * FROM v_best",
 )
 def j4(spark, d):
-    pred = v.predictions(spark, d)
-    return ev.best_overlaps(ev.predicted_events(pred), ev.true_events(v.marks_of(pred)))
+    found = report(spark, d)
+    return ev.best_overlaps(found.events, found.truth)
 
 
 @query(

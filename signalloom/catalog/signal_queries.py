@@ -1,12 +1,16 @@
 """Conditioning, windowing and spectral operators (G1-G15, S12) on the given tables."""
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window, functions as F
 
 from signalloom.catalog import views as v
 from signalloom.catalog.core import VIEWS, query
 from signalloom.functions import filters, spectral as sp
-from signalloom.operators import features as ft, signals as sg
+from signalloom.operators import align as al, features as ft, signals as sg
 from signalloom.operators.sequences import sequences
+from signalloom.session import scratch_dir
+from signalloom.sources import tables
 
 REC = ["subject_id", "edf_id"]
 CHUNK_SIZE = 512
@@ -243,3 +247,35 @@ def s12(spark, d):
     cached = windows.where("label = 0").select("window_id")
     todo = ft.missing_features(windows, cached, ["window_id"])
     return ft.with_band_features(todo, 64).select("window_id", F.posexplode("features").alias("pos", "feature"))
+
+
+@query("s12_cache_refresh", "window_id:l pos:l feature:4 copies:l", f"SELECT *, 1 AS copies FROM ({LOG_SQL})")
+def s12_refresh(spark, d):
+    """Three runs over one cache: some subjects, then all windows, then all of them again."""
+    windows, path = v.arrays(spark, d).withColumn("signal", F.array("x")), scratch_dir(spark, "features")
+    compute = lambda rows: ft.with_band_features(rows, 64).select("subject_id", "window_id", "features")
+    for part in (windows.where("subject_id < 's06'"), windows, windows):
+        tables.refresh_features(part, path, ["window_id"], "subject_id", compute, size=5)
+    copies = F.count(F.lit(1)).over(Window.partitionBy("window_id")).alias("copies")
+    cached = spark.read.parquet(path).select("window_id", "features", copies)
+    return cached.select("window_id", F.posexplode("features").alias("pos", "feature"), "copies")
+
+
+@query(
+    "j1_bucketed_arrays",
+    "window_id:l subject_id label:l total:4 first:4",
+    """SELECT a.window_id, a.subject_id, a.label, list_sum(a.x) AS total, f.feature AS first
+    FROM v_arr a JOIN (SELECT * FROM ("""
+    + LOG_SQL
+    + """) WHERE pos = 0) f ON f.window_id = a.window_id""",
+)
+def j1_buckets(spark, d):
+    """Arrays and features lie in tables of one bucket count; neither is shuffled for the join."""
+    windows, key, tag = v.arrays(spark, d).withColumn("signal", F.array("x")), ["window_id"], uuid.uuid4().hex[:12]
+    written = {"windows": windows, "features": ft.with_band_features(windows, 64).select("window_id", "features")}
+    for name, rows in written.items():
+        tables.write_bucketed(rows, f"written_{name}_{tag}", scratch_dir(spark, name), key, 8)
+    left, right = (spark.table(f"written_{name}_{tag}") for name in written)
+    total = F.aggregate(F.element_at("signal", 1), F.lit(0.0), lambda a, x: a + x)
+    joined = al.aligned(left, right, key)
+    return joined.select("window_id", "subject_id", "label", total.alias("total"), F.element_at("features", 1).alias("first"))

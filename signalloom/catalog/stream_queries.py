@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from signalloom.catalog import views as v
 from signalloom.catalog.core import query
-from signalloom.session import scratch_dir
+from signalloom.session import settle
 from signalloom.streaming import run, twins
 
 FEATURE = "subject_id edf_id start_sec:6 end_sec:6 n:l mean:6 min:6 max:6 power:4"
@@ -21,16 +21,6 @@ def alarms(spark, d):
 DELAY = "2 days"  # far below the thirty days of the events
 
 
-def as_stream(spark, rows, late=None):
-    """Rows as files in time order, a batch each, then ``late`` rows, then a closing row."""
-    path = scratch_dir(spark, "stream")
-    run.write_in_order(rows, path)
-    if late is not None:
-        late.coalesce(1).write.mode("append").parquet(path)
-    run.write_flush(rows, path, y_pred=1)
-    return run.files_as_stream(spark, path, rows, maxFilesPerTrigger=1)
-
-
 def real(table):
     return table.where(F.col("subject_id") != run.FLUSH)
 
@@ -42,8 +32,8 @@ def t1(spark, d):
 
 @query("t1_t4_sliding_windows_stream", FEATURE, FEATURE_SQL)
 def t1_stream(spark, d):
-    stream = as_stream(spark, v.events(spark, d))
-    return real(run.drained(twins.sliding_features(stream, length="4 hours", step="2 hours", delay=DELAY), "t1"))
+    made = lambda stream: twins.sliding_features(stream, length="4 hours", step="2 hours", delay=DELAY)
+    return real(run.replayed(v.events(spark, d), made, "t1"))
 
 
 RATE = "subject_id start_sec:6 end_sec:6 n:l alarms:l"
@@ -58,7 +48,7 @@ def t2(spark, d):
 
 @query("t2_alarm_rate_stream", RATE, RATE_SQL)
 def t2_stream(spark, d):
-    return real(run.drained(twins.alarm_rate(as_stream(spark, alarms(spark, d)), delay=DELAY), "t2"))
+    return real(run.replayed(alarms(spark, d), lambda stream: twins.alarm_rate(stream, delay=DELAY), "t2"))
 
 
 SESSION = "subject_id edf_id start_sec:6 end_sec:6 detection_sec:6 n_positive_windows:l"
@@ -76,8 +66,8 @@ def t3(spark, d):
 
 @query("t3_alarm_sessions_stream", SESSION, SESSION_SQL)
 def t3_stream(spark, d):
-    stream = as_stream(spark, alarms(spark, d))
-    return real(run.drained(twins.alarm_sessions(stream, gap="6 hours", delay=DELAY), "t3"))
+    made = lambda stream: twins.alarm_sessions(stream, gap="6 hours", delay=DELAY)
+    return real(run.replayed(alarms(spark, d), made, "t3", y_pred=1))
 
 
 @query(
@@ -89,19 +79,29 @@ def t3_stream(spark, d):
 def t5(spark, d):
     windows = v.signal(spark, d).select("subject_id", "edf_id", F.col("i").alias("window_index"), "v", "ts", "event_id")
     with run.settings(spark, twins.STATE_STORE):
-        stream = as_stream(spark, windows).where("window_index IS NOT NULL")
-        made = run.drained(twins.causal_sequences(stream, 5, "v", delay=DELAY, hold_sec=40 * 86_400), "t5")
+        made = run.replayed(
+            windows, lambda stream: twins.causal_sequences(stream.where("window_index IS NOT NULL"), 5, "v", delay=DELAY, hold_sec=40 * 86_400), "t5"
+        )
     made = made.where("NOT late")
     return made.withColumn("total", F.aggregate("values", F.lit(0.0), lambda a, x: a + x))
 
 
-LATE_SQL = """SELECT * FROM v_signal WHERE NOT (i % 10 = 0 AND t_sec < 864000)"""
-
-
-@query("t4_late_rows_stream", RATE, RATE_SQL.replace("FROM v_signal", f"FROM ({LATE_SQL})"))
+@query(
+    "t4_late_rows_stream",
+    RATE + " n_late:l",
+    """SELECT subject_id, 1704067200 + h * 3600.0 AS start_sec, 1704067200 + h * 3600.0 + 3600 AS end_sec, count(*) FILTER (NOT late) AS n,
+      count(*) FILTER (v >= 60 AND NOT late) AS alarms, count(*) FILTER (late) AS n_late
+    FROM (SELECT *, floor(t_sec / 3600) AS h, i % 10 = 0 AND t_sec < 864000 AS late FROM v_signal) GROUP BY subject_id, h""",
+)
 def t4_stream(spark, d):
-    """Some rows of the first ten days come after the thirtieth, and are lost."""
-    rows = v.signal(spark, d).withColumn("y_pred", (F.col("v") >= 60).cast("int"))
+    """Some rows of the first ten days come after the thirtieth; they are counted by themselves."""
+    rows = settle(v.signal(spark, d).withColumn("y_pred", (F.col("v") >= 60).cast("int")), "t4-all")
     held_back = (F.col("i") % 10 == 0) & (F.col("t_sec") < 864_000)
-    stream = as_stream(spark, rows.where(~held_back), rows.where(held_back))
-    return real(run.drained(twins.alarm_rate(stream, delay=DELAY), "t4"))
+    with run.settings(spark, twins.STATE_STORE):
+        made = run.replayed(
+            rows.where(~held_back), lambda stream: twins.alarm_rate_with_late(stream, delay=DELAY), "t4", late=rows.where(held_back)
+        )
+    counted = lambda column, late: F.sum(F.when(F.col("late") == late, F.col(column)).otherwise(0))
+    return real(made).groupBy("subject_id", "start_sec", "end_sec").agg(
+        counted("n", False).alias("n"), counted("alarms", False).alias("alarms"), counted("n", True).alias("n_late")
+    )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from signalloom.operators.intervals import BIN_SEC, merge_intervals, overlapping_pairs, time_bin
-from signalloom.operators.ordered import global_index, island_of_rows, islands, matched, numbered
+from signalloom.operators.ordered import global_index, island_of_rows, islands, linked_islands, local_islands, matched, numbered, ranked
+from signalloom.session import settle
 
 KEYS = ["subject_id", "edf_id"]
 
@@ -66,6 +68,52 @@ def predicted_events(predictions: DataFrame, max_gap_sec: float = 4.0, chunk_sec
     return with_event_ids(alarm_sessions(predictions, max_gap_sec, chunk_sec), chunk_sec)
 
 
+@dataclass(frozen=True)
+class Swept:
+    """Events and merged truth of the scored recordings, and the span that each recording was scored over."""
+
+    events: DataFrame
+    truth: DataFrame
+    spans: DataFrame
+
+
+def sweep_events(
+    predictions: DataFrame, annotations: DataFrame, max_gap_sec: float = 4.0, chunk_sec: float = BIN_SEC
+) -> Swept:
+    """Events with ids and merged annotations from one stream of positives and annotations.
+
+    Both are intervals that reach on, a positive to the latest start that continues its event, an
+    annotation to its end. So one sweep over ``(recording, chunk)`` forms the islands of both kinds inside a chunk, one pass
+    over the chunks' summaries links those that go on, and one sort numbers them all: events over the whole
+    table, truth inside its recording. Each step is written and read from there.
+    """
+    _check_gap(max_gap_sec)
+    kind = [*KEYS, "is_truth"]
+    start = F.col("start_sec")
+    positives = predictions.where(F.col("y_pred") == 1).select(
+        *KEYS, F.lit(False).alias("is_truth"), "start_sec", "end_sec", F.col("window_index").cast("long").alias("window_index"),
+        (start + F.lit(max_gap_sec + GAP_SLACK_SEC)).alias("reach_sec"),
+    )
+    marked = annotations.select(
+        *KEYS, F.lit(True).alias("is_truth"), "start_sec", "end_sec", F.lit(None).cast("long").alias("window_index"), F.col("end_sec").alias("reach_sec")
+    )
+    folds = {
+        "_first": (F.min, F.struct("start_sec", "window_index", "end_sec")),
+        "start_sec": (F.min, "start_sec"),
+        "end_sec": (F.max, "end_sec"),
+        "n_positive_windows": (F.sum, F.lit(1)),
+    }
+    stream = positives.unionByName(marked)
+    local = settle(local_islands(stream, kind, start, F.col("reach_sec"), time_bin(start, chunk_sec), folds), "event-chunks")
+    spans = settle(evaluated_spans(predictions), "event-spans")
+    scored = matched(linked_islands(local, kind, folds), spans, KEYS)
+    placed = scored.withColumn("detection_sec", F.col("_first.end_sec")).drop("_first")
+    numbers = settle(ranked(placed, ["is_truth", *KEYS], ["start_sec"], "true_event_id", "event_id"), "events")
+    events = numbers.where("NOT is_truth").select(*KEYS, "start_sec", "end_sec", "detection_sec", "n_positive_windows", "event_id")
+    truth = numbers.where("is_truth").select(*KEYS, "start_sec", "end_sec", "true_event_id", "eval_start", "eval_end")
+    return Swept(events, truth, spans)
+
+
 def recordings_of(df: DataFrame) -> DataFrame:
     """Distinct (subject, recording) pairs."""
     return df.select(*KEYS).distinct()
@@ -111,13 +159,14 @@ def match_events(events: DataFrame, truth: DataFrame, bin_sec: float = BIN_SEC)
     The first event (lowest id) that chose a true interval detects it; later
     ones are duplicates. Latency may be negative.
     """
-    # a window over the few events that one true interval meets
-    per_truth = Window.partitionBy(*KEYS, "true_event_id")
-    chosen = best_overlaps(events, truth, bin_sec).withColumn("_first_id", F.min("event_id").over(per_truth)).drop(*KEYS)
-    hit = F.col("event_id") == F.col("_first_id")
+    chosen = settle(best_overlaps(events, truth, bin_sec), "event-matches")
+    # the hits are looked up by their event, which is unique, not by the true interval, which any number of events may meet
+    firsts = chosen.groupBy(*KEYS, "true_event_id").agg(F.min("event_id").alias("event_id")).select("event_id", F.lit(True).alias("_hit"))
+    hit = F.col("_hit").isNotNull()
     return (
         events.select(*KEYS, "event_id", "detection_sec")
-        .join(chosen, "event_id", "left")
+        .join(chosen.drop(*KEYS), "event_id", "left")
+        .join(firsts, "event_id", "left")
         .select(
             *KEYS,
             F.col("event_id").alias("pred_event_id"),
@@ -172,19 +221,41 @@ def negative_hours(
     return matched(spans, positive, KEYS, "left").select(*KEYS, outside.alias("negative_hours"))
 
 
+def hours_of_swept(swept: Swept) -> DataFrame:
+    """Per scored recording: ``negative_hours`` and ``true_events``; the truth carries its recording's span."""
+    inside = F.greatest(F.lit(0.0), F.least("end_sec", "eval_end") - F.greatest("start_sec", "eval_start"))
+    positive = swept.truth.groupBy(*KEYS).agg(F.sum(inside).alias("_positive"), F.count(F.lit(1)).alias("_n"))
+    whole = F.greatest(F.col("eval_end") - F.col("eval_start"), F.lit(0.0))
+    outside = F.greatest(whole - F.coalesce("_positive", F.lit(0.0)), F.lit(0.0)) / 3600.0
+    found = matched(swept.spans, positive, KEYS, "left")
+    return found.select(*KEYS, outside.alias("negative_hours"), F.coalesce("_n", F.lit(0)).alias("true_events"))
+
+
 def event_metrics(
     predictions: DataFrame, truth: DataFrame, matches: DataFrame, merged: bool = False
 ) -> DataFrame:
     """One row of event-level figures; NULL where a figure is undefined.
 
-    The median is exact; it counts the distinct latencies of detected events, one at
+    ``merged`` says that the true intervals of a recording do not overlap.
+    """
+    hours = negative_hours(predictions, truth, merged=merged).agg(F.sum("negative_hours")).scalar()
+    return _figures(matches, F.struct(truth.agg(F.count(F.lit(1))).scalar().alias("n"), hours.alias("h")))
+
+
+def swept_metrics(swept: Swept, matches: DataFrame) -> DataFrame:
+    """:func:`event_metrics` of a sweep."""
+    totals = hours_of_swept(swept).agg(F.struct(F.sum("true_events").alias("n"), F.sum("negative_hours").alias("h"))).scalar()
+    return _figures(matches, totals)
+
+
+def _figures(matches: DataFrame, totals: Column) -> DataFrame:
+    """``totals`` holds the number ``n`` of true events and the hours ``h``. The median is exact; it counts the distinct latencies of detected events, one at
     most for each true event.
     """
 
     def count_of(kind: str):
         return F.count_if(F.col("classification") == kind)
 
-    hours = negative_hours(predictions, truth, merged=merged).agg(F.sum("negative_hours")).scalar()
     counted = matches.agg(
         F.count(F.lit(1)).alias("predicted_events"),
         count_of("detected").alias("detected_true_events"),
@@ -193,11 +264,12 @@ def event_metrics(
         F.avg("latency_sec").alias("mean_detection_latency_sec"),
         F.percentile("latency_sec", F.lit(0.5)).alias("median_detection_latency_sec"),
     )
-    totals = (
-        counted.withColumn("total_true_events", truth.agg(F.count(F.lit(1))).scalar())
-        .withColumn("evaluated_negative_hours", F.coalesce(hours, F.lit(0.0)))
+    figures = (
+        counted.withColumn("_totals", totals)
+        .withColumn("total_true_events", F.coalesce("_totals.n", F.lit(0)))
+        .withColumn("evaluated_negative_hours", F.coalesce("_totals.h", F.lit(0.0)))
     )
-    return totals.select(
+    return figures.select(
         "total_true_events",
         "detected_true_events",
         F.when(F.col("total_true_events") > 0, F.col("detected_true_events") / F.col("total_true_events"))

@@ -1,8 +1,10 @@
 """Joins of time intervals on equal keys plus overlap.
 
-All of them put intervals into time bins and join on ``(keys, bin)``. That is
-an equi-join, so Spark hashes it, and a recording that holds a third of the
-rows is spread over its bins instead of meeting in one task.
+Time is cut into bins, and an interval covers its bins with the fewest dyadic nodes (bins,
+pairs of bins, fours and so on): two nodes a level at most, whether it lasts a second or a
+thousand years. A point looks up the nodes above its bin. That is an equi-join on
+``(keys, node)``, so Spark hashes it, and a recording that holds a third of the rows is
+spread over its bins instead of meeting in one task.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from signalloom.operators.ordered import islands, matched
 
 BIN_SEC = 3600.0
+#: Bins beyond this number count as the last one, so that infinite bounds have a bin too.
+LAST_BIN = 1 << 44
+LEVELS = 46
 
 
 def overlap_seconds(a_start, a_end, b_start, b_end) -> Column:
@@ -31,6 +36,43 @@ def time_bin(seconds: Column, bin_sec: float = BIN_SEC) -> Column:
     return F.floor(seconds / F.lit(float(bin_sec))).cast("long")
 
 
+def bounded_bin(seconds: Column, bin_sec: float = BIN_SEC) -> Column:
+    return F.greatest(F.lit(-LAST_BIN), F.least(F.lit(LAST_BIN), time_bin(seconds, bin_sec)))
+
+
+def _halved(number: Column, level: Column) -> Column:
+    return F.call_function("shiftright", number, level)
+
+
+def dyadic_cover(first: Column, last: Column) -> Column:
+    """The bins ``first`` to ``last`` as an array of nodes ``(level, place)``; empty if there is none.
+
+    A node of level k holds the 2^k bins from ``place * 2^k`` on. On each level only the outermost
+    nodes can be missing from a node of the level above: an odd first one and an even last one.
+    """
+
+    def nodes(level: Column) -> Column:
+        low, high = -_halved(-first, level), _halved(last + 1, level) - 1
+        node = lambda place: F.struct(level.alias("level"), place.alias("place"))
+        return F.array(
+            F.when((low <= high) & (F.pmod(low, F.lit(2)) == 1), node(low)), F.when((low <= high) & (F.pmod(high, F.lit(2)) == 0), node(high))
+        )
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), nodes)), lambda n: n.isNotNull())
+
+
+def intervals_at(points: DataFrame, intervals: DataFrame, keys: Sequence[str], bin: str, first: Column, last: Column) -> DataFrame:
+    """Each row of ``points`` with each row of ``intervals`` whose bins ``first`` to ``last`` include its ``bin``.
+
+    A point is looked up on the levels that occur among the intervals, which are few.
+    """
+    nodes = intervals.withColumn("_node", F.explode(dyadic_cover(first, last)))
+    levels = nodes.agg(F.collect_set("_node.level")).scalar()
+    up = F.transform("_levels", lambda k: F.struct(k.alias("level"), _halved(F.col(bin), k).alias("place")))
+    looked_up = points.withColumn("_levels", levels).withColumn("_node", F.explode(up)).drop("_levels")
+    return matched(looked_up, nodes, [*keys, "_node"]).drop("_node")
+
+
 def merge_intervals(
     df: DataFrame, keys: Sequence[str], start: str = "start_sec", end: str = "end_sec", bin_sec: float = BIN_SEC
 ) -> DataFrame:
@@ -55,26 +97,21 @@ def label_windows(
 ) -> DataFrame:
     """1 iff an annotation of the same key overlaps the window; touching does not count.
 
-    A window is looked up by the bin of its start alone: annotations are entered
-    into every bin in which an overlapping window of at most ``max_window_sec``
+    A window is looked up by the bin of its start alone: an annotation is entered
+    into every bin that has windows and in which an overlapping window of at most ``max_window_sec``
     can start. So the wide window rows are neither copied nor re-aggregated; the
     join only adds a flag (an existence join). A longer window is an error.
     """
-    spread = annotations.select(
-        *[F.col(k).alias(f"_a_{k}") for k in keys],
-        F.col("start_sec").alias("_a_start"),
-        F.col("end_sec").alias("_a_end"),
-        F.explode(
-            F.sequence(
-                time_bin(F.col("start_sec") - max_window_sec, bin_sec), time_bin(F.col("end_sec"), bin_sec)
-            )
-        ).alias("_a_bin"),
-    )
+    bins = windows.select(*keys, bounded_bin(F.col("start_sec"), bin_sec).alias("_a_bin")).distinct()
+    marks = annotations.select(*keys, F.col("start_sec").alias("_a_start"), F.col("end_sec").alias("_a_end"))
+    from_bin = bounded_bin(F.col("_a_start") - max_window_sec, bin_sec)
+    spread = intervals_at(bins, marks, keys, "_a_bin", from_bin, bounded_bin(F.col("_a_end"), bin_sec))
+    spread = spread.withColumnsRenamed({k: f"_a_{k}" for k in keys})
     # Names of the outer side must not occur inside the subquery.
     outer = {f"_w_{k}": F.col(k) for k in [*keys, "start_sec", "end_sec"]}
     too_long = F.col("end_sec") - F.col("start_sec") > F.lit(max_window_sec + 1e-9)
     refused = F.raise_error(F.lit(f"a window is longer than max_window_sec = {max_window_sec}"))
-    home = F.when(too_long, refused).otherwise(time_bin(F.col("start_sec"), bin_sec))
+    home = F.when(too_long, refused).otherwise(bounded_bin(F.col("start_sec"), bin_sec))
     binned = windows.withColumns({**outer, "_w_bin": home})
     hit = (
         (F.col("_a_bin") == F.col("_w_bin").outer())
@@ -95,19 +132,16 @@ def overlapping_pairs(
     """Every overlapping pair once. Bounds are ``start_sec``/``end_sec`` on the
     left and ``true_start``/``true_end`` on the right.
 
-    Both sides enter each bin they touch; a pair is kept only in the bin where
-    its overlap begins, so no duplicate removal is needed.
+    An overlap begins where one of the two begins. So the starts on the left meet the
+    intervals on the right that began no later, and the starts on the right those on the left
+    that began earlier; no pair is found twice, and no interval is copied into every bin.
     """
-
-    def entered(df: DataFrame, start: str, end: str) -> DataFrame:
-        bins = F.sequence(time_bin(F.col(start), bin_sec), time_bin(F.col(end), bin_sec))
-        return df.withColumn("_bin", F.explode(bins))
-
-    begin = F.greatest("start_sec", "true_start")
+    at = lambda seconds: bounded_bin(F.col(seconds), bin_sec)
+    earlier = intervals_at(left.withColumn("_bin", at("start_sec")), right, keys, "_bin", at("true_start"), at("true_end"))
+    later = intervals_at(right.withColumn("_bin", at("true_start")), left, keys, "_bin", at("start_sec"), at("end_sec"))
+    pairs = earlier.where("true_start <= start_sec").unionByName(later.where("true_start > start_sec"))
     return (
-        matched(entered(left, "start_sec", "end_sec"), entered(right, "true_start", "true_end"), [*keys, "_bin"])
-        .where((F.col("start_sec") < F.col("true_end")) & (F.col("true_start") < F.col("end_sec")))
-        .where(F.col("_bin") == time_bin(begin, bin_sec))
+        pairs.where("start_sec < true_end AND true_start < end_sec")
         .drop("_bin")
         .withColumn("overlap_sec", overlap_seconds("start_sec", "end_sec", "true_start", "true_end"))
     )

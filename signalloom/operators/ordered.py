@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window, WindowSpec
 
+from signalloom.session import settle
+
 CHUNK = "_chunk"
 #: Keys and chunk as one struct. Structs compare their fields NULL-safely, so rows
 #: whose key or chunk is NULL stay together and are joined like any others.
@@ -180,6 +182,30 @@ def global_index(
     )
 
 
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, overall: str) -> DataFrame:
+    """0-based positions in the order ``(*group, *order)``: ``out`` inside the group, ``overall`` in the whole table.
+
+    The rows are sorted once, into ranges that any group may spread over, and written; both positions
+    then follow from counts of one row per range and group.
+    """
+    by = [*group, *order]
+    ranges = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
+    split = ranges.withColumn("_range", F.shiftright("_row", 33)).withColumn("_row", F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = settle(split, "ranked").withColumn(PLACE, F.struct(*group, "_range"))
+    counts = rows.groupBy(PLACE).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    at = F.col(PLACE)["_range"]
+    in_group = _over([F.col(PLACE)[k] for k in group], at).rowsBetween(*BEFORE)
+    # all groups of a range follow each other in it: what lies before a place is its range's beginning and its first row
+    sizes = counts.groupBy(at.alias("_range")).agg(F.sum("_n").alias("_m"))
+    before = sizes.select("_range", F.coalesce(F.sum("_m").over(_over([], "_range").rowsBetween(*BEFORE)), F.lit(0)).alias("_base"))
+    shift = (F.coalesce(F.sum("_n").over(in_group), F.lit(0)) - F.col("_first")).alias("_shift")
+    return (
+        rows.join(counts.select(PLACE, shift), PLACE).join(before, "_range")
+        .withColumn(out, F.col("_row") + F.col("_shift")).withColumn(overall, F.col("_row") + F.col("_base"))
+        .drop(PLACE, "_range", "_row", "_shift", "_base")
+    )
+
+
 def _local_heads(df: DataFrame, keys: Sequence[str], start: Column, reach: Column, chunk: Column) -> DataFrame:
     """Rows with ``_head``: the start of their island as seen inside their chunk."""
     w = _over([PLACE], "_start")
@@ -214,6 +240,30 @@ def _linked(local: DataFrame, keys: Sequence[str]) -> DataFrame:
     return local.join(carries, PLACE).withColumn("_island", F.when(own, F.col("_head")).otherwise(F.col("_from")))
 
 
+def local_islands(
+    df: DataFrame, keys: Sequence[str], start: Column, reach: Column, chunk: Column, folds: Mapping[str, tuple]
+) -> DataFrame:
+    """The islands of each chunk by itself: the first step of :func:`islands`, one shuffle of the rows."""
+    return (
+        _local_heads(df.where(start.isNotNull() & reach.isNotNull()), keys, start, reach, chunk)
+        .groupBy(PLACE, "_head")
+        .agg(F.max("_reach").alias("_reach"), *[fold(col).alias(n) for n, (fold, col) in folds.items()])
+    )
+
+
+def linked_islands(local: DataFrame, keys: Sequence[str], folds: Mapping[str, tuple]) -> DataFrame:
+    """Islands over all chunks from those of each chunk: the second step of :func:`islands`.
+
+    Reads ``local`` twice, so that it is worth writing first where it comes from much more rows.
+    """
+    return (
+        _linked(local, keys)
+        .groupBy(*[F.col(PLACE)[k].alias(k) for k in keys], "_island")
+        .agg(*[fold(n).alias(n) for n, (fold, _) in folds.items()])
+        .drop("_island")
+    )
+
+
 def islands(
     df: DataFrame,
     keys: Sequence[str],
@@ -230,17 +280,7 @@ def islands(
     are first formed inside a chunk; only those are linked across chunks. Rows
     without a start or a reach are no intervals and are left out.
     """
-    local = (
-        _local_heads(df.where(start.isNotNull() & reach.isNotNull()), keys, start, reach, chunk)
-        .groupBy(PLACE, "_head")
-        .agg(F.max("_reach").alias("_reach"), *[fold(col).alias(n) for n, (fold, col) in folds.items()])
-    )
-    return (
-        _linked(local, keys)
-        .groupBy(*[F.col(PLACE)[k].alias(k) for k in keys], "_island")
-        .agg(*[fold(n).alias(n) for n, (fold, _) in folds.items()])
-        .drop("_island")
-    )
+    return linked_islands(local_islands(df, keys, start, reach, chunk, folds), keys, folds)
 
 
 def island_of_rows(

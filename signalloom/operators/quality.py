@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from signalloom.functions import arrays
 from signalloom.operators.ordered import numbered, previous_value
+from signalloom.session import settle
 
 # Limits of the channel and scale rules.
 FLAT_STD = 1e-4
@@ -74,6 +75,25 @@ def require(checks: DataFrame) -> None:
         raise ValueError("; ".join(f"{r['constraint']}: {r['violations']}" for r in broken))
 
 
+def audited(rows: DataFrame, rules: Mapping[str, Column], key: Sequence[str], name: str) -> DataFrame:
+    """``rows``, written to the shared scratch folder and counted on the way; refused if they break a rule.
+
+    Besides ``rules`` there must be rows at all, and no key twice. The counts are observed by the job that writes, so that
+    whatever ``rows`` come from is evaluated once; rows that a join on the key has dealt out are not dealt out again.
+    """
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    seen = Observation(name)
+    checks = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(rule) for rule, ok in rules.items()]
+    checks += [F.count(F.lit(1)).alias("_rows"), F.count_if(F.col("_nth") > 1).alias("unique_key")]
+    kept = settle(rows.withColumn("_nth", nth).observe(seen, *checks), name).drop("_nth")
+    found = dict(seen.get)
+    found["not_empty"] = int(found.pop("_rows") == 0)
+    broken = {rule: n for rule, n in found.items() if n}
+    if broken:
+        raise ValueError("; ".join(f"{rule}: {n}" for rule, n in broken.items()))
+    return kept
+
+
 def prediction_rules() -> dict[str, Column]:
     binary = [0, 1]
     return {

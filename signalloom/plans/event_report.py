@@ -6,25 +6,27 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from signalloom.operators.events import event_metrics, match_events, predicted_events, true_events
+from signalloom.operators.events import Swept, match_events, sweep_events, swept_metrics
+from signalloom.session import settle
 
 
 @dataclass(frozen=True)
 class EventReport:
-    predictions: DataFrame
-    events: DataFrame
-    truth: DataFrame
+    swept: Swept
     matches: DataFrame
 
-    def release(self) -> None:
-        """Drop what the executors keep; the results stay right, but are worked out again."""
-        self.events.unpersist()
-        self.truth.unpersist()
+    @property
+    def events(self) -> DataFrame:
+        return self.swept.events
+
+    @property
+    def truth(self) -> DataFrame:
+        return self.swept.truth.drop("eval_start", "eval_end")
 
     @property
     def metrics(self) -> DataFrame:
         """One row of event-level figures."""
-        return event_metrics(self.predictions, self.truth, self.matches, merged=True)
+        return swept_metrics(self.swept, self.matches)
 
     @property
     def by_subject(self) -> DataFrame:
@@ -43,13 +45,8 @@ class EventReport:
 def event_report(predictions: DataFrame, annotations: DataFrame, max_gap_sec: float = 4.0) -> EventReport:
     """Events, merged truth and matches of one prediction table.
 
-    Nothing runs before a result is asked for. Events and truth, which every result
-    reads and which are far smaller than the predictions, are then kept on the
-    executors (a lost part is worked out again) until :meth:`EventReport.release`.
+    The predictions are read twice (positives, spans) and the annotations once. What is found, which is far smaller, is
+    written to the shared scratch folder, and every result reads it from there.
     """
-    events, truth = predicted_events(predictions, max_gap_sec), true_events(annotations, predictions)
-    return report_of(predictions, events.persist(), truth.persist())
-
-
-def report_of(predictions: DataFrame, events: DataFrame, truth: DataFrame) -> EventReport:
-    return EventReport(predictions, events, truth, match_events(events, truth))
+    swept = sweep_events(predictions, annotations, max_gap_sec)
+    return EventReport(swept, settle(match_events(swept.events, swept.truth), "matches"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,3 +79,32 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
+
+
+def publish(write: Callable[[str], None], spark: SparkSession, path: str) -> None:
+    """Let ``write`` fill a hidden folder beside ``path``, then rename it: readers see all of a result or nothing.
+
+    A path that exists is refused, before the work and by the rename.
+    """
+    context = spark.sparkContext
+    Path = context._jvm.org.apache.hadoop.fs.Path
+    target = Path(path)
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(f"{path} exists already")
+    parent = target.getParent()
+    if parent is not None:
+        files.mkdirs(parent)
+    staged = Path(parent, f".{target.getName()}-{uuid.uuid4().hex[:12]}")
+    try:
+        write(staged.toString())
+        if files.exists(target) or not files.rename(staged, target):
+            raise FileExistsError(f"{path} could not be published")
+    finally:
+        files.delete(staged, True)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from signalloom import schemas
-from signalloom.operators.quality import prediction_rules, require, require_columns, violations
+from signalloom.operators.features import missing_features
+from signalloom.operators.ordered import matched
+from signalloom.operators.quality import audited, prediction_rules, require, require_columns, violations
 from signalloom.operators.splits import SPLITS
-from signalloom.plans.event_report import report_of
-from signalloom.session import settle
+from signalloom.session import exists, publish, settle
 
 KEY = ["subject_id", "edf_id", "window_index"]
 ORDER = ["subject_id", "edf_id", "start_sec", "window_index"]
@@ -63,32 +64,14 @@ def read_window_metadata(spark: SparkSession, paths: str | Sequence[str]) -> Dat
     return read_csv(spark, paths, schemas.WINDOW_METADATA)
 
 
-def prediction_violations(rows: DataFrame, more: dict[str, Column] | None = None) -> DataFrame:
-    """Violations of the prediction rules, of a unique key and of having rows at all.
-
-    One pass and one shuffle by the key: the rules are counted per key, and the keys
-    are summed up. ``more`` adds rules on further columns.
-    """
-    rules = {**prediction_rules(), **(more or {})}
-    broken = [F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()]
-    per_key = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), *broken)
-    total = per_key.agg(
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in rules],
-        F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("long").alias("not_empty"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("unique_key"),
-    )
-    return total.unpivot([], [*rules, "not_empty", "unique_key"], "constraint", "violations")
-
-
 def validated_predictions(rows: DataFrame) -> DataFrame:
-    """Check the prediction rules, a unique key and that there are rows; return the rows."""
+    """The rows, read once and written to the scratch folder, if they keep the rules, have unique keys and exist."""
     require_columns(rows, schemas.PREDICTIONS.fieldNames()[1:])
-    require(prediction_violations(rows))
-    return rows
+    return audited(rows, prediction_rules(), KEY, "predictions")
 
 
 def load_predictions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Read, validate and order a prediction table."""
+    """Read, validate and order a prediction table; the text is parsed once."""
     return validated_predictions(read_csv(spark, paths, schemas.PREDICTIONS)).orderBy(*ORDER)
 
 
@@ -101,14 +84,18 @@ def _joined_predictions(metadata: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def _check_and_write(joined: DataFrame, path: str) -> None:
+    """Write, audit, publish: the join is evaluated once, into the scratch folder, and counted meanwhile."""
     own = {
         "known_window": F.col("_label").isNotNull(),
         "label_matches": F.col("_label").isNull() | (F.col("_label") == F.col("y_true")),
     }
-    require(prediction_violations(joined, own))
-    fields = schemas.PREDICTIONS.fields
-    rows = joined.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
-    rows.orderBy(*ORDER).write.mode("errorifexists").option("header", True).csv(path)
+
+    def write(staged: str) -> None:
+        rows = audited(joined, {**prediction_rules(), **own}, KEY, "scored")
+        fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.PREDICTIONS.fields]
+        rows.select(*fields).orderBy(*ORDER).write.option("header", True).csv(staged)
+
+    publish(write, joined.sparkSession, path)
 
 
 def write_window_predictions(metadata: DataFrame, scores: DataFrame, path: str) -> None:
@@ -180,6 +167,45 @@ def write_subject_arrays(windows: DataFrame, path: str) -> None:
     windows.hint("rebalance", "subject_id").write.partitionBy("subject_id").mode("errorifexists").parquet(path)
 
 
+def write_bucketed(rows: DataFrame, name: str, path: str, key: Sequence[str], buckets: int) -> DataFrame:
+    """``rows`` dealt to ``buckets`` files by ``key``, each sorted, and registered as table ``name``.
+
+    Tables of one bucket count are joined on the key without a shuffle of either side (see
+    :func:`signalloom.operators.align.aligned`), so wide array rows move once, when they are written. A bucket is read by one
+    task: take as many as the largest table needs, and a key that is unique or nearly so.
+    """
+    dealt = rows.repartition(buckets, *key)
+    dealt.write.bucketBy(buckets, *key).sortBy(*key).option("path", path).mode("errorifexists").saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def read_bucketed(spark: SparkSession, name: str, path: str, key: Sequence[str], buckets: int) -> DataFrame:
+    """A table of :func:`write_bucketed` under a name of this session, with its buckets."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    keys, place = ", ".join(f"`{k}`" for k in key), path.replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE `{name}` ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {int(buckets)} BUCKETS LOCATION '{place}'"
+    )
+    return spark.table(name)
+
+
+def refresh_features(
+    windows: DataFrame, path: str, key: Sequence[str], part: str, compute: Callable[[DataFrame], DataFrame], size: int | None = None, force: bool = False
+) -> None:
+    """Bring a feature cache up to date, part by part.
+
+    A part (a recording, a subject) in which a window lacks features of the expected size is computed as a whole and
+    replaces its folder. So a run that is repeated, or started again after it was cut off, leaves every window once.
+    """
+    spark = windows.sparkSession
+    todo = windows
+    if not force and exists(spark, path):
+        lacking = missing_features(windows.select(part, *key), spark.read.parquet(path), key, size).select(part).distinct()
+        todo = matched(windows, settle(lacking, "lacking"), [part], "left_semi")
+    rows = compute(todo).hint("rebalance", part)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static" if force else "dynamic").partitionBy(part).parquet(path)
+
+
 def append_features(features: DataFrame, path: str, force: bool = False) -> None:
     features.write.mode("overwrite" if force else "append").parquet(path)
 
@@ -190,12 +216,7 @@ def write_scores(rows: DataFrame, path: str) -> None:
 
 
 def write_event_report(report, path: str) -> None:
-    """Events, truth and matches as CSV folders, metrics as JSON.
-
-    Events and merged truth are written to the scratch folder first, as all four
-    results read them.
-    """
-    report = report_of(report.predictions, settle(report.events, "events"), settle(report.truth, "truth"))
+    """Events, truth and matches as CSV folders, metrics as JSON."""
     for name in ("events", "truth", "matches"):
         getattr(report, name).write.mode("errorifexists").option("header", True).csv(f"{path}/{name}")
     report.metrics.coalesce(1).write.mode("errorifexists").json(f"{path}/metrics")

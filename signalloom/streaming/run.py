@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from signalloom.session import scratch_dir
+from signalloom.session import scratch_dir, settle
 
 FLUSH = "~flush"
 
@@ -34,14 +34,60 @@ def write_flush(rows: DataFrame, path: str, ts: str = "ts", after: str = "INTERV
     last.write.mode("append").parquet(path)
 
 
-def write_in_order(rows: DataFrame, path: str, ts: str = "ts", files: int = 5) -> None:
-    """Append ``rows`` as ``files`` files, each a slice of time after the one before."""
-    first, last = (F.unix_micros(f(ts)) for f in (F.min, F.max))
-    bounds = rows.agg(F.struct(first.alias("a"), last.alias("b"))).first()[0]
-    width = max(1, ((bounds["b"] or 0) - (bounds["a"] or 0)) // files + 1)
-    part = F.floor((F.unix_micros(ts) - F.lit(bounds["a"] or 0)) / F.lit(width))
-    for k in range(files):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(path)
+def time_slices(rows: DataFrame, ts: str = "ts", slices: int = 5) -> Iterator[DataFrame]:
+    """``rows`` in ``slices`` parts, each a slice of time after the one before.
+
+    The rows are written once by all their partitions, a folder for each slice, so a slice is read without the others.
+    Rows without a time belong nowhere in a stream and are refused.
+    """
+    low, high = (F.unix_micros(f(ts)) for f in (F.min, F.max))
+    seen = rows.agg(low.alias("a"), high.alias("b"), F.count_if(F.col(ts).isNull()).alias("timeless")).first()
+    if seen["timeless"]:
+        raise ValueError(f"{seen['timeless']} rows have no time")
+    first = seen["a"] or 0
+    width = max(1, ((seen["b"] or 0) - first) // slices + 1)
+    path = scratch_dir(rows.sparkSession, "slices")
+    part = F.floor((F.unix_micros(ts) - F.lit(first)) / F.lit(width)).cast("int")
+    rows.withColumn("_slice", part).write.partitionBy("_slice").parquet(path)
+    written = rows.sparkSession.read.schema(f"{_columns(rows)}, _slice int").parquet(path)
+    for k in range(slices):
+        yield written.where(F.col("_slice") == k).drop("_slice")
+
+
+def _columns(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
+def replayed(
+    rows: DataFrame, transform: Callable[[DataFrame], DataFrame], name: str, ts: str = "ts", late: DataFrame | None = None, slices: int = 5,
+    progress: list | None = None, **closing,
+) -> DataFrame:
+    """What ``transform`` makes of a table that arrives slice by slice, then of ``late`` rows and a closing row.
+
+    Each slice is appended by all its partitions and then processed by a run of the query that goes on from the last
+    one's checkpoint, as a job that is started whenever new files are there. ``closing`` fills columns of the closing row.
+    """
+    spark = rows.sparkSession
+    rows = settle(rows, f"{name}-rows")
+    path, out, checkpoint = (scratch_dir(spark, f"{name}-{part}") for part in ("in", "out", "state"))
+    schema = None
+
+    def process() -> None:
+        nonlocal schema
+        made = transform(files_as_stream(spark, path, rows))
+        schema = made.schema
+        query = made.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
+        query = query.trigger(availableNow=True).start()
+        query.awaitTermination()
+        if progress is not None:
+            progress.extend(query.recentProgress)
+
+    for part in [*time_slices(rows, ts, slices), *([late] if late is not None else [])]:
+        part.write.mode("append").parquet(path)
+        process()
+    write_flush(rows, path, ts, **closing)
+    process()
+    return spark.read.schema(schema).parquet(out)
 
 
 @contextmanager

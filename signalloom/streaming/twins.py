@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -61,6 +62,72 @@ def alarm_rate(
     return table.select("subject_id", *_edges("w"), "n", "alarms")
 
 
+RATE = T.StructType(
+    [
+        T.StructField("subject_id", T.StringType()),
+        T.StructField("start_sec", T.DoubleType()),
+        T.StructField("end_sec", T.DoubleType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("alarms", T.LongType()),
+        T.StructField("late", T.BooleanType()),
+    ]
+)
+
+
+class WindowTotals(StatefulProcessor):
+    """Totals of one window of a subject, given out when the watermark reaches its end.
+
+    Rows that arrive after that come out as totals of their own, marked as late.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", T.StructType([T.StructField("n", T.LongType()), T.StructField("alarms", T.LongType())]))
+
+    def _row(self, key, n: int, alarms: int, late: bool) -> pd.DataFrame:
+        subject, start, end = key
+        return pd.DataFrame([(subject, start / 1e3, end / 1e3, n, alarms, late)], columns=RATE.names)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n = alarms = 0
+        for frame in rows:
+            n += len(frame)
+            alarms += int(frame["y_pred"].sum())
+        if self.totals.exists():
+            held = self.totals.get()
+            self.totals.update((held[0] + n, held[1] + alarms))
+        elif key[2] <= timerValues.getCurrentWatermarkInMs():
+            yield self._row(key, n, alarms, True)
+        else:
+            self.totals.update((n, alarms))
+            self.handle.registerTimer(key[2])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, alarms = self.totals.get()
+        self.totals.clear()
+        yield self._row(key, n, alarms, False)
+
+    def close(self) -> None:
+        pass
+
+
+def alarm_rate_with_late(predictions: DataFrame, ts: str = "ts", length_sec: int = 3600, delay: str = "10 minutes") -> DataFrame:
+    """:func:`alarm_rate` that loses no row: late ones are returned as rows of their window with ``late`` set.
+
+    A window comes out once when the watermark has reached its end, and once more for each batch with late rows of it.
+    Needs the RocksDB state store (``STATE_STORE`` below) on the session.
+    """
+    length = length_sec * 1000
+    start = F.floor(F.unix_millis(ts) / F.lit(length)).cast("long") * length
+    # without the time column itself, by which Spark would drop late rows before the state sees them
+    slim = predictions.withWatermark(ts, delay).select(
+        "subject_id", start.alias("start_ms"), (start + length).alias("end_ms"), F.coalesce(F.col("y_pred").cast("long"), F.lit(0)).alias("y_pred")
+    )
+    return slim.groupBy("subject_id", "start_ms", "end_ms").transformWithStateInPandas(
+        WindowTotals(), outputStructType=RATE, outputMode="Append", timeMode="EventTime"
+    )
+
+
 def alarm_sessions(
     predictions: DataFrame,
     ts: str = "ts",
@@ -104,8 +171,8 @@ class LastWindows(StatefulProcessor):
     """Holds the windows of one chunk of a recording that a sequence may still need.
 
     A window is held until ``length - 1`` newer ones and ``slack`` further places
-    have passed, so windows may arrive out of order by ``slack`` places; older
-    arrivals come out marked as late. When the watermark is ``hold_ms`` past the
+    have passed, so windows may arrive out of order by ``slack`` places; arrivals older
+    than that when their batch begins come out marked as late. When the watermark is ``hold_ms`` past the
     newest time of a chunk, its whole state is cleared.
     """
 
@@ -120,47 +187,47 @@ class LastWindows(StatefulProcessor):
         newest = T.StructType([T.StructField("index", T.LongType()), T.StructField("until", T.LongType())])
         self.newest = handle.getValueState("newest", newest)
 
-    def _completed(self, windows: dict[int, float], index: int, chunk: int) -> Iterator[tuple[int, int]]:
-        """First and last place of the sequences of this chunk that a new window completes."""
-        first = last = index
-        while first > index - self.length + 1 and first - 1 in windows:
-            first -= 1
-        while last < index + self.length - 1 and last + 1 in windows:
-            last += 1
-        for target in range(max(index, first + self.length - 1), last + 1):
-            if target // self.size == chunk:
-                yield target - self.length + 1, target
+    def _sequences(self, index: np.ndarray, value: np.ndarray, new: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and values of the sequences of this chunk that hold a new window; ``index`` ascends."""
+        if len(index) < self.length:
+            return np.zeros(0, np.int64), np.zeros((0, self.length))
+        last = index[self.length - 1 :]
+        arrived = np.concatenate([[0], np.cumsum(new)])
+        whole = (last - index[: len(last)] == self.length - 1) & (arrived[self.length :] > arrived[: len(last)])
+        at = np.flatnonzero(whole & (last // self.size == chunk))
+        return index[at], np.lib.stride_tricks.sliding_window_view(value, self.length)[at]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         subject, recording, chunk = key
-        windows = {int(k[0]): float(v[0]) for k, v in self.held.iterator()}
+        state = [(int(k[0]), float(v[0])) for k, v in self.held.iterator()]
+        held_at, held = np.array([k for k, _ in state], dtype=np.int64), np.array([v for _, v in state])
         newest, until = self.newest.get() if self.newest.exists() else (-1, 0)
-        before, timer = set(windows), until
-        out = []
-        for frame in rows:
-            for index, value, ms in zip(frame["window_index"].tolist(), frame["value"].tolist(), frame["ms"].tolist()):
-                until = max(until, int(ms) + self.hold_ms)
-                if index in windows:
-                    continue
-                if index <= newest - self.length - self.slack:
-                    if index // self.size == chunk:  # not a copy from the border of another chunk
-                        out.append((subject, recording, None, index, None, True))
-                    continue
-                windows[index] = value
-                newest = max(newest, index)
-                for start, target in self._completed(windows, index, chunk):
-                    out.append((subject, recording, start, target, [windows[i] for i in range(start, target + 1)], False))
-            for old in [i for i in windows if i <= newest - self.length - self.slack]:
-                del windows[old]
-        for index in before - set(windows):
+        timer = until
+        frames = pd.concat(list(rows))
+        at, value = frames["window_index"].to_numpy(np.int64), frames["value"].to_numpy(float)
+        until = max(until, int(frames["ms"].max()) + self.hold_ms)
+        known = np.isin(at, held_at)
+        old = ~known & (at <= newest - self.length - self.slack)
+        late = at[old & (at // self.size == chunk)]  # the others are copies from the border of another chunk
+        fresh_at, first = np.unique(at[~known & ~old], return_index=True)
+        fresh = value[~known & ~old][first]
+        order = np.argsort(np.concatenate([held_at, fresh_at]))
+        every_at, every = np.concatenate([held_at, fresh_at])[order], np.concatenate([held, fresh])[order]
+        starts, values = self._sequences(every_at, every, order >= len(held_at), chunk)
+        newest = max([newest, *fresh_at[-1:].tolist()])
+        least = newest - self.length - self.slack
+        for index in held_at[held_at <= least].tolist():
             self.held.removeKey((index,))
-        for index in set(windows) - before:
-            self.held.updateValue((index,), (windows[index],))
+        for index, x in zip(fresh_at.tolist(), fresh.tolist()):
+            if index > least:
+                self.held.updateValue((index,), (x,))
         self.newest.update((newest, until))
         if until != timer:
             if timer:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(until)
+        out = [(subject, recording, start, start + self.length - 1, held, False) for start, held in zip(starts.tolist(), values.tolist())]
+        out += [(subject, recording, None, index, None, True) for index in late.tolist()]
         yield pd.DataFrame(out, columns=SEQUENCE.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -5,19 +5,23 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from signalloom.operators.events import alarm_sessions, predicted_events, session_of_windows, true_events
-from signalloom.operators.intervals import label_windows, merge_intervals, overlapping_pairs
+from signalloom.operators.events import (
+    alarm_sessions, hours_of_swept, negative_hours, predicted_events, session_of_windows, sweep_events, true_events,
+)
+from signalloom.operators.intervals import bounded_bin, dyadic_cover, label_windows, merge_intervals, overlapping_pairs
 from signalloom.operators.ordered import (
     first_per_group,
     global_index,
     numbered,
     previous_value,
+    ranked,
     score_ladder,
     value_cell,
     with_halo,
 )
 
 KEYS = ["subject_id", "edf_id"]
+MARK_SCHEMA = "subject_id string, edf_id string, start_sec double, end_sec double"
 
 
 def random_positives(seed=1, recordings=40):
@@ -215,3 +219,61 @@ def test_score_ladder_counts(spark, bits):
         assert r["n_ge"] == sum(x[1] >= r["p"] for x in mine)
         assert r["positives_ge"] == sum(x[1] >= r["p"] and x[2] for x in mine)
         assert r["n_all"] == len(mine) and r["positives_all"] == sum(x[2] for x in mine)
+
+
+def test_a_cover_has_two_nodes_a_level_and_holds_just_its_bins(spark):
+    rng = random.Random(4)
+    pairs = [(0, 0), (-1, 0), (5, 4), (-(1 << 44), 1 << 44), (1, (1 << 40) - 2)]
+    pairs += [tuple(sorted((rng.randrange(-200, 200), rng.randrange(-200, 200)))) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "a long, b long").withColumn("c", dyadic_cover(F.col("a"), F.col("b")))
+    for row in df.collect():
+        levels = [n.level for n in row.c]
+        assert all(levels.count(k) <= 2 for k in levels)
+        assert sum(1 << n.level for n in row.c) == max(0, row.b - row.a + 1)
+        if 0 <= row.b - row.a < 1000:
+            held = sorted(b for n in row.c for b in range(n.place << n.level, (n.place + 1) << n.level))
+            assert held == list(range(row.a, row.b + 1))
+
+
+def test_absurd_intervals_cost_a_bounded_number_of_rows(spark):
+    """A year, a wrong end time and one without an end, among short intervals."""
+    marks = [("r", 100.0, 110.0), ("r", 5000.0, 5000.0 + 365 * 86400.0), ("r", 9000.0, 1e12), ("r", 40.0, float("inf")), ("x", 0.0, 1.0)]
+    marked = spark.createDataFrame([("s", *m) for m in marks], MARK_SCHEMA)
+    covers = marked.select(F.size(dyadic_cover(bounded_bin(F.col("start_sec")), bounded_bin(F.col("end_sec")))).alias("n"))
+    assert max(r.n for r in covers.collect()) <= 2 * 46
+    starts = [10.0, 100.0, 4998.0, 5001.0, 8990.0, 1e7, 4e7, 9e11, 2e12]
+    windows = spark.createDataFrame([("s", "r", t, t + 4.0) for t in starts], MARK_SCHEMA)
+    got = {r.start_sec: r.label for r in label_windows(windows, marked, KEYS, 4.0).collect()}
+    assert got == {t: int(any(s < t + 4 and e > t for k, s, e in marks if k == "r")) for t in starts}
+    right = marked.select("subject_id", "edf_id", F.col("start_sec").alias("true_start"), F.col("end_sec").alias("true_end"))
+    pairs = sorted((r.start_sec, r.true_start) for r in overlapping_pairs(windows, right, KEYS).collect())
+    assert pairs == sorted((t, s) for t in starts for k, s, e in marks if k == "r" and s < t + 4 and t < e)
+
+
+def test_ranked_equals_a_sort(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), rng.randrange(10_000)) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t long").repartition(5)
+    got = sorted(((r.overall, r.k, r.t, r.n) for r in ranked(df, ["k"], ["t"], "n", "overall").collect()))
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    seen: dict = {}
+    for i, (k, t) in enumerate(want):
+        assert got[i] == (i, k, t, seen.get(k, 0))
+        seen[k] = seen.get(k, 0) + 1
+    assert ranked(df.where("false"), ["k"], ["t"], "n", "overall").count() == 0
+
+
+@pytest.mark.parametrize("chunk_sec", [7.0, 60.0, 3600.0])
+def test_a_sweep_equals_the_single_steps(spark, chunk_sec):
+    rows = [(*r[:5], r[5], None if r[1] == "r3" else 0) for r in random_positives(9)]
+    pred = spark.createDataFrame(rows, "subject_id string, edf_id string, window_index long, start_sec double, end_sec double, y_pred int, x int")
+    marks = spark.createDataFrame([*random_intervals(12), ("s0", "unscored", 1.0, 2.0)], MARK_SCHEMA)
+    swept = sweep_events(pred, marks, chunk_sec=chunk_sec)
+    plain = lambda df, columns: sorted(tuple(r) for r in df.select(*columns).collect())
+    columns = [*KEYS, "start_sec", "end_sec", "detection_sec", "n_positive_windows", "event_id"]
+    assert plain(swept.events, columns) == plain(predicted_events(pred), columns)
+    columns = [*KEYS, "true_event_id", "start_sec", "end_sec"]
+    assert plain(swept.truth, columns) == plain(true_events(marks, pred), columns)
+    hours = negative_hours(pred, true_events(marks, pred)).collect()
+    got = {r.edf_id: r.negative_hours for r in hours_of_swept(swept).collect()}
+    assert got == {r.edf_id: pytest.approx(r.negative_hours) for r in hours}

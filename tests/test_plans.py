@@ -85,13 +85,33 @@ def test_a_match_copies_nothing_and_can_be_split(spark):
     assert "Generate" not in plan and len(re.findall(r"hashpartitioning\(_match#\d+, \d+\), ENSURE_REQUIREMENTS", plan)) == 2
 
 
-def test_the_event_report_is_one_lazy_plan(spark, sf_dir):
+def test_the_event_report_reads_each_table_once_or_twice(spark, sf_dir):
     from signalloom.catalog import QUERIES
 
+    for name in ("entry_subject_alarms", "r13_event_metrics", "w4_first_hit_classification"):
+        plan = plan_of(QUERIES[name](spark, sf_dir))
+        assert plan.count("FileScan") <= 3 and plan.count("Exchange") <= 20, name
     tracker = spark.sparkContext.statusTracker()
     jobs = len(tracker.getJobIdsForGroup())
-    names = ("entry_subject_alarms", "r13_event_metrics", "j4_event_match_join", "flow_frozen_report_by_subject")
-    for name in names:
-        QUERIES[name](spark, sf_dir)
-    # one for each query: the schema of the table that it reads
-    assert len(tracker.getJobIdsForGroup()) <= jobs + len(names)
+    QUERIES["flow_frozen_report_by_subject"](spark, sf_dir)
+    assert len(tracker.getJobIdsForGroup()) <= jobs + 1  # the schema of the table that it reads
+
+
+def test_the_sweep_shuffles_its_stream_once_and_spreads_a_hot_recording(spark):
+    from signalloom.operators import events as ev
+    from signalloom.operators.intervals import time_bin
+    from signalloom.operators.ordered import local_islands
+
+    rows = spark.range(40_000).selectExpr("'s' AS subject_id", "'hot' AS edf_id", "false AS is_truth", "10.0 * id AS start_sec")
+    start = F.col("start_sec")
+    local = local_islands(rows, [*ev.KEYS, "is_truth"], start, start + 4, time_bin(start), {"start_sec": (F.min, "start_sec")})
+    plan = plan_of(local)
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r.n for r in local.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) == 8 and max(sizes) < 12_000
+
+

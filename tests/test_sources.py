@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from signalloom import schemas
 from signalloom.operators import splits as sl
+from signalloom.operators.align import aligned
 from signalloom.sources import notes, tables
 
 SUMMARY = """Data Sampling Rate: 256 Hz
@@ -153,6 +154,26 @@ def test_empty_and_doubled_predictions_raise(spark, tmp_path):
         tables.write_window_predictions(metadata(spark), doubled, str(tmp_path / "y"))
 
 
+def test_checks_do_not_evaluate_the_join_again_and_leave_nothing_behind(spark, tmp_path):
+    """The scores count how often they are worked out; a refused table leaves no file, an existing one is kept."""
+    worked = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            worked.add(batch.num_rows)
+            yield batch
+
+    counted = scores(spark).mapInArrow(run, scores(spark).schema)
+    tables.write_window_predictions(metadata(spark), counted, str(tmp_path / "once"))
+    assert worked.value == 4
+    with pytest.raises(ValueError, match="label_matches: 4"):
+        tables.write_window_predictions(metadata(spark), scores(spark, flip=True), str(tmp_path / "x"))
+    with pytest.raises(FileExistsError):
+        tables.write_window_predictions(metadata(spark), scores(spark), str(tmp_path / "once"))
+    assert sorted(os.listdir(tmp_path)) == ["once"]
+    assert tables.load_predictions(spark, str(tmp_path / "once")).count() == 4
+
+
 def test_sequence_predictions_belong_to_the_newest_window(spark, tmp_path):
     path = str(tmp_path / "seq")
     rows = [("s", "r", i, int(i + 2 > 2), 0, 0.5) for i in range(4)]
@@ -197,3 +218,44 @@ def test_arrays_and_scores_are_partitioned(spark, tmp_path):
     tables.write_by_split(df, str(tmp_path / "splits"))
     plan = spark.read.parquet(str(tmp_path / "splits")).where(F.col("split") == "test")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(split" in plan
+
+
+def test_bucketed_tables_are_joined_without_an_exchange(spark, tmp_path):
+    rows = spark.range(500).selectExpr("concat('s', id % 3) AS subject_id", "id AS w", "array(double(id), 2D) AS x")
+    features = rows.selectExpr("subject_id", "w", "array(x[0] * 2) AS f")
+    key = ["subject_id", "w"]
+    for name, df in (("wins", rows), ("feats", features)):
+        tables.write_bucketed(df, f"bucketed_{name}", str(tmp_path / name), key, 4)
+    again = tables.read_bucketed(spark, "bucketed_again", str(tmp_path / "feats"), key, 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for right in (spark.table("bucketed_feats"), again):
+            joined = aligned(spark.table("bucketed_wins"), right, key)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan
+            assert joined.where("f[0] = 2 * x[0]").count() == 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("wins", "feats", "again"):
+            spark.sql(f"DROP TABLE bucketed_{name}")
+
+
+def test_a_refreshed_cache_holds_every_window_once(spark, tmp_path):
+    path, seen = str(tmp_path / "cache"), []
+    windows = spark.createDataFrame([(f"r{i % 3}", i, float(i)) for i in range(30)], "edf_id string, w long, x double")
+
+    def compute(rows):
+        seen.append(sorted(r.edf_id for r in rows.select("edf_id").distinct().collect()))
+        return rows.select("edf_id", "w", F.array("x", "x").alias("features"))
+
+    refresh = lambda rows, **more: tables.refresh_features(rows, path, ["w"], "edf_id", compute, 2, **more)
+    refresh(windows.where("edf_id = 'r0'"))
+    refresh(windows)
+    refresh(windows)
+    extra = windows.union(spark.createDataFrame([("r2", 99, 1.0)], windows.schema))
+    refresh(extra)
+    assert seen == [["r0"], ["r1", "r2"], [], ["r2"]]
+    rows = spark.read.parquet(path)
+    assert rows.count() == 31 and rows.select("w").distinct().count() == 31
+    refresh(windows, force=True)
+    assert spark.read.parquet(path).count() == 30

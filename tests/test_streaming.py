@@ -124,6 +124,33 @@ def test_state_is_cleared_by_event_time(spark, tmp_path):
     assert max(held) > 5 and held[-1] <= 4  # the closing row's own chunk
 
 
+def test_slices_come_from_all_partitions_and_rows_without_a_time_are_refused(spark):
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(4)
+    slices = list(run.time_slices(df, slices=3))
+    ends = [(*s.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first(), s.select(F.input_file_name()).distinct().count()) for s in slices]
+    assert sum(e[2] for e in ends) == df.count() and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert all(e[3] == 4 for e in ends)
+    with pytest.raises(ValueError, match="1 rows have no time"):
+        list(run.time_slices(df.union(df.limit(1).withColumn("ts", F.lit(None).cast("timestamp")))))
+
+
+def test_late_rows_are_returned(spark):
+    """Every row comes out, in its window or late; what was on time equals the plain operator on those rows."""
+    df = spark.createDataFrame(rows(n=300), SCHEMA)
+    early = df.where("window_index < 20 AND window_index % 4 = 1")
+    rest = df.where("NOT (window_index < 20 AND window_index % 4 = 1)")
+    progress = []
+    made = run.replayed(
+        rest, lambda s: twins.alarm_rate_with_late(s, length_sec=60, delay="10 seconds"), "late", late=early, progress=progress
+    )
+    made = real(made).cache()
+    late, on_time = made.where("late"), made.where("NOT late").drop("late")
+    assert late.agg(F.sum("n")).first()[0] == early.count() and late.agg(F.sum("alarms")).first()[0] == early.agg(F.sum("y_pred")).first()[0]
+    want = twins.alarm_rate(rest, length="1 minute")
+    assert sorted(map(tuple, on_time.collect())) == sorted(map(tuple, want.collect()))
+    assert len({p["id"] for p in progress}) == 1  # one query, started again for each slice
+
+
 def test_settings_come_back_after_an_error(spark):
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
