@@ -30,7 +30,6 @@ from signalloom.session import settle
 
 ARITY = 3
 
-EMPTY = F.unhex(F.lit(""))
 PROOF = "array<struct<left:binary,right:binary>>"
 
 
@@ -39,6 +38,10 @@ def hashed(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def no_digest() -> Column:
+    return F.unhex(F.lit(""))
+
+
 def as_text(digests: Column) -> Column:
     """Digests (one or several, joined) as lowercase hex."""
     return F.lower(F.hex(digests))
@@ -71,8 +74,8 @@ def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
         found = found.drop("_want", "_g", "_p")
     slot = F.pmod(F.col("_at"), F.lit(arity))
     behind = {j: slot + j < arity for j in range(1, arity)}
-    left = F.concat(EMPTY, *[F.when(~behind[j] & F.col(f"_d{j}").isNotNull(), F.col(f"_d{j}")).otherwise(EMPTY) for j in behind])
-    right = F.concat(EMPTY, *[F.when(behind[j] & F.col(f"_d{j}").isNotNull(), F.col(f"_d{j}")).otherwise(EMPTY) for j in behind])
+    left = F.concat(no_digest(), *[F.when(~behind[j] & F.col(f"_d{j}").isNotNull(), F.col(f"_d{j}")).otherwise(no_digest()) for j in behind])
+    right = F.concat(no_digest(), *[F.when(behind[j] & F.col(f"_d{j}").isNotNull(), F.col(f"_d{j}")).otherwise(no_digest()) for j in behind])
     return found.withColumn("_left", left).withColumn("_right", right).drop(*[f"_d{j}" for j in behind])
 
 
@@ -170,7 +173,7 @@ def manifest(
 
 def proof_digest(proof: Column) -> Column:
     """Digest of all siblings of a proof, level by level, from left to right, as hex."""
-    joined = F.aggregate(proof, EMPTY, lambda done, p: F.concat(done, p["left"], p["right"]))
+    joined = F.aggregate(proof, no_digest(), lambda done, p: F.concat(done, p["left"], p["right"]))
     return F.sha2(as_text(joined), 256)
 
 
