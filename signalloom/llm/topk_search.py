@@ -144,29 +144,37 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec_id",
     first = resolve(named, vectors).withColumn("_n", F.row_number().over(Window.partitionBy("_query").orderBy(F.col("_score").desc(), "_id")))
     cutoff = settle(first.where(F.col("_n") == k).select("_query", F.col("_score").alias("_cutoff")), "cutoff")
 
-    # phase 2: every entry that reaches its share of the cutoff; without a cutoff (fewer than k rows) all of them
+    # phase 2: every entry that reaches its share of the cutoff; without a cutoff (fewer than k rows) all of them.
+    # A block has all lists of its rows, so a pair's entries are put together there: a silent list holds less than
+    # its share, and a pair that cannot reach the cutoff is not written
     asked = queries.join(cutoff.withColumnRenamed("_query", "_row"), "_row", "left")
 
     def enough(length: int, left: pa.Table, right: pa.Table) -> pa.Table:
-        cut = right["_cutoff"].to_numpy()
+        asked, held = matrix(right["_vector"], length), matrix(left["_vector"], length)
+        asked_row, row = right["_row"].to_numpy(), left["_row"].to_numpy()
         known = np.asarray(right["_cutoff"].is_valid())
-        # partial scores are whole numbers, so the share may be rounded up
-        share = np.where(known, np.ceil(np.where(known, cut, 0) / lists), -np.inf)
-
-        def pick(scores, own, at):
-            return np.nonzero((scores >= share[at : at + HELD, None]) & ~own)
-
-        return _entries(right, left, length, lists, pick)
+        cut = right["_cutoff"].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+        share = -(-cut // lists)  # in whole numbers, as the scores are
+        out = [[], []]
+        for at in range(0, len(asked), HELD):
+            some = slice(at, at + HELD)
+            most, named = np.zeros((len(asked[some]), len(row)), np.int64), np.zeros((len(asked[some]), len(row)), bool)
+            for part in parts_of(length, lists):
+                scores, least = products(asked[some, part], held[:, part]), share[some, None]
+                found = scores >= least
+                most += np.where(found, scores, least - 1)
+                named |= found
+            kept = (named & (most >= cut[some, None])) | ~known[some, None]
+            q, r = np.nonzero(kept & (asked_row[some, None] != row[None, :]))
+            out[0].append(asked_row[some][q])
+            out[1].append(row[r])
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in out], ["_query", "_row"])
 
-    entries = _meet(rows, asked, enough, entry)
+    left = _meet(rows, asked, enough, "_query long, _row long")
 
-    # phase 3: a list that is silent holds less than its share; what cannot reach the cutoff goes
-    seen = entries.groupBy("_query", "_row").agg(F.sum("_partial").alias("_sum"), F.count(F.lit(1)).alias("_lists"))
-    seen = seen.join(cutoff, "_query", "left")
-    most = F.col("_sum") + (F.lit(lists) - F.col("_lists")) * F.ceil(F.col("_cutoff") / F.lit(float(lists)))
-    left = seen.where(F.col("_cutoff").isNull() | (most >= F.col("_cutoff")))
+    # phase 3: the pairs that are left are resolved exactly
     final = Window.partitionBy("_query").orderBy(F.col("_score").desc(), "_id", "_row")
-    ranked = resolve(left.select("_query", "_row"), vectors).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+    ranked = resolve(left, vectors).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return ranked.select(F.col("_query_id").alias("query_id"), "rank", F.col("_id").alias("vec_id"), F.col("_score").alias("score"))
 
 
