@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 SLICE_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
-#: A single blank between two ASCII letters or digits. No token of the byte-level
-#: splitting pattern reaches from a non-blank into a blank, so a text may be cut
-#: in front of it without changing any token.
-SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9])[ \n\t](?=[A-Za-z0-9])")
+#: A single blank between two letters or digits of any script, or a full stop, comma or the like of
+#: a script without blanks behind one. No token of the byte-level splitting pattern reaches from a
+#: letter or digit into a blank or a punctuation mark, so a text may be cut in front of it without changing any token.
+SAFE_CUT = re.compile(r"(?<=[^\W_])(?:[ \n\t](?=[^\W_])|(?=[。、，．！？；：।॥؟،؛።]))")
 
 _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(),
           "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()),

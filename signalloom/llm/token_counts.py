@@ -57,7 +57,7 @@ def count_texts(texts: list[str], path: str | None = None, piece_chars: int = PI
             owners.append(row)
             parts.append(part)
     counts = [0] * len(texts)
-    for start, stop in balanced([len(p) for p in parts], BATCH_BYTES):
+    for start, stop in balanced([len(p) if p.isascii() else len(p.encode()) for p in parts], BATCH_BYTES):
         for row, done in zip(owners[start:stop], tokenizer.encode_batch_fast(parts[start:stop], add_special_tokens=False)):
             counts[row] += len(done)
     return counts

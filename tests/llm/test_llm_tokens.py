@@ -39,6 +39,29 @@ def test_pieces_join_to_the_text_and_keep_the_count(limit):
     assert token_counts.count_texts([text], piece_chars=limit) == token_counts.count_texts([text], piece_chars=1 << 20)
 
 
+SCRIPTS = {
+    "zh": "我们在这里写一些文字，然后再写一些。数字12也有！", "ja": "これは文章です。カタカナ、ひらがな、漢字。", "hi": "यह एक वाक्य है। दूसरा वाक्य १२ यहाँ है।",
+    "ar": "هذه جملة، وهذه جملة أخرى؟ نعم؛ ١٢ رقم.", "ru": "Это предложение, и ещё одно. Число 12 тут.", "th": "นี่คือ ประโยค หนึ่ง", "el": "Αυτό είναι ένα κείμενο, ναι.",
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_long_texts_of_all_scripts_are_cut(script):
+    text = SCRIPTS[script] * 400
+    parts = list(pieces(text, 500))
+    assert "".join(parts) == text and len(parts) > 3 and max(map(len, parts)) < 700
+    assert token_counts.count_texts([text], piece_chars=500) == token_counts.count_texts([text], piece_chars=1 << 20)
+    assert sum((ids(CODEC.encode(p)) for p in parts), []) == LIBRARY.encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("ab1 。，'．é字"), st.characters(exclude_categories=["Cs"])), max_size=60), st.integers(1, 12))
+def test_cuts_change_no_token(text, limit):
+    parts = list(pieces(text, limit))
+    assert "".join(parts) == text
+    assert sum((LIBRARY.encode_ordinary(p) for p in parts), []) == LIBRARY.encode_ordinary(text)
+
+
 def test_batches_are_balanced_by_bytes():
     sizes = [10, 1000, 20, 5, 900, 40, 700]
     ranges = token_counts.balanced(sizes, 900)
