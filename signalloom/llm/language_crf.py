@@ -10,6 +10,11 @@ the score is that mean.
 A text without a letter (null and empty ones too) is ``und`` with score 0, and so is
 every text if no labelled row was learned from. Null languages are not learned from;
 null and repeated ids do not matter.
+
+All labelled languages are learned. Memory bounds how many there can be: weights of all
+features take 260 KB a language, and more than :data:`MODEL_BYTES` of them are refused. The sample of
+a language shrinks as their number grows, so that words times languages stay below :data:`FIT_CELLS`, and
+texts are labelled in slices of :data:`LABEL_CELLS` words times languages.
 """
 
 from __future__ import annotations
@@ -32,13 +37,18 @@ UNDETERMINED = "und"
 #: The training sample: documents of each language, and words of a document.
 DOCS_PER_LANGUAGE = 1500
 WORDS_PER_DOC = 64
-#: Languages that are learned, the most frequent ones.
-LANGUAGES = 200
+#: Bytes of the weights of a model; words times languages in a fit, and in a slice of texts.
+MODEL_BYTES = 1 << 27
+FIT_CELLS = 1 << 23
+LABEL_CELLS = 1 << 22
+#: Languages up to which chains are cut into lanes; the cost of that grows with their cube.
+LANE_LANGUAGES = 8
 #: Most frequent words of each language in the sample that make its lexicon.
 LEXICON_WORDS = 1500
 STEPS = 50
-#: Words whose emissions a worker keeps.
+#: Words whose emissions a worker keeps, and most bytes of them.
 KEPT_WORDS = 200_000
+KEPT_BYTES = 1 << 26
 
 
 def words_of(text: str) -> list[str]:
@@ -60,8 +70,11 @@ def forward_backward(emission, starts, transition, start, lane=64, pairs=False):
     of a lane carry both messages across it, so all lanes are worked on at once and
     the result is exact. ``starts`` marks the first place of each chain; ``emission``
     are log-weights. With ``pairs``, also the sum of the posteriors of neighbours.
+    With more than :data:`LANE_LANGUAGES` labels the chains are worked on side by side instead.
     """
     n, k = emission.shape
+    if k > LANE_LANGUAGES:
+        return chains_side_by_side(emission, starts, transition, start, pairs)
     lane = max(1, min(lane, int(n**0.5)))
     lanes = -(-n // lane)
     weight = np.ones((lanes * lane, k))
@@ -114,6 +127,38 @@ def forward_backward(emission, starts, transition, start, lane=64, pairs=False):
     return (posterior, joint) if pairs else posterior
 
 
+def chains_side_by_side(emission, starts, transition, start, pairs=False):
+    """:func:`forward_backward` by places of all chains at once; each place costs labels times labels."""
+    n, k = emission.shape
+    at = np.flatnonzero(starts)
+    sizes = np.diff(np.append(at, n))
+    order = np.argsort(-sizes, kind="stable")
+    at, sizes = at[order], sizes[order]
+    weight = np.exp(emission - emission.max(1, keepdims=True))
+    step, begin = np.exp(transition - transition.max()), np.exp(start - start.max())
+    open_ = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes.max(initial=0)) + 1)]  # chains longer than t
+    ahead, posterior, joint = np.empty((n, k)), np.empty((n, k)), np.zeros((k, k))
+    message = np.broadcast_to(begin, (len(at), k))
+    for t in range(len(open_) - 1):
+        rows = at[: open_[t]] + t
+        message = (message if t == 0 else message[: len(rows)] @ step) * weight[rows]
+        message = message / message.sum(1, keepdims=True)
+        ahead[rows] = message
+    behind = np.ones((len(at), k))
+    for t in range(len(open_) - 2, -1, -1):
+        rows = at[: open_[t]] + t
+        posterior[rows] = ahead[rows] * behind[: len(rows)]
+        if t:
+            seen = weight[rows] * behind[: len(rows)]
+            into = seen @ step.T
+            if pairs:
+                before = ahead[rows - 1]
+                joint += step * ((before / (before * into).sum(1, keepdims=True)).T @ seen)
+            behind[: len(rows)] = into / into.sum(1, keepdims=True)
+    posterior /= posterior.sum(1, keepdims=True)
+    return (posterior, joint) if pairs else posterior
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -130,8 +175,9 @@ class LanguageModel:
     def emissions(self, words: list[str]) -> np.ndarray:
         """Emission of each word; each distinct word is worked out once."""
         rows = self._rows
-        if len(rows) > KEPT_WORDS:
+        if len(rows) > min(KEPT_WORDS, KEPT_BYTES // (8 * len(self.languages))):
             rows.clear()
+            self._table = None
         new = [w for w in dict.fromkeys(words) if w not in rows]
         if new:
             base = len(rows)
@@ -155,8 +201,20 @@ class LanguageModel:
 
 def sum_features(features: list[list[int]], weights: np.ndarray) -> np.ndarray:
     sizes = np.fromiter(map(len, features), np.int64, len(features))
-    flat = np.fromiter((f for fs in features for f in fs), np.int64, int(sizes.sum()))
-    return np.add.reduceat(weights[flat], np.cumsum(sizes) - sizes, axis=0)
+    return sum_weights(np.fromiter((f for fs in features for f in fs), np.int64, int(sizes.sum())), sizes, weights)
+
+
+def sum_weights(flat: np.ndarray, sizes: np.ndarray, weights: np.ndarray, held: int = FIT_CELLS // 2) -> np.ndarray:
+    """Sums of the weights of each word's features, ``sizes`` of them at a time in ``flat``."""
+    ends, out = np.cumsum(sizes), np.empty((len(sizes), weights.shape[1]))
+    begin = 0
+    while begin < len(sizes):
+        first = ends[begin] - sizes[begin]
+        stop = max(begin + 1, int(np.searchsorted(ends, first + held // weights.shape[1], side="right")))
+        part = flat[first : ends[stop - 1]]
+        out[begin:stop] = np.add.reduceat(weights[part], ends[begin:stop] - sizes[begin:stop] - first, axis=0)
+        begin = stop
+    return out
 
 
 def training_sequences(samples: list[tuple[str, list[str]]], seed: int = 5) -> list[list[tuple[str, str]]]:
@@ -201,46 +259,57 @@ def fit(samples: list[tuple[str, list[str]]], steps: int = STEPS, rate: float =
     sizes = np.array([len(f) for f in features])
     flat = np.array([f for fs in features for f in fs])
     owner = np.repeat(np.arange(len(features)), sizes)
+    # the places of each word, and the words of each feature, one after the other
+    places, n_places = np.argsort(ids, kind="stable"), np.bincount(ids, minlength=len(types))
+    holders, n_holders = owner[np.argsort(flat, kind="stable")], np.bincount(flat, minlength=BUCKETS + k)
+    used = np.flatnonzero(n_holders)  # the others keep their weight of zero
+    flat, n_holders = np.searchsorted(used, flat), n_holders[used]
+    weights = np.zeros((len(used), k))
 
     truth = np.eye(k)[labels]
     seen = np.zeros((k, k))
     np.add.at(seen, (labels[:-1][~starts[1:]], labels[1:][~starts[1:]]), 1)
-    values = [model.weights, model.transition, model.start]
+    values = [weights, model.transition, model.start]
     mean, square = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     for step in range(1, steps + 1):
-        emission = np.add.reduceat(model.weights[flat], np.cumsum(sizes) - sizes, axis=0)[ids]
+        emission = sum_weights(flat, sizes, weights)[ids]
         posterior, joint = forward_backward(emission, starts, model.transition, model.start, pairs=True)
         excess = posterior - truth
-        by_type = np.stack([np.bincount(ids, excess[:, c], len(types)) for c in range(k)], axis=1)
-        by_feature = np.stack([np.bincount(flat, by_type[owner, c], BUCKETS + k) for c in range(k)], axis=1)
+        by_feature = sum_weights(holders, n_holders, sum_weights(places, n_places, excess))
         slopes = [by_feature / len(ids), (joint - seen) / len(ids), excess[starts].sum(0) / len(ids)]
         for i, (value, slope) in enumerate(zip(values, slopes)):
             slope = slope + penalty * value / max(1, len(ids) // 1000)
             mean[i] = 0.9 * mean[i] + 0.1 * slope
             square[i] = 0.99 * square[i] + 0.01 * slope * slope
             value -= rate * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-8)
+    model.weights[used] = weights
     return model
 
 
 def train_language_model(
-    df: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
-    docs_per_language: int = DOCS_PER_LANGUAGE, words_per_doc: int = WORDS_PER_DOC, languages: int = LANGUAGES,
+    df: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
+    docs_per_language: int = DOCS_PER_LANGUAGE, words_per_doc: int = WORDS_PER_DOC,
 ) -> LanguageModel:
     """Fit on a sample of the rows where ``learn`` holds.
 
-    About ``docs_per_language`` documents of each language, chosen by a hash of the
-    text, and of each a window of ``words_per_doc`` words at a place given by the
-    hash. Only the windows come to the driver.
+    About ``docs_per_language`` documents of each language (fewer of very many languages), chosen by a hash of
+    id and text, and of each a window of ``words_per_doc`` words at a place given by the
+    hash. Only the windows come to the driver. Languages that do not fit into memory are an error.
     """
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = df.where(learn & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("_lang"), body.alias("_text"))
-    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "_lang").limit(languages).collect()
+    key = F.col(f"`{doc_id}`").cast("string") if doc_id in df.columns else F.lit(None).cast("string")
+    rows = df.where(learn & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("_lang"), key.alias("_id"), body.alias("_text"))
+    most = MODEL_BYTES // (8 * BUCKETS)
+    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy("_lang").limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} languages: their weights take more than {MODEL_BYTES} bytes")
     if not sizes:
         return fit([])
+    docs_per_language = max(1, min(docs_per_language, FIT_CELLS // (len(sizes) ** 2 * words_per_doc)))
     small_batches(df.sparkSession)
     # shares as a constant: texts of one language are never gathered
     share = F.create_map(*[F.lit(x) for row in sizes for x in (row["_lang"], min(1.0, docs_per_language / row["n"]))])[F.col("_lang")]
-    hashed = F.xxhash64(F.lit(3), "_text")
+    hashed = F.xxhash64(F.lit(3), "_id", "_text")
     chosen = rows.where(F.pmod(hashed, F.lit(1_000_000)) < share * 1_000_000)
 
     def window(batches):
@@ -274,25 +343,31 @@ def identify_language(
         model = shared.value
         split = [words_of(t) if model.languages else [] for t in texts]
         full = [i for i, words in enumerate(split) if words]
+        parts, words = [[]], 0
+        for i in full:
+            if parts[-1] and (words + len(split[i])) * len(model.languages) > LABEL_CELLS:
+                parts.append([])
+                words = 0
+            parts[-1].append(i)
+            words += len(split[i])
         out = {"lang_pred": [UNDETERMINED] * len(texts), "score": [0.0] * len(texts), "n_switches": [0] * len(texts)}
         if with_words:
             out |= {"words": split, "word_langs": [[] for _ in texts]}
-        if not full:
-            return out
-        posterior = model.posteriors([split[i] for i in full])
-        sizes = np.array([len(split[i]) for i in full])
-        ends = np.cumsum(sizes)
-        means = np.add.reduceat(posterior, ends - sizes, axis=0) / sizes[:, None]
-        best = posterior.argmax(1)
-        switched = np.concatenate([[0], np.cumsum(best[1:] != best[:-1])])
-        for at, i in enumerate(full):
-            start, end = ends[at] - sizes[at], ends[at]
-            top = int(means[at].argmax())
-            out["lang_pred"][i] = model.languages[top]
-            out["score"][i] = min(1.0, float(means[at, top]))
-            out["n_switches"][i] = int(switched[end - 1] - switched[start])
-            if with_words:
-                out["word_langs"][i] = [model.languages[c] for c in best[start:end]]
+        for some in parts if full else []:
+            posterior = model.posteriors([split[i] for i in some])
+            sizes = np.array([len(split[i]) for i in some])
+            ends = np.cumsum(sizes)
+            means = np.add.reduceat(posterior, ends - sizes, axis=0) / sizes[:, None]
+            best = posterior.argmax(1)
+            switched = np.concatenate([[0], np.cumsum(best[1:] != best[:-1])])
+            for at, i in enumerate(some):
+                start, end = ends[at] - sizes[at], ends[at]
+                top = int(means[at].argmax())
+                out["lang_pred"][i] = model.languages[top]
+                out["score"][i] = min(1.0, float(means[at, top]))
+                out["n_switches"][i] = int(switched[end - 1] - switched[start])
+                if with_words:
+                    out["word_langs"][i] = [model.languages[c] for c in best[start:end]]
         return out
 
     return add_columns(df, text, fields, label, keep)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -148,18 +149,22 @@ def seeded_strings(n: int, seed: int = 7) -> list[str]:
     return ["".join(rng.choice(list(alphabets[i % 4]), size=int(rng.integers(16, 48)))) for i in range(n)]
 
 
-def sample_of(df: DataFrame, key: Column, rows: int, bound: int) -> DataFrame:
-    """About ``bound`` of ``rows`` rows by a hash of ``key``; all if there are fewer."""
+def sample_of(df: DataFrame, keys: Sequence[str], rows: int, bound: int) -> DataFrame:
+    """About ``bound`` of ``rows`` rows by a hash of ``keys``; all if there are fewer."""
     if rows <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * bound / rows))
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * bound / rows))
 
 
-def train_secret_model(df: DataFrame, text: str = "text", sample_docs: int = 40_000, seeded: int = 2_000) -> SecretModel:
-    """Both chains from about ``sample_docs`` documents, counted on the executors."""
+def train_secret_model(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 40_000, seeded: int = 2_000) -> SecretModel:
+    """Both chains from about ``sample_docs`` documents, counted on the executors.
+
+    Documents are chosen by a hash of id and text, so that copies of a text do not all come in.
+    """
     small_batches(df.sparkSession)
-    texts = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text_"))
-    chosen = sample_of(texts, F.col("_text_"), texts.count(), sample_docs)
+    key = F.col(f"`{doc_id}`").cast("string") if doc_id in df.columns else F.lit(None).cast("string")
+    texts = df.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text_"), key.alias("_id_"))
+    chosen = sample_of(texts, ["_id_", "_text_"], texts.count(), sample_docs).select("_text_")
 
     def count(batches):
         random = np.zeros((STATES, STATES), dtype=np.int64)

@@ -186,8 +186,11 @@ def train_toxicity_model(
         return None
 
     # unlabelled text is all training text, with the toxic documents that it holds
-    also = (F.pmod(F.xxhash64("_text", F.lit(37)), F.lit(1_000_000)) / 1e6 < min(1.0, unlabelled / n)).cast("int")
-    sample = rows.select("_text", F.col("_toxic").cast("int").alias("_role"), also.alias("_also")).where("_role + _also > 0")
+    also = (F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(37)), F.lit(1_000_000)) / 1e6 < min(1.0, unlabelled / n)).cast("int")
+    # an id that many rows bear does not bring more positives than asked for
+    told = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(41)), F.lit(1_000_000)) / 1e6 < min(1.0, positives / n_confirmed)
+    role = (F.col("_toxic") & told).cast("int")
+    sample = rows.select("_text", role.alias("_role"), also.alias("_also")).where("_role + _also > 0")
 
     def run(batches):
         features = Features(kept)
