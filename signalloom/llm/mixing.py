@@ -144,13 +144,17 @@ def mix(
     )
 
 
-def materialize(mixed: DataFrame, text: str = "text") -> DataFrame:
+def materialize(mixed: DataFrame, text: str = "text", whole: bool = False) -> DataFrame:
     """The mix itself: each row as often as it is taken, a part as the text's first words.
 
-    Only the last document of a source's selection is taken in part.
+    Only the last document of a source's selection is taken in part; with ``whole`` it is taken as it is if the
+    part is at least half of it, else not, which is nearer to the target.
     """
-    copies = F.col("repeats") + (F.col("part") > 0).cast("long")
+    more = F.col("part") * 2 >= F.col("size") if whole else F.lit(True)
+    copies = F.col("repeats") + ((F.col("part") > 0) & more).cast("long")
     rows = mixed.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    if whole:
+        return rows.drop("_copy")
     heads = F.slice(F.split(F.col(f"`{text}`"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.greatest(F.col("part"), F.lit(1)).cast("int"))
     cut = F.when(F.col("_copy") > F.col("repeats"), F.array_join(heads, "")).otherwise(F.col(f"`{text}`"))
     return rows.withColumn(text, cut).drop("_copy")
