@@ -13,8 +13,9 @@ How it is spread out: words are counted in every training text and summed up by
 word. The most frequent words, a bounded number, get numbers; their bigrams are
 counted and kept as one row per word with its neighbours. A round of clustering is a
 scan of those rows, with the bounded class map sent along; only class totals and new
-classes come back. The further words are a table, grouped by word with the classes beside
-each, and stay one: the driver gets class totals. Texts are scored where they lie, with
+classes come back. The further words are a table, grouped by the 64-bit hash of the word with the classes beside
+each, and stay one: the driver gets class totals. (Two words of the same hash would get the same class; their
+counts stay their own.) Texts are scored where they lie, with
 the counts and classes of a bounded number of words; just the rarest words of a text, and
 the transitions from and to them, go through a join with that table.
 
@@ -27,9 +28,11 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, replace
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from signalloom.llm.arrow import column, slices, small_batches
@@ -47,9 +50,10 @@ SHARE = 2
 #: Weight of the overall class shares in a class's transitions.
 PRIOR = 5.0
 #: Entries that a worker gathers before it passes them on.
-HELD_WORDS = 400_000
-HELD_TOKENS = 1 << 22
-#: Words whose moves are evaluated at a time, and slices of the clustered words.
+HELD_WORDS = 250_000
+HELD_TOKENS = 1 << 21
+HELD_PAIRS = 1 << 19
+#: Words whose moves are evaluated at a time, and least slices of the clustered words.
 MOVED = 64
 SLICES = 48
 
@@ -59,6 +63,24 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def number(texts: list[str], lookup, rare: int, end: int) -> tuple[list[list[bytes]], np.ndarray]:
+    """The words of each text, and the numbers of all: the end, then each text's words and the end again."""
+    split = [tokens(t) for t in texts]
+    ids = np.empty(sum(map(len, split)) + len(split) + 1, dtype=np.int64)
+    ids[0], at = end, 1
+    for words in split:
+        ids[at : at + len(words)] = np.fromiter(map(lookup, words, repeat(rare)), np.int64, len(words))
+        at += len(words) + 1
+        ids[at - 1] = end
+    return split, ids
+
+
+def hash_of(word: bytes) -> int:
+    """Spark's ``xxhash64`` of the word."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _body(text: str) -> Column:
     return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_text_")
 
@@ -91,15 +113,18 @@ def frequent(counts: DataFrame, most: int, least: int) -> list[tuple[str, int]]:
     """
     level = F.floor(F.log2("n") * 16)
     levels = counts.where(F.col("n") >= least).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
-    held, limit = 0, None
+    held, limit, part = 0, None, None
     for row in sorted(levels, key=lambda r: -r.level):  # at most 16 levels for each doubling
         if held + row.words > most:
+            part = row.level
             break
         held, limit = held + row.words, row.level
-    if limit is None:
-        return []
-    kept = counts.where((F.col("n") >= least) & (level >= limit)).toArrow()
-    return sorted(zip(kept["word"].to_pylist(), kept["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
+    kept = counts.where(F.col("n") >= least)
+    found = kept.where(level >= limit).toArrow().to_pylist() if limit is not None else []
+    if part is not None and 2 * held < most:  # of a level that does not fit, the first words, rather than leave most places empty
+        rest = kept.where(level == part).orderBy(F.col("n").desc(), "word").limit(most - held)
+        found += rest.toArrow().to_pylist()
+    return sorted(((row["word"], row["n"]) for row in found), key=lambda x: (-x[1], x[0]))
 
 
 def neighbours(texts: DataFrame, numbers, rare: int) -> DataFrame:
@@ -109,6 +134,7 @@ def neighbours(texts: DataFrame, numbers, rare: int) -> DataFrame:
     precedes the first word.
     """
     size, end = rare + 2, rare + 1
+    kind = np.uint32 if size**2 <= 1 << 32 else np.int64  # short numbers are sorted faster
 
     def batch_of(codes: list[np.ndarray]) -> pa.RecordBatch:
         pairs, n = np.unique(np.concatenate(codes), return_counts=True)
@@ -120,12 +146,10 @@ def neighbours(texts: DataFrame, numbers, rare: int) -> DataFrame:
         lookup = numbers.value.get
         codes, held = [], 0
         for batch in batches:
-            for body in batch.column(0):
-                words = tokens(body.as_py())
-                ids = np.full(len(words) + 2, end, dtype=np.int64)
-                ids[1:-1] = [lookup(w, rare) for w in words]
-                np.minimum(ids[1:-1], rare, out=ids[1:-1])
-                codes.append(ids[:-1] * size + ids[1:])
+            for part in slices(batch, "_text_"):
+                _, ids = number(part.column(0).to_pylist(), lookup, rare, -1)
+                ids = np.where(ids < 0, end, np.minimum(ids, rare))
+                codes.append((ids[:-1] * size + ids[1:]).astype(kind))
                 held += len(ids)
                 if held > HELD_TOKENS:
                     yield batch_of(codes)
@@ -137,7 +161,8 @@ def neighbours(texts: DataFrame, numbers, rare: int) -> DataFrame:
     after = pairs.groupBy(F.col("a").alias("word")).agg(F.collect_list("b").alias("next"), F.collect_list("n").alias("next_n"))
     before = pairs.groupBy(F.col("b").alias("word")).agg(F.collect_list("a").alias("prev"), F.collect_list("n").alias("prev_n"))
     # a list holds each numbered word once at most
-    joined = after.join(before, "word", "full").repartition(SLICES, "word")  # a bounded table
+    parts = max(SLICES, texts.sparkSession.sparkContext.defaultParallelism)
+    joined = after.join(before, "word", "full").repartition(parts, "word")  # a bounded table
     return settle(joined, "neighbours")
 
 
@@ -152,7 +177,7 @@ def _neighbour_counts(words: np.ndarray, lists: pa.ListArray, counts: pa.ListArr
     return np.bincount(owner * k + classes[near], n, rows * k).reshape(rows, k), itself
 
 
-def _parts(batch: pa.RecordBatch, rows: int = 512):
+def _parts(batch: pa.RecordBatch, rows: int = 128):
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
@@ -195,7 +220,9 @@ def best_classes(own: np.ndarray, before: np.ndarray, after: np.ndarray, itself:
     total[at, own, :] -= after
     total[at, own, own] -= itself
     total = np.maximum(total, 0.0)
-    plain = entropy_terms(total)
+    plain = np.broadcast_to(entropy_terms(bigrams), (rows, k, k)).copy()  # the totals differ from the bigrams beside the own class only
+    plain[at, :, own] = entropy_terms(total[at, :, own])
+    plain[at, own, :] = entropy_terms(total[at, own, :])
     into = entropy_terms(total + before[:, :, None]) - plain  # (row, class before, class chosen)
     out = entropy_terms(total + after[:, None, :]) - plain  # (row, class chosen, class after)
     diagonal = np.arange(k)
@@ -324,45 +351,65 @@ def transitions(bigrams: np.ndarray) -> np.ndarray:
 
 
 def rare_words(texts: DataFrame, model) -> DataFrame:
-    """``(word, next, code, n)``: what stands beside the words outside the rounds.
+    """``(word, next, code, n)``: what stands beside the words outside the rounds, words as hashes.
 
     Without ``next``, ``code`` holds the classes before and after an occurrence of the
     word, the number of classes standing for the word itself. With ``next``, another such
     word (or the same) follows it.
     """
 
-    def batch_of(beside: Counter, pairs: Counter) -> pa.RecordBatch:
-        first = pa.array([*(w for w, _ in beside), *(w for w, _ in pairs)], pa.binary()).cast(pa.string())
-        second = pa.array([*(None for _ in beside), *(w for _, w in pairs)], pa.binary()).cast(pa.string())
-        code = pa.array([*(c for _, c in beside), *(None for _ in pairs)], pa.int32())
-        n = pa.array([*beside.values(), *pairs.values()], pa.int64())
-        return pa.RecordBatch.from_arrays([first, second, code, n], ["word", "next", "code", "n"])
+    def counted(first: list[np.ndarray], second: list[np.ndarray]):
+        """Each pair of entries once, and how often it occurs."""
+        if not first:
+            return (np.zeros(0, np.int64),) * 3
+        a, left = np.unique(np.concatenate(first), return_inverse=True)
+        b, right = np.unique(np.concatenate(second), return_inverse=True)
+        both, n = np.unique(left * len(b) + right, return_counts=True)
+        return a[both // max(1, len(b))], b[both % max(1, len(b))], n
+
+    def batch_of(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        keys, codes, firsts, nexts = zip(*held) if held else ([],) * 4
+        word, code, n = counted(keys, codes)
+        a, b, m = counted(firsts, nexts)
+        none = lambda size, kind: pa.nulls(size, kind)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([word, a])), pa.concat_arrays([none(len(word), pa.int64()), pa.array(b)]),
+             pa.concat_arrays([pa.array(code.astype(np.int32)), none(len(a), pa.int32())]), pa.array(np.concatenate([n, m]).astype(np.int64))],
+            ["word", "next", "code", "n"],
+        )
 
     def run(batches):
-        held = model.value
-        lookup, unknown, end = held.numbers.get, len(held.numbers), len(held.numbers) + 1
-        size = len(held.bigrams)
-        beside, pairs = Counter(), Counter()
+        known = model.value
+        lookup, unknown, end = known.numbers.get, len(known.numbers), len(known.numbers) + 1
+        size = len(known.bigrams)
+        hashes = np.append(np.fromiter(map(hash_of, known.numbers), np.int64, unknown), [0, 0])
+        held, entries = [], 0
         for batch in batches:
-            for body in batch.column(0):
-                words = tokens(body.as_py())
-                ids = np.full(len(words) + 2, end, dtype=np.int64)
-                ids[1:-1] = [lookup(w, unknown) for w in words]
-                classes = held.classes[ids].astype(np.int64)
-                at = np.nonzero(classes == size - 2)[0]
-                before, after = classes[at - 1], classes[at + 1]
-                found = [words[i - 1] for i in at.tolist()]
-                for j in np.nonzero(np.diff(at) == 1)[0].tolist():
-                    pairs[found[j], found[j + 1]] += 1
-                    if found[j] == found[j + 1]:
-                        after[j] = before[j + 1] = size
-                beside.update(zip(found, (before * (size + 1) + after).tolist()))
-                if len(beside) + len(pairs) > HELD_WORDS:
-                    yield batch_of(beside, pairs)
-                    beside, pairs = Counter(), Counter()
-        yield batch_of(beside, pairs)
-
-    return texts.mapInArrow(run, "word string, next string, code int, n long")
+            for part in slices(batch, "_text_"):
+                split, ids = number(part.column(0).to_pylist(), lookup, unknown, end)
+                classes = known.classes[ids].astype(np.int64)
+                keys = hashes[ids]
+                hidden = ids == unknown
+                place, words = 1, []
+                for found in split:
+                    words += [found[i] for i in np.flatnonzero(hidden[place : place + len(found)]).tolist()]
+                    place += len(found) + 1
+                keys[hidden] = np.fromiter(map(hash_of, words), np.int64, len(words))
+                at = np.flatnonzero(classes == size - 2)
+                if not len(at):
+                    continue
+                keys, before, after = keys[at], classes[at - 1], classes[at + 1]
+                follow = np.flatnonzero(np.diff(at) == 1)
+                itself = follow[keys[follow] == keys[follow + 1]]
+                after[itself] = before[itself + 1] = size
+                held.append((keys, before * (size + 1) + after, keys[follow], keys[follow + 1]))
+                entries += len(keys)
+                if entries > HELD_PAIRS:
+                    yield batch_of(held)
+                    held, entries = [], 0
+        yield batch_of(held)
+
+    return texts.mapInArrow(run, "word long, next long, code int, n long")
 
 
 def classes_of_rare(before: np.ndarray, after: np.ndarray, itself: np.ndarray, bigrams: np.ndarray) -> np.ndarray:
@@ -384,10 +431,12 @@ def classes_of_rare(before: np.ndarray, after: np.ndarray, itself: np.ndarray, b
             was[mixed] = entropy_terms(there[mixed])
         more = entropy_terms(there + n) - was
         more[cls[:, None] == chosen] = 0.0  # counted with the class itself
-        np.add.at(gain, row, more)
+        if len(row):  # in ascending order
+            firsts = np.flatnonzero(np.diff(row, prepend=-1))
+            gain[row[firsts]] += np.add.reduceat(more, firsts, axis=0)
         out = cls != rare
         left = np.maximum(table[cls[out], rare] - n[out, 0], 0.0)
-        np.add.at(stay, row[out], entropy_terms(left + n[out, 0]) - entropy_terms(left))
+        stay += np.bincount(row[out], entropy_terms(left + n[out, 0]) - entropy_terms(left), rows)
     loop = bigrams[chosen, chosen]
     gain += entropy_terms(loop + before[:, :rare] + after[:, :rare] + itself[:, None]) - entropy_terms(loop)
     both = before[:, rare] + after[:, rare] + itself
@@ -401,15 +450,19 @@ def classes_of_rare(before: np.ndarray, after: np.ndarray, itself: np.ndarray, b
     return np.where(gain[np.arange(rows), best] <= stay + 1e-9, rare, best)
 
 
-def deal_rest(spark: SparkSession, texts: DataFrame, model: ClassModel, totals: dict) -> tuple[ClassModel, DataFrame, dict]:
+def deal_rest(
+    spark: SparkSession, texts: DataFrame, model: ClassModel, totals: dict, counts: DataFrame | None = None
+) -> tuple[ClassModel, DataFrame, dict]:
     """The model with every further repeated word in its class, ``(word, n, cls)`` of all
-    words outside the rounds, and the totals with ``rare_all`` and ``in_class`` as they are then."""
+    words outside the rounds, and the totals with ``rare_all`` and ``in_class`` as they are then.
+    ``counts`` are those of :func:`count_words`, if they are known."""
     size = len(model.bigrams)
     rare, bigrams = size - 2, model.bigrams
     raw = settle(rare_words(texts, spark.sparkContext.broadcast(model)), "rare")
-    grouped = raw.where("next IS NULL").groupBy("word").agg(
-        F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"), F.sum("n").alias("n")
-    )
+    # summed first, so that a list has one entry for each pair of classes at most, however many tasks counted the word
+    summed = raw.where("next IS NULL").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    grouped = summed.groupBy("word").agg(F.collect_list("code").alias("codes"), F.collect_list("n").alias("ns"), F.sum("n").alias("n"))
+    grouped = grouped.where(F.col("n") >= LEAST_COUNT)
 
     def run(batches):
         moves = np.zeros((2, size, size), dtype=np.int64)  # (after or before the word, its class, the other class)
@@ -421,27 +474,30 @@ def deal_rest(spark: SparkSession, texts: DataFrame, model: ClassModel, totals:
                 times = part.column(2).flatten().to_numpy(zero_copy_only=False)
                 beside = lambda cls: np.bincount(owner * (size + 1) + cls, times, rows * (size + 1)).reshape(rows, size + 1)
                 before, after = beside(code // (size + 1)), beside(code % (size + 1))
-                cls = np.full(rows, rare, dtype=np.int64)
-                again = np.nonzero(n >= LEAST_COUNT)[0]
-                cls[again] = classes_of_rare(before[again, :size], after[again, :size], before[again, size], bigrams)
+                cls = classes_of_rare(before[:, :size], after[:, :size], before[:, size], bigrams)
                 moved = np.nonzero(cls != rare)[0]
                 np.add.at(moves[0], cls[moved], after[moved, :size].astype(np.int64))
                 np.add.at(moves[1], cls[moved], before[moved, :size].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(cls.astype(np.int32))], ["word", "n", "cls"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(moved)), pa.array(n[moved]), pa.array(cls[moved].astype(np.int32))],
+                                                 ["word", "n", "cls"])
         moves[:, :, rare] = 0  # pairs of two rare words are counted below
         side, own, other = np.nonzero(moves)
         codes = pa.array(((side * size + own) * size + other).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.string()), pa.array(moves[side, own, other]), codes], ["word", "n", "cls"])
-
-    dealt = settle(grouped.mapInArrow(run, "word string, n long, cls int"), "dealt")
-    known = dealt.where("word IS NOT NULL")
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(codes), pa.int64()), pa.array(moves[side, own, other]), codes], ["word", "n", "cls"])
+
+    dealt = settle(grouped.mapInArrow(run, "word long, n long, cls int"), "dealt")
+    moved = dealt.where("word IS NOT NULL").select("word", "cls")
+    inside = [(hash_of(word), -1) for word, i in model.numbers.items() if i < model.dealt]
+    classed = moved.unionAll(spark.createDataFrame(inside, "word long, cls int")).withColumnRenamed("word", "_hash")
+    known = (counts or count_words(texts)).join(classed, F.xxhash64("word") == F.col("_hash"), "left")
+    known = known.select("word", "n", F.coalesce("cls", F.lit(rare)).cast("int").alias("cls")).where("cls >= 0")
+    known = settle(known, "classes")
     bigrams = bigrams.copy()
     for code, n in dealt.where("word IS NULL").groupBy("cls").agg(F.sum("n")).collect():  # at most 2 x k x k
         (side, own), other = divmod(code // size, size), code % size
         into, out = ((own, other), (rare, other)) if side == 0 else ((other, own), (other, rare))
         bigrams[into] += n
         bigrams[out] -= n
-    moved = known.where(F.col("cls") != rare).select("word", "cls")
     pairs = raw.where("next IS NOT NULL").groupBy("word", "next").agg(F.sum("n").alias("n"))
     pairs = pairs.join(moved.withColumnRenamed("cls", "a"), "word", "left")
     pairs = pairs.join(moved.select(F.col("word").alias("next"), F.col("cls").alias("b")), "next", "left")
@@ -449,11 +505,12 @@ def deal_rest(spark: SparkSession, texts: DataFrame, model: ClassModel, totals:
         bigrams[rare if a is None else a, rare if b is None else b] += n
         bigrams[rare, rare] -= n
 
-    top, least = len(model.numbers), model.counts[: len(model.numbers)].min(initial=np.inf)
-    classes = model.classes.copy()
+    top, classes = len(model.numbers), model.classes.copy()
     if top > model.dealt:
-        for word, cls in known.where((F.col("n") >= int(least)) & (F.col("cls") != rare)).select("word", "cls").collect():
-            classes[model.numbers[word.encode()]] = cls  # the numbered words are all with so high a count
+        least, last = int(model.counts[top - 1]), list(model.numbers)[-1].decode()  # numbers follow the count, then the word
+        numbered = (F.col("n") > least) | ((F.col("n") == least) & (F.col("word") <= last))
+        for word, cls in known.where(numbered & (F.col("cls") != rare)).select("word", "cls").collect():
+            classes[model.numbers[word.encode()]] = cls
     in_class = np.bincount(model.classes[: model.dealt], model.counts[: model.dealt], size)
     rare_all = totals["rare_all"]
     for cls, n, kinds in known.where(F.col("cls") != rare).groupBy("cls").agg(F.sum("n"), F.count(F.lit(1))).collect():
@@ -478,8 +535,8 @@ def score_texts(
     spark = df.sparkSession
     small_batches(spark)
     texts = df.where(learn).select(_body(text))
-    model, _, totals = fit(spark, texts, head, clustered, k, rounds)
-    model, counts, totals = deal_rest(spark, texts, model, totals)
+    model, counts, totals = fit(spark, texts, head, clustered, k, rounds)
+    model, counts, totals = deal_rest(spark, texts, model, totals, counts)
     shared = spark.sparkContext.broadcast(model)
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
     held = [c for c in keep if c not in made]
@@ -493,15 +550,8 @@ def score_texts(
         size = len(model.transition)
         for batch in batches:
             for part in slices(batch, "_text_"):
-                split = [tokens(t) for t in part.column("_text_").to_pylist()]
+                split, ids = number(part.column("_text_").to_pylist(), lookup, rare, end)
                 sizes = np.array([len(words) + 1 for words in split])
-                ids = np.empty(int(sizes.sum()) + 1, dtype=np.int64)
-                ids[0] = end
-                at = 1
-                for words in split:
-                    ids[at : at + len(words)] = [lookup(w, rare) for w in words]
-                    ids[at + len(words)] = end
-                    at += len(words) + 1
                 classes = model.classes[ids]
                 firsts = np.cumsum(sizes) - sizes
                 hidden = ids == rare  # words whose class only the join gives

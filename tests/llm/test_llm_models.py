@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalloom.llm import class_lm, language_crf, queries, toxicity_pu
+from signalloom.llm import class_lm, language_crf, queries, secret_scan, toxicity_pu
 from signalloom.llm.arrow import fold
 
 
@@ -114,6 +114,28 @@ def test_rare_words_are_dealt_by_the_same_gain():
     assert class_lm.classes_of_rare(before, after, itself, bigrams).tolist() == want.tolist() and len(set(want.tolist())) > 2
 
 
+def test_lists_of_a_rare_word_do_not_grow_with_the_tasks(spark):
+    """However many tasks counted a word, it has one entry for each pair of classes beside it."""
+    rng = np.random.default_rng(8)
+    rows = [(" ".join(w for _ in range(40) for w in (f"x{rng.integers(3)}", "seldom", f"y{rng.integers(3)}")),) for _ in range(64)]
+    texts = spark.createDataFrame(rows, "_text_ string")
+    numbers = {f"{kind}{i}".encode(): n for n, (kind, i) in enumerate((kind, i) for kind in "xy" for i in range(3))}
+    model = class_lm.ClassModel(numbers, np.array([0, 0, 0, 1, 1, 1, 2, 3]), np.zeros((4, 4)), np.zeros(8), np.zeros(8), True,
+                                np.ones(8), np.zeros((4, 4)), 6)
+    shared = spark.sparkContext.broadcast(model)
+    for parts in (1, 4, 16):
+        raw = class_lm.rare_words(texts.repartition(parts), shared)
+        summed = raw.where("next IS NULL").groupBy("word", "code").agg(F.sum("n").alias("n")).collect()
+        assert [(r.word, r.n) for r in summed] == [(class_lm.hash_of(b"seldom"), 64 * 40)]
+    assert spark.range(1).select(F.xxhash64(F.lit("Seldöm"))).first()[0] == class_lm.hash_of("Seldöm".encode())
+
+
+def test_ties_at_the_limit_are_filled_in_word_order(spark):
+    counts = spark.createDataFrame([(f"w{i:02d}", 6) for i in range(40)] + [("top", 900), ("once", 1)], "word string, n long")
+    assert class_lm.frequent(counts, 30, 2) == [("top", 900), *((f"w{i:02d}", 6) for i in range(29))]
+    assert len(class_lm.frequent(counts, 41, 2)) == 41 and class_lm.frequent(counts.where("n = 1"), 5, 2) == []
+
+
 def test_words_beyond_the_rounds_have_classes(spark):
     """Each of 200 words stands beside 4 clustered ones; an order that never occurs must score lower."""
     rng = np.random.default_rng(2)
@@ -238,3 +260,114 @@ def test_forward_backward_equals_the_plain_recursions():
         x = ahead[t - 1][:, None] * step * (weight[t] * back[t])[None]
         both += x / x.sum()
     assert np.allclose(joint, both)
+
+
+def test_chains_side_by_side_equal_lanes():
+    rng = np.random.default_rng(1)
+    n, k = 140, 6
+    emission, transition, start = rng.normal(size=(n, k)), rng.normal(size=(k, k)), rng.normal(size=k)
+    starts = rng.random(n) < 0.2
+    starts[0] = True
+    for a, b in zip(
+        language_crf.forward_backward(emission, starts, transition, start, pairs=True),
+        language_crf.chains_side_by_side(emission, starts, transition, start, pairs=True),
+    ):
+        assert np.allclose(a, b)
+
+
+def test_features_and_slopes_of_the_language_field():
+    """Summed weights against a loop, and a fit against all labellings of a tiny chain."""
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=(language_crf.BUCKETS + 3, 3))
+    words = ["der", "the", "étés", "x"]
+    features = [language_crf.word_features(w, {"der": (1,), "the": (0, 2)}) for w in words]
+    want = np.stack([weights[f].sum(0) for f in features])
+    assert np.allclose(language_crf.sum_features(features, weights), want)
+    sizes = np.array([len(f) for f in features])
+    assert np.allclose(language_crf.sum_weights(np.concatenate(features), sizes, weights, held=9), want)
+    assert language_crf.word_features("the", {"the": (0, 2)})[-2:] == [language_crf.BUCKETS, language_crf.BUCKETS + 2]
+    assert len(set(language_crf.word_features("der", {}))) == 6 + 3
+
+
+def test_three_hundred_small_languages(spark):
+    """Every labelled language is learned; each has words of its own."""
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in range(0x0430, 0x0450)] + [chr(c) for c in range(0x0561, 0x0580)]
+    stems = ["".join(rng.choice(letters, 3)) for _ in range(300)]
+    rows = [(i, " ".join(stems[i % 300] + "".join(rng.choice(letters, 2)) for _ in range(8)), f"l{i % 300:03d}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_crf.train_language_model(df, F.col("doc_id") < 900)
+    assert len(model.languages) == 300
+    got = language_crf.identify_language(df.where("doc_id >= 900"), model, keep=("doc_id", "lang")).collect()
+    right = sum(r.lang == r.lang_pred for r in got)
+    assert right > 0.95 * len(got), right
+    many = spark.range(600).selectExpr("id AS doc_id", "'a b' AS text", "concat('l', id) AS lang")
+    with pytest.raises(ValueError, match="more than 512 languages"):
+        language_crf.train_language_model(many, F.lit(True))
+
+
+def test_samples_are_bounded_where_a_text_repeats(spark, monkeypatch):
+    """A text in a third of all rows enters in part, not whole and not never."""
+    df = spark.range(9000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'le mot de la fin' ELSE concat('the word ', id, ' is') END AS text",
+                                      "CASE WHEN id % 3 = 0 THEN 'fr' ELSE 'en' END AS lang")
+    drawn = []
+    monkeypatch.setattr(language_crf, "fit", lambda samples: drawn.append(samples))
+    language_crf.train_language_model(df, F.lit(True), docs_per_language=200)
+    per = {lang: sum(x[0] == lang for x in drawn[0]) for lang in ("fr", "en")}
+    assert all(140 <= n <= 270 for n in per.values())
+    sampled = secret_scan.sample_of(df.selectExpr("text", "CAST(doc_id AS STRING) AS id"), ["id", "text"], 9000, 900)
+    assert 200 <= sampled.where("text LIKE 'le %'").count() <= 400
+    marks = df.selectExpr("doc_id", "CAST(doc_id = 0 AS INT) AS toxic")
+    monkeypatch.setattr(toxicity_pu, "fit_nnpu", lambda p, u, size, prior: drawn.append((len(p), len(u))) or (np.zeros(size), 0.0))
+    repeated = df.selectExpr("CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id END AS doc_id", "text")
+    toxicity_pu.train_toxicity_model(repeated, marks, F.lit(True), positives=150, unlabelled=600)
+    assert 90 <= drawn[1][0] <= 210 and 480 <= drawn[1][1] <= 720
+
+
+def plain_risk(weights, bias, positives, unlabelled, prior):
+    """The non-negative risk by its definition, with the logistic loss."""
+    margin = lambda docs: np.array([bias + sum(weights[f] for f in d) for d in docs])
+    loss = lambda m: np.log1p(np.exp(-m))
+    rest = loss(-margin(unlabelled)).mean() - prior * loss(-margin(positives)).mean()
+    return prior * loss(margin(positives)).mean() + max(0.0, rest), rest
+
+
+def test_a_step_of_the_risk_goes_down_its_slope():
+    """The first step of the fit moves every weight against the slope of the risk, found by differences."""
+    rng = np.random.default_rng(5)
+    size, prior = 6, 0.3
+    docs = lambda n, p: [sorted(np.flatnonzero(rng.random(size) < p).tolist()) for _ in range(n)]
+    positives, unlabelled = docs(12, [0.8, 0.7, 0.2, 0.2, 0.5, 0.1]), docs(40, [0.3, 0.2, 0.4, 0.5, 0.5, 0.6])
+    weights, bias = toxicity_pu.fit_nnpu(positives, unlabelled, size, prior, steps=1, rate=1e-3, penalty=0.0)
+    start = np.log(prior / (1 - prior))
+    zero = np.zeros(size)
+    assert plain_risk(zero, start, positives, unlabelled, prior)[1] >= 0
+    for f in range(size):
+        nudge = np.zeros(size)
+        nudge[f] = 1e-5
+        up, down = (plain_risk(s * nudge, start, positives, unlabelled, prior)[0] for s in (1, -1))
+        if abs(up - down) > 1e-9:
+            assert np.sign(weights[f]) == -np.sign(up - down)
+    assert plain_risk(weights, bias, positives, unlabelled, prior)[0] < plain_risk(zero, start, positives, unlabelled, prior)[0]
+    fitted = toxicity_pu.fit_nnpu(positives, unlabelled, size, prior, steps=200)
+    assert plain_risk(*fitted, positives, unlabelled, prior)[0] < plain_risk(zero, start, positives, unlabelled, prior)[0] - 0.02
+
+
+def test_frequencies_and_kept_features_equal_a_loop(spark):
+    rows = [(i, f"word{i % 7} bad{i % 2}" if i % 4 == 0 else f"word{i % 7} fine", i % 4 == 0) for i in range(80)]
+    df = spark.createDataFrame(rows, "_key long, _text string, _toxic boolean")
+    features = toxicity_pu.Features()
+    counts = {True: {}, False: {}}
+    for _, text, toxic in rows:
+        for f in features.of(text):
+            counts[toxic][f] = counts[toxic].get(f, 0) + 1
+    got = toxicity_pu.document_frequencies(df)
+    assert {(r.bucket, r.toxic): r.n for r in got.collect()} == {(f, t): n for t in counts for f, n in counts[t].items()}
+    kept = toxicity_pu.telling_features(got, 20, 80)
+    z = {}
+    for f in counts[True].keys() | counts[False].keys():
+        every, among = (counts[True].get(f, 0) + counts[False].get(f, 0)) / 80, counts[True].get(f, 0) / 20
+        score = abs(among - every) / np.sqrt(every * (1 - every) / 20 + 1e-12)
+        if score >= toxicity_pu.LEAST_Z and (counts[True].get(f, 0) >= toxicity_pu.LEAST_POSITIVES or among < every):
+            z[f] = score
+    assert kept == sorted(z)
