@@ -19,7 +19,7 @@ SAFE_CUT = re.compile(r"(?<=[^\W_])(?:[ \n\t](?=[^\W_])|(?=[。、，．！？
 
 _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(),
           "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()),
-          "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+          "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "binary": pa.binary()}
 
 
 def fold(doc_id: Column | str, parts: int) -> Column:
