@@ -15,6 +15,7 @@ from signalloom.operators.sequences import sequences
 from signalloom.plans.event_report import event_report
 from signalloom.session import scratch_dir
 from signalloom.sources import notes, tables
+from signalloom.sources.recordings import read_or_reject
 
 REC = ["subject_id", "edf_id"]
 KEY = ["subject_id", "edf_id", "window_index"]
@@ -496,6 +497,37 @@ def s14(spark, d):
     return rejected
 
 
+def decode_values(path, content):
+    """One number a line, the last line ``end``; anything else is a broken file."""
+    *lines, last = content.decode().split()
+    if last != "end":
+        raise ValueError("the file ends early")
+    for line in lines:
+        yield {"v": float(line)}
+
+
+@query(
+    "s14_unreadable_recordings",
+    "subject_id samples:l total:4 rejected:l",
+    """SELECT subject_id, CASE WHEN subject_id = 's03' THEN 0 ELSE count(*) END AS samples, CASE WHEN subject_id <> 's03' THEN sum(v) END AS total,
+      CAST(subject_id = 's03' AS INTEGER) AS rejected FROM v_signal GROUP BY subject_id""",
+)
+def s14_files(spark, d):
+    """A file for each subject's values; that of one subject lacks its end."""
+    path = scratch_dir(spark, "files")
+    rows = v.events(spark, d).select("subject_id", F.col("v").cast("string").alias("line"), F.lit(0).alias("last"))
+    ends = rows.select("subject_id").distinct().where("subject_id <> 's03'").select("subject_id", F.lit("end").alias("line"), F.lit(1).alias("last"))
+    # a file is written by one task, its end last
+    dealt = rows.unionByName(ends).repartition("subject_id").sortWithinPartitions("subject_id", "last")
+    dealt.select("subject_id", "line").write.partitionBy("subject_id").text(path)
+    good, rejects = read_or_reject(spark, path, decode_values, "v double")
+    subject = lambda file: F.regexp_extract(file, "subject_id=([^/]+)", 1)
+    kept = good.groupBy(subject("file").alias("subject_id")).agg(F.count(F.lit(1)).alias("samples"), F.sum("v").alias("total"))
+    lost = rejects.groupBy(subject("file").alias("subject_id")).agg(F.lit(1).alias("rejected"))
+    both = kept.join(lost, "subject_id", "full_outer")
+    return both.select("subject_id", F.coalesce("samples", F.lit(0)).alias("samples"), "total", F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
 KIND_SQL = """CASE WHEN name LIKE 'EKG%' THEN 'ecg' WHEN name LIKE 'LOC%' THEN 'eog' WHEN name IN ('VNS', '-', '--1') THEN 'misc' ELSE 'eeg' END"""
 
 

@@ -58,7 +58,9 @@ def dyadic_cover(first: Column, last: Column) -> Column:
             F.when((low <= high) & (F.pmod(low, F.lit(2)) == 1), node(low)), F.when((low <= high) & (F.pmod(high, F.lit(2)) == 0), node(high))
         )
 
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), nodes)), lambda n: n.isNotNull())
+    # no node is longer than the interval
+    top = F.least(F.lit(LEVELS), F.floor(F.log2(F.greatest(last - first + 1, F.lit(1)).cast("double"))).cast("int") + 1)
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), top), nodes)), lambda n: n.isNotNull())
 
 
 def intervals_at(points: DataFrame, intervals: DataFrame, keys: Sequence[str], bin: str, first: Column, last: Column) -> DataFrame:

@@ -9,6 +9,7 @@ numbers per chunk forward over the much smaller chunk summary.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -137,13 +138,16 @@ def previous_value(
 
 
 def first_per_group(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], k: int, spread: Sequence[str], slices: int = 1024
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], k: int, spread: Sequence[str], slices: int | None = None
 ) -> DataFrame:
     """The first ``k`` rows of each group in ``order``.
 
     Each group is cut into slices by a hash of ``spread`` (the row key); only
-    the winners of a slice meet the winners of the other slices.
+    the winners of a slice meet the winners of the other slices. Unless given, the number
+    of slices follows the rows, so that in a group of all rows both rounds order about as many: ``sqrt(rows / k)``.
     """
+    if slices is None:
+        slices = max(1, math.isqrt(df.count() // max(1, k)))
     slot = F.pmod(F.xxhash64(*spread), F.lit(slices))
     in_slice = F.row_number().over(_over([*groups, "_slot"], *order))
     in_group = F.row_number().over(_over(groups, *order))

@@ -16,14 +16,21 @@ from signalloom.operators.ordered import first_per_group, numbered, matched
 SPLITS = ("train", "validation", "test")
 
 
+#: Rows of a digest slice that one task orders.
+SLICE_ROWS = 50_000
+
+
 def hash_key(*key: str, seed: int = 42) -> Column:
     """Hex digest that orders rows at random but reproducibly."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
-def _hash_slice(digest: Column) -> Column:
-    """4096 slices that grow with the digest."""
-    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
+def _hash_slice(digest: Column, rows: int) -> Column:
+    """Slices that grow with the digest: as many leading digits as leave :data:`SLICE_ROWS` rows to one."""
+    digits = 1
+    while 16**digits * SLICE_ROWS < rows and digits < 12:
+        digits += 1
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
 def split_table(spark: SparkSession, assignment: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -135,7 +142,7 @@ def balanced_resample(df: DataFrame, key: Sequence[str], label: str = "label", s
     """
     digest = hash_key(*key, seed=seed)
     placed = numbered(
-        df.withColumn("_h", digest), [label], ["_h", *key], _hash_slice(F.col("_h")), "_place"
+        df.withColumn("_h", digest), [label], ["_h", *key], _hash_slice(F.col("_h"), df.count()), "_place"
     ).drop("_h")
     draws = (
         df.select(*[F.col(k).alias(f"draw_{k}") for k in key], digest.alias("_h"))
@@ -159,7 +166,7 @@ def file_split(
         recordings.withColumn("_h", hash_key(*key, seed=seed)),
         [stratum],
         ["_h", *key],
-        _hash_slice(F.col("_h")),
+        _hash_slice(F.col("_h"), recordings.count()),
         "_place",
     )
     train = F.floor(F.col("_n") * percent[0] / 100)

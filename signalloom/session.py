@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -32,6 +34,14 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, where it is not installed."""
+    package = pathlib.Path(__file__).parent
+    with tempfile.TemporaryDirectory(prefix="signalloom-") as folder:  # Spark copies the file at once
+        archive = shutil.make_archive(f"{folder}/signalloom", "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+
+
 #: Folders named by :func:`set_scratch`, and each application's own below the root.
 _NAMED: dict[str, str] = {}
 _ROOTS: dict[tuple[str, str], str] = {}

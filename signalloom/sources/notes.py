@@ -125,7 +125,9 @@ def read_seizure_list(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     inside the pieces. The patient of a file is the first one named in it.
     """
     pieces = spark.read.option("lineSep", BLOCK_MARK).text(paths)
-    pieces = pieces.select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_order"))
+    # a file's parts by their offset, and the pieces of a part as they are read
+    order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("piece"))
+    pieces = pieces.select("value", F.col("_metadata.file_path").alias("_file"), order.alias("_order"))
     # a piece that begins with a number has lost the separator before it
     headed = F.when(F.regexp_like("value", F.lit(r"^\s*\d")), F.concat(F.lit(BLOCK_MARK), "value")).otherwise(F.col("value"))
     pieces = pieces.withColumn("_text", headed).withColumn("patient", _first(headed, PATIENT))

@@ -179,6 +179,7 @@ def test_first_per_group_keeps_exactly_the_first(spark):
     rows = [("hot" if i % 3 else f"g{i % 7}", (i * 7919) % 10_007, i) for i in range(2000)]
     df = spark.createDataFrame(rows, "g string, o long, id long")
     got = {tuple(r) for r in first_per_group(df, ["g"], ["o"], 4, ["id"], slices=8).collect()}
+    assert got == {tuple(r) for r in first_per_group(df, ["g"], ["o"], 4, ["id"]).collect()}
     want = {r for g in {r[0] for r in rows} for r in sorted((x for x in rows if x[0] == g), key=lambda x: x[1])[:4]}
     assert got == want
 

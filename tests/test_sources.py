@@ -259,3 +259,28 @@ def test_a_refreshed_cache_holds_every_window_once(spark, tmp_path):
     assert rows.count() == 31 and rows.select("w").distinct().count() == 31
     refresh(windows, force=True)
     assert spark.read.parquet(path).count() == 30
+
+
+def test_unreadable_recordings_are_rejected_with_a_reason(spark, tmp_path):
+    import struct
+
+    from signalloom.sources.recordings import read_or_reject
+
+    def decode(path, content):
+        count = struct.unpack("<i", content[:4])[0]
+        for i in range(count):
+            yield {"i": i, "x": struct.unpack_from("<d", content, 4 + 8 * i)[0]}
+
+    def write(name, values, claimed=None):
+        (tmp_path / name).write_bytes(struct.pack(f"<i{len(values)}d", claimed or len(values), *values))
+
+    write("a.rec", [1.0, 2.0])
+    write("cut.rec", [float(i) for i in range(400)], claimed=500)
+    write("empty.rec", [])
+    (tmp_path / "short.rec").write_bytes(b"x")
+    rows, rejects = read_or_reject(spark, str(tmp_path), decode, "i long, x double")
+    assert [(os.path.basename(r.file), r.i, r.x) for r in rows.orderBy("i").collect()] == [("a.rec", 0, 1.0), ("a.rec", 1, 2.0)]
+    reasons = {os.path.basename(r.file): r.reason for r in rejects.collect()}
+    assert set(reasons) == {"cut.rec", "short.rec"} and all(r.startswith("error: unpack") for r in reasons.values())
+    with pytest.raises(ValueError, match="no recording is left; .*short.rec: error"):
+        read_or_reject(spark, str(tmp_path / "short.rec"), decode, "i long, x double")
