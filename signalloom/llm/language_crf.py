@@ -299,8 +299,10 @@ def train_language_model(
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     key = F.col(f"`{doc_id}`").cast("string") if doc_id in df.columns else F.lit(None).cast("string")
     rows = df.where(learn & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("_lang"), key.alias("_id"), body.alias("_text"))
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit(3), "_id", "_text")).withColumn("_row", F.monotonically_increasing_id())
     most = MODEL_BYTES // (8 * BUCKETS)
-    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy("_lang").limit(most + 1).collect()
+    first = F.min(F.struct("_hash", "_row")).alias("first")
+    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), first).orderBy("_lang").limit(most + 1).collect()
     if len(sizes) > most:
         raise ValueError(f"more than {most} languages: their weights take more than {MODEL_BYTES} bytes")
     if not sizes:
@@ -309,8 +311,11 @@ def train_language_model(
     small_batches(df.sparkSession)
     # shares as a constant: texts of one language are never gathered
     share = F.create_map(*[F.lit(x) for row in sizes for x in (row["_lang"], min(1.0, docs_per_language / row["n"]))])[F.col("_lang")]
-    hashed = F.xxhash64(F.lit(3), "_id", "_text")
-    chosen = rows.where(F.pmod(hashed, F.lit(1_000_000)) < share * 1_000_000)
+    hashed = F.col("_hash")
+    # and of each language the row with the least hash, so that none is without any
+    ahead = F.create_map(*[F.lit(x) for row in sizes for x in (row["_lang"], row["first"]["_hash"])])[F.col("_lang")]
+    place = F.create_map(*[F.lit(x) for row in sizes for x in (row["_lang"], row["first"]["_row"])])[F.col("_lang")]
+    chosen = rows.where((F.pmod(hashed, F.lit(1_000_000)) < share * 1_000_000) | ((hashed == ahead) & (F.col("_row") == place)))
 
     def window(batches):
         for batch in batches:
