@@ -138,12 +138,14 @@ def _chain(stages: Sequence[tuple[Sequence[float], int]], border: int):
             for stage, (_, factor) in enumerate(kernels):
                 x = centred(x, stage, at_start, at_end)[::factor]
                 start, stop = start // factor, -(-stop // factor)
-            own = x[start:stop]
+            own = x[start:stop].copy()  # a part alone would keep the whole transform in memory until the batch ends
             out.append(own)
             mean = float(own.mean()) if len(own) else 0.0
             moments.append((len(own), mean, float(((own - mean) ** 2).sum())))
         n, mean, squares = zip(*moments) if moments else ((), (), ())
-        arrays = [pa.array(out, pa.list_(pa.float64())), pa.array(n, pa.int64()), pa.array(mean, pa.float64()), pa.array(squares, pa.float64())]
+        offsets = pa.array(np.cumsum([0, *n]), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*out, np.zeros(0)])))
+        arrays = [lists, pa.array(n, pa.int64()), pa.array(mean, pa.float64()), pa.array(squares, pa.float64())]
         return pa.StructArray.from_arrays(arrays, ["samples", "n", "mean", "squares"])
 
     # evaluated once, whatever reads its fields
