@@ -174,18 +174,20 @@ class LastWindows(StatefulProcessor):
     have passed, so windows may arrive out of order by ``slack`` places; arrivals older
     than that when their batch begins come out marked as late. When the watermark is ``hold_ms`` past the
     newest time of a chunk, its whole state is cleared.
+
+    The windows of a chunk are one value, read and written once a batch. Its timer stays where it was first set
+    and is moved on only when it expires before the chunk does.
     """
 
     def __init__(self, length: int, size: int, slack: int, hold_ms: int):
         self.length, self.size, self.slack, self.hold_ms = length, size, slack, hold_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        held = T.StructType([T.StructField("value", T.DoubleType())])
-        key = T.StructType([T.StructField("index", T.LongType())])
         self.handle = handle
-        self.held = handle.getMapState("held", key, held)
         newest = T.StructType([T.StructField("index", T.LongType()), T.StructField("until", T.LongType())])
         self.newest = handle.getValueState("newest", newest)
+        arrays = [("indices", T.ArrayType(T.LongType())), ("values", T.ArrayType(T.DoubleType()))]
+        self.held = handle.getValueState("held", T.StructType([T.StructField(name, kind) for name, kind in arrays]))
 
     def _sequences(self, index: np.ndarray, value: np.ndarray, new: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and values of the sequences of this chunk that hold a new window; ``index`` ascends."""
@@ -199,13 +201,15 @@ class LastWindows(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         subject, recording, chunk = key
-        state = [(int(k[0]), float(v[0])) for k, v in self.held.iterator()]
-        held_at, held = np.array([k for k, _ in state], dtype=np.int64), np.array([v for _, v in state])
-        newest, until = self.newest.get() if self.newest.exists() else (-1, 0)
-        timer = until
-        frames = pd.concat(list(rows))
-        at, value = frames["window_index"].to_numpy(np.int64), frames["value"].to_numpy(float)
-        until = max(until, int(frames["ms"].max()) + self.hold_ms)
+        state = self.newest.get()
+        newest, until = state if state else (-1, 0)
+        both = self.held.get() if state else ([], [])
+        held_at, held = np.array(both[0], dtype=np.int64), np.array(both[1], dtype=float)
+        arrays = [(f["window_index"].to_numpy(np.int64), f["value"].to_numpy(float), int(f["ms"].max())) for f in rows]
+        at, value = (np.concatenate([a[k] for a in arrays]) for k in (0, 1))
+        if not state:
+            self.handle.registerTimer(max(a[2] for a in arrays) + self.hold_ms)
+        until = max(until, *(a[2] + self.hold_ms for a in arrays))
         known = np.isin(at, held_at)
         old = ~known & (at <= newest - self.length - self.slack)
         late = at[old & (at // self.size == chunk)]  # the others are copies from the border of another chunk
@@ -215,24 +219,29 @@ class LastWindows(StatefulProcessor):
         every_at, every = np.concatenate([held_at, fresh_at])[order], np.concatenate([held, fresh])[order]
         starts, values = self._sequences(every_at, every, order >= len(held_at), chunk)
         newest = max([newest, *fresh_at[-1:].tolist()])
-        least = newest - self.length - self.slack
-        for index in held_at[held_at <= least].tolist():
-            self.held.removeKey((index,))
-        for index, x in zip(fresh_at.tolist(), fresh.tolist()):
-            if index > least:
-                self.held.updateValue((index,), (x,))
+        stays = every_at > newest - self.length - self.slack
         self.newest.update((newest, until))
-        if until != timer:
-            if timer:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(until)
-        out = [(subject, recording, start, start + self.length - 1, held, False) for start, held in zip(starts.tolist(), values.tolist())]
-        out += [(subject, recording, None, index, None, True) for index in late.tolist()]
-        yield pd.DataFrame(out, columns=SEQUENCE.names)
+        self.held.update((every_at[stays].tolist(), every[stays].tolist()))
+        n = len(starts) + len(late)
+        if n:
+            # columns, not rows: a frame of rows takes longer to build than all of the above
+            out = {
+                "subject_id": [subject] * n,
+                "edf_id": [recording] * n,
+                "start_index": pd.array([*starts.tolist(), *[None] * len(late)], dtype="Int64") if len(late) else starts,
+                "target_index": np.concatenate([starts + self.length - 1, late]),
+                "values": [*values, *[None] * len(late)],
+                "late": np.arange(n) >= len(starts),
+            }
+            yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.held.clear()
-        self.newest.clear()
+        until = self.newest.get()[1]
+        if until > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(until)
+        else:
+            self.newest.clear()
+            self.held.clear()
         return iter([])
 
     def close(self) -> None:
